@@ -6,6 +6,8 @@ import importlib
 
 #: Modules with a query opN_<name>; each may have ORACLE_SQL.
 MODULES = {
+    "op2_line_dedup": "line_dedup",
+    "op7_source_mixing": "mixing",
     "op8_quality_rules": "quality",
 }
 
