@@ -7,6 +7,7 @@ import importlib
 #: Modules with a query opN_<name>; each may have ORACLE_SQL.
 MODULES = {
     "op2_line_dedup": "line_dedup",
+    "op6_jaccard_join": "jaccard_join",
     "op7_source_mixing": "mixing",
     "op8_quality_rules": "quality",
 }
