@@ -7,6 +7,8 @@ import importlib
 #: Modules with a query opN_<name>; each may have ORACLE_SQL.
 MODULES = {
     "op2_line_dedup": "line_dedup",
+    "op4_token_counts": "token_counts",
+    "op5_token_files": "token_files",
     "op6_jaccard_join": "jaccard_join",
     "op7_source_mixing": "mixing",
     "op8_quality_rules": "quality",
