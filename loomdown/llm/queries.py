@@ -7,11 +7,13 @@ import importlib
 #: Modules with a query opN_<name>; each may have ORACLE_SQL.
 MODULES = {
     "op2_line_dedup": "line_dedup",
+    "op3_lm_scoring": "lm_score",
     "op4_token_counts": "token_counts",
     "op5_token_files": "token_files",
     "op6_jaccard_join": "jaccard_join",
     "op7_source_mixing": "mixing",
     "op8_quality_rules": "quality",
+    "op9_benchmark_decontamination": "decontaminate",
 }
 
 
