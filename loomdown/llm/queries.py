@@ -6,6 +6,7 @@ import importlib
 
 #: Modules with a query opN_<name>; each may have ORACLE_SQL.
 MODULES = {
+    "op1_language_id": "language_id",
     "op2_line_dedup": "line_dedup",
     "op3_lm_scoring": "lm_score",
     "op4_token_counts": "token_counts",
@@ -14,6 +15,7 @@ MODULES = {
     "op7_source_mixing": "mixing",
     "op8_quality_rules": "quality",
     "op9_benchmark_decontamination": "decontaminate",
+    "op10_html_extraction": "html_extract",
 }
 
 
