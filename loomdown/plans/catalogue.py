@@ -1,9 +1,512 @@
-"""The named queries of the engine and their SQL."""
+"""The named queries of the engine and their SQL.
+
+Each entry is a function of (spark, sf_dir) and, where SQL can say the same, a text for DuckDB over the same tables. Inputs
+are the given tables; where these lack a construct (invisible characters, tables, hidden elements), it is put into every page or line.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import markdown as M
+from ..functions import text as X
+from ..kernel.chars import BLANK_CLASS, BLOCKS, CELL_BLOCKS, DELETED_CLASS, NON_TEXT, SPACED_CLASS
+from ..operators import blocks as B
+from ..operators import nodes as N
+from ..sources.files import with_markdown
+from ..streaming.pages import stream_markdown
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def pages(spark, d):
+    return load(spark, d, "pages")
+
+
+def documents(spark, d):
+    return load(spark, d, "documents")
+
+
+def doc_lines(spark, d) -> DataFrame:
+    """(doc_id, pos, line) of all lines of all documents."""
+    return documents(spark, d).select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
+
+
+# SQL fragments
+LINES = "(SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS pos FROM documents)"
+ENDS = rf"^[{BLANK_CLASS}]+|[{BLANK_CLASS}]+\z"
+TRIM = lambda x: f"regexp_replace({x}, '{ENDS}', '', 'g')"
+ONE_LINE = lambda x: f"regexp_replace({TRIM(x)}, '[{BLANK_CLASS}]+', ' ', 'g')"
+VISIBLE = lambda x: f"length(regexp_replace({TRIM(x)}, '{X.LINK}', '\\1', 'g'))"
+LEVEL = lambda x: f"nullif(length(regexp_extract({x}, '{X.HEADING}', 1)), 0)"
+GLYPH = lambda x: f"(length({x}) = 1 AND NOT regexp_matches({x}, '[\\p{{L}}\\p{{N}}]'))"
+SHORT = lambda x: f"(regexp_matches({TRIM(x)}, '{X.LINK_ONLY}') AND {VISIBLE(TRIM(x))} <= 30)"
+names = lambda s: ", ".join(f"'{x}'" for x in sorted(s))
+ANCHOR = r'(?s)<a href="([^"]*)">(.*?)</a>'
+ANCHORS = f"(SELECT page_id, unnest(regexp_extract_all(html, '{ANCHOR}', 1)) AS href, unnest(regexp_extract_all(html, '{ANCHOR}', 2)) AS label FROM pages)"
+TAG = r"<([a-zA-Z][a-zA-Z0-9:]*)"
+
+
+# Strings
+
+CONDITIONAL = "<![if !supportLists]><i>·</i>\n<![endif]><article>"
+
+
+@query(f"SELECT page_id, regexp_replace(replace(html, '<article>', '{CONDITIONAL.replace(chr(10), chr(39) + ' || chr(10) || ' + chr(39))}'), '{X.IE_CONDITIONAL}', '', 'g') AS html FROM pages")
+def strip_ie_conditionals(spark, d):
+    html = F.replace("html", F.lit("<article>"), F.lit(CONDITIONAL))
+    return pages(spark, d).select("page_id", X.strip_ie_conditionals(html).alias("html"))
+
+
+@query(f"SELECT page_id, regexp_replace(html, '{X.COMMENT}', '', 'g') AS html FROM pages")
+def strip_comments(spark, d):
+    return pages(spark, d).select("page_id", X.strip_comments(F.col("html")).alias("html"))
+
+
+@query(
+    f"SELECT doc_id, regexp_replace(regexp_replace(replace(text, ' ', chr(160) || chr(8203) || chr(917536) || chr(8195)), '[{DELETED_CLASS}]', '', 'g'), '[{SPACED_CLASS}]', ' ', 'g') AS text FROM documents"
+)
+def clean_invisibles(spark, d):
+    return documents(spark, d).select("doc_id", X.clean_invisibles(F.replace("text", F.lit(" "), F.lit(" ​\U000e0020 "))).alias("text"))
+
+
+@query(r"SELECT doc_id, regexp_replace(regexp_replace(text, '[ \t\n\r\x{A0}]+', ' ', 'g'), '([\\`*_\[\]])', '\\\1', 'g') AS text FROM documents")
+def escape_text(spark, d):
+    return documents(spark, d).select("doc_id", X.escape_markdown(F.col("text")).alias("text"))
+
+
+@query(r"SELECT doc_id, regexp_replace(replace(text, chr(10), chr(10) || chr(10) || chr(10)), '\n{3,}', chr(10) || chr(10), 'g') AS text FROM documents")
+def collapse_blank_runs(spark, d):
+    return documents(spark, d).select("doc_id", X.collapse_blank_runs(F.replace("text", F.lit("\n"), F.lit("\n\n\n"))).alias("text"))
+
+
+@query("SELECT doc_id, translate(text, chr(10) || chr(9), '  ') AS text FROM documents")
+def flatten_link_text(spark, d):
+    return documents(spark, d).select("doc_id", X.flatten_link_text(F.col("text")).alias("text"))
+
+
+@query(
+    r"SELECT doc_id, pos::BIGINT AS pos, regexp_matches(w, '\A[0-9., kKMBmsµh]+\z') AND regexp_matches(w, '[0-9]') AS is_stat, " + GLYPH("w") + " AS is_glyph "
+    "FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) - 1 AS pos FROM documents)"
+)
+def word_predicates(spark, d):
+    words = documents(spark, d).select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "w"))
+    return words.select("doc_id", F.col("pos").cast("long").alias("pos"), X.is_stat(F.col("w")).alias("is_stat"), X.is_glyph(F.col("w")).alias("is_glyph"))
+
+
+@query(
+    r"SELECT l_orderkey, l_linenumber, s, regexp_matches(s, '\A[0-9., kKMBmsµh]+\z') AND regexp_matches(s, '[0-9]') AS is_stat FROM (SELECT l_orderkey, l_linenumber, "
+    "l_quantity::BIGINT::VARCHAR || CASE l_linenumber WHEN 1 THEN 'k' WHEN 2 THEN ' ms' WHEN 3 THEN '%' ELSE ',000' END AS s FROM lineitem)"
+)
+def stat_texts(spark, d):
+    n = F.col("l_linenumber")
+    unit = F.when(n == 1, "k").when(n == 2, " ms").when(n == 3, "%").otherwise(",000")
+    rows = load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.col("l_quantity").cast("long").cast("string"), unit).alias("s"))
+    return rows.withColumn("is_stat", X.is_stat(F.col("s")))
+
+
+STYLES = ("color:red;DISPLAY:NONE", "display :none", "Visibility: Hidden", "display:flex;gap:1px", "display: inline-flex", "DISPLAY: FLEX")
+
+
+@query(
+    "SELECT event_id, style, regexp_matches(lower(style), 'display: ?none|visibility: ?hidden') AS hides, regexp_matches(style, 'display: ?flex') AS is_flex "
+    f"FROM (SELECT event_id, [{', '.join(repr(s) for s in STYLES)}][(event_id % {len(STYLES)} + 1)::INT] AS style FROM events)"
+)
+def style_predicates(spark, d):
+    style = F.element_at(F.array(*map(F.lit, STYLES)), (F.col("event_id") % len(STYLES) + 1).cast("int"))
+    rows = load(spark, d, "events").select("event_id", style.alias("style"))
+    return rows.select("event_id", "style", X.hides(F.col("style")).alias("hides"), X.is_flex(F.col("style")).alias("is_flex"))
+
+
+@query(
+    "SELECT p_partkey, option, coalesce(CASE WHEN n BETWEEN 40 AND 240 THEN n END, 80)::BIGINT AS width FROM (SELECT p_partkey, option, "
+    r"CASE WHEN regexp_matches(option, '\A\+?[0-9]+\z') THEN try_cast(option AS INT) END AS n FROM (SELECT p_partkey, "
+    "CASE p_partkey % 4 WHEN 0 THEN p_size::VARCHAR WHEN 1 THEN (p_size * 5)::VARCHAR WHEN 2 THEN ' ' || p_size ELSE p_name END AS option FROM part))"
+)
+def wrap_width_option(spark, d):
+    k, size = F.col("p_partkey") % 4, F.col("p_size")
+    option = F.when(k == 0, size.cast("string")).when(k == 1, (size * 5).cast("string")).when(k == 2, F.concat(F.lit(" "), size.cast("string"))).otherwise(F.col("p_name"))
+    rows = load(spark, d, "part").select("p_partkey", option.alias("option"))
+    return rows.withColumn("width", X.wrap_width(F.col("option")).cast("long"))
+
+
+@query()
+def decode_unicode_escapes(spark, d):
+    text = F.replace("text", F.lit(" the "), F.lit(" \\u2013\\u{1F9E0}\\ud83e\\udde0\\u+ "))
+    return documents(spark, d).select("doc_id", M.decode_unicode_escapes(text).alias("text"))
+
+
+@query(f"SELECT doc_id, pos::BIGINT AS pos, CASE WHEN regexp_matches(t, '{X.PUNCTUATION.replace(chr(39), chr(39) * 2)}') THEN '' ELSE t END AS line FROM (SELECT doc_id, pos, {TRIM('line')} AS t FROM {LINES})")
+def tidy_inline(spark, d):
+    return doc_lines(spark, d).select("doc_id", F.col("pos").cast("long").alias("pos"), X.tidy_inline(F.col("line")).alias("line"))
+
+
+@query(
+    f"SELECT doc_id, pos::BIGINT AS pos, CASE WHEN {TRIM('line')} = '' THEN '' ELSE ' **' || {TRIM('line')} || '**' END AS bold FROM {LINES}"
+)
+def emphasis(spark, d):
+    return doc_lines(spark, d).select("doc_id", F.col("pos").cast("long").alias("pos"), X.emphasis(F.concat(F.lit("  "), X.trim_blanks(F.col("line"))), "**").alias("bold"))
+
+
+@query(f"SELECT DISTINCT page_id, t AS name, t IN ({names(NON_TEXT)}) AS non_text, t IN ({names(BLOCKS)}) AS is_block, t IN ({names(CELL_BLOCKS)}) AS cell_block, instr(t, ':') > 0 AS namespaced, CASE WHEN regexp_matches(t, '^h[1-6]$') THEN t[2:2]::BIGINT END AS level FROM (SELECT page_id, lower(unnest(regexp_extract_all(replace(html, '<article>', '<o:p></o:p><article>'), '{TAG}', 1))) AS t FROM pages)")
+def element_roles(spark, d):
+    html = F.replace("html", F.lit("<article>"), F.lit("<o:p></o:p><article>"))
+    tags = pages(spark, d).select("page_id", F.explode(F.array_distinct(F.transform(F.regexp_extract_all(html, F.lit(TAG), F.lit(1)), F.lower))).alias("name"))
+    n = F.col("name")
+    return tags.select("page_id", "name", X.is_non_text(n).alias("non_text"), X.is_block(n).alias("is_block"), X.is_cell_block(n).alias("cell_block"), X.is_namespaced(n).alias("namespaced"), X.heading_level(n).cast("long").alias("level"))
+
+
+@query("SELECT doc_id, pos::BIGINT AS pos, repeat('#', greatest(1, least(6, pos % 8 - 1))::INT) || ' ' || line AS heading FROM " + LINES)
+def heading_blocks(spark, d):
+    level = (F.col("pos") % 8).cast("int")
+    return doc_lines(spark, d).select("doc_id", F.col("pos").cast("long").alias("pos"), X.heading_block(level, F.lit(1), F.col("line")).alias("heading"))
+
+
+# Links
+
+
+def raw_anchors(spark, d) -> DataFrame:
+    both = F.arrays_zip(F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(1)).alias("href"), F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(2)).alias("label"))
+    return pages(spark, d).select("page_id", F.explode(both).alias("a")).select("page_id", "a.href", "a.label")
+
+
+@query(f"SELECT page_id, href, label FROM {ANCHORS}")
+def extract_anchors(spark, d):
+    return raw_anchors(spark, d)
+
+
+HREFS = ("/x", "", "b c", "https://e.com/?q=1")
+RENDERED = (
+    "SELECT page_id, href, label, CASE WHEN t = '' OR " + GLYPH("t") + f" THEN '' WHEN href = '' OR regexp_matches(href, '[{BLANK_CLASS}<>]') "
+    "OR rtrim(t, '/') = rtrim(href, '/') THEN t ELSE '[' || t || '](' || href || ')' END AS link "
+    f"FROM (SELECT page_id, label, CASE length(label) % 5 {' '.join(f'WHEN {i} THEN {h!r}' for i, h in enumerate(HREFS))} ELSE label || '/' END AS href, "
+    f"{ONE_LINE('label')} AS t FROM {ANCHORS})"
+)
+
+
+def rendered_anchors(spark, d) -> DataFrame:
+    k = F.length("label") % 5
+    href = F.concat("label", F.lit("/"))
+    for i, h in reversed(list(enumerate(HREFS))):
+        href = F.when(k == i, F.lit(h)).otherwise(href)
+    rows = raw_anchors(spark, d).select("page_id", "label", href.alias("href"))
+    return rows.select("page_id", "href", "label", X.render_link(F.col("label"), F.col("href"), F.col("label")).alias("link"))
+
+
+@query(RENDERED)
+def render_links(spark, d):
+    return rendered_anchors(spark, d)
+
+
+@query(f"SELECT page_id, link, {VISIBLE('link')}::BIGINT AS width, {SHORT('link')} AS short FROM ({RENDERED})")
+def visible_width(spark, d):
+    link = F.col("link")
+    return rendered_anchors(spark, d).select("page_id", "link", X.visible_width(link).cast("long").alias("width"), X.is_short_link(link).alias("short"))
+
+
+# Blocks: lines of documents, some of them as headings or links
+
+BLOCK_SQL = (
+    "(SELECT doc_id, pos, CASE length(line) % 7 WHEN 0 THEN repeat('#', (1 + pos % 6)::INT) || ' ' || line WHEN 1 THEN '[' || left(replace(line, ']', ''), 12) || '](/p)' "
+    f"WHEN 2 THEN '[' || left(replace(line, ']', ''), 20) || '](/q)' WHEN 3 THEN '####### ' || line ELSE line END AS block FROM {LINES} WHERE line <> '')"
+)
+
+
+def line_blocks(spark, d) -> DataFrame:
+    k, line = F.length("line") % 7, F.col("line")
+    link = lambda n, to: F.concat(F.lit("["), F.left(F.replace(line, F.lit("]"), F.lit("")), F.lit(n)), F.lit(to))
+    block = (
+        F.when(k == 0, F.concat(F.repeat(F.lit("#"), (1 + F.col("pos") % 6).cast("int")), F.lit(" "), line))
+        .when(k == 1, link(12, "](/p)"))
+        .when(k == 2, link(20, "](/q)"))
+        .when(k == 3, F.concat(F.lit("####### "), line))
+        .otherwise(line)
+    )
+    return doc_lines(spark, d).where("line <> ''").select("doc_id", "pos", block.alias("block"))
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    return df.withColumn("pos", F.col("pos").cast("long"))
+
+
+@query(f"SELECT doc_id, pos::BIGINT AS pos, {LEVEL('block')}::BIGINT AS level FROM {BLOCK_SQL}")
+def block_heading_level(spark, d):
+    return numbered(line_blocks(spark, d)).select("doc_id", "pos", X.block_level(F.col("block")).cast("long").alias("level"))
+
+
+@query(f"SELECT doc_id, pos::BIGINT AS pos, block FROM (SELECT *, {LEVEL('block')} AS l, lead({LEVEL('block')}) OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM {BLOCK_SQL}) WHERE coalesce(n > l, true)")
+def drop_empty_sections(spark, d):
+    return numbered(B.drop_empty_sections(line_blocks(spark, d)))
+
+
+@query(
+    f"SELECT doc_id, pos::BIGINT AS pos, CASE WHEN l IS NOT NULL AND used >= 2 THEN repeat('#', r::INT) || regexp_replace(block, '\\A#*', '') ELSE block END AS block "
+    f"FROM (SELECT *, dense_rank() OVER (PARTITION BY doc_id, l IS NULL ORDER BY l) AS r, count(DISTINCT l) OVER (PARTITION BY doc_id) AS used FROM (SELECT *, {LEVEL('block')} AS l FROM {BLOCK_SQL}))"
+)
+def compress_heading_levels(spark, d):
+    return numbered(B.compress_heading_levels(line_blocks(spark, d)))
+
+
+@query(
+    f"WITH b AS (SELECT *, {SHORT('block')} AS s FROM {BLOCK_SQL}), p AS (SELECT *, lag(s) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM b), "
+    "i AS (SELECT *, sum(CASE WHEN s AND coalesce(before, false) THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM p), "
+    "r AS (SELECT doc_id, island, min(pos) AS first, count(*) AS n, string_agg(block, ' · ' ORDER BY pos) AS line FROM i GROUP BY ALL) "
+    f"SELECT doc_id, first::BIGINT AS pos, line AS block FROM r WHERE n >= 2 AND {VISIBLE('line')} <= 80 UNION ALL "
+    f"SELECT doc_id, pos::BIGINT, block FROM i JOIN r USING (doc_id, island) WHERE NOT (n >= 2 AND {VISIBLE('line')} <= 80)"
+)
+def join_link_rows(spark, d):
+    return numbered(B.join_link_rows(line_blocks(spark, d)))
+
+
+@query(
+    f"SELECT doc_id, regexp_replace(string_agg(block, chr(10) || chr(10) ORDER BY pos), '\\n{{3,}}', chr(10) || chr(10), 'g') AS text FROM {BLOCK_SQL} GROUP BY doc_id"
+)
+def assemble_blocks(spark, d):
+    return B.assemble(line_blocks(spark, d))
+
+
+def list_sql(mark: str) -> str:
+    items = f"(SELECT doc_id, pos, {ONE_LINE('line')} AS item, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM {LINES})"
+    return f"SELECT doc_id, string_agg({mark} || item, chr(10) ORDER BY pos) AS text FROM {items} WHERE item <> '' GROUP BY doc_id"
+
+
+def items(spark, d) -> DataFrame:
+    return doc_lines(spark, d).withColumnRenamed("line", "item")
+
+
+@query(list_sql("n || '. '"))
+def number_list(spark, d):
+    return B.number_list(items(spark, d))
+
+
+@query(list_sql("'- '"))
+def bullet_list(spark, d):
+    return B.number_list(items(spark, d), ordered=False)
+
+
+@query("SELECT doc_id, list_reduce(list_transform(string_split(regexp_replace(text, '\\n\\z', ''), chr(10)), lambda x: CASE WHEN x = '' THEN '>' ELSE '> ' || x END), lambda a, b: a || chr(10) || b) AS text FROM documents")
+def blockquote(spark, d):
+    return documents(spark, d).select("doc_id", X.quoted(F.col("text")).alias("text"))
+
+
+@query(
+    "SELECT doc_id, CASE WHEN b <> '' THEN '```' || chr(10) || b || chr(10) || '```' END AS text FROM (SELECT doc_id, regexp_replace(list_reduce(list_transform(string_split(text, chr(10)), "
+    f"lambda x: regexp_replace(x, '[{BLANK_CLASS}]+\\z', '')), lambda a, b: a || chr(10) || b), '\\A\\n+|\\n+\\z', '', 'g') AS b FROM documents)"
+)
+def fence_pre(spark, d):
+    return documents(spark, d).select("doc_id", X.fenced(F.col("text")).alias("text"))
+
+
+# Tables: one for each region of its nations, with a column that is blank throughout
+
+
+def nation_cells(spark, d) -> DataFrame:
+    rows = load(spark, d, "nation").withColumn("row", F.expr("row_number() over (partition by n_regionkey order by n_nationkey)"))
+    row = F.array(F.col("n_nationkey").cast("string"), F.lit(""), F.concat(F.lit("["), "n_name", F.lit("](/nation)")), F.when(F.col("n_nationkey") % 2 == 0, F.lit("x")).otherwise(F.lit("")))
+    head = load(spark, d, "region").select(F.col("r_regionkey").alias("n_regionkey"), F.lit(0).alias("row"), F.array(F.lit("Key"), F.lit(""), F.col("r_name"), F.lit("Even")).alias("cells"))
+    both = rows.select("n_regionkey", "row", row.alias("cells")).unionByName(head)
+    cells = both.select(F.col("n_regionkey").cast("long").alias("doc_id"), F.lit(0).alias("table_id"), "row", F.posexplode("cells").alias("col", "cell"))
+    return cells.where("not (row = 2 and col = 3)")
+
+
+CELLS = (
+    "(SELECT n_regionkey::BIGINT AS doc_id, row, unnest([0, 1, 2, 3]) AS col, unnest(cells) AS cell FROM (SELECT n_regionkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS row, "
+    "[n_nationkey::VARCHAR, '', '[' || n_name || '](/nation)', CASE WHEN n_nationkey % 2 = 0 THEN 'x' ELSE '' END] AS cells FROM nation UNION ALL SELECT r_regionkey, 0, ['Key', '', r_name, 'Even'] FROM region))"
+)
+FULL = f"(SELECT * FROM {CELLS} WHERE NOT (row = 2 AND col = 3) AND (doc_id, col) IN (SELECT (doc_id, col) FROM {CELLS} WHERE cell <> '' GROUP BY ALL))"
+
+
+@query(f"SELECT doc_id, row::BIGINT AS row, col::BIGINT AS col, cell FROM {FULL}")
+def drop_empty_columns(spark, d):
+    return B.drop_empty_columns(nation_cells(spark, d)).select("doc_id", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "cell")
+
+
+@query(
+    f"WITH f AS {FULL}, w AS (SELECT doc_id, col, greatest(3, max({VISIBLE('cell')})) AS w FROM f GROUP BY ALL), "
+    "g AS (SELECT r.doc_id, r.row, w.col, w.w, coalesce(f.cell, '') AS cell FROM (SELECT DISTINCT doc_id, row FROM f) r JOIN w USING (doc_id) LEFT JOIN f ON f.doc_id = r.doc_id AND f.row = r.row AND f.col = w.col), "
+    f"l AS (SELECT doc_id, row, '|' || string_agg(' ' || cell || repeat(' ', (w - {VISIBLE('cell')})::INT) || ' |', '' ORDER BY col) AS line, '|' || string_agg(' ' || repeat('-', w::INT) || ' |', '' ORDER BY col) AS rule FROM g GROUP BY ALL) "
+    "SELECT doc_id, string_agg(CASE WHEN row = 0 THEN line || chr(10) || rule ELSE line END, chr(10) ORDER BY row) AS text FROM l GROUP BY doc_id HAVING count(*) > 1"
+)
+def pipe_table(spark, d):
+    return B.pipe_tables(nation_cells(spark, d)).select("doc_id", "text")
+
+
+BORDERS = ("1", "0", "", "1px", "+2", "-1", " 1")
+
+
+@query(
+    "SELECT o_orderkey, CASE WHEN role IN ('presentation', 'none') THEN false WHEN headed THEN true WHEN nests OR n_rows < 2 OR max_cells < 2 THEN false "
+    "ELSE min_cells = max_cells AND CASE WHEN regexp_matches(border, '\\A[+-]?[0-9]+\\z') THEN border::INT > 0 ELSE border <> '' END END AS is_data FROM (SELECT o_orderkey, "
+    "CASE WHEN o_orderstatus = 'P' THEN 'none' ELSE '' END AS role, o_orderkey % 11 = 0 AS headed, o_orderkey % 7 = 0 AS nests, "
+    f"n_rows, max_cells, min_cells, [{', '.join(repr(b) for b in BORDERS)}][(o_custkey % {len(BORDERS)} + 1)::INT] AS border FROM orders JOIN (SELECT l_orderkey, count(*) AS n_rows, max(1 + l_linenumber % 2) AS max_cells, min(1 + l_suppkey % 2) AS min_cells FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey)"
+)
+def data_table_rule(spark, d):
+    """The decision list, over orders as tables and their lines as rows."""
+    lines = load(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n_rows"), F.max(1 + F.col("l_linenumber") % 2).alias("max_cells"), F.min(1 + F.col("l_suppkey") % 2).alias("min_cells"))
+    border = F.element_at(F.array(*map(F.lit, BORDERS)), (F.col("o_custkey") % len(BORDERS) + 1).cast("int"))
+    role = F.when(F.col("o_orderstatus") == "P", " None ").otherwise("")
+    orders = load(spark, d, "orders").join(lines, "o_orderkey")
+    orders = orders.select("o_orderkey", "n_rows", "max_cells", "min_cells", role.alias("role"), border.alias("border"), (F.col("o_orderkey") % 11 == 0).alias("headed"), (F.col("o_orderkey") % 7 == 0).alias("nests"))
+    return orders.select("o_orderkey", N.is_data_table().alias("is_data"))
+
+
+@query(r"SELECT page_id, coalesce(list_min(list_transform(regexp_extract_all(html, '<h([1-6])>[^<]*[^<\s]', 1), lambda x: x::BIGINT)), 7)::BIGINT AS min_level FROM pages")
+def min_heading_level(spark, d):
+    return N.min_heading_level(N.explode_nodes(pages(spark, d))).withColumnRenamed("doc_id", "page_id")
+
+
+# Nodes: every page, with constructs that the pages lack put before the article
+
+VENDOR = (
+    '<h2>471k</h2><p>a<em> </em>b<b>:</b>c<a href="/z">›</a><a href="/y"><img></a></p><o:p>gone</o:p><span style="DISPLAY:none">gone</span>'
+    '<table role="presentation"><tr><td>Sum</td><td>10</td></tr><tr><td>Total</td><td><table border="1"><tr><td>a</td><td>b</td></tr><tr><td>c</td><td>d</td></tr></table></td></tr></table>'
+    '<table><thead><tr><th>Name</th><th></th><th>N</th></tr></thead><tbody><tr><td>x</td><td></td><td>1</td></tr></tbody></table>'
+    '<div style="display: flex"><div>3</div><div><a href="/e">Err</a></div><div>new</div></div><article>'
+)
+
+
+def vendor_pages(spark, d) -> DataFrame:
+    return pages(spark, d).withColumn("html", F.replace("html", F.lit("<article>"), F.lit(VENDOR)))
+
+
+def vendor_nodes(spark, d) -> DataFrame:
+    return N.explode_nodes(vendor_pages(spark, d))
+
+
+def of_pages(df: DataFrame) -> DataFrame:
+    return df.withColumnRenamed("doc_id", "page_id")
+
+
+@query()
+def html_nodes(spark, d):
+    return of_pages(N.explode_nodes(pages(spark, d)).drop("attrs"))
+
+
+@query()
+def visible_nodes(spark, d):
+    return of_pages(N.normalise_text(N.visible(vendor_nodes(spark, d))).select("doc_id", "node_id", "name", "text"))
+
+
+@query()
+def anchor_nodes(spark, d):
+    return of_pages(N.anchors(N.visible(vendor_nodes(spark, d))))
+
+
+@query()
+def stat_headings(spark, d):
+    return of_pages(N.stat_headings(vendor_nodes(spark, d)))
+
+
+@query()
+def empty_emphasis(spark, d):
+    return of_pages(N.empty_emphasis(vendor_nodes(spark, d)))
+
+
+@query()
+def flex_rows(spark, d):
+    return of_pages(N.flex_rows(vendor_nodes(spark, d)))
+
+
+@query()
+def block_flags(spark, d):
+    return of_pages(N.block_flags(N.visible(vendor_nodes(spark, d))))
+
+
+@query()
+def nearest_table(spark, d):
+    return of_pages(N.nearest_table(vendor_nodes(spark, d), ("tr", "td", "th", "thead", "table")))
+
+
+@query()
+def data_tables(spark, d):
+    return of_pages(N.data_tables(vendor_nodes(spark, d)))
+
+
+@query()
+def node_pipe_tables(spark, d):
+    """The data tables of each page as Markdown, from nodes alone."""
+    nodes = vendor_nodes(spark, d)
+    data = N.data_tables(nodes).where("is_data").select("doc_id", "table_id")
+    return of_pages(B.pipe_tables(N.table_cells(nodes).join(data, ["doc_id", "table_id"], "left_semi")))
+
+
+# Whole pages
+
+
+@query()
+def html_blocks(spark, d):
+    return pages(spark, d).select("page_id", F.posexplode(M.page_blocks(F.col("html"))).alias("pos", "block"))
+
+
+@query()
+def html_to_markdown(spark, d):
+    return pages(spark, d).select("page_id", M.html_to_markdown(F.col("html")).alias("markdown"))
+
+
+@query()
+def vendor_markdown(spark, d):
+    return with_markdown(vendor_pages(spark, d)).select("page_id", "markdown", "failed")
+
+
+@query()
+def wrap_lines(spark, d):
+    return documents(spark, d).select("doc_id", M.wrap_lines(F.col("text"), 72).alias("text"))
+
+
+def host(url: Column) -> Column:
+    return F.regexp_extract(url, r"^[a-z]+://([^/?#]*)", 1)
+
+
+@query()
+def corpus_stats(spark, d):
+    """Pages, lines, links and characters of Markdown for each host."""
+    df = pages(spark, d).select(host(F.col("url")).alias("host"), M.html_to_markdown(F.col("html")).alias("md"))
+    return df.groupBy("host").agg(
+        F.count(F.lit(1)).alias("n_pages"),
+        F.sum(F.length("md")).alias("n_chars"),
+        F.sum(F.size(F.split("md", "\n"))).alias("n_lines"),
+        F.sum(F.regexp_count("md", F.lit(X.LINK))).alias("n_links"),
+    )
+
+
+@query()
+def streamed_markdown(spark, d):
+    """The pages through a file stream, read back from its sink."""
+    import uuid
+
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    out = f"{base.rstrip('/')}/streamed-{uuid.uuid4().hex[:12]}"
+    folder = is_folder(spark, f"{d}/pages.parquet")
+    source, glob = (f"{d}/pages.parquet", "*.parquet") if folder else (d, "pages.parquet")
+    stream_markdown(spark, source, f"{out}/rows", f"{out}/state", glob).awaitTermination()
+    return spark.read.parquet(f"{out}/rows").select("page_id", "markdown")
+
+
+def is_folder(spark, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory()
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
