@@ -162,3 +162,42 @@ def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     return judge(docs).select(F.col("row")["doc_id"].alias("doc_id"), *counts, "base_failed", "kept")
+
+
+def _half(p: str, q: str) -> str:
+    one = lambda a: f"CASE WHEN {a} > 0 THEN {a} * log2(2 * {a} / ({p} + {q})) ELSE 0.0 END"
+    return f"(({one(p)}) + ({one(q)})) / 2"
+
+
+_CLASS_COUNTS = ", ".join(
+    ["length(t) - length(array_to_string(ws, ''))"]
+    + [f"len(regexp_extract_all(t, '{p}'))" for p in ("[A-Z]", "[0-9]", r"[^\x00-\x7F]", r"[.,;:!?''\"()\-]", f"[{SYMBOLS}]")]
+)
+ORACLE_SQL = rf"""
+WITH w AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+u AS (SELECT doc_id, lang, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+wc AS (SELECT lang, word, count(*) AS n FROM u GROUP BY ALL),
+ls AS (SELECT lang, sum(n) AS size FROM wc GROUP BY lang),
+big AS (SELECT lang FROM ls WHERE lang IS NOT NULL AND size >= 0.01 * (SELECT sum(size) FROM ls)),
+rw AS (SELECT '=' || lang AS ref, word, n FROM wc WHERE lang IN (SELECT lang FROM big) UNION ALL SELECT '*', word, sum(n) FROM wc GROUP BY word),
+rs AS (SELECT ref, sum(n) AS size FROM rw GROUP BY ref),
+q AS (SELECT ref, word, (n / size)::DOUBLE AS q FROM rw JOIN rs USING (ref) WHERE n >= 0.0025 * size),
+d AS (SELECT doc_id, lang, CASE WHEN lang IN (SELECT lang FROM big) THEN '=' || lang ELSE '*' END AS ref, len(ws) AS n_words, length(t) AS n_chars, [{_CLASS_COUNTS}] AS six,
+      len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS n_dup_lines FROM w),
+k AS (SELECT doc_id, lang, ref, n_chars, unnest(list_append(six, n_chars - list_sum(six))) AS v, unnest(range(7)) AS k FROM d),
+kr AS (SELECT ref, k, sum(v) AS v FROM (SELECT ref, k, v FROM k WHERE ref <> '*' UNION ALL SELECT '*', k, v FROM k) GROUP BY ALL),
+kq AS (SELECT ref, k, (v / greatest(1, sum(v) OVER (PARTITION BY ref)))::DOUBLE AS q FROM kr),
+cj AS (SELECT doc_id, sum({_half("(v / n_chars)", "q")}) AS js FROM k JOIN kq USING (ref, k) WHERE n_chars >= 600 GROUP BY doc_id),
+wn AS (SELECT doc_id, word, count(*) AS c FROM u GROUP BY ALL),
+wq AS (SELECT d.doc_id, coalesce(c, 0) / n_words AS p, q.q FROM d JOIN q USING (ref) LEFT JOIN wn ON wn.doc_id = d.doc_id AND wn.word = q.word WHERE n_words >= 100),
+wj AS (SELECT doc_id, sum({_half("p", "q")}) AS js, greatest(0.0, 1 - sum(p)) AS rp, greatest(0.0, 1 - sum(q)) AS rq FROM wq GROUP BY doc_id),
+g AS (SELECT doc_id, unnest(range(1, len(ws) - 6)) AS i, unnest(list_transform(range(1, len(ws) - 6), lambda i: array_to_string(ws[i:i + 7], ' '))) AS g FROM w WHERE len(ws) >= 8),
+g2 AS (SELECT doc_id, unnest(range(i, i + 8)) AS pos FROM g WHERE (doc_id, g) IN (SELECT (doc_id, g) FROM g GROUP BY doc_id, g HAVING count(*) > 1)),
+r AS (SELECT doc_id, count(DISTINCT pos) AS n FROM g2 GROUP BY doc_id),
+o AS (SELECT d.*, coalesce(r.n, 0) AS rep, sqrt(greatest(0.0, cj.js)) AS cd, sqrt(greatest(0.0, wj.js + {_half("rp", "rq")})) AS wd
+      FROM d LEFT JOIN r USING (doc_id) LEFT JOIN cj USING (doc_id) LEFT JOIN wj USING (doc_id))
+SELECT doc_id, n_words::BIGINT AS n_words, (n_chars - six[1])::BIGINT AS word_chars, six[6]::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, rep::BIGINT AS n_repeat_words,
+       n_words < 20 OR 100 * rep > 30 * n_words AS base_failed,
+       NOT (n_words < 20 OR 100 * rep > 30 * n_words) AND NOT (coalesce(cd, 0.0) > 0.25 OR coalesce(wd, 0.0) > 0.32) AS kept
+FROM o
+"""
