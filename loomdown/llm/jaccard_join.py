@@ -7,11 +7,12 @@ the one-deletion neighbourhood is indexed. How many segments of each kind a band
 signatures written against the pairs that would meet by chance among the band's sets.
 
 1. Equal sets fall into classes by a 128-bit hash; one document stands for each class.
-2. Each class writes its signatures. In every bucket of equal signatures, each member is compared with the bucket's
-   smallest and largest member: a number of pairs that is linear in the bucket. Verified links give first components.
+2. Each class writes its signatures. The members of a bucket of equal signatures look to its smallest one, and each
+   class is compared with that one to which most of its buckets make it look: one pair for a class at most. Verified
+   links give first components.
 3. Buckets whose members all lie in one component can add nothing. In the others, each member outside the bucket's
-   most frequent component is compared with all members of other components. Those pairs that pass an exact lower bound
-   (the parity sketch) are verified on the whole texts, and the components follow from both sets of links.
+   most frequent component is compared with all members of other components. Those pairs that pass two exact lower bounds
+   (parity sketches) are verified on the whole texts, and the components follow from both sets of links.
 
 No bucket is capped, and no pair of different components that shares a signature goes unverified, so that the components
 are those of all links.
@@ -56,7 +57,7 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
 class Scheme:
     """Size bands, and for each the number of segments with exact and with one-deletion signatures."""
 
-    def __init__(self, percent: int, counts: dict[int, int], top: int, growth: float = 1.25):
+    def __init__(self, percent: int, counts: dict[int, int], top: int, growth: float = 1.5):
         """counts: sets by size, rounded as in `rounded`; top: the largest size."""
         self.percent, self.lows = percent, [1]
         while self.lows[-1] <= top * 100 // percent + 1:
@@ -68,14 +69,29 @@ class Scheme:
                 in_band[b] += c
         self.segments = [self.allocate(self.lows[b + 1] - 1, in_band[b]) for b in range(len(self.lows) - 1)]
 
+    def differ(self, size: int) -> int:
+        """The most elements in which linking sets of up to `size` elements differ."""
+        return 2 * size * (100 - self.percent) // (100 + self.percent)
+
+    def survivors(self, size: int, exact: int, deletion: int) -> int:
+        """Segments on which a linking pair agrees at least: a difference spoils an exact one, two spoil another."""
+        differ = self.differ(size)
+        return exact + deletion - min(exact, differ) - max(0, differ - exact) // 2
+
     def allocate(self, size: int, sets: float) -> tuple[int, int]:
         """(exact, deletion) segments for sets of up to `size` elements, at the least estimated cost for one set."""
-        differ = 2 * size * (100 - self.percent) // (100 + self.percent)
+        differ = self.differ(size)
         best, choice = math.inf, (differ + 1, 0)
-        for deletion in range(0, differ // 2 + 2):
+        for deletion in range(0, differ // 2 + 2, max(1, differ // 40)):
             exact = max(0, differ + 1 - 2 * deletion)
-            mean = 0.85 * size / (exact + deletion)
-            by_chance = exact * math.exp(-2 * mean) + deletion * (mean + 1) * math.exp(-2 * max(0.0, mean - 1))
+            while True:
+                mean = 0.85 * size / (exact + deletion)
+                thin = exact * math.exp(-mean) + deletion * math.exp(-mean) * (1 + mean)
+                if exact > 2 * differ + 2 or self.survivors(size, exact, deletion) > thin + 3 * math.sqrt(thin):
+                    break
+                exact += 1
+            # Pairs that meet without linking have few elements in common, here one in twenty.
+            by_chance = (exact * math.exp(-2 * mean) + deletion * (mean + 1) * math.exp(-2 * max(0.0, mean - 1))) * mean / 20
             cost = exact + deletion * (mean + 1) + sets * by_chance
             if cost < best:
                 best, choice = cost, (exact, deletion)
@@ -87,17 +103,27 @@ class Scheme:
         return range(int(first), int(last) + 1)
 
     def signatures(self, elements: np.ndarray) -> np.ndarray:
+        """The signatures of a set in all its bands.
+
+        A segment that is empty, or one element short of it where deletions count, is thin. Thin segments agree among all sorts of sets.
+        If a set has fewer of them than segments survive, a linking pair agrees on another segment too, and they are left out.
+        """
         value, out = mix64(elements, 11), []
         for b in self.bands(len(elements)):
             exact, deletion = self.segments[b]
-            of = (mix64(elements, 12 + b) % np.uint64(exact + deletion)).astype(np.int64)
-            sums = np.zeros(exact + deletion, np.uint64)
+            count = exact + deletion
+            of = (mix64(elements, 12 + b) % np.uint64(count)).astype(np.int64)
+            sums, sizes = np.zeros(count, np.uint64), np.bincount(of, minlength=count)
             np.add.at(sums, of, value)
-            base = mix64(np.arange(exact + deletion, dtype=np.uint64) + np.uint64(b << 32), 13)
-            out.append(mix64(sums ^ base, 14))
-            if deletion:
-                near = of < deletion
-                out.append(mix64((sums[of[near]] - value[near]) ^ base[of[near]], 14))
+            base = mix64(np.arange(count, dtype=np.uint64) + np.uint64(b << 32), 13)
+            near = np.flatnonzero(of < deletion)
+            seg = np.concatenate([np.arange(count), of[near]])
+            left = np.concatenate([sizes, sizes[of[near]] - 1])  # elements behind each signature
+            part = np.concatenate([sums, sums[of[near]] - value[near]])
+            thin = np.count_nonzero(sizes[deletion:] == 0) + np.count_nonzero(sizes[:deletion] <= 1)
+            if thin < self.survivors(self.lows[b + 1] - 1, exact, deletion):
+                seg, part = seg[left > 0], part[left > 0]
+            out.append(mix64(part ^ base[seg], 14))
         return np.unique(np.concatenate(out))
 
 
@@ -107,6 +133,22 @@ def sketch(elements: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
+def fine_sketch(elements: np.ndarray) -> bytes:
+    """Parities at about two places for each element; the halves of a longer one, combined, are one of half the length."""
+    places = max(512, 1 << int(2 * len(elements) - 1).bit_length())
+    return np.packbits((np.bincount((mix64(elements, 6) % np.uint64(places)).astype(np.int64), minlength=places) & 1).astype(np.uint8)).tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """A lower bound of the number of elements in which two sets differ."""
+    x, y = (np.frombuffer(k, np.uint8) for k in (a, b))
+    while len(x) != len(y):
+        if len(x) < len(y):
+            x, y = y, x
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def linked(r: np.ndarray, s: np.ndarray, percent: int) -> bool:
     both = len(np.intersect1d(r, s, assume_unique=True))
     return both > 0 and 100 * both >= percent * (len(r) + len(s) - both)
@@ -130,20 +172,62 @@ def classes_of(docs: DataFrame, width: int) -> DataFrame:
 
 
 def signature_rows(docs: DataFrame, width: int, scheme: Scheme) -> DataFrame:
-    """(rep, n, sketch, sigs) of documents that stand for their classes."""
+    """(rep, n, sketch, fine, sigs) of documents that stand for their classes."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, sketches, sigs = [], [], []
+            n, sketches, fine, sigs = [], [], [], []
             for text in batch["text"].to_pylist():
                 e = shingle_set(text, width)
                 n.append(len(e))
                 sketches.append(sketch(e))
+                fine.append(fine_sketch(e))
                 sigs.append(scheme.signatures(e).view(np.int64))
-            lists = [pa.array(x, pa.list_(pa.int64())) for x in (sketches, sigs)]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), *lists], ["rep", "n", "sketch", "sigs"])
-
-    return docs.mapInArrow(rows, "rep long, n long, sketch array<long>, sigs array<long>")
+            sketches, sigs = (pa.array(x, pa.list_(pa.int64())) for x in (sketches, sigs))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), sketches, pa.array(fine, pa.binary()), sigs], ["rep", "n", "sketch", "fine", "sigs"])
+
+    return docs.mapInArrow(rows, "rep long, n long, sketch array<long>, fine binary, sigs array<long>")
+
+
+def repeated_members(signed: DataFrame, shards_log2: int = 10, local_hot: int = 64) -> DataFrame:
+    """(sig, rep) of the signatures that at least two representatives have.
+
+    Most signatures are alone. They travel to shards as packed arrays, 16 bytes each, and numpy drops them there. A
+    signature that more than `local_hot` rows of one batch have sends only two of them to its shard, which keeps the others' rows of it
+    alive; all its rows of that batch form a group of their own, so that no shard grows with a large group of copies.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, batch in enumerate(batches):
+            lists = batch["sigs"]
+            sig = lists.flatten().to_numpy().view(np.uint64)
+            rep = np.repeat(batch["rep"].to_numpy(), np.diff(lists.offsets.to_numpy()))
+            order = np.argsort(sig, kind="stable")
+            sig, rep = sig[order], rep[order]
+            first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1]))) if len(sig) else np.empty(0, np.int64)
+            size = np.diff(np.append(first, len(sig)))
+            place = np.arange(len(sig)) - np.repeat(first, size)
+            hot = np.repeat(size > local_hot, size)
+            groups: list[tuple] = []
+            for salt, chosen in ((0, ~hot | (place < 2)), (1 + number * 65536 + int(rep[0] % 65536) if len(rep) else 1, hot)):
+                s, r = sig[chosen], rep[chosen]
+                cuts = np.searchsorted(s >> np.uint64(64 - shards_log2), np.arange(2**shards_log2 + 1, dtype=np.uint64))
+                groups += [(k, salt, s[a:b].tobytes(), r[a:b].tobytes()) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+            if groups:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*groups, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["shard", "salt", "sigs", "reps"])
+
+    def keep(group: pa.Table) -> pa.Table:
+        sig, rep = (np.frombuffer(b"".join(group[k].to_pylist()), np.int64) for k in ("sigs", "reps"))
+        if not group["salt"][0].as_py():
+            order = np.argsort(sig, kind="stable")
+            sig, rep = sig[order], rep[order]
+            same = sig[1:] == sig[:-1]
+            again = np.concatenate(([False], same)) | np.concatenate((same, [False]))
+            sig, rep = sig[again], rep[again]
+        return pa.table({"sig": sig, "rep": rep})
+
+    packed = signed.select("rep", "sigs").mapInArrow(pack, "shard int, salt long, sigs binary, reps binary")
+    return packed.groupBy("shard", "salt").applyInArrow(keep, "sig long, rep long")
 
 
 def within_reach(percent: int, a: str = "a", b: str = "b"):
@@ -152,9 +236,24 @@ def within_reach(percent: int, a: str = "a", b: str = "b"):
     return (100 + percent) * bits <= (100 - percent) * (F.col(f"n_{a}") + F.col(f"n_{b}"))
 
 
+def sifted(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose fine sketches let them link."""
+    side = lambda k: signed.select(F.col("rep").alias(k), F.col("n").alias(f"n_{k}"), F.col("fine").alias(f"fine_{k}")).dropDuplicates([k])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = [least_difference(a, b) for a, b in zip(batch["fine_a"].to_pylist(), batch["fine_b"].to_pylist(), strict=True)]
+            both = batch["n_a"].to_numpy() + batch["n_b"].to_numpy()
+            near = pa.array((100 + percent) * np.array(bits, np.int64) <= (100 - percent) * both)
+            yield pa.RecordBatch.from_arrays([batch[k].filter(near) for k in ("a", "b")], ["a", "b"])
+
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(rows, "a long, b long")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) that link."""
-    side = lambda k: texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"text_{k}"))
+    pairs = written(pairs, "jaccard-pairs")
+    side = lambda k: texts.join(pairs.select(F.col(k).alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias(k), F.col("text").alias(f"text_{k}"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[str | None, np.ndarray] = (None, np.empty(0, np.uint64))
@@ -183,15 +282,13 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
 
     reps = docs.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     signed = written(signature_rows(reps, width, scheme), "jaccard-signatures")
-    members = signed.select("rep", F.explode("sigs").alias("sig"))
-    buckets = members.groupBy("sig").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
-    members = written(members.join(buckets, "sig"), "jaccard-members")
+    members = written(repeated_members(signed), "jaccard-repeated")
+    lows = members.groupBy("sig").agg(F.min("rep").alias("low"))
     info = lambda k: signed.select(F.col("rep").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"sketch_{k}")).dropDuplicates([k])
 
-    ends = F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("rep").alias("b")), F.struct(F.col("rep").alias("a"), F.col("high").alias("b"))))
-    star = members.select(ends.alias("p")).select("p.*").where("a <> b").distinct()
-    star = star.join(info("a"), "a").join(info("b"), "b").where(within_reach(percent)).select("a", "b")
-    links = written(verified(star, docs, width, percent), "jaccard-links")
+    shared = members.join(lows, "sig").where("low <> rep").groupBy("rep", "low").agg(F.count(F.lit(1)).alias("c"))
+    star = shared.groupBy("rep").agg(F.max_by("low", F.struct("c", F.negative("low"))).alias("a")).select("a", F.col("rep").alias("b"))
+    links = written(verified(sifted(star, signed, percent), docs, width, percent), "jaccard-links")
     labels = components(links)
 
     labelled = members.select("sig", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "rep", F.coalesce("component", "rep").alias("label"))
@@ -203,7 +300,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     right = open_.select("sig", F.col("rep").alias("y"), (F.col("label") == F.col("main")).alias("in_main"), F.col("label").alias("label_y"), F.col("n").alias("n_y"), F.col("sketch").alias("sketch_y"))
     meet = (left["sig"] == right["sig"]) & (F.col("label_x") != F.col("label_y")) & (F.col("in_main") | (F.col("x") < F.col("y"))) & within_reach(percent, "x", "y")
     more = left.join(right, meet).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = written(verified(more, docs, width, percent), "jaccard-more-links")
+    more = written(verified(sifted(more, signed, percent), docs, width, percent), "jaccard-more-links")
     # The second round's links are between components of the first.
     joined = more.join(labels.select(F.col("node").alias("a"), F.col("component").alias("la")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("component").alias("lb")), "b", "left")
     joined = components(joined.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")))
