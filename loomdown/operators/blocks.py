@@ -69,17 +69,30 @@ def drop_empty_columns(cells: DataFrame) -> DataFrame:
 
 
 def pipe_tables(cells: DataFrame) -> DataFrame:
-    """(doc_id, table_id, text): cells as pipe tables, the first row as head; tables with one row vanish."""
+    """(doc_id, table_id, text): cells as pipe tables, the first row as head; tables with one row vanish.
+
+    One shuffle gathers a table's cells; the rest happens within its row. Repeated (row, col) places keep the last cell.
+    """
     table = (DOC, "table_id")
-    df = drop_empty_columns(cells.withColumn("cell", X.one_line(F.col("cell"))))
-    columns = df.groupBy(*table, "col").agg(F.greatest(F.lit(3), F.max(X.visible_width(F.col("cell")))).alias("width"))
-    rows = df.select(*table, "row").distinct()
-    grid = rows.join(columns, list(table)).join(df, [*table, "row", "col"], "left").withColumn("cell", F.coalesce("cell", F.lit("")))
-    padded = F.concat(F.lit(" "), "cell", F.repeat(F.lit(" "), (F.col("width") - X.visible_width(F.col("cell"))).cast("int")), F.lit(" |"))
-    rule = F.concat(F.lit(" "), F.repeat(F.lit("-"), F.col("width").cast("int")), F.lit(" |"))
-    joined = lambda c: F.concat(F.lit("|"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", c.alias("x")))), lambda s: s["x"]), ""))
-    lines = grid.groupBy(*table, "row").agg(joined(padded).alias("line"), joined(rule).alias("rule"))
-    whole = lines.groupBy(*table).agg(F.array_sort(F.collect_list(F.struct("row", "line"))).alias("lines"), F.first("rule").alias("rule"))
-    text = lambda x: F.transform(x, lambda s: s["line"])
-    body = F.concat(text(F.slice("lines", 1, 1)), F.array("rule"), text(F.slice("lines", F.lit(2), F.size("lines"))))
-    return whole.where(F.size("lines") >= 2).select(*table, F.array_join(body, "\n").alias("text"))
+    text = X.one_line(F.col("cell"))
+    df = cells.select(*table, "row", "col", text.alias("cell"), X.visible_width(text).alias("width"))
+    df = df.groupBy(*table).agg(F.array_sort(F.collect_list(F.struct("row", "col", "cell", "width"))).alias("cells"))
+    of = lambda field: F.array_sort(F.array_distinct(F.transform("cells", lambda x: x[field])))
+    column = lambda c: F.filter("cells", lambda x: x["col"] == c)
+    filled = F.filter(of("col"), lambda c: F.exists(column(c), lambda x: x["cell"] != ""))
+    df = df.withColumn("rows", of("row")).withColumn("cols", F.when(F.size(filled) > 0, filled).otherwise(of("col")))
+    widest = lambda c: F.greatest(F.lit(3), F.array_max(F.transform(column(c), lambda x: x["width"])))
+    df = df.where(F.size("rows") >= 2).withColumn("sizes", F.transform("cols", lambda c: F.struct(c.alias("col"), widest(c).alias("n"))))
+    line = lambda part: F.concat(F.lit("|"), F.array_join(F.transform("sizes", part), ""))
+
+    def filled_line(r: Column) -> Column:
+        own = lambda s: F.element_at(F.filter("cells", lambda x: (x["row"] == r) & (x["col"] == s["col"])), -1)
+        here = lambda s: F.exists("cells", lambda x: (x["row"] == r) & (x["col"] == s["col"]))
+        blank = lambda s: F.repeat(F.lit(" "), s["n"])
+        padded = lambda s: F.concat(own(s)["cell"], F.repeat(F.lit(" "), s["n"] - own(s)["width"]))
+        return line(lambda s: F.concat(F.lit(" "), F.when(here(s), padded(s)).otherwise(blank(s)), F.lit(" |")))
+
+    rule = line(lambda s: F.concat(F.lit(" "), F.repeat(F.lit("-"), s["n"]), F.lit(" |")))
+    lines = F.transform("rows", filled_line)
+    whole = F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, F.lit(2), F.size("rows")))
+    return df.select(*table, F.array_join(whole, "\n").alias("text"))
