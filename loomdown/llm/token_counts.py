@@ -1,13 +1,13 @@
 """Token counts of flat, unindexed token files by scanning for the separator.
 
-A flat token file is nothing but ids, 32 bits each, little-endian, with an end-of-document id after each document. Files are
+A flat token file is nothing but ids, 16 or 32 bits each, little-endian, with an end-of-document id after each document. Files are
 cut into blocks of `block_ids` ids, and numpy finds the separators of a block at once. A document that runs over the end of
 a block, or of a file, is stitched by a prefix scan: each block says how many ids and separators it has and where its
 last separator is; sums and maxima over the blocks before it, first within its file and then over the files in the order
 of their names, give every document its number, its start and its length.
 
 Defined cases: ids after the last separator form a last document without an end. Empty files hold no document. A file whose
-length is no multiple of four bytes is an error.
+length is no multiple of an id's is an error.
 """
 
 from __future__ import annotations
@@ -21,30 +21,30 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import fresh_path, written
-from .tokens import encoder
+from .tokens import encoder, pieces
 
 #: In the files written here ids are one more than the tokenizer's, so that 0 is free for the end of a document.
 END = 0
 
 
-def blocks_of(spark, path: str, end_id: int, block_ids: int) -> DataFrame:
+def blocks_of(spark, path: str, end_id: int, block_ids: int, id_type: str) -> DataFrame:
     """(path, block, n_ids, seps) for each block of each file: the positions of the separators within the block."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch["path"].to_pylist(), batch["content"], strict=True):
-                ids = np.frombuffer(content.as_buffer(), "<u4")
+                ids = np.frombuffer(content.as_buffer(), id_type)
                 cuts = [ids[at : at + block_ids] for at in range(0, len(ids), block_ids)]
-                seps = [np.flatnonzero(c == np.uint32(end_id)) for c in cuts]
+                seps = [np.flatnonzero(c == end_id) for c in cuts]
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(cuts)), pa.array(range(len(cuts)), pa.int64()), pa.array(list(map(len, cuts)), pa.int64()), pa.array(seps, pa.list_(pa.int64()))], ["path", "block", "n_ids", "seps"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path)
     return files.select("path", "content").mapInArrow(rows, "path string, block long, n_ids long, seps array<long>")
 
 
-def scan_token_files(spark, path: str, end_id: int = END, block_ids: int = 1 << 16) -> DataFrame:
+def scan_token_files(spark, path: str, end_id: int = END, block_ids: int = 1 << 16, id_type: str = "<u4") -> DataFrame:
     """(path, doc_no, start, n_tokens, closed) of every document; path: the file with its end; n_tokens counts the separator."""
-    blocks = written(blocks_of(spark, path, end_id, block_ids), "separators")
+    blocks = written(blocks_of(spark, path, end_id, block_ids, id_type), "separators")
     before = W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     sums = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
     count = F.size("seps").cast("long")
@@ -68,45 +68,46 @@ def scan_token_files(spark, path: str, end_id: int = END, block_ids: int = 1 <<
     return closed.unionByName(tail.where("n_tokens > 0"))
 
 
-def write_flat(docs: DataFrame, path: str, tokenizer: str, shards: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Writes flat token files in ascending (shard, doc_id) order, a folder for each shard; returns (shard, place, doc_id) of the rows."""
-    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    cuts = slim.stat.approxQuantile("doc_id", [i / shards for i in range(1, shards)], 0.2 / shards) if shards > 1 else []
-    cuts = np.unique(np.array(cuts or [], np.float64).astype(np.int64))
-    slim = slim.withColumn("tie", F.xxhash64("text"))
-
-    def shard_of(batch: pa.RecordBatch) -> pa.Array:
-        ids = batch["doc_id"].fill_null(-(2**63)).to_numpy(zero_copy_only=False)
-        return pa.array([f"{i:06d}" for i in np.searchsorted(cuts, ids, "right")], pa.string())
+def write_flat(docs: DataFrame, path: str, tokenizer: str, text: str = "text", id_type: str = "<u2") -> None:
+    """Writes flat token files in the order of the rows, without a shuffle: each task's rows go to files of its own."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = np.dtype(id_type).itemsize
         for batch in batches:
-            ids, sizes = encoder(tokenizer).encode(batch["text"].to_pylist())
-            flat = (ids + np.uint32(1)).astype("<u4").tobytes()
-            ends = np.cumsum(sizes) * 4
-            yield pa.RecordBatch.from_arrays([shard_of(batch), batch["doc_id"], batch["tie"], pa.array([flat[to - 4 * n : to] for n, to in zip(sizes, ends, strict=True)], pa.binary())], ["shard", "doc_id", "tie", "ids"])
-
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([shard_of(batch), batch["doc_id"], batch["tie"]], ["shard", "doc_id", "tie"])
-
-    coded = slim.mapInArrow(rows, "shard string, doc_id long, tie long, ids binary")
-    coded = coded.repartition("shard").sortWithinPartitions("shard", "doc_id", "tie")
-    # The cast keeps the bytes as they are; the writer ends each row with the separator, four zero bytes.
-    coded.select("shard", F.col("ids").cast("string").alias("value")).write.partitionBy("shard").option("maxRecordsPerFile", 20_000).option("lineSep", "\0\0\0\0").text(path)
-    order = slim.select("doc_id", "tie").mapInArrow(places, "shard string, doc_id long, tie long")
-    return order.select("shard", "doc_id", (F.row_number().over(W.partitionBy("shard").orderBy("doc_id", "tie")) - 1).alias("place"))
-
-
-def count_tokens(docs: DataFrame, tokenizer: str, shard_docs: int = 2000, max_shards: int = 4096, **options) -> DataFrame:
-    """(doc_id, start, n_tokens): written to flat files, counted from them alone, and numbered by the order of writing."""
+            texts = batch["text"].to_pylist()
+            for part in pieces(texts):
+                ids, sizes = encoder(tokenizer).encode(texts[part])
+                if len(ids) and int(ids.max()) + 1 > np.iinfo(id_type).max:
+                    raise ValueError(f"an id does not fit in {id_type}")
+                flat = (ids + np.uint32(1)).astype(id_type).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([flat[size * (to - n) : size * to] for n, to in zip(sizes, np.cumsum(sizes), strict=True)], pa.binary())], ["ids"])
+
+    coded = docs.select(F.col(text).alias("text")).mapInArrow(rows, "ids binary")
+    # The cast keeps the bytes as they are; the writer ends each row with the separator, an id of zero bytes.
+    coded = coded.select(F.col("ids").cast("string").alias("value"))
+    coded.write.option("maxRecordsPerFile", 20_000).option("lineSep", "\0" * np.dtype(id_type).itemsize).text(path)
+
+
+def count_tokens(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id", id_type: str = "<u2") -> DataFrame:
+    """(doc_id, start, n_tokens): written to flat files and counted from them alone.
+
+    The files know no doc_id. A document gets its own back by the number of its task and its place among that task's rows, so `docs` must
+    come in the same order each time it is read, as the rows of a table do. An error is raised if the numbers of documents do not agree.
+    """
     spark = docs.sparkSession
     path = fresh_path(spark, "flat-tokens")
-    order = write_flat(docs, path, tokenizer, min(max_shards, max(1, -(-docs.count() // shard_docs))), **options)
-    found = written(scan_token_files(spark, path), "token-counts").withColumn("shard", F.regexp_extract("path", "shard=([0-9]+)/", 1))
-    firsts = found.groupBy("shard").agg(F.min("doc_no").alias("first_no"))
-    found = found.join(firsts, "shard").select("shard", (F.col("doc_no") - F.col("first_no")).alias("place"), "start", "n_tokens")
-    return order.join(found, ["shard", "place"], "left").select("doc_id", "start", "n_tokens")
+    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    write_flat(slim, path, tokenizer, id_type=id_type)
+    found = written(scan_token_files(spark, path, id_type=id_type), "token-counts")
+    found = found.withColumn("part", F.regexp_extract("path", "part-([0-9]+)-[^/]*$", 1).cast("int"))
+    parts = found.groupBy("part").agg(F.min("doc_no").alias("first_no"), F.count(F.lit(1)).alias("n_found"))
+    order = slim.select("doc_id", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1)).alias("place"))
+    order = written(order, "token-order")
+    rows = order.groupBy("part").agg(F.count(F.lit(1)).alias("n_rows"))
+    if parts.join(rows, "part", "full").where("not (n_found <=> n_rows)").limit(1).count():
+        raise ValueError("the rows came in another order when they were read again; write them to a table first")
+    found = found.join(parts, "part").select("part", (F.col("doc_no") - F.col("first_no")).alias("place"), "start", "n_tokens")
+    return order.join(found, ["part", "place"], "left").select("doc_id", "start", "n_tokens")
 
 
 def op4_token_counts(spark, sf_dir: str) -> DataFrame:

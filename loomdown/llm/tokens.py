@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import threading
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +61,18 @@ class WordEncoder:
         return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
 
+def pieces(texts: list[str | None], chars: int = 1_000_000) -> Iterator[slice]:
+    """Slices of the list with about `chars` characters each, to bound what is in memory at once."""
+    start, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t or "")
+        if size >= chars:
+            yield slice(start, i + 1)
+            start, size = i + 1, 0
+    if start < len(texts):
+        yield slice(start, len(texts))
+
+
 _encoders: dict[str, WordEncoder] = {}
 _lock = threading.Lock()
 
