@@ -14,7 +14,7 @@ from ..functions import text as X
 from ..kernel.chars import BLANK_CLASS, BLOCKS, CELL_BLOCKS, DELETED_CLASS, NON_TEXT, SPACED_CLASS
 from ..operators import blocks as B
 from ..operators import nodes as N
-from ..sources.files import with_markdown
+from ..sources.files import spread, with_markdown
 from ..streaming.pages import stream_markdown
 
 QUERIES: dict = {}
@@ -39,6 +39,11 @@ def pages(spark, d):
     return load(spark, d, "pages")
 
 
+def dealt_pages(spark, d):
+    """For queries whose time goes into Python, not into reading."""
+    return spread(pages(spark, d).select("page_id", "url", "html"))
+
+
 def documents(spark, d):
     return load(spark, d, "documents")
 
@@ -368,7 +373,7 @@ def data_table_rule(spark, d):
 
 @query(r"SELECT page_id, coalesce(list_min(list_transform(regexp_extract_all(html, '<h([1-6])>[^<]*[^<\s]', 1), lambda x: x::BIGINT)), 7)::BIGINT AS min_level FROM pages")
 def min_heading_level(spark, d):
-    return N.min_heading_level(N.explode_nodes(pages(spark, d))).withColumnRenamed("doc_id", "page_id")
+    return N.min_heading_level(N.explode_nodes(dealt_pages(spark, d))).withColumnRenamed("doc_id", "page_id")
 
 
 # Nodes: every page, with constructs that the pages lack put before the article
@@ -382,11 +387,12 @@ VENDOR = (
 
 
 def vendor_pages(spark, d) -> DataFrame:
-    return pages(spark, d).withColumn("html", F.replace("html", F.lit("<article>"), F.lit(VENDOR)))
+    return dealt_pages(spark, d).withColumn("html", F.replace("html", F.lit("<article>"), F.lit(VENDOR)))
 
 
 def vendor_nodes(spark, d) -> DataFrame:
-    return N.explode_nodes(vendor_pages(spark, d))
+    # Several branches of a query read the nodes: parsed once, kept in memory and on disk.
+    return N.explode_nodes(vendor_pages(spark, d)).persist()
 
 
 def of_pages(df: DataFrame) -> DataFrame:
@@ -395,7 +401,7 @@ def of_pages(df: DataFrame) -> DataFrame:
 
 @query()
 def html_nodes(spark, d):
-    return of_pages(N.explode_nodes(pages(spark, d)).drop("attrs"))
+    return of_pages(N.explode_nodes(dealt_pages(spark, d)).drop("attrs"))
 
 
 @query()
@@ -451,12 +457,12 @@ def node_pipe_tables(spark, d):
 
 @query()
 def html_blocks(spark, d):
-    return pages(spark, d).select("page_id", F.posexplode(M.page_blocks(F.col("html"))).alias("pos", "block"))
+    return dealt_pages(spark, d).select("page_id", F.posexplode(M.page_blocks(F.col("html"))).alias("pos", "block"))
 
 
 @query()
 def html_to_markdown(spark, d):
-    return pages(spark, d).select("page_id", M.html_to_markdown(F.col("html")).alias("markdown"))
+    return dealt_pages(spark, d).select("page_id", M.html_to_markdown(F.col("html")).alias("markdown"))
 
 
 @query()
@@ -466,7 +472,7 @@ def vendor_markdown(spark, d):
 
 @query()
 def wrap_lines(spark, d):
-    return documents(spark, d).select("doc_id", M.wrap_lines(F.col("text"), 72).alias("text"))
+    return spread(documents(spark, d).select("doc_id", "text")).select("doc_id", M.wrap_lines(F.col("text"), 72).alias("text"))
 
 
 def host(url: Column) -> Column:
@@ -476,7 +482,7 @@ def host(url: Column) -> Column:
 @query()
 def corpus_stats(spark, d):
     """Pages, lines, links and characters of Markdown for each host."""
-    df = pages(spark, d).select(host(F.col("url")).alias("host"), M.html_to_markdown(F.col("html")).alias("md"))
+    df = dealt_pages(spark, d).select(host(F.col("url")).alias("host"), M.html_to_markdown(F.col("html")).alias("md"))
     return df.groupBy("host").agg(
         F.count(F.lit(1)).alias("n_pages"),
         F.sum(F.length("md")).alias("n_chars"),

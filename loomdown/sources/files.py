@@ -16,6 +16,12 @@ def read_html_files(spark: SparkSession, path: str, encoding: str = "UTF-8") ->
     return files.select("path", F.decode("content", encoding).alias("html"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals rows out anew if the source gives fewer tasks than there are cores, as one small file does; else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
