@@ -8,7 +8,6 @@ A row with a null doc_id is never dropped as a duplicate or as contaminated.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from loomdown.llm import decontaminate, jaccard_join, mixing, quality, token_files
 from loomdown.llm.common import written

@@ -133,6 +133,21 @@ def sketch(elements: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
+#: Signatures only name candidates, so bits may go: six bytes of each are written, and a shard's rows hold four.
+WIDTH = 6
+
+
+def to_bytes(signatures: np.ndarray) -> bytes:
+    """The upper six bytes of each."""
+    return signatures.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - WIDTH :].tobytes()
+
+
+def from_bytes(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // WIDTH, 8), np.uint8)
+    out[:, 8 - WIDTH :] = np.frombuffer(data, np.uint8).reshape(-1, WIDTH)
+    return out.view("<u8").reshape(-1)
+
+
 def fine_sketch(elements: np.ndarray) -> bytes:
     """Parities at about two places for each element; the halves of a longer one, combined, are one of half the length."""
     places = max(512, 1 << int(2 * len(elements) - 1).bit_length())
@@ -182,26 +197,26 @@ def signature_rows(docs: DataFrame, width: int, scheme: Scheme) -> DataFrame:
                 n.append(len(e))
                 sketches.append(sketch(e))
                 fine.append(fine_sketch(e))
-                sigs.append(scheme.signatures(e).view(np.int64))
-            sketches, sigs = (pa.array(x, pa.list_(pa.int64())) for x in (sketches, sigs))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), sketches, pa.array(fine, pa.binary()), sigs], ["rep", "n", "sketch", "fine", "sigs"])
+                sigs.append(to_bytes(scheme.signatures(e)))
+            packed = [pa.array(x, pa.binary()) for x in (fine, sigs)]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(sketches, pa.list_(pa.int64())), *packed], ["rep", "n", "sketch", "fine", "sigs"])
 
-    return docs.mapInArrow(rows, "rep long, n long, sketch array<long>, fine binary, sigs array<long>")
+    return docs.mapInArrow(rows, "rep long, n long, sketch array<long>, fine binary, sigs binary")
 
 
-def repeated_members(signed: DataFrame, shards_log2: int = 10, local_hot: int = 64) -> DataFrame:
+def repeated_members(signed: DataFrame, id_type: str, shards_log2: int = 10, local_hot: int = 64) -> DataFrame:
     """(sig, rep) of the signatures that at least two representatives have.
 
-    Most signatures are alone. They travel to shards as packed arrays, 16 bytes each, and numpy drops them there. A
-    signature that more than `local_hot` rows of one batch have sends only two of them to its shard, which keeps the others' rows of it
+    Most signatures are alone. They travel to shards as packed arrays, four bytes each and those of the representative, and numpy drops
+    them there. shards_log2: with more, shards are smaller and more bits of a signature count. A signature that more than `local_hot` rows of one batch have sends only two of them to its shard, which keeps the others' rows of it
     alive; all its rows of that batch form a group of their own, so that no shard grows with a large group of copies.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, batch in enumerate(batches):
-            lists = batch["sigs"]
-            sig = lists.flatten().to_numpy().view(np.uint64)
-            rep = np.repeat(batch["rep"].to_numpy(), np.diff(lists.offsets.to_numpy()))
+            lists = batch["sigs"].to_pylist()
+            sig = from_bytes(b"".join(lists)) >> np.uint64(32 - shards_log2)  # the shard, then 32 bits
+            rep = np.repeat(batch["rep"].to_numpy(), [len(x) // WIDTH for x in lists]).astype(id_type)
             order = np.argsort(sig, kind="stable")
             sig, rep = sig[order], rep[order]
             first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1]))) if len(sig) else np.empty(0, np.int64)
@@ -211,20 +226,20 @@ def repeated_members(signed: DataFrame, shards_log2: int = 10, local_hot: int =
             groups: list[tuple] = []
             for salt, chosen in ((0, ~hot | (place < 2)), (1 + number * 65536 + int(rep[0] % 65536) if len(rep) else 1, hot)):
                 s, r = sig[chosen], rep[chosen]
-                cuts = np.searchsorted(s >> np.uint64(64 - shards_log2), np.arange(2**shards_log2 + 1, dtype=np.uint64))
-                groups += [(k, salt, s[a:b].tobytes(), r[a:b].tobytes()) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+                cuts = np.searchsorted(s >> np.uint64(32), np.arange(2**shards_log2 + 1, dtype=np.uint64))
+                groups += [(k, salt, s[a:b].astype("<u4").tobytes(), r[a:b].tobytes()) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
             if groups:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*groups, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["shard", "salt", "sigs", "reps"])
 
     def keep(group: pa.Table) -> pa.Table:
-        sig, rep = (np.frombuffer(b"".join(group[k].to_pylist()), np.int64) for k in ("sigs", "reps"))
+        sig, rep = (np.frombuffer(b"".join(group[k].to_pylist()), kind) for k, kind in (("sigs", "<u4"), ("reps", id_type)))
         if not group["salt"][0].as_py():
             order = np.argsort(sig, kind="stable")
             sig, rep = sig[order], rep[order]
             same = sig[1:] == sig[:-1]
             again = np.concatenate(([False], same)) | np.concatenate((same, [False]))
             sig, rep = sig[again], rep[again]
-        return pa.table({"sig": sig, "rep": rep})
+        return pa.table({"sig": (group["shard"][0].as_py() << 32) + sig.astype(np.int64), "rep": rep.astype(np.int64)})
 
     packed = signed.select("rep", "sigs").mapInArrow(pack, "shard int, salt long, sigs binary, reps binary")
     return packed.groupBy("shard", "salt").applyInArrow(keep, "sig long, rep long")
@@ -282,7 +297,9 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
 
     reps = docs.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     signed = written(signature_rows(reps, width, scheme), "jaccard-signatures")
-    members = written(repeated_members(signed), "jaccard-repeated")
+    ends = classes.agg(F.min("rep"), F.max("rep")).first()
+    id_type = "<u4" if ends[0] is not None and ends[0] >= 0 and ends[1] < 2**32 else "<i8"
+    members = written(repeated_members(signed, id_type), "jaccard-repeated")
     lows = members.groupBy("sig").agg(F.min("rep").alias("low"))
     info = lambda k: signed.select(F.col("rep").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"sketch_{k}")).dropDuplicates([k])
 
