@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 
-FIRST, LONGEST = 256, 4096
+FIRST, LONGEST = 256, 2048
 SLOTS = 1 << 12
 SHARE_BITS = 12
 COUNT_WEIGHT = 24
@@ -38,8 +38,11 @@ class Model:
         self.lanes, self.vocab = lanes, vocab
         self.row = np.arange(lanes, dtype=np.int64)
         self.counts = np.zeros((lanes, vocab), np.uint16)
-        self.cum = np.empty((lanes, vocab + 1), np.uint32)
-        self.cum[:] = np.arange(vocab + 1, dtype=np.uint32)
+        # Counts of all ids below each id; what follows the last is out of reach for a search by halves.
+        self.halves = [1 << b for b in reversed(range(max(1, (vocab - 1).bit_length())))]
+        self.stride = 2 * self.halves[0] + 1
+        self.cum = np.full((lanes, self.stride), 2**32 - 1, np.uint32)
+        self.cum[:, : vocab + 1] = np.arange(vocab + 1, dtype=np.uint32)
         self.guess = [np.zeros(lanes * SLOTS, np.uint32) for _ in range(2)]
         self.sure = [np.zeros(lanes * SLOTS, np.uint8) for _ in range(2)]
         self.hits = np.ones((lanes, 16, 3), np.float64)
@@ -78,7 +81,7 @@ class Model:
         np.add.at(self.counts.reshape(-1), flat, 1)
         if full:
             for counts, cum in zip(self.counts, self.cum, strict=True):
-                np.cumsum(counts * np.uint32(COUNT_WEIGHT) + np.uint32(1), dtype=np.uint32, out=cum[1:])
+                np.cumsum(counts * np.uint32(COUNT_WEIGHT) + np.uint32(1), dtype=np.uint32, out=cum[1 : self.vocab + 1])
         for guess, sure, slot in zip(self.guess, self.sure, self.contexts(before, last), strict=True):
             slot, seen = slot[live], ids[live].astype(np.uint32)
             sure[slot] = np.where(guess[slot] == seen, np.minimum(sure[slot] + 1, 3), 0)
@@ -119,11 +122,11 @@ def encode(blocks: list[np.ndarray], vocab: int) -> list[bytes]:
         two, one, ends = model.nominees(before, last)
         part = np.where(two == now, 0, np.where(one == now, 1, 2)).astype(np.int64)
         start, stop = model.ends[ends + part], model.ends[ends + part + 1]
-        at_id = model.row[:, None] * (vocab + 1) + now.astype(np.int64)
+        at_id = model.row[:, None] * model.stride + now.astype(np.int64)
         cum = model.cum.reshape(-1)
         named = part < 2
         c0, c1 = np.where(named, 0, cum[at_id]).astype(np.uint64), np.where(named, 1, cum[at_id + 1]).astype(np.uint64)
-        total = np.where(named, U(1), model.cum[:, -1:].astype(np.uint64))
+        total = np.where(named, U(1), model.cum[:, vocab : vocab + 1].astype(np.uint64))
         live = np.arange(at, end)[None, :] < lengths[:, None]
         for j in range(end - at):
             on = live[:, j]
@@ -161,11 +164,10 @@ def decode(codes: list[bytes], lengths: np.ndarray, vocab: int) -> list[np.ndarr
     code = (words[:, 0] << U(48)) | (words[:, 1] << U(32)) | (words[:, 2] << U(16)) | words[:, 3]
     ids = np.zeros((lanes, longest), np.uint64)
     before, last = np.zeros(lanes, np.uint64), np.zeros(lanes, np.uint64)
-    halves = [1 << b for b in reversed(range(max(1, (vocab - 1).bit_length())))]
     stretches = turns(longest)
     for k, (at, end) in enumerate(stretches):
-        cum, total0 = model.cum.reshape(-1), model.cum[:, -1].astype(np.uint64)
-        base = row * (vocab + 1)
+        cum, total0 = model.cum.reshape(-1), model.cum[:, vocab].astype(np.uint64)
+        base = row * model.stride
         for j in range(at, end):
             on = j < lengths
             two, one, ends = model.nominees(before, last)
@@ -176,14 +178,13 @@ def decode(codes: list[bytes], lengths: np.ndarray, vocab: int) -> list[np.ndarr
             plain = part == 2
             step = unit * (stop - start) // np.where(plain, total0, U(1))
             rest = low + unit * start
-            place = np.minimum((code - rest) // step, total0 - U(1))
-            found = np.zeros(lanes, np.int64)
-            for h in halves:  # the largest id whose cumulative count is not above the place
-                tried = found + h
-                ok = (tried < vocab) & (cum[base + np.minimum(tried, vocab)] <= place)
-                found = np.where(ok, tried, found)
-            c0 = np.where(plain, cum[base + found], 0).astype(np.uint64)
-            c1 = np.where(plain, cum[base + found + 1], 1).astype(np.uint64)
+            place = np.minimum((code - rest) // step, total0 - U(1)).astype(np.uint32)
+            at_id = base.copy()
+            for h in model.halves:  # the largest id whose cumulative count is not above the place
+                at_id += (cum.take(at_id + h) <= place) * h
+            found = at_id - base
+            c0 = np.where(plain, cum.take(at_id), 0).astype(np.uint64)
+            c1 = np.where(plain, cum.take(at_id + 1), 1).astype(np.uint64)
             low = np.where(on, rest + step * c0, low)
             span = np.where(on, step * (c1 - c0), span)
             now = np.where(plain, found.astype(np.uint64), np.where(part == 0, two, one).astype(np.uint64))

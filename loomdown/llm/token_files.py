@@ -1,10 +1,12 @@
 """Token ids in compressed binary files.
 
 Documents are range-sorted by doc_id; each partition writes one file, so that files in the order of their names hold the
-documents in ascending order. A file is a run of records; a record is one independently coded block of whole documents:
+documents in ascending order. A file is a run of records; a record is one independently coded block of ids. A document
+that runs over the end of a block goes on in the next:
 
-    magic "LDTC", then little-endian: u32 documents, u32 ids, u32 vocabulary, u32 bytes of code, u32 crc32 of what
-    follows, u32 crc32 of the ids as u32; then for each document i64 doc_id, u8 null flag, u32 ids; then the code; then "\n"
+    magic "LDTC", then little-endian: u32 pieces, u32 ids, u32 vocabulary, u32 bytes of code, u32 crc32 of what
+    follows, u32 crc32 of the ids as u32; then for each piece of a document i64 doc_id, u8 null flag, u8 end flag, u32 ids;
+    then the code; then "\n"
 
 The records go through Spark's own file writer, so that task retries and lost executors leave no partial files, and any
 store that Spark writes will do. Readers take whole files, check both sums of each block and decode blocks side by side.
@@ -27,20 +29,26 @@ from pyspark.sql import functions as F
 
 from . import codec
 from .common import fresh_path, written
-from .tokens import encoder
+from .tokens import encoder, pieces
 
 MAGIC = b"LDTC"
 HEAD = struct.Struct("<4s6I")
-DOC = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("n", "<u4")])
-SIDE_BY_SIDE = 384
+DOC = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("end", "u1"), ("n", "<u4")])
+SIDE_BY_SIDE = 320
+
+
+def side_by_side(lengths: list[int]) -> Iterator[list[int]]:
+    """Numbers of blocks in groups of similar length and about equal numbers."""
+    order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
+    groups = -(-len(order) // SIDE_BY_SIDE)
+    for k in range(groups):
+        yield order[k * len(order) // groups : (k + 1) * len(order) // groups]
 
 
 def records(docs: list[np.ndarray], tables: list[np.ndarray], vocab: int) -> list[bytes]:
-    """A record for each block of ids and its table of documents."""
-    order = np.argsort([-len(d) for d in docs], kind="stable")  # blocks of similar length go side by side
+    """A record for each block of ids and its table of pieces of documents."""
     codes: list[bytes] = [b""] * len(docs)
-    for at in range(0, len(order), SIDE_BY_SIDE):
-        group = order[at : at + SIDE_BY_SIDE]
+    for group in side_by_side(list(map(len, docs))):
         for i, code in zip(group, codec.encode([docs[i] for i in group], vocab), strict=True):
             codes[i] = code
     out = []
@@ -52,7 +60,7 @@ def records(docs: list[np.ndarray], tables: list[np.ndarray], vocab: int) -> lis
 
 
 def parse(data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(table of documents, ids) of each record, in order."""
+    """(table of pieces, ids) of each record, in order."""
     at, heads = 0, []
     while at < len(data):
         magic, n_docs, n_ids, vocab, size, body_sum, ids_sum = HEAD.unpack_from(data, at)
@@ -62,10 +70,8 @@ def parse(data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             raise ValueError(f"damaged record before byte {at}")
         heads.append((np.frombuffer(body, DOC, n_docs), n_ids, vocab, body[n_docs * DOC.itemsize :], ids_sum))
         at += len(body) + 1
-    order = sorted(range(len(heads)), key=lambda i: -heads[i][1])
     ids: list[np.ndarray] = [np.empty(0, np.uint32)] * len(heads)
-    for k in range(0, len(order), SIDE_BY_SIDE):
-        group = order[k : k + SIDE_BY_SIDE]
+    for group in side_by_side([h[1] for h in heads]):
         for i, x in zip(group, codec.decode([heads[i][3] for i in group], np.array([heads[i][1] for i in group]), heads[group[0]][2]), strict=True):
             ids[i] = x
     for (table, _, _, _, ids_sum), x in zip(heads, ids, strict=True):
@@ -77,23 +83,26 @@ def parse(data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, text: str = "text", doc_id: str = "doc_id", end_id: int = 1, vocab: int = 49408, block_ids: int = 8192) -> None:
     """Writes the ids of every row's text, each followed by `end_id`, in ascending doc_id order.
 
-    block_ids: a block closes with the document that fills it.
+    block_ids: ids in each block but a task's last.
     """
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     # Rows of one doc_id follow each other by their text, so that reruns agree.
     slim = slim.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces: list[np.ndarray] = []
-        docs_in: list[tuple] = []
+        waiting: list[np.ndarray] = []  # ids that fill no block yet
+        table: list[tuple] = []
         blocks: list[np.ndarray] = []
         tables: list[np.ndarray] = []
+        room = block_ids
 
         def close() -> None:
-            blocks.append(np.concatenate(pieces))
-            tables.append(np.array(docs_in, DOC))
-            pieces.clear()
-            docs_in.clear()
+            nonlocal room
+            blocks.append(np.concatenate(waiting))
+            tables.append(np.array(table, DOC))
+            waiting.clear()
+            table.clear()
+            room = block_ids
 
         def flush() -> pa.RecordBatch:
             out = records(blocks, tables, vocab)
@@ -101,20 +110,22 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, text: str = "t
             tables.clear()
             return pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
-        size = 0
         for batch in batches:
-            ids, sizes = encoder(tokenizer).encode(batch["text"].to_pylist())
-            ends = np.cumsum(sizes)
-            for i, n, to in zip(batch["doc_id"].to_pylist(), sizes, ends, strict=True):
-                pieces.append(np.append(ids[to - n : to], np.uint32(end_id)))
-                docs_in.append((i or 0, i is None, n + 1))
-                size += n + 1
-                if size >= block_ids:
-                    close()
-                    size = 0
-            if len(blocks) >= SIDE_BY_SIDE:
-                yield flush()
-        if pieces:
+            texts, doc_ids = batch["text"].to_pylist(), batch["doc_id"].to_pylist()
+            for part in pieces(texts):
+                ids, sizes = encoder(tokenizer).encode(texts[part])
+                for i, n, to in zip(doc_ids[part], sizes, np.cumsum(sizes), strict=True):
+                    doc = np.append(ids[to - n : to], np.uint32(end_id))
+                    while len(doc):
+                        now, doc = doc[:room], doc[room:]
+                        waiting.append(now)
+                        table.append((i or 0, i is None, not len(doc), len(now)))
+                        room -= len(now)
+                        if not room:
+                            close()
+                if len(blocks) >= SIDE_BY_SIDE:
+                    yield flush()
+        if waiting:
             close()
         if blocks:
             yield flush()
@@ -124,29 +135,29 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, text: str = "t
     out.write.text(path)
 
 
-def read_token_files(spark, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32, ids) of every document, from the files."""
+def read_token_files(spark, path: str, with_ids: bool = True) -> DataFrame:
+    """(path, doc_id, at, n_tokens, ids_crc32) of every document, from the files, with its ids if asked; at: its start within its file."""
+    names = ["path", "doc_id", "at", "n_tokens", "ids_crc32", "ids"][: 5 + with_ids]
+    kinds = (pa.string(), *[pa.int64()] * 4, pa.list_(pa.int64()))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch["path"].to_pylist(), batch["content"], strict=True):
-                at = 0
+                start, begun = 0, []  # begun: the pieces so far of a document that is not at its end
                 for table, ids in parse(content.as_py()):
-                    ends = np.cumsum(table["n"], dtype=np.int64)
-                    own = np.split(ids, ends[:-1])
-                    crc = [zlib.crc32(x.astype("<u4").tobytes()) for x in own]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([name] * len(table)), pa.array(table["doc_id"].astype(np.int64), mask=table["null"].astype(bool)),
-                            pa.array(at + ends - table["n"]), pa.array(table["n"].astype(np.int64)), pa.array(crc, pa.int64()),
-                            pa.array(own, pa.list_(pa.int64())),
-                        ],
-                        ["path", "doc_id", "at", "n_tokens", "ids_crc32", "ids"],
-                    )
-                    at += int(ends[-1])
+                    docs: list[tuple] = []
+                    for (i, null, end, _), piece in zip(table.tolist(), np.split(ids, np.cumsum(table["n"], dtype=np.int64)[:-1]), strict=True):
+                        begun.append(piece)
+                        if end:
+                            own = np.concatenate(begun)
+                            docs.append((name, None if null else i, start, len(own), zlib.crc32(own.astype("<u4").tobytes()), *[own][:with_ids]))
+                            start += len(own)
+                            begun = []
+                    if docs:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*docs, strict=True), kinds, strict=False)], names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    return files.mapInArrow(rows, "path string, doc_id long, at long, n_tokens long, ids_crc32 long, ids array<long>")
+    return files.mapInArrow(rows, "path string, doc_id long, at long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
 
 
 def token_table(docs: DataFrame, tokenizer: str, **options) -> DataFrame:
@@ -154,7 +165,7 @@ def token_table(docs: DataFrame, tokenizer: str, **options) -> DataFrame:
     spark = docs.sparkSession
     path = fresh_path(spark, "token-files")
     write_token_files(docs, path, tokenizer, **options)
-    rows = written(read_token_files(spark, path).drop("ids"), "token-rows")
+    rows = written(read_token_files(spark, path, with_ids=False), "token-rows")
     files = rows.groupBy("path").agg(F.sum("n_tokens").alias("n"))  # one row a file
     before = files.select("path", F.coalesce(F.sum("n").over(W.orderBy("path").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     return rows.join(before, "path").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
