@@ -1,9 +1,11 @@
 """Quality rules by distribution divergence, in DataFrame functions only.
 
 Each document's histogram of character classes and of common words is compared with a reference of its language by
-Jensen-Shannon distance. The references come from all rows of the input: a language with at least `min_share` of all
-words has its own, every other language and a null one share the pooled reference. A common word is one that makes up
-at least `common_share` of its reference's words, so that a reference holds at most 1 / common_share words.
+Jensen-Shannon distance. The references come from all rows of the input: a language with at least `least_words` words has
+its own, however small its share of the input. A common word is one that makes up at least `common_share` of its
+reference's words, so that a reference holds at most 1 / common_share words. Rows of a null or a still smaller language
+are not judged by words, as nothing says which words they should hold; their characters are judged against those of all
+rows, with letters of every script in one class.
 
 Defined cases: a null or empty text has no words and fails the base rules. Texts under `min_chars` characters are not
 judged by characters, texts under `min_words` words not by words. Repeated rows are judged alike, each on its own;
@@ -19,7 +21,6 @@ from .common import BLANKS, GAP, let, written
 
 SYMBOLS = "#*$%&|<>"
 CLASSES = ("blank", "upper", "digit", "wide", "stop", "symbol", "rest")
-POOLED = "*"
 
 
 def words_of(text: Column) -> Column:
@@ -79,30 +80,21 @@ def base_columns(docs: DataFrame, text: str, lang: str) -> DataFrame:
     ).withColumn("rest", F.col("n_chars") - sum(F.col(k) for k in CLASSES[:-1]))
 
 
-def references(docs: DataFrame, text: str = "text", lang: str = "lang", common_share: float = 0.0025, min_share: float = 0.01) -> DataFrame:
-    """(ref, chars array, words map) for each language of at least `min_share` of all words, and the pooled one.
-
-    At most 1 / min_share + 1 rows with at most 1 / common_share words each, whatever the input's size.
-    """
+def references(docs: DataFrame, text: str = "text", lang: str = "lang", common_share: float = 0.0025, least_words: int = 4000) -> DataFrame:
+    """(lang, chars array, words map) for each language of at least `least_words` words, and (null, chars array, null) for all rows."""
     base = docs.select(F.struct("*").alias("row")).select(F.coalesce(F.col("row")[text], F.lit("")).alias("t"), F.col("row")[lang].alias("lang"))
-    counts = base.select("lang", F.explode(words_of(F.col("t"))).alias("w")).groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n"))
+    counts = base.where("lang is not null").select("lang", F.explode(words_of(F.col("t"))).alias("w")).groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n"))
     counts = written(counts, "quality-words")
-    sizes = counts.groupBy("lang").agg(F.sum("n").alias("size"))
-    total = sizes.agg(F.sum("size").alias("total")).first()["total"] or 0
-    large = [r["lang"] for r in sizes.where((F.col("size") >= min_share * total) & F.col("lang").isNotNull()).select("lang").collect()]  # at most 1 / min_share
-    ref = lambda: F.when(F.col("lang").isin(large), F.concat(F.lit("="), "lang")).otherwise(F.lit(None)) if large else F.lit(None).cast("string")
-    own = counts.withColumn("ref", ref()).where("ref is not null").select("ref", "w", "n")
-    pooled = counts.groupBy("w").agg(F.sum("n").alias("n")).select(F.lit(POOLED).alias("ref"), "w", "n")
-    both = own.unionByName(pooled)
-    ref_sizes = both.groupBy("ref").agg(F.sum("n").alias("size"))
-    common = both.join(F.broadcast(ref_sizes), "ref").where(F.col("n") >= common_share * F.col("size"))
-    words = common.groupBy("ref").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("w", (F.col("n") / F.col("size")).alias("q"))))).alias("ref_words"))
-    cells = written(base_columns(docs, text, lang).groupBy("lang").agg(*(F.sum(k).alias(k) for k in CLASSES)), "quality-cells").withColumn("ref", ref())
-    own_c = cells.where("ref is not null").select("ref", *CLASSES)
-    pool_c = cells.groupBy(F.lit(POOLED).alias("ref")).agg(*(F.sum(k).alias(k) for k in CLASSES))
+    sizes = counts.groupBy("lang").agg(F.sum("n").alias("size")).where(F.col("size") >= least_words)
+    common = counts.join(F.broadcast(sizes), "lang").where(F.col("n") >= common_share * F.col("size"))
+    words = common.groupBy("lang").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("w", (F.col("n") / F.col("size")).alias("q"))))).alias("ref_words"))
+    cells = written(base_columns(docs, text, lang).groupBy("lang").agg(*(F.sum(k).alias(k) for k in CLASSES)), "quality-cells")
+    own = cells.join(F.broadcast(sizes), "lang").select("lang", *CLASSES).join(words, "lang", "left")
+    scripts = cells.agg(*(F.sum(k).alias(k) for k in CLASSES)).withColumns({"rest": F.col("rest") + F.col("wide"), "wide": F.lit(0).cast("long")})
+    pooled = scripts.select(F.lit(None).cast("string").alias("lang"), *CLASSES, F.lit(None).cast("map<string,double>").alias("ref_words"))
+    own = own.withColumn("ref_words", F.coalesce("ref_words", F.create_map().cast("map<string,double>")))
     size = F.greatest(F.lit(1), sum(F.col(k) for k in CLASSES))
-    chars = own_c.unionByName(pool_c).select("ref", F.array(*(F.col(k) / size for k in CLASSES)).alias("ref_chars"))
-    return chars.join(words, "ref", "left").withColumn("ref_words", F.coalesce("ref_words", F.create_map().cast("map<string,double>")))
+    return own.unionByName(pooled).select("lang", F.array(*(F.coalesce(F.col(k) / size, F.lit(0.0)) for k in CLASSES)).alias("ref_chars"), "ref_words")
 
 
 def judge(
@@ -114,17 +106,16 @@ def judge(
     min_chars: int = 600,
     min_words: int = 100,
     common_share: float = 0.0025,
-    min_share: float = 0.01,
+    least_words: int = 4000,
 ) -> DataFrame:
     """Every row as the struct `row`, with the counts, both distances (null where not judged), base_failed and kept."""
-    refs = [r.asDict() for r in references(docs, text, lang, common_share, min_share).collect()]  # bounded, see references()
-    spark = docs.sparkSession
-    table = spark.createDataFrame([(r["ref"], r["ref_chars"], r["ref_words"]) for r in refs] or [(POOLED, [0.0] * len(CLASSES), {})], "ref string, ref_chars array<double>, ref_words map<string,double>")
-    known = sorted({w for r in refs for w in r["ref_words"]})
-    own = sorted(r["ref"][1:] for r in refs if r["ref"] != POOLED)
-    df = base_columns(docs, text, lang)
-    key = F.when(F.col("lang").isin(own), F.concat(F.lit("="), "lang")).otherwise(F.lit(POOLED)) if own else F.lit(POOLED)
-    df = df.withColumn("ref", key).join(F.broadcast(table), "ref", "left")
+    refs = [(r["lang"], r["ref_chars"], r["ref_words"]) for r in references(docs, text, lang, common_share, least_words).collect()]  # one for each language
+    own = docs.sparkSession.createDataFrame([r for r in refs if r[0] is not None], "lang string, own_chars array<double>, ref_words map<string,double>")
+    pooled = next(chars for name, chars, _ in refs if name is None)
+    known = sorted({w for _, _, words in refs for w in words or ()})
+    df = base_columns(docs, text, lang).join(F.broadcast(own), "lang", "left").withColumn("ref_chars", F.coalesce("own_chars", F.array(*map(F.lit, pooled))))
+    none = F.col("own_chars").isNull()
+    df = df.withColumns({"rest": F.when(none, F.col("rest") + F.col("wide")).otherwise(F.col("rest")), "wide": F.when(none, F.lit(0)).otherwise(F.col("wide"))})
 
     common = F.sort_array(F.filter("words", lambda w: w.isin(known))) if known else F.array().cast("array<string>")
 
@@ -139,7 +130,8 @@ def judge(
 
         return let(firsts, of_runs)
 
-    df = df.withColumn("seen", F.when(F.col("n_words") >= min_words, let(common, word_divergence)))
+    judged = (F.col("n_words") >= min_words) & F.col("ref_words").isNotNull()
+    df = df.withColumn("seen", F.when(judged, let(common, word_divergence)))
     all_q = F.aggregate(F.map_values("ref_words"), F.lit(0.0), lambda a, q: a + q)
     rest_p, rest_q = F.greatest(F.lit(0.0), 1 - F.col("seen")["p"]), F.greatest(F.lit(0.0), 1 - all_q)
     words_js = F.col("seen")["d"] + F.greatest(F.lit(0.0), all_q - F.col("seen")["q"]) / 2 + half_term(rest_p, rest_q)
@@ -151,7 +143,7 @@ def judge(
         duplicate_lines(F.col("t")).alias("n_dup_lines"),
         repeated_words(F.col("words")).alias("n_repeat_words"),
         F.when(F.col("n_chars") >= min_chars, F.sqrt(F.greatest(F.lit(0.0), chars_js))).alias("chars_distance"),
-        F.when(F.col("n_words") >= min_words, F.sqrt(F.greatest(F.lit(0.0), words_js))).alias("words_distance"),
+        F.when(judged, F.sqrt(F.greatest(F.lit(0.0), words_js))).alias("words_distance"),
     )
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     far = (F.coalesce("chars_distance", F.lit(0.0)) > max_chars_distance) | (F.coalesce("words_distance", F.lit(0.0)) > max_words_distance)

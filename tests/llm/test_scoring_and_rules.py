@@ -57,6 +57,16 @@ def test_rules_keep_rows_as_they_are(frame):
     assert quality.judge(frame([])).count() == 0
 
 
+def test_small_languages_are_judged_by_their_own_words(frame):
+    rare = "sana talo vesi puu tie kala lintu metsä järvi kesä talvi aika maa kuu päivä"
+    rows = [(i, " ".join(sentences(EN, 40, i)), "en") for i in range(450)]
+    small = [(1000 + i, " ".join(sentences(DE, 8, i)), "de") for i in range(20)]  # 4800 words, under 1 % of all
+    odd = [(2000, " ".join(sentences(rare, 8)), "fi"), (2001, " ".join(sentences(rare, 8)), None), (2002, " ".join(sentences("это слово здесь было тогда между нами всегда", 8)), "ru")]
+    junk = [(3000, " ".join(f"q{i}x" for i in range(300)), "de"), (3001, " ".join(w + "###" for w in " ".join(sentences(EN, 8)).split()), None)]
+    kept = {r.id: r.kept for r in quality.judge(frame(rows + small + odd + junk)).select(F.col("row")["doc_id"].alias("id"), "kept").collect()}
+    assert {i for i in kept if not kept[i]} == {3000, 3001}
+
+
 # Mixing
 
 
