@@ -5,8 +5,8 @@ occur, whatever their number, hashed to `dims` places. Landmark texts span a Nys
 ridge regression for each language against the rest is fitted to indicators. As the kernel is a product of presence
 vectors, the landmarks and their coefficients fold into one matrix, and a batch of texts is scored by one matrix product.
 
-The fit reads at most `sample` labelled texts, an equal number for each language chosen by a hash of the text, of which
-at most `landmarks` are landmarks. Predictions read whole texts and nothing else.
+The fit reads at most `sample` different labelled texts, or four of each language if that is more: an equal number for each
+language, those with the smallest hashes, whatever the number of their copies. At most `landmarks` are landmarks. Predictions read whole texts and nothing else.
 
 Defined cases: a null text, or one without a letter, is "und" with score 0. Languages seen only in null labels do not exist; with no labelled
 row at all every text is "und". Repeated rows are predicted each. Ties go to the language first in code point order. Other columns do not matter.
@@ -79,15 +79,32 @@ class Classifier:
 
 
 def sample_of(rows: DataFrame, sample: int) -> list:
-    """At most `sample` rows of (text, lang), as evenly over the languages as they allow."""
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    each = max(4, sample // max(1, len(counts)))
-    share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 2 * each / n)))) if counts else None
-    if share is None:
+    """Different (text, lang), as evenly over the languages as they allow: each has its texts with the smallest hashes, or all of them."""
+    rows = rows.select("lang", "text", F.xxhash64("text").alias("h"))
+    texts = rows.select("lang", "h").distinct()
+    counts = {r["lang"]: r["n"] for r in texts.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not counts:
         return []
-    few = rows.withColumn("h", F.xxhash64("text")).where(F.pmod("h", F.lit(1 << 20)) < (1 << 20) * F.try_element_at(share, F.col("lang")))
-    few = few.withColumn("i", F.row_number().over(W.partitionBy("lang").orderBy("h", "text"))).where(F.col("i") <= each)
-    return few.orderBy("i", "lang").select("text", "lang").limit(sample).collect()
+    each = max(4, sample // len(counts))
+    # Twice the places and 64 more, so that too few by chance cannot happen in practice.
+    below = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, int((1 << 40) * min(1.0, (2 * each + 64) / n)))))
+    thinned = F.pmod("h", F.lit(1 << 40))
+    few = texts.where(thinned < F.try_element_at(below, F.col("lang"))).withColumn("i", F.row_number().over(W.partitionBy("lang").orderBy(thinned, "h"))).where(F.col("i") <= each)
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The first copy that each task meets."""
+        seen: set[tuple[str, int]] = set()
+        for batch in batches:
+            new = []
+            for i, key in enumerate(zip(batch["lang"].to_pylist(), batch["h"].to_pylist(), strict=True)):
+                if key not in seen:
+                    seen.add(key)
+                    new.append(i)
+            yield batch.take(pa.array(new, pa.int64()))
+
+    chosen = rows.join(F.broadcast(few), ["lang", "h"]).select("lang", "h", "i", "text")
+    chosen = chosen.mapInArrow(once, chosen.schema).dropDuplicates(["lang", "h"])
+    return chosen.orderBy("i", "lang").select("text", "lang").collect()
 
 
 def fit(docs: DataFrame, train: Column, text="text", lang="lang", dims=1 << 13, longest=3, sample=1600, landmarks=192, ridge=0.05) -> Classifier | None:

@@ -142,6 +142,15 @@ def test_languages(frame):
     assert len(edges) == len(EDGES) + 1
 
 
+def test_copies_take_no_places_in_the_fit(frame):
+    few, many = sentences(DE, 10), sentences(EN, 150)
+    rows = [(i, few[i % 10], "de") for i in range(3000)] + [(3000 + i, many[0], "en") for i in range(2000)] + [(5000 + i, t, "en") for i, t in enumerate(many[1:])]
+    got = [(r["text"], r["lang"]) for r in language_id.sample_of(frame(rows).select("text", "lang"), 200)]
+    assert len(got) == len(set(got)) == 110
+    assert {t for t, lang in got if lang == "de"} == set(few)
+    assert {t for t, lang in got if lang == "en"} <= set(many)
+
+
 def test_languages_without_labels(frame):
     assert language_id.fit(frame([(1, "abc", None)]), F.lit(True)) is None
     assert language_id.fit(frame([]), F.lit(True)) is None
