@@ -4,7 +4,7 @@ For each host, up to `pages_per_host` pages with different texts are chosen by h
 the first of them by simple tree matching; a node whose text is the same in all of them is template, every other node is a
 varying slot. Each page of the host is then aligned with that tree: what falls on a template node with the same text goes.
 Menus, adverts and comments vary from page to page as well, so slots are told apart by their elements and names (nav,
-footer, class "ad", ...), and the article is the slot that is marked as one or else holds most of the text outside links.
+footer, class "ad", ...), and the article is every slot that is marked as one, or else the deepest that holds all text outside links.
 The choice of pages is a bound on the fit only; every page of every host is extracted, whole.
 
 Defined cases: null and empty pages give an empty text. Pages without a host, and hosts with fewer than three different pages, have no wrapper and are read by
@@ -43,7 +43,7 @@ class Node:
         self.name, self.attrs = name, attrs
         self.parts: list = []  # strings and nodes in page order
         self.kids: list[Node] = []
-        self.links = 0  # characters of own text inside links
+        self.links = 0  # characters of own text inside links, without blanks
         self.constant = False
         self.text_hash = 0
 
@@ -58,7 +58,7 @@ def parse(page: str) -> Node:
             text = entities.unescape(raw) if "&" in raw else raw
             stack[-1].parts.append(text)
             if in_link:
-                stack[-1].links += len(text)
+                stack[-1].links += sum(map(len, text.split()))
 
     def close(to: int) -> None:
         del stack[max(1, to) :]
@@ -199,33 +199,33 @@ def is_noise(node: Node) -> bool:
 
 
 def text_sizes(root: Node, gone: set[int]) -> dict[int, int]:
-    """Characters outside links below each node that stays."""
+    """Characters outside links below each node that stays, without blanks."""
     order = [root]
     for node in order:
         order += [k for k in node.kids if id(k) not in gone]
     sizes: dict[int, int] = {}
     for node in reversed(order):
-        own = len(own_text(node))
+        own = len(own_text(node).replace(" ", ""))
         sizes[id(node)] = max(0, own - node.links) + sum(sizes.get(id(k), 0) for k in node.kids)
     return sizes
 
 
-def article_of(root: Node, gone: set[int], sizes: dict[int, int]) -> Node:
-    """The largest node marked as the article; else the deepest that holds most of the text."""
+def articles_of(root: Node, gone: set[int], sizes: dict[int, int]) -> list[Node]:
+    """The outermost nodes marked as articles, in page order; else the deepest node that holds all text outside links."""
     marked, stack = [], [root]
     while stack:
         node = stack.pop()
         if node.name in ("article", "main") or re.search(r"role\s*=\s*[\"']?main\b", node.attrs, re.I):
             marked.append(node)
-        stack += [k for k in reversed(node.kids) if id(k) not in gone]
+        else:
+            stack += [k for k in reversed(node.kids) if id(k) not in gone]
     if marked:
-        inner = [n for n in marked if n.name == "article"] or marked
-        return max(inner, key=lambda n: sizes[id(n)])
+        return marked
     node = root
     while True:
         kid = max((k for k in node.kids if id(k) not in gone), key=lambda k: sizes[id(k)], default=None)
-        if kid is None or not kid.kids or sizes[id(kid)] < 0.8 * sizes[id(node)]:
-            return node
+        if kid is None or not kid.kids or sizes[id(kid)] < sizes[id(node)]:
+            return [node]
         node = kid
 
 
@@ -265,8 +265,8 @@ def extract(page: str, template: Node | None) -> str:
         for x, y in align(template, tree)[1]:
             if x.constant and x.text_hash == y.text_hash and y.name not in ("html", "body"):
                 gone.add(id(y))
-    root = article_of(tree, gone, text_sizes(tree, gone))
-    return "\n\n".join(blocks_of(root, gone))
+    roots = articles_of(tree, gone, text_sizes(tree, gone))
+    return "\n\n".join(block for root in roots for block in blocks_of(root, gone))
 
 
 def induce_wrappers(pages: DataFrame, pages_per_host: int) -> DataFrame:

@@ -177,6 +177,15 @@ def test_constant_nodes_are_template(spark):
     assert {r.text for r in html_extract.extract_pages(df).where("page_id = 3").collect()} == {"Own text number 3 which goes on for a while\n\nMore own text 3"}
 
 
+def test_no_part_of_an_article_is_cut():
+    long = "Long text of the body, which goes on. " * 20
+    page = f"<body><nav>Menu</nav><div id=content><h1>Title</h1><p>Lead</p><div class=body><p>{long}</p><p>End</p></div><p><a href=/>  More   here </a> ok</p></div><div><a href=/>Link</a></div><footer>f</footer>"
+    assert html_extract.extract(page, None).split("\n\n") == ["Title", "Lead", long.strip(), "End", "More here ok"]
+    parts = f"<body><article><h1>One</h1></article><div><article><p>{long}</p><article>inner</article></article></div><aside><article>ad</article></aside><article>Three</article>"
+    assert html_extract.extract(parts, None).split("\n\n") == ["One", long.strip(), "inner", "Three"]
+    assert html_extract.extract(f"<body><div>x</div><main><h1>Title</h1><article>{long}</article></main>", None).split("\n\n") == ["Title", long.strip()]
+
+
 # Pipeline
 
 
