@@ -46,4 +46,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: the rows as a Parquet table in the shared folder, so that a lost executor costs no recomputing."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Empties tables of `written` that nothing reads any more, by any store's own overwrite."""
+    for df in tables:
+        df.sparkSession.range(0).write.mode("overwrite").parquet(df.written_path)

@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import release, written
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable, for each node of (a, b) with an edge to another node.
 
     Each round hangs every node's larger neighbours, then its smaller ones, under the smallest neighbour; the rounds end
-    when the edges stop changing, after about log(nodes) of them. Minima are combined before the shuffle, and each
-    round's edges are written, so no node's neighbours meet in one task and no lineage builds up.
+    when the edges stop changing, after about log(nodes) of them. Minima are combined before the shuffle. Each round's
+    edges are written, so that no lineage builds up, and those of the round before are released. The edges of a large
+    star meet their one minimum in a join, which Spark splits where it is skewed.
     """
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -25,7 +26,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = written(large, "edges")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
-        now = written(small.where("a <> b").distinct(), "edges")
+        now, old = written(small.where("a <> b").distinct(), "edges"), now
+        release(old, large)
         last, seen = seen, mark(now)
         if seen == last:
             break

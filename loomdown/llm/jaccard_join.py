@@ -7,10 +7,12 @@ the one-deletion neighbourhood is indexed. How many segments of each kind a band
 signatures written against the pairs that would meet by chance among the band's sets.
 
 1. Equal sets fall into classes by a 128-bit hash; one document stands for each class.
-2. Each class writes its signatures. The members of a bucket of equal signatures look to its smallest one, and each
+2. One part of the universe, `slice_share` of it, tells which elements stand in one class only. A class with more of these than linking sets may
+   differ in links with nothing, and goes no further. The part is counted whole, for all classes.
+3. Each class left writes its signatures. The members of a bucket of equal signatures look to its smallest one, and each
    class is compared with that one to which most of its buckets make it look: one pair for a class at most. Verified
    links give first components.
-3. Buckets whose members all lie in one component can add nothing. In the others, each member outside the bucket's
+4. Buckets whose members all lie in one component can add nothing. In the others, each member outside the bucket's
    most frequent component is compared with all members of other components. Those pairs that pass two exact lower bounds
    (parity sketches) are verified on the whole texts, and the components follow from both sets of links.
 
@@ -33,12 +35,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import release, written
 from .graph import components
 from .line_dedup import mix64
 
 SKETCH_WORDS = 8
-ODD = np.uint64(0x9E3779B97F4A7C15)
+ODD, LOW = np.uint64(0x9E3779B97F4A7C15), np.uint64(2**32 - 1)
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -169,21 +171,24 @@ def linked(r: np.ndarray, s: np.ndarray, percent: int) -> bool:
     return both > 0 and 100 * both >= percent * (len(r) + len(s) - both)
 
 
-def classes_of(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n_shingles, k1, k2): equal sets have equal keys."""
+def classes_of(docs: DataFrame, width: int, slice_share: float) -> DataFrame:
+    """(doc_id, n_shingles, k1, k2, part): equal sets have equal keys; part: the elements in `slice_share` of the universe, packed."""
+    below = np.uint64(slice_share * 2**32)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, k1, k2 = [], [], []
+            n, k1, k2, part = [], [], [], []
             for text in batch["text"].to_pylist():
                 e = shingle_set(text, width)
+                mixed = mix64(e, 3)
                 n.append(len(e))
-                k1.append(mix64(e, 3).sum(dtype=np.uint64))
+                k1.append(mixed.sum(dtype=np.uint64))
                 k2.append(mix64(e, 4).sum(dtype=np.uint64))
+                part.append(to_bytes(e[mixed & LOW < below]))
             keys = [np.array(k, np.uint64).view(np.int64) for k in (k1, k2)]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), *map(pa.array, keys)], ["doc_id", "n_shingles", "k1", "k2"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), *map(pa.array, keys), pa.array(part, pa.binary())], ["doc_id", "n_shingles", "k1", "k2", "part"])
 
-    return docs.mapInArrow(rows, "doc_id long, n_shingles long, k1 long, k2 long")
+    return docs.mapInArrow(rows, "doc_id long, n_shingles long, k1 long, k2 long, part binary")
 
 
 def signature_rows(docs: DataFrame, width: int, scheme: Scheme) -> DataFrame:
@@ -209,14 +214,16 @@ def repeated_members(signed: DataFrame, id_type: str, shards_log2: int = 10, loc
 
     Most signatures are alone. They travel to shards as packed arrays, four bytes each and those of the representative, and numpy drops
     them there. shards_log2: with more, shards are smaller and more bits of a signature count. A signature that more than `local_hot` rows of one batch have sends only two of them to its shard, which keeps the others' rows of it
-    alive; all its rows of that batch form a group of their own, so that no shard grows with a large group of copies.
+    alive; the other rows of it in that batch form a group of their own, so that no shard grows with a large group of copies.
+    Rows that repeat a representative count once.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, batch in enumerate(batches):
-            lists = batch["sigs"].to_pylist()
+            reps, once = np.unique(batch["rep"].to_numpy(), return_index=True)
+            lists = batch["sigs"].take(pa.array(once)).to_pylist()
             sig = from_bytes(b"".join(lists)) >> np.uint64(32 - shards_log2)  # the shard, then 32 bits
-            rep = np.repeat(batch["rep"].to_numpy(), [len(x) // WIDTH for x in lists]).astype(id_type)
+            rep = np.repeat(reps, [len(x) // WIDTH for x in lists]).astype(id_type)
             order = np.argsort(sig, kind="stable")
             sig, rep = sig[order], rep[order]
             first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1]))) if len(sig) else np.empty(0, np.int64)
@@ -224,7 +231,7 @@ def repeated_members(signed: DataFrame, id_type: str, shards_log2: int = 10, loc
             place = np.arange(len(sig)) - np.repeat(first, size)
             hot = np.repeat(size > local_hot, size)
             groups: list[tuple] = []
-            for salt, chosen in ((0, ~hot | (place < 2)), (1 + number * 65536 + int(rep[0] % 65536) if len(rep) else 1, hot)):
+            for salt, chosen in ((0, ~hot | (place < 2)), (1 + number * 65536 + int(rep[0] % 65536) if len(rep) else 1, hot & (place > 1))):
                 s, r = sig[chosen], rep[chosen]
                 cuts = np.searchsorted(s >> np.uint64(32), np.arange(2**shards_log2 + 1, dtype=np.uint64))
                 groups += [(k, salt, s[a:b].astype("<u4").tobytes(), r[a:b].tobytes()) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
@@ -234,9 +241,12 @@ def repeated_members(signed: DataFrame, id_type: str, shards_log2: int = 10, loc
     def keep(group: pa.Table) -> pa.Table:
         sig, rep = (np.frombuffer(b"".join(group[k].to_pylist()), kind) for k, kind in (("sigs", "<u4"), ("reps", id_type)))
         if not group["salt"][0].as_py():
-            order = np.argsort(sig, kind="stable")
+            order = np.lexsort((rep, sig))
             sig, rep = sig[order], rep[order]
             same = sig[1:] == sig[:-1]
+            new = np.concatenate(([True], ~(same & (rep[1:] == rep[:-1]))))[: len(sig)]
+            sig, rep = sig[new], rep[new]
+            same = sig[1:] == sig[:-1]
             again = np.concatenate(([False], same)) | np.concatenate((same, [False]))
             sig, rep = sig[again], rep[again]
         return pa.table({"sig": (group["shard"][0].as_py() << 32) + sig.astype(np.int64), "rep": rep.astype(np.int64)})
@@ -266,8 +276,7 @@ def sifted(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that link."""
-    pairs = written(pairs, "jaccard-pairs")
+    """The pairs (a, b) that link; pairs: written."""
     side = lambda k: texts.join(pairs.select(F.col(k).alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias(k), F.col("text").alias(f"text_{k}"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,48 +293,74 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(rows, "a long, b long").distinct()
 
 
-def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 3, percent: int = 90) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row."""
+def linking(pairs: DataFrame, signed: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs that link, as a written table."""
+    near = written(sifted(pairs, signed, percent), "jaccard-pairs")
+    out = written(verified(near, texts, width, percent), "jaccard-links")
+    release(near)
+    return out
+
+
+def not_alone(keyed: DataFrame, percent: int) -> DataFrame:
+    """(n_shingles, k1, k2, rep) of the classes that may link: few enough of their elements are in no other class.
+
+    An element found alone is alone; one that only seems to be shared, as 42 bits of it agree with another's, lets its class stay.
+    """
+    classes = keyed.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "k1", "k2")
+    classes = classes.agg(F.min("doc_id").alias("rep"), (F.min(F.octet_length("part")) / WIDTH).alias("size"))
+    shared = repeated_members(keyed.where("n_shingles > 0 and doc_id is not null").select(F.col("k1").alias("rep"), F.col("part").alias("sigs")), "<i8")
+    shared = shared.groupBy("rep").agg(F.count(F.lit(1)).alias("shared")).withColumnRenamed("rep", "k1")
+    alone = F.col("size") - F.coalesce("shared", F.lit(0))
+    return classes.join(shared, "k1", "left").where(100 * alone <= (100 - percent) * F.col("n_shingles")).select("n_shingles", "k1", "k2", "rep")
+
+
+def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 3, percent: int = 90, slice_share: float | None = None) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row; slice_share: 1.5 times the share in which a set may differ, if not given."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    keyed = written(classes_of(docs, width), "jaccard-keys")
-    classes = keyed.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("rep"))
-    classes = written(classes, "jaccard-classes")
+    parted = written(classes_of(docs, width, min(1.0, 0.015 * (100 - percent) if slice_share is None else slice_share)), "jaccard-parts")
+    classes = written(not_alone(parted, percent), "jaccard-classes")
+    keyed = written(parted.drop("part"), "jaccard-keys")
+    release(parted)
     # Sizes as read from a table of at most a few hundred rows: rounded down to two leading digits of a power of 1.05.
     rounded = F.floor(F.pow(F.lit(1.05), F.floor(F.ln("n_shingles") / math.log(1.05)))).cast("long")
     sizes = classes.groupBy(rounded.alias("n")).agg(F.count(F.lit(1)).alias("c"), F.max("n_shingles").alias("top")).collect()
     scheme = Scheme(percent, {r["n"]: r["c"] for r in sizes}, max([1, *(r["top"] for r in sizes)]))
 
-    reps = docs.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    signed = written(signature_rows(reps, width, scheme), "jaccard-signatures")
+    texts = written(docs.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "jaccard-texts")
+    signed = written(signature_rows(texts, width, scheme), "jaccard-signatures")
     ends = classes.agg(F.min("rep"), F.max("rep")).first()
     id_type = "<u4" if ends[0] is not None and ends[0] >= 0 and ends[1] < 2**32 else "<i8"
     members = written(repeated_members(signed, id_type), "jaccard-repeated")
     lows = members.groupBy("sig").agg(F.min("rep").alias("low"))
-    info = lambda k: signed.select(F.col("rep").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"sketch_{k}")).dropDuplicates([k])
 
     shared = members.join(lows, "sig").where("low <> rep").groupBy("rep", "low").agg(F.count(F.lit(1)).alias("c"))
     star = shared.groupBy("rep").agg(F.max_by("low", F.struct("c", F.negative("low"))).alias("a")).select("a", F.col("rep").alias("b"))
-    links = written(verified(sifted(star, signed, percent), docs, width, percent), "jaccard-links")
-    labels = components(links)
+    links = linking(star, signed, texts, width, percent)
+    labels = written(components(links), "jaccard-labels")
 
-    labelled = members.select("sig", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "rep", F.coalesce("component", "rep").alias("label"))
-    labelled = written(labelled, "jaccard-labels")
+    labelled = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "rep", F.coalesce("component", "rep").alias("label"))
+    labelled = written(labelled, "jaccard-labelled")
     parts = labelled.groupBy("sig", "label").agg(F.count(F.lit(1)).alias("c"))
     main = parts.groupBy("sig").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("sig", "main")
-    open_ = written(labelled.join(main, "sig").join(info("rep").withColumnsRenamed({"n_rep": "n", "sketch_rep": "sketch"}), "rep"), "jaccard-open")
+    info = signed.select("rep", "n", "sketch").dropDuplicates(["rep"])
+    open_ = written(labelled.join(main, "sig").join(info, "rep"), "jaccard-open")
     left = open_.where("label <> main").select("sig", F.col("rep").alias("x"), F.col("label").alias("label_x"), F.col("n").alias("n_x"), F.col("sketch").alias("sketch_x"))
     right = open_.select("sig", F.col("rep").alias("y"), (F.col("label") == F.col("main")).alias("in_main"), F.col("label").alias("label_y"), F.col("n").alias("n_y"), F.col("sketch").alias("sketch_y"))
     meet = (left["sig"] == right["sig"]) & (F.col("label_x") != F.col("label_y")) & (F.col("in_main") | (F.col("x") < F.col("y"))) & within_reach(percent, "x", "y")
     more = left.join(right, meet).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = written(verified(sifted(more, signed, percent), docs, width, percent), "jaccard-more-links")
+    more = linking(more, signed, texts, width, percent)
+    release(members, labelled, open_, signed, texts)
     # The second round's links are between components of the first.
     joined = more.join(labels.select(F.col("node").alias("a"), F.col("component").alias("la")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("component").alias("lb")), "b", "left")
     joined = components(joined.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")))
     final = labels.withColumnRenamed("component", "label").unionByName(joined.select("node", F.col("node").alias("label"))).distinct()
     final = final.groupBy("node").agg(F.min("label").alias("label")).join(joined.withColumnsRenamed({"node": "label", "component": "top"}), "label", "left").select("node", F.coalesce("top", "label").alias("component"))
 
-    class_top = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("n_shingles", "k1", "k2", F.coalesce("component", "rep").alias("component_id"))
-    out = keyed.join(class_top, ["n_shingles", "k1", "k2"], "left")
+    class_top = classes.join(final.withColumnRenamed("node", "rep"), "rep").select("n_shingles", "k1", "k2", F.col("component").alias("component_id"))
+    # A class that links with none still holds its copies: its smallest doc_id stands for them.
+    alone = keyed.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("first_id"))
+    tops = alone.join(class_top, ["n_shingles", "k1", "k2"], "left").select("n_shingles", "k1", "k2", F.coalesce("component_id", "first_id").alias("component_id"))
+    out = keyed.join(tops, ["n_shingles", "k1", "k2"], "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
