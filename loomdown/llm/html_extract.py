@@ -1,22 +1,34 @@
 """Main text of web pages by wrapper induction.
 
-For each host, up to `pages_per_host` pages with different texts are chosen by hash. Their DOM trees are aligned with
-the first of them by simple tree matching; a node whose text is the same in all of them is template, every other node is a
-varying slot. Each page of the host is then aligned with that tree: what falls on a template node with the same text goes.
-Menus, adverts and comments vary from page to page as well, so slots are told apart by their elements and names (nav,
-footer, class "ad", ...), and the article is every slot that is marked as one, or else the deepest that holds all text outside links.
-The choice of pages is a bound on the fit only; every page of every host is extracted, whole.
-
-Defined cases: null and empty pages give an empty text. Pages without a host, and hosts with fewer than three different pages, have no wrapper and are read by
-their elements alone. Repeated rows are extracted each. Broken markup never fails: unclosed elements end with their parent.
+1. For each host, up to `pages_per_host` different pages, those with the smallest hashes, are merged into one template: each page's
+   tree is aligned with it by simple tree matching (the best order-keeping match of children with equal names, then the same
+   within the pairs), and nodes of a kind that it lacks are added. Hosts with fewer than three different pages share one template.
+2. Every page is aligned with its template. A node that falls on a template node is in that slot; a node of a kind that the
+   template lacks there is in an optional slot of its parent. Spark counts for each slot, over all different pages of the host,
+   how often it holds the same text, how much text and how much of it is in links. Pages with the same longest block
+   count once, so that one article under changing menus does not look constant.
+3. The wrapper labels the slots. Constant slots are template: at least three different pages and half of those with the slot have one
+   text there. Slots made of links are menus, even if their texts vary. Slots of elements for menus, headers, footers, sidebars,
+   notices, adverts, forms and comments, by element, role or name, are labelled so too, and so are slots of main content (article, main).
+   All other varying slots are content. What lies in main content is not judged by constancy or links.
+4. A page's text is that of its blocks outside labelled slots; only that in main content if it has some. Nothing but the wrapper removes text.
+
+The choice of pages in step 1 bounds the template tree only; all pages are counted and extracted, whole.
+
+Defined cases: null and empty pages give an empty text. Pages without a host go with the small hosts. Repeated rows are extracted each
+and count once. Ties between alignments go to the first. Broken markup never fails and takes time in proportion to its
+length: unclosed elements end with their parent, an unfinished tag ends the page. Very long or deep pages are read whole. An empty table gives
+no rows; other columns do not matter.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -25,26 +37,33 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|noscript|template|svg|iframe|textarea|select|title)\b[^>]*>.*?(?:</\1\s*>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S | re.I)
-ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+MARK = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(>?)|!--|[!?/])")
+RAW = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+>?", re.I) for name in "script style noscript template svg iframe textarea select title".split()}
+ATTRIBUTE = re.compile(r"([^\s=/\"'>]++)\s*+(?:=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?")
 VOID = frozenset("area base col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup html li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCKS - {"body", "html", "head", "button", "caption", "option", "tbody", "td", "tfoot", "th", "thead", "tr"}
 SIBLING_ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"form"})}
 NOISE_TAGS = frozenset("nav footer aside form head menu button dialog".split())
 NOISE_NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|breadcrumbs?|comments?|consent|cookies?|disqus|footer|header|menu|modal|nav|navbar|navigation|newsletter|notice|popup|promo|related|replies|respond|share|sharing|sidebar|social|sponsor(?:ed)?|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
+COMMENTS = re.compile(r"(?:^|[\s_-])comments?(?:$|[\s_-])", re.I)
+HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu".split())
+#: What a node says of its slot, as bits.
+NAMED, MAIN, WITHIN_MAIN, HOLDER = 1, 2, 4, 8
+#: Elements that may be menus when they hold links alone.
+HOLDERS = frozenset("div dl nav ol section table ul menu center".split())
 
 
 class Node:
-    __slots__ = ("attrs", "constant", "kids", "links", "name", "parts", "text_hash")
+    __slots__ = ("attrs", "kids", "kind", "links", "name", "parts", "text_hash")
 
     def __init__(self, name: str, attrs: str = ""):
         self.name, self.attrs = name, attrs
         self.parts: list = []  # strings and nodes in page order
         self.kids: list[Node] = []
         self.links = 0  # characters of own text inside links, without blanks
-        self.constant = False
+        self.kind = name
         self.text_hash = 0
 
 
@@ -52,6 +71,7 @@ def parse(page: str) -> Node:
     """The tree of block elements; inline elements leave only their text."""
     root = Node("html")
     stack, at, in_link = [root], 0, False
+    places: dict[str, list[int]] = {}  # of the open elements, by name
 
     def put(raw: str) -> None:
         if raw:
@@ -61,35 +81,60 @@ def parse(page: str) -> Node:
                 stack[-1].links += sum(map(len, text.split()))
 
     def close(to: int) -> None:
-        del stack[max(1, to) :]
+        while len(stack) > max(1, to):
+            places[stack.pop().name].pop()
 
-    for m in TOKEN.finditer(page):
-        put(page[at : m.start()])
+    def highest(names: set[str]) -> int:
+        return max((places[n][-1] for n in names if places.get(n)), default=0)
+
+    def add(name: str, attrs: str, opens: bool) -> None:
+        node = Node(name, attrs)
+        stack[-1].parts.append(node)
+        stack[-1].kids.append(node)
+        if opens:
+            places.setdefault(name, []).append(len(stack))
+            stack.append(node)
+
+    while True:
+        m = MARK.search(page, at)
+        put(page[at : m.start() if m else len(page)])
+        if not m:
+            break
         at = m.end()
-        name = m[3]
-        if not name:
+        name = m[2]
+        if not name:  # comments, declarations
+            end = page.find("-->", m.start() + 2) if m[0] == "<!--" else page.find(">", at)
+            if end < 0:
+                break
+            at = end + (3 if m[0] == "<!--" else 1)
             continue
+        if not m[4]:  # a quote that is never closed: the tag ends at the next ">"
+            at = page.find(">", at) + 1
+            if not at:
+                break
         name = name.lower()
-        if name == "a":
-            in_link = not m[2]
+        if name in RAW:
+            if not m[1]:
+                end = RAW[name].search(page, at)
+                if not end:
+                    break
+                at = end.end()
+        elif name == "a":
+            in_link = not m[1]
         elif name == "br":
             stack[-1].parts.append(" ")
         elif name not in BLOCKS:
             if name == "hr":
                 stack[-1].parts.append("\n")
-        elif m[2]:
+        elif m[1]:
             in_link = False
-            found = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].name == name), 0)
-            if found:
-                close(found)
+            if places.get(name):
+                close(places[name][-1])
         elif name in ("html", "body", "head"):
             if name == "body":
                 close(1)
             if name != "html":
-                node = Node(name, m[4])
-                stack[0].parts.append(node)
-                stack[0].kids.append(node)
-                stack.append(node)
+                add(name, m[3], True)
         else:
             in_link = False
             if stack[-1].name == "head":
@@ -98,18 +143,10 @@ def parse(page: str) -> Node:
                 close(len(stack) - 1)
             if name in SIBLING_ENDS:
                 ends, stops = SIBLING_ENDS[name]
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].name in stops:
-                        break
-                    if stack[i].name in ends:
-                        close(i)
-                        break
-            node = Node(name, m[4])
-            stack[-1].parts.append(node)
-            stack[-1].kids.append(node)
-            if not m[4].endswith("/") and name not in VOID:
-                stack.append(node)
-    put(page[at:])
+                last = highest(stops)
+                while (found := highest(ends)) > last:
+                    close(found)
+            add(name, m[3], not m[3].endswith("/") and name not in VOID)
     sign(root)
     return root
 
@@ -118,33 +155,65 @@ def own_text(node: Node) -> str:
     return " ".join(" ".join(p for p in node.parts if isinstance(p, str)).split())
 
 
+def preorder(root: Node) -> list[Node]:
+    out, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        out.append(node)
+        stack += reversed(node.kids)
+    return out
+
+
 def sign(root: Node) -> None:
-    """Gives each node the hash of its own text and of its children's."""
-    order = [root]
-    for node in order:
-        order += node.kids
-    for node in reversed(order):
-        node.text_hash = xxhash.xxh3_64_intdigest("\0".join([own_text(node), *(str(k.text_hash) for k in node.kids)]).encode("utf-8", "surrogatepass"))
-
-
-def align(a: Node, b: Node, depth: int = 0) -> tuple[int, list[tuple[Node, Node]]]:
-    """Simple tree matching: the number of matched nodes and the pairs, for trees with equal roots."""
-    if not a.kids or not b.kids or depth > 60:
-        return 1, [(a, b)]
-    m, n = len(a.kids), len(b.kids)
-    pair: dict[tuple[int, int], tuple[int, list]] = {}
+    """Gives each node its kind, and the hash of its own text and of its children's."""
+    for node in reversed(preorder(root)):
+        if node.attrs:
+            names = [v for name, *values in ATTRIBUTE.findall(node.attrs) if name.lower() in ("class", "id", "role") for v in values if v]
+            node.kind = " ".join([node.name, *re.sub(r"\d+", "0", " ".join(names)).split()])
+        node.text_hash = xxhash.xxh3_64_intdigest("\0".join([own_text(node), *(str(k.text_hash) for k in node.kids)]).encode("utf-8", "surrogatepass")) >> 1
+
+
+class Slot:
+    """A node of a template."""
+
+    __slots__ = ("kids", "kind", "name", "number", "text_hash", "under")
+
+    def __init__(self, kind: str, text_hash: int = 0):
+        self.kind, self.name, self.text_hash = kind, kind.split(" ", 1)[0], text_hash
+        self.kids: list[Slot] = []
+        self.under: set[str] = set()  # kinds of its children
+        self.number = 0
+
+    def adopt(self, kid: Slot, at: int) -> None:
+        self.kids.insert(at, kid)
+        self.under.add(kid.kind)
+
+
+def likeness(a, b, under: set[str]) -> int:
+    """How well two nodes fit, 0 if not at all: equal kinds before equal names, then equal texts and kinds of children."""
+    if a.name != b.name:
+        return 0
+    return 2 + 4 * (a.kind == b.kind) + 3 * (a.text_hash == b.text_hash) + min(3, sum(k.kind in under for k in b.kids[:8]))
+
+
+#: Beyond so many pairs of children, those equal in kind and text are matched first and the others in order between them.
+MOST_CELLS = 2500
+
+
+def matched(a: list, b: list) -> list[tuple[int, int]]:
+    """The best order-keeping match of two lists of children."""
+    m, n = len(a), len(b)
+    if m == 1 and n == 1:
+        return [(0, 0)] if a[0].name == b[0].name else []
+    if m * n > MOST_CELLS:
+        return matched_in_order(a, b)
     best = [[0] * (n + 1) for _ in range(m + 1)]
-    for i, x in enumerate(a.kids):
+    for i, x in enumerate(a):
         row, above = best[i + 1], best[i]
-        for j, y in enumerate(b.kids):
-            w = 0
-            if x.name == y.name:
-                w = 1
-                if x.kids and y.kids:
-                    pair[i, j] = found = align(x, y, depth + 1)
-                    w = found[0]
+        for j, y in enumerate(b):
+            w = likeness(x, y, x.under) if x.name == y.name else 0
             row[j + 1] = max(row[j], above[j + 1], above[j] + w)
-    out, i, j = [(a, b)], m, n
+    out, i, j = [], m, n
     while i and j:
         if best[i][j] == best[i - 1][j]:
             i -= 1
@@ -152,32 +221,105 @@ def align(a: Node, b: Node, depth: int = 0) -> tuple[int, list[tuple[Node, Node]
             j -= 1
         else:
             i, j = i - 1, j - 1
-            out += pair[i, j][1] if (i, j) in pair else [(a.kids[i], b.kids[j])]
-    return 1 + best[m][n], out
+            out.append((i, j))
+    return out[::-1]
+
+
+def matched_in_order(a: list, b: list) -> list[tuple[int, int]]:
+    key = lambda x: (x.kind, x.text_hash)
+    count: dict[tuple, int] = {}
+    for x in [*a, *b]:
+        count[key(x)] = count.get(key(x), 0) + 1
+    where = {key(x): i for i, x in enumerate(a)}
+    # The longest run of pairs that keep their order, by piles.
+    tops: list[int] = []
+    chain: list[tuple[int, int, int]] = []  # (i, j, number of the pair before)
+    ends: list[int] = []
+    for j, y in enumerate(b):
+        i = where.get(key(y))
+        if i is not None and count[key(y)] == 2:
+            pile = bisect_left(tops, i)
+            chain.append((i, j, ends[pile - 1] if pile else -1))
+            tops[pile : pile + 1] = [i]
+            ends[pile : pile + 1] = [len(chain) - 1]
+    anchors, at = [(len(a), len(b))], ends[-1] if ends else -1
+    while at >= 0:
+        i, j, at = chain[at]
+        anchors.append((i, j))
+    out, i, j = [], 0, 0
+    for to_i, to_j in reversed(anchors):
+        waiting: dict[str, list[int]] = {}
+        for k in range(i, to_i):
+            waiting.setdefault(a[k].kind, []).append(k)
+        least = i
+        for k in range(j, to_j):
+            same = waiting.get(b[k].kind, [])
+            found = bisect_left(same, least)
+            if found < len(same):
+                out.append((same[found], k))
+                least = same[found] + 1
+        if to_i < len(a):
+            out.append((to_i, to_j))
+        i, j = to_i + 1, to_j + 1
+    return out
 
 
-def induce(pages: list[str]) -> tuple[str, list[int]] | None:
-    """(page of the template, pre-order numbers of its constant nodes), from pages with different texts."""
-    trees: dict[int, tuple[str, Node]] = {}
-    for page in pages:
-        tree = parse(page)
-        trees.setdefault(tree.text_hash, (page, tree))
-    if len(trees) < 3:
-        return None
-    (page, first), *others = trees.values()
-    same: dict[int, int] = {}
-    for _, other in others:
-        for x, y in align(first, other)[1]:
-            same[id(x)] = same.get(id(x), 0) + (x.text_hash == y.text_hash)
-    return page, [i for i, node in enumerate(preorder(first)) if same.get(id(node), 0) == len(others)]
-
-
-def preorder(root: Node) -> Iterator[Node]:
-    stack = [root]
-    while stack:
-        node = stack.pop()
-        yield node
-        stack += reversed(node.kids)
+class Template:
+    """The merged tree of a host's pages."""
+
+    def __init__(self) -> None:
+        self.root = Slot("html")
+
+    def merge(self, page: Node) -> None:
+        todo = [(self.root, page)]
+        while todo:
+            slot, node = todo.pop()
+            pairs = matched(slot.kids, node.kids)
+            old = list(slot.kids)
+            todo += [(old[i], node.kids[j]) for i, j in pairs]
+            at, after = dict((j, i) for i, j in pairs), 0
+            for j, kid in enumerate(node.kids):
+                if j in at:
+                    after = slot.kids.index(old[at[j]], after) + 1
+                elif kid.kind not in slot.under or not old:
+                    slot.adopt(Slot(kid.kind, kid.text_hash), after)
+                    todo.append((slot.kids[after], kid))
+                    after += 1
+
+    def flat(self) -> tuple[list[str], list[int], list[int]]:
+        """Kinds, text hashes and parents' numbers of all nodes in preorder."""
+        kinds, hashes, parents, stack = [], [], [], [(self.root, -1)]
+        while stack:
+            slot, parent = stack.pop()
+            stack += [(k, len(kinds)) for k in reversed(slot.kids)]
+            kinds.append(slot.kind)
+            hashes.append(slot.text_hash)
+            parents.append(parent)
+        return kinds, hashes, parents
+
+    @classmethod
+    def of(cls, kinds: list[str], hashes: list[int], parents: list[int]) -> Template:
+        out, slots = cls(), []
+        for number, (kind, text_hash, parent) in enumerate(zip(kinds, hashes, parents, strict=True)):
+            slots.append(Slot(kind, text_hash) if number else out.root)
+            slots[-1].number = number
+            if number:
+                slots[parent].adopt(slots[-1], len(slots[parent].kids))
+        return out
+
+    def slots_of(self, page: Node) -> dict[int, int]:
+        """The slot of each node, by the node's id(): a template node's number, or a hash for an optional slot."""
+        found = {id(page): 0}
+        todo: list[tuple[Slot | None, Node]] = [(self.root, page)]
+        while todo:
+            slot, node = todo.pop()
+            own = found[id(node)]
+            at = {j: slot.kids[i] for i, j in matched(slot.kids, node.kids)} if slot and slot.kids and node.kids else {}
+            for j, kid in enumerate(node.kids):
+                fits = at.get(j)
+                found[id(kid)] = fits.number if fits else -1 - (xxhash.xxh3_64_intdigest(f"{own} {kid.kind}".encode("utf-8", "surrogatepass")) >> 1)
+                todo.append((fits, kid))
+        return found
 
 
 def is_noise(node: Node) -> bool:
@@ -189,88 +331,116 @@ def is_noise(node: Node) -> bool:
         name, value = name.lower(), next((v for v in values if v), "")
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value.lower() in NOISE_ROLES):
             return True
-        if name in ("class", "id") and node.name not in ("article", "main") and NOISE_NAMES.search(value):
-            return True
-        if name in ("class", "id") and re.search(r"(?:^|[\s_-])comments?(?:$|[\s_-])", value, re.I):
+        if name in ("class", "id") and (COMMENTS if node.name in ("article", "main") else NOISE_NAMES).search(value):
             return True
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+        if name == "style" and HIDDEN.search(value):
             return True
     return False
 
 
-def text_sizes(root: Node, gone: set[int]) -> dict[int, int]:
-    """Characters outside links below each node that stays, without blanks."""
-    order = [root]
-    for node in order:
-        order += [k for k in node.kids if id(k) not in gone]
-    sizes: dict[int, int] = {}
-    for node in reversed(order):
-        own = len(own_text(node).replace(" ", ""))
-        sizes[id(node)] = max(0, own - node.links) + sum(sizes.get(id(k), 0) for k in node.kids)
-    return sizes
-
-
-def articles_of(root: Node, gone: set[int], sizes: dict[int, int]) -> list[Node]:
-    """The outermost nodes marked as articles, in page order; else the deepest node that holds all text outside links."""
-    marked, stack = [], [root]
-    while stack:
-        node = stack.pop()
-        if node.name in ("article", "main") or re.search(r"role\s*=\s*[\"']?main\b", node.attrs, re.I):
-            marked.append(node)
-        else:
-            stack += [k for k in reversed(node.kids) if id(k) not in gone]
-    if marked:
-        return marked
-    node = root
-    while True:
-        kid = max((k for k in node.kids if id(k) not in gone), key=lambda k: sizes[id(k)], default=None)
-        if kid is None or not kid.kids or sizes[id(kid)] < sizes[id(node)]:
-            return [node]
-        node = kid
-
-
-def blocks_of(root: Node, gone: set[int]) -> list[str]:
-    """The text of each block in page order."""
-    out, run = [], []
+def is_main(node: Node) -> bool:
+    return node.name in ("article", "main") or (bool(node.attrs) and re.search(r"(?<!\S)role\s*=\s*[\"']?main\b", node.attrs, re.I) is not None)
+
+
+def read_page(page: str, template: Template) -> tuple:
+    """What is known of a page: lists over its nodes in preorder, lists over its blocks, and its identity.
+
+    (slots, text hashes, characters outside links, characters in links, bits, last nodes below; nodes of blocks, blocks; hash of the longest block)
+    """
+    root = parse(page)
+    nodes = preorder(root)
+    number = {id(n): i for i, n in enumerate(nodes)}
+    size = len(nodes)
+    chars, links, last, heading = [0] * size, [0] * size, list(range(size)), [False] * size
+    bits = [0] * size
+    for i, node in enumerate(nodes):
+        own = bits[i]
+        if is_main(node):
+            own |= MAIN | WITHIN_MAIN
+        if node.name == "header":
+            own |= 0 if own & WITHIN_MAIN else NAMED
+        elif is_noise(node):
+            own |= NAMED
+        if node.name in HOLDERS:
+            own |= HOLDER
+        bits[i] = own
+        for k in node.kids:
+            bits[number[id(k)]] = own & WITHIN_MAIN
+    for i in range(size - 1, -1, -1):
+        node = nodes[i]
+        own = sum(len(p.replace(" ", "")) for p in node.parts if isinstance(p, str))
+        links[i] += node.links
+        chars[i] += max(0, own - node.links)
+        heading[i] |= node.name in ("h1", "h2")
+        for k in node.kids:
+            at = number[id(k)]
+            chars[i], links[i], heading[i] = chars[i] + chars[at], links[i] + links[at], heading[i] | heading[at]
+        if node.kids:
+            last[i] = last[number[id(node.kids[-1])]]
+        # A header in main content is its title if it holds a heading.
+        if node.name == "header" and not heading[i]:
+            bits[i] |= NAMED
+    block_nodes, blocks, run = [], [], []
+    longest: tuple[int, str] = (0, "")
+    stack: list = [root]
+    open_: list[int] = []
 
     def flush() -> None:
+        nonlocal longest
         text = " ".join("".join(run).split())
         if text:
-            out.append(text)
+            block_nodes.append(open_[-1])
+            blocks.append(text)
+            longest = max(longest, (len(text), text))
         run.clear()
 
-    stack: list = [root]
     while stack:
         part = stack.pop()
-        if part is None:
-            flush()
-        elif isinstance(part, str):
+        if isinstance(part, str):
             run.append(part)
-        elif id(part) not in gone:
+            continue
+        if open_:
             flush()
+        if part is None:
+            open_.pop()
+        else:
+            open_.append(number[id(part)])
             stack.append(None)
             stack += reversed(part.parts)
-    flush()
-    return out
+    slots = template.slots_of(root)
+    return [slots[id(n)] for n in nodes], [n.text_hash for n in nodes], chars, links, bits, last, block_nodes, blocks, xxhash.xxh3_64_intdigest(longest[1].encode("utf-8", "surrogatepass")) >> 1
+
 
+def chosen_text(slots: list[int], last: list[int], block_nodes: list[int], blocks: list[str], noise: set[int], mains: set[int]) -> str:
+    """The blocks outside noise slots, and only those in main content if there are any."""
 
-def extract(page: str, template: Node | None) -> str:
-    """The main text of a page; template: its host's tree with its constant nodes marked."""
-    tree = parse(page)
-    gone = {id(n) for n in preorder(tree) if is_noise(n)}
-    # A header is the page's, unless it stands in an article and holds its heading.
-    titles = {id(h) for a in preorder(tree) if a.name == "article" for h in preorder(a) if h.name == "header" and any(k.name in ("h1", "h2") for k in preorder(h))}
-    gone |= {id(n) for n in preorder(tree) if n.name == "header"} - titles
-    if template is not None:
-        for x, y in align(template, tree)[1]:
-            if x.constant and x.text_hash == y.text_hash and y.name not in ("html", "body"):
-                gone.add(id(y))
-    roots = articles_of(tree, gone, text_sizes(tree, gone))
-    return "\n\n".join(block for root in roots for block in blocks_of(root, gone))
+    def below(chosen: set[int]) -> np.ndarray:
+        depth = np.zeros(len(slots) + 1, np.int64)
+        for i, slot in enumerate(slots):
+            if slot in chosen:
+                depth[i] += 1
+                depth[last[i] + 1] -= 1
+        return np.cumsum(depth)[np.array(block_nodes, np.int64)] > 0
 
+    if not blocks:
+        return ""
+    kept = ~below(noise)
+    main = kept & below(mains)
+    return "\n\n".join(b for b, k in zip(blocks, main if main.any() else kept, strict=True) if k)
 
-def induce_wrappers(pages: DataFrame, pages_per_host: int) -> DataFrame:
-    """(host, page, constants) for each host with enough pages; pages: (host, html)."""
+
+TEMPLATE = "kinds array<string>, hashes array<long>, parents array<int>"
+
+
+def template_row(pages: list[str]) -> tuple[list[str], list[int], list[int]]:
+    out = Template()
+    for page in pages:
+        out.merge(parse(page))
+    return out.flat()
+
+
+def induce_templates(pages: DataFrame, pages_per_host: int, least_pages: int) -> tuple[DataFrame, Template]:
+    """(host, template) for each host with enough pages, and the template of the others; pages: (host, html)."""
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each task's pages with the smallest hashes of their texts, for each host."""
@@ -287,38 +457,83 @@ def induce_wrappers(pages: DataFrame, pages_per_host: int) -> DataFrame:
 
     few = pages.mapInArrow(choose, "host string, h long, html string").dropDuplicates(["host", "h"])
     few = few.withColumn("i", F.row_number().over(W.partitionBy("host").orderBy("h"))).where(F.col("i") <= pages_per_host)
+    few = written(few.withColumn("n", F.when(F.col("host") == "", 0).otherwise(F.count(F.lit(1)).over(W.partitionBy("host")))), "wrapper-pages")
 
     def learn(group: pa.Table) -> pa.Table:
-        found = induce(group["html"].to_pylist())
-        rows = [(group["host"][0].as_py(), *found)] if found else []
-        cols = zip(*rows, strict=True) if rows else ([], [], [])
-        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.list_(pa.int32())), strict=True)], ["host", "page", "constants"])
+        kinds, hashes, parents = template_row(group.sort_by("h")["html"].to_pylist())
+        return pa.table({"host": group["host"][:1], "kinds": pa.array([kinds], pa.list_(pa.string())), "hashes": pa.array([hashes], pa.list_(pa.int64())), "parents": pa.array([parents], pa.list_(pa.int32()))})
 
-    return few.select("host", "html").groupBy("host").applyInArrow(learn, "host string, page string, constants array<int>")
+    templates = few.where(F.col("n") >= least_pages).select("host", "h", "html").groupBy("host").applyInArrow(learn, f"host string, {TEMPLATE}")
+    rest = few.where(F.col("n") < least_pages).orderBy("h").limit(pages_per_host).select("html").collect()
+    return written(templates, "templates"), Template.of(*template_row([r["html"] for r in rest]))
 
 
-def extract_pages(pages: DataFrame, html: str = "html", url: str = "url", page_id: str = "page_id", pages_per_host: int = 5) -> DataFrame:
+def read_pages(pages: DataFrame, templates: DataFrame, shared: Template) -> DataFrame:
+    """A row for each page with what read_page() gives, and the group of pages that its wrapper is for."""
+    longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
+    kinds = {"slots": longs, "hashes": longs, "chars": ints, "links": ints, "bits": ints, "last": ints, "block_nodes": ints, "blocks": pa.list_(pa.string()), "identity": pa.int64()}
+    names = {longs: "array<long>", ints: "array<int>", pa.list_(pa.string()): "array<string>", pa.int64(): "long"}
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[str | None, Template] = (None, shared)
+        for batch in batches:
+            found, groups = [], []
+            own = batch["kinds"].is_valid().to_pylist()
+            for i, (host, page) in enumerate(zip(batch["host"].to_pylist(), batch["html"].to_pylist(), strict=True)):
+                if not own[i]:
+                    host = ""
+                elif host != last[0]:
+                    last = (host, Template.of(*(batch[k][i].as_py() for k in ("kinds", "hashes", "parents"))))
+                groups.append(host)
+                found.append(read_page(page, last[1] if own[i] else shared))
+            cols = [pa.array(c, t) for c, t in zip(zip(*found, strict=True) if found else [[]] * len(kinds), kinds.values(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(groups, pa.string()), *cols], ["page_id", "url", "wrapper", *kinds])
+
+    kind = dict(pages.dtypes)["page_id"]
+    schema = f"page_id {kind}, url string, wrapper string, " + ", ".join(f"{k} {names[t]}" for k, t in kinds.items())
+    return pages.join(templates, "host", "left").select("page_id", "url", "host", "html", *("kinds", "hashes", "parents")).mapInArrow(rows, schema)
+
+
+def label_slots(pages: DataFrame, least_pages: int = 3, constant_share: float = 0.5, link_share: float = 0.6) -> DataFrame:
+    """(wrapper, noise, mains): the labelled slots of each wrapper, from all different pages."""
+    zipped = F.explode(F.arrays_zip("slots", "hashes", "chars", "links", "bits")).alias("z")
+    seen = pages.select("wrapper", "identity", zipped).select("wrapper", "identity", "z.*")
+    key = ["wrapper", "slots"]
+    # An optional slot may occur several times in a page: it is one observation then.
+    seen = seen.groupBy(*key, "identity").agg(F.max("hashes").alias("hash"), F.max("chars").alias("chars"), F.max("links").alias("links"), F.bit_or("bits").alias("bits"))
+    texts = seen.groupBy(*key, "hash").agg(F.count(F.lit(1)).alias("n"), *(F.sum(k).alias(k) for k in ("chars", "links")), F.bit_or("bits").alias("bits"))
+    slots = texts.groupBy(*key).agg(F.max("n").alias("top"), *(F.sum(k).alias(k) for k in ("n", "chars", "links")), F.bit_or("bits").alias("bits"))
+    has = lambda bit: F.col("bits").bitwiseAND(F.lit(bit)) > 0
+    size = F.col("chars") + F.col("links")
+    constant = (F.col("top") >= least_pages) & (F.col("top") >= constant_share * F.col("n")) & (size > 0) & (F.col("slots") != 0)
+    menu = has(HOLDER) & (F.col("links") > link_share * size)
+    noise = has(NAMED) | (~has(WITHIN_MAIN) & (constant | menu))
+    labelled = slots.select("wrapper", "slots", noise.alias("noise"), (has(MAIN) & ~noise).alias("main")).where("noise or main")
+    return labelled.groupBy("wrapper").agg(F.collect_list(F.when(F.col("noise"), F.col("slots"))).alias("noise"), F.collect_list(F.when(F.col("main"), F.col("slots"))).alias("mains"))
+
+
+def extract_pages(pages: DataFrame, html: str = "html", url: str = "url", page_id: str = "page_id", pages_per_host: int = 6, least_pages: int = 3) -> DataFrame:
     """(page_id, url, text) for each page."""
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     slim = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"), host.alias("host"))
-    wrappers = written(induce_wrappers(slim.where("host <> '' and html <> ''").select("host", "html"), pages_per_host), "wrappers")
+    templates, shared = induce_templates(slim.where("html <> ''").select("host", "html"), pages_per_host, least_pages)
+    read = written(read_pages(slim, templates, shared), "pages-read")
+    wrappers = written(label_slots(read, least_pages), "wrappers")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[str | None, Node | None] = (None, None)
+        last: tuple[str | None, set[int], set[int]] = (None, set(), set())
         for batch in batches:
             texts = []
-            for page, template, constants in zip(*(batch[k].to_pylist() for k in ("html", "page", "constants")), strict=True):
-                if template is not None and template != last[0]:
-                    tree = parse(template)
-                    at = set(constants)
-                    for i, node in enumerate(preorder(tree)):
-                        node.constant = i in at
-                    last = (template, tree)
-                texts.append(extract(page, last[1] if template is not None else None))
+            lists = [batch[k].to_pylist() for k in ("wrapper", "slots", "last", "block_nodes", "blocks")]
+            for i, (wrapper, *page) in enumerate(zip(*lists, strict=True)):
+                if wrapper != last[0]:
+                    last = (wrapper, *(set(batch[k][i].as_py() or ()) for k in ("noise", "mains")))
+                texts.append(chosen_text(*page, *last[1:]))
             yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     kind = dict(slim.dtypes)["page_id"]
-    return slim.join(wrappers, "host", "left").select("page_id", "url", "html", "page", "constants").mapInArrow(rows, f"page_id {kind}, url string, text string")
+    joined = read.select("page_id", "url", "wrapper", "slots", "last", "block_nodes", "blocks").join(wrappers, "wrapper", "left")
+    return joined.mapInArrow(rows, f"page_id {kind}, url string, text string")
 
 
 def op10_html_extraction(spark, sf_dir: str) -> DataFrame:
