@@ -8,9 +8,13 @@ whichever order its parts stand, so that passages with moved sentences are caugh
 The benchmark is a stated query set. It is read in blocks of about `block_chars` characters, each small enough to be sent to all
 tasks whatever the benchmark's size, and every block is held against all rows.
 
+Runs that repeat make many pairs of places. Where there are more than a few for each word, the longest run is found by
+halving over lengths with window fingerprints of what is unmarked, in which equal runs meet as one; the tiles are the same.
+
 Defined cases: words are runs of letters, digits and underscores, lower-cased. An item of fewer than `min_match` words
 must stand in the document whole; one without words matches nothing. Null and empty texts match nothing. Items with equal texts are
-reported each. Repeated rows of a doc_id give one row with the best coverage; rows with a null doc_id give a null one.
+reported each. Of equally long runs the first in the item, then in the document, is marked first. Very long texts are searched whole. Repeated
+rows of a doc_id give one row with the best coverage; rows with a null doc_id give a null one. Empty tables give no rows; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -44,6 +48,18 @@ def fingerprints(words: np.ndarray, width: int) -> np.ndarray:
     return out ^ (out >> np.uint64(31))
 
 
+def long_fingerprints(words: np.ndarray, width: int) -> np.ndarray:
+    """As fingerprints(), in a number of steps that grows with the logarithm of the width."""
+    if len(words) < width:
+        return np.empty(0, np.uint64)
+    out, size = words.astype(np.uint64), 1
+    for bit in bin(width)[3:]:
+        out, size = out[:-size] * np.uint64(pow(int(BASE), size, 2**64)) + out[size:], 2 * size
+        if bit == "1":
+            out, size = out[:-1] * BASE + words[size:], size + 1
+    return out ^ (out >> np.uint64(31))
+
+
 class Seeds:
     """The items of a block by the fingerprints of their windows."""
 
@@ -60,10 +76,10 @@ class Seeds:
             at = np.concatenate([np.arange(len(p)) for _, p in rows])[order]
             self.by_width[width] = prints[order], item, at
 
-    def shared(self, words: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(item, places in the item, places in the document) of each item with a seed in the document."""
+    def shared(self, words: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(item, places in the item) of each item with a seed in the document."""
         for width, (prints, item, at) in self.by_width.items():
-            own = fingerprints(words, width)
+            own = np.unique(fingerprints(words, width))
             first = np.searchsorted(prints, own, "left")
             hit = np.flatnonzero((first < len(prints)) & (prints[np.minimum(first, len(prints) - 1)] == own))
             if not len(hit):
@@ -71,10 +87,63 @@ class Seeds:
             first, last = first[hit], np.searchsorted(prints, own[hit], "right")
             many = last - first
             entry = np.arange(many.sum()) + np.repeat(first - (np.cumsum(many) - many), many)
-            doc_at = np.repeat(hit, many)
-            for k in np.unique(item[entry]):
-                of = item[entry] == k
-                yield int(k), at[entry[of]], doc_at[of]
+            entry = entry[np.argsort(item[entry], kind="stable")]
+            cuts = np.flatnonzero(np.diff(item[entry])) + 1
+            for part in np.split(entry, cuts):
+                yield int(item[part[0]]), np.sort(at[part])
+
+
+def common_places(a: np.ndarray, b: np.ndarray, a_at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """All pairs of places with equal windows, or None if there are more than a few for each word."""
+    x, y = fingerprints(a, width)[a_at], fingerprints(b, width)
+    order = np.argsort(y, kind="stable")
+    first, last = (np.searchsorted(y[order], x, side) for side in ("left", "right"))
+    many = last - first
+    if many.sum() > 16 * (len(a) + len(b)):
+        return None
+    entry = np.arange(many.sum()) + np.repeat(first - (np.cumsum(many) - many), many)
+    return np.repeat(a_at, many), order[entry]
+
+
+def tiles_by_length(a: np.ndarray, b: np.ndarray, width: int) -> list[tuple[int, int, int]]:
+    """Greedy tiling as tiles() gives it, without pairs of places."""
+    free_a, free_b = np.ones(len(a), bool), np.ones(len(b), bool)
+
+    def windows(words: np.ndarray, free: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(fingerprints, places) of the windows of free words."""
+        taken = np.concatenate(([0], np.cumsum(~free)))
+        at = np.flatnonzero(taken[size:] == taken[:-size])
+        return long_fingerprints(words, size)[at], at
+
+    def meets(size: int) -> bool:
+        return size <= min(len(a), len(b)) and bool(np.isin(windows(a, free_a, size)[0], windows(b, free_b, size)[0]).any())
+
+    out, most = [], min(len(a), len(b))
+    while True:
+        low, high = width - 1, most + 1  # runs of `low` words or no tile at all; none of `high`
+        while high - low > 1:
+            middle = (low + high) // 2
+            low, high = (middle, high) if meets(middle) else (low, middle)
+        if low < width:
+            return out
+        x, x_at = windows(a, free_a, low)
+        y, y_at = windows(b, free_b, low)
+        order = np.argsort(y, kind="stable")
+        y, y_at = y[order], y_at[order]
+        next_ = np.searchsorted(y, x, "left")  # the first of the places with this window that may be free
+        cursor: dict[int, int] = {}
+        for value, i, at in zip(x.tolist(), x_at.tolist(), next_.tolist(), strict=True):
+            if not free_a[i : i + low].all():
+                continue
+            k = cursor.get(value, at)
+            while k < len(y) and y[k] == value and not free_b[y_at[k] : y_at[k] + low].all():
+                k += 1
+            cursor[value] = k
+            if k < len(y) and y[k] == value:
+                j = int(y_at[k])
+                free_a[i : i + low] = free_b[j : j + low] = False
+                out.append((i, j, low))
+        most = low - 1
 
 
 def tiles(item_at: np.ndarray, doc_at: np.ndarray, width: int, n_item: int, n_doc: int) -> list[tuple[int, int, int]]:
@@ -105,14 +174,15 @@ def tiles(item_at: np.ndarray, doc_at: np.ndarray, width: int, n_item: int, n_do
 def best_tilings(seeds: Seeds, text: str | None, coverage: float) -> Iterator[tuple[int, float, int, int]]:
     """(item_id, coverage, tiles, longest tile) of the items covered to at least `coverage`."""
     words = word_hashes(text)
-    for k, item_at, doc_at in seeds.shared(words):
+    for k, item_at in seeds.shared(words):
         n, width = len(seeds.words[k]), seeds.widths[k]
         reach = np.zeros(n + 1, np.int64)  # words that any seed touches: tiles can cover no more
         np.add.at(reach, item_at, 1)
         np.add.at(reach, item_at + width, -1)
         if np.count_nonzero(np.cumsum(reach[:-1])) < coverage * n:
             continue
-        found = tiles(item_at, doc_at, width, n, len(words))
+        pairs = common_places(seeds.words[k], words, item_at, width)
+        found = tiles(*pairs, width, n, len(words)) if pairs else tiles_by_length(seeds.words[k], words, width)
         share = sum(t[2] for t in found) / n
         if share >= coverage:
             yield seeds.ids[k], share, len(found), found[0][2]
