@@ -2,15 +2,16 @@
 
 Every line's key (stripped of blanks, A-Z lower-cased) has a 128-bit hash. The hashes of keys that at least two
 documents hold are dealt to shards; each shard gets a minimal perfect hash whose slots index three compact arrays:
-a 64-bit fingerprint, the number of lines and the smallest doc_id that holds the key. Documents probe these arrays.
+a 64-bit fingerprint, the number of documents and the smallest doc_id that holds the key. Documents probe these arrays. The number of shards
+follows that of keys and that of probes, so that both fit in a task.
 
 Keys with more than `hot_share` of all (document, key) pairs are at most 1 / hot_share; their arrays go to every task,
 which probes them while it reads. The other probes, 24 bytes each, travel to their shard, where no key has more than
 `hot_share` of them. A document's verdicts return to it by doc_id. Two keys are taken for one only if all 128 bits agree.
 
 Defined cases: a null or empty text is one empty line. Keys under `min_chars` code points are never dropped. Repeated rows
-of one doc_id count as one document and get one row each. Rows with a null doc_id keep all lines and do not count.
-Other columns do not matter.
+of one doc_id count as one document and get one row each, and among documents the smallest doc_id keeps the line. Rows with a null doc_id keep all
+lines and do not count. Very long texts are split whole. An empty table gives no rows; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import BLANKS, written
@@ -105,11 +106,11 @@ class Index:
         return cls(phf, *arrays)
 
     def probe(self, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each key whether it is held, and the smallest doc_id that holds it."""
+        """For each key whether two documents or more hold it, and the smallest doc_id that does."""
         if not len(self.prints):
             return np.zeros(len(h1), bool), np.zeros(len(h1), np.int64)
         slot = self.phf.slots(mix64(h1, 0) ^ h2)
-        found = (slot >= 0) & (self.prints[slot] == h1)
+        found = (slot >= 0) & (self.prints[slot] == h1) & (self.counts[slot] > 1)
         return found, self.owners[slot]
 
 
@@ -148,12 +149,14 @@ def document_keys(docs: DataFrame, min_chars: int, hot: Index | None = None) ->
     return docs.mapInArrow(rows, "h1 long, h2 long, doc_id long")
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_chars: int = 10, hot_share: float = 2e-5, shard_keys: int = 50_000) -> DataFrame:
+def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_chars: int = 10, hot_share: float = 2e-5, shard_keys: int = 50_000, shard_probes: int = 1_000_000) -> DataFrame:
     """(doc_id, n_lines, n_dropped, text) for each row: the text without the lines that an earlier document holds."""
     spark = docs.sparkSession
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     pairs = document_keys(slim, min_chars)
     keys = pairs.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"))
+    seen = Observation()
+    keys = keys.observe(seen, F.sum("n").alias("probes"))
     keys = written(keys.where("owner <> last").drop("last"), "line-keys")
     facts = keys.agg(F.count(F.lit(1)).alias("keys"), F.sum("n").alias("pairs")).first()
     # Hot keys: more than hot_share of the pairs of held keys, so at most 1 / hot_share of them whatever the input.
@@ -161,7 +164,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min
     top = keys.where(F.col("n") > least).toPandas()
     u = lambda x: np.asarray(x, np.int64).view(np.uint64)
     hot = Index.build(u(top["h1"]), u(top["h2"]), np.asarray(top["n"], np.int64), np.asarray(top["owner"], np.int64))
-    shards = max(1024, -(-facts["keys"] // shard_keys))
+    shards = max(1024, -(-facts["keys"] // shard_keys), -(-(seen.get["probes"] or 0) // shard_probes))
     shard = lambda df: df.withColumn("shard", F.pmod(F.col("h1"), F.lit(shards)).cast("int"))
 
     def build(group: pa.Table) -> pa.Table:
@@ -200,7 +203,10 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min
                 out.append((i, len(lines), len(lines) - len(kept), b"\n".join(kept).decode("utf-8", "surrogatepass")))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)] if out else [pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.string())], ["doc_id", "n_lines", "n_dropped", "text"])
 
-    return slim.join(verdicts, "doc_id", "left").mapInArrow(cut, "doc_id long, n_lines long, n_dropped long, text string")
+    # Rows without an id have no verdict and need not meet in a join.
+    judged = slim.where("doc_id is not null").join(verdicts, "doc_id", "left")
+    judged = judged.unionByName(slim.where("doc_id is null").withColumn("drop", F.lit(None).cast(judged.schema["drop"].dataType)))
+    return judged.mapInArrow(cut, "doc_id long, n_lines long, n_dropped long, text string")
 
 
 def op2_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -4,9 +4,10 @@ A flat token file is nothing but ids, 16 or 32 bits each, little-endian, with an
 cut into blocks of `block_ids` ids, and numpy finds the separators of a block at once. A document that runs over the end of
 a block, or of a file, is stitched by a prefix scan: each block says how many ids and separators it has and where its
 last separator is; sums and maxima over the blocks before it, first within its file and then over the files in the order
-of their names, give every document its number, its start and its length.
+of the numbers in their names, give every document its number, its start and its length. The scan over files sees one row a file.
 
-Defined cases: ids after the last separator form a last document without an end. Empty files hold no document. A file whose
+Defined cases: a null or empty text is a document of one id, its end. Repeated rows are counted each, also those with a null doc_id. Very long
+texts are counted whole. An empty table gives no rows; other columns do not matter. Ids after the last separator form a last document without an end. Empty files hold no document. A file whose
 length is no multiple of an id's is an error.
 """
 
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -42,6 +43,12 @@ def blocks_of(spark, path: str, end_id: int, block_ids: int, id_type: str) -> Da
     return files.select("path", "content").mapInArrow(rows, "path string, block long, n_ids long, seps array<long>")
 
 
+def file_order() -> Column:
+    """Files by the task and the number within it that their names give, then by name."""
+    number = lambda p: F.coalesce(F.regexp_extract("path", p, 1).try_cast("long"), F.lit(-1))
+    return F.struct(number(r"part-([0-9]+)[^/]*$"), number(r"-c([0-9]+)[^/-]*$"), "path")
+
+
 def scan_token_files(spark, path: str, end_id: int = END, block_ids: int = 1 << 16, id_type: str = "<u4") -> DataFrame:
     """(path, doc_no, start, n_tokens, closed) of every document; path: the file with its end; n_tokens counts the separator."""
     blocks = written(blocks_of(spark, path, end_id, block_ids, id_type), "separators")
@@ -52,7 +59,7 @@ def scan_token_files(spark, path: str, end_id: int = END, block_ids: int = 1 <<
     local = local.withColumn("last", F.when(count > 0, F.col("ids_before") + F.element_at("seps", -1)))
     local = local.withColumn("last_before", F.max("last").over(before))
     files = local.groupBy("path").agg(F.sum("n_ids").alias("file_ids"), F.sum(count).alias("file_seps"), F.max("last").alias("file_last"))
-    earlier = W.orderBy("path").rowsBetween(W.unboundedPreceding, -1)
+    earlier = W.orderBy(file_order()).rowsBetween(W.unboundedPreceding, -1)
     files = files.withColumn("base", sums("file_ids", earlier)).withColumn("seps_base", sums("file_seps", earlier))
     files = files.withColumn("stitch", F.max(F.col("base") + F.col("file_last")).over(earlier))
     files = written(files, "separator-files")  # one row a file
@@ -63,7 +70,7 @@ def scan_token_files(spark, path: str, end_id: int = END, block_ids: int = 1 <<
     df = df.select("path", "first_no", "opened", "ends", F.posexplode("ends").alias("i", "end"))
     start = F.when(F.col("i") == 0, F.col("opened")).otherwise(F.get("ends", F.col("i") - 1) + 1)
     closed = df.select("path", (F.col("first_no") + F.col("i")).alias("doc_no"), start.alias("start"), (F.col("end") + 1 - start).alias("n_tokens"), F.lit(True).alias("closed"))
-    total = files.agg(F.max("path").alias("path"), F.sum("file_seps").alias("doc_no"), F.max(F.col("base") + F.col("file_last") + 1).alias("start"), F.sum("file_ids").alias("ids"))
+    total = files.agg(F.max_by("path", file_order()).alias("path"), F.sum("file_seps").alias("doc_no"), F.max(F.col("base") + F.col("file_last") + 1).alias("start"), F.sum("file_ids").alias("ids"))
     tail = total.select("path", "doc_no", F.coalesce("start", F.lit(0)).alias("start"), (F.col("ids") - F.coalesce("start", F.lit(0))).alias("n_tokens"), F.lit(False).alias("closed"))
     return closed.unionByName(tail.where("n_tokens > 0"))
 
@@ -85,7 +92,7 @@ def write_flat(docs: DataFrame, path: str, tokenizer: str, text: str = "text", i
     coded = docs.select(F.col(text).alias("text")).mapInArrow(rows, "ids binary")
     # The cast keeps the bytes as they are; the writer ends each row with the separator, an id of zero bytes.
     coded = coded.select(F.col("ids").cast("string").alias("value"))
-    coded.write.option("maxRecordsPerFile", 20_000).option("lineSep", "\0" * np.dtype(id_type).itemsize).text(path)
+    coded.write.option("maxRecordsPerFile", 5_000).option("lineSep", "\0" * np.dtype(id_type).itemsize).text(path)
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id", id_type: str = "<u2") -> DataFrame:
