@@ -14,6 +14,7 @@ from .chars import BLANK, BLOCKS, CELL_BLOCKS, HEADINGS, PARAGRAPHS, is_glyph, l
 from .dom import Node
 from .surgery import cells_of, rows_of
 
+# Patterns that must match, as in functions/text.py.
 LINK = re.compile(r"\[([^\]\n]+)\]\([^)\n]*\)")
 SPACES = re.compile(r"[ \t\n\r\u00a0]+")
 SPECIAL = re.compile(r"([\\`*_\[\]])")
