@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..kernel.chars import BLANK_CLASS, CELL_BLOCKS, DELETED_CLASS, FLEX, HEADINGS, HIDING, NON_TEXT, SPACED_CLASS
+from ..kernel.chars import BLANK, BLANK_CLASS, CELL_BLOCKS, DELETED_CLASS, FLEX, HEADINGS, HIDING, NON_TEXT, SPACED_CLASS
 from ..kernel.chars import BLOCKS as BLOCK_NAMES
 
 # Patterns that both Java and RE2 read alike.
 IE_CONDITIONAL = r"(?si)<!\[if[^\]]*\]>.*?<!\[endif\]>"
 COMMENT = r"(?s)<!--.*?-->"
-ENDS = rf"^[{BLANK_CLASS}]+|[{BLANK_CLASS}]+\z"
 LINK = r"\[([^\]\n]+)\]\([^)\n]*\)"
 LINK_ONLY = r"\A\[[^\]\n]+\]\([^)\n]*\)\z"
 HEADING = rf"\A[{BLANK_CLASS}]*(#{{1,6}}) "
@@ -43,7 +42,7 @@ def flatten_link_text(text: Column) -> Column:
 
 
 def trim_blanks(text: Column) -> Column:
-    return F.regexp_replace(text, ENDS, "")
+    return F.btrim(text, F.lit(BLANK))
 
 
 def one_line(text: Column) -> Column:

@@ -6,13 +6,14 @@ from collections.abc import Iterator
 
 
 class Node:
-    __slots__ = ("attrs", "foreign", "kids", "kind", "name", "parent", "text")
+    __slots__ = ("attrs", "foreign", "hint", "kids", "kind", "name", "parent", "text")
 
     def __init__(self, kind: str, name: str = "", attrs: dict[str, str] | None = None, text: str = ""):
         self.kind, self.name, self.attrs, self.text = kind, name, attrs or {}, text
         self.kids: list[Node] = []
         self.parent: Node | None = None
         self.foreign = False
+        self.hint = 0  # about where it stands among its siblings
 
     @classmethod
     def element(cls, name: str, *kids: Node) -> Node:
@@ -26,7 +27,16 @@ class Node:
         return cls("text", text=text)
 
     def place(self) -> int:
-        return next(i for i, k in enumerate(self.parent.kids) if k is self)
+        """Searched outwards from where it was last, as siblings move by few places between two looks."""
+        kids = self.parent.kids
+        low = high = min(self.hint, len(kids) - 1)
+        while low >= 0 or high < len(kids):
+            for i in (low, high):
+                if 0 <= i < len(kids) and kids[i] is self:
+                    self.hint = i
+                    return i
+            low, high = low - 1, high + 1
+        raise ValueError("not among its parent's children")
 
     def detach(self) -> None:
         if self.parent is not None:
@@ -35,15 +45,16 @@ class Node:
 
     def append(self, node: Node) -> None:
         node.detach()
-        node.parent = self
+        node.parent, node.hint = self, len(self.kids)
         self.kids.append(node)
 
     def put_before(self, *nodes: Node) -> None:
         """Moves the nodes to just before this one."""
         for node in nodes:
             node.detach()
-            node.parent = self.parent
-            self.parent.kids.insert(self.place(), node)
+            at = self.place()
+            node.parent, node.hint, self.hint = self.parent, at, at + 1
+            self.parent.kids.insert(at, node)
 
     def unwrap(self) -> None:
         """Leaves the children in the node's place."""

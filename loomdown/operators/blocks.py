@@ -20,15 +20,19 @@ def explode_blocks(df: DataFrame, key: str, blocks: Column) -> DataFrame:
 
 def drop_empty_sections(blocks: DataFrame) -> DataFrame:
     level, order = X.block_level(F.col("block")), W.partitionBy(DOC).orderBy("pos")
-    return blocks.withColumn("next", F.lead(level).over(order)).where(F.coalesce(F.col("next") > level, F.lit(True))).drop("next")
+    judged = blocks.select(F.struct("*").alias("row"), F.coalesce(F.lead(level).over(order) > level, F.lit(True)).alias("keep"))
+    return judged.where("keep").select("row.*")
 
 
 def compress_heading_levels(blocks: DataFrame) -> DataFrame:
-    df = blocks.withColumn("level", X.block_level(F.col("block")))
-    df = df.withColumn("rank", F.dense_rank().over(W.partitionBy(DOC, F.col("level").isNull()).orderBy("level")))
-    df = df.withColumn("used", F.size(F.collect_set("level").over(W.partitionBy(DOC))))
-    ranked = F.concat(F.repeat(F.lit("#"), F.col("rank")), F.regexp_replace("block", r"\A#*", ""))
-    return df.select(DOC, "pos", F.when(F.col("level").isNotNull() & (F.col("used") >= 2), ranked).otherwise(F.col("block")).alias("block"))
+    """Heading levels as ranks of those in use, if there are two or more; the other columns stay."""
+    level = X.block_level(F.col("row.block"))
+    df = blocks.select(F.struct("*").alias("row")).withColumn("level", level)
+    rank = F.dense_rank().over(W.partitionBy(f"row.{DOC}", F.col("level").isNull()).orderBy("level"))
+    df = df.withColumns({"rank": rank, "used": F.size(F.collect_set("level").over(W.partitionBy(f"row.{DOC}")))})
+    ranked = F.concat(F.repeat(F.lit("#"), F.col("rank")), F.regexp_replace("row.block", r"\A#*", ""))
+    block = F.when(F.col("level").isNotNull() & (F.col("used") >= 2), ranked).otherwise(F.col("row.block"))
+    return df.select(*(block.alias(c) if c == "block" else F.col("row")[c].alias(c) for c in blocks.columns))
 
 
 def join_link_rows(blocks: DataFrame, width: int = 80) -> DataFrame:
@@ -60,6 +64,26 @@ def number_list(items: DataFrame, ordered: bool = True, depth: int = 0) -> DataF
     return lines.groupBy(DOC).agg(F.array_join(F.transform(run, lambda x: x["line"]), "\n").alias("text"))
 
 
+def nested_list(items: DataFrame) -> DataFrame:
+    """(doc_id, text) of lists in lists: items (doc_id, pos, parent, ordered, item) in document order.
+
+    pos numbers the items of a document; parent is the pos of the item that a list stands in, null at the top, and `ordered` is
+    that list's kind. Numbers count from 1 in each list. An item is left out if it has neither text nor items below it, but it is counted;
+    one without text that has some keeps its mark. Each level indents by two spaces.
+    """
+    own = items.select(DOC, "pos", "parent", "ordered", X.one_line(F.col("item")).alias("item"))
+    own = own.withColumn("n", F.row_number().over(W.partitionBy(DOC, "parent", "ordered").orderBy("pos")))
+    runs = own.groupBy(DOC).agg(F.array_sort(F.collect_list(F.struct("pos", "parent", "ordered", "item", "n"))).alias("all"))
+    # Parents stand before their items, so one pass knows each item's depth from its parent's.
+    step = lambda acc, x: F.map_concat(acc, F.create_map(x["pos"], F.coalesce(F.try_element_at(acc, x["parent"]) + 1, F.lit(0))))
+    position = dict(items.dtypes)["pos"]
+    runs = runs.withColumn("depth", F.aggregate("all", F.create_map().cast(f"map<{position},int>"), step))
+    mark = lambda x: F.when(x["ordered"], F.concat(x["n"].cast("string"), F.lit(". "))).otherwise(F.lit("- "))
+    shown = F.filter("all", lambda x: (x["item"] != "") | F.exists("all", lambda y: y["parent"] == x["pos"]))
+    lines = F.transform(shown, lambda x: F.rtrim(F.concat(F.repeat(F.lit("  "), F.try_element_at("depth", x["pos"])), mark(x), x["item"])))
+    return runs.where(F.size(shown) > 0).select(DOC, F.array_join(lines, "\n").alias("text"))
+
+
 def drop_empty_columns(cells: DataFrame) -> DataFrame:
     """Cells (doc_id, table_id, row, col, cell) without the columns that are blank throughout, unless all are."""
     table = (DOC, "table_id")

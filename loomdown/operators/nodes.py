@@ -1,7 +1,10 @@
 """Operators on the table of nodes, where d lies below a if a.node_id < d.node_id <= a.last_desc.
 
-Every window and join is within a document. What the subtree of some node decides comes from a running maximum over
-document order; only tests against chosen ancestors need a join on the interval.
+Every window and join is within a document, and none makes pairs of ancestors and nodes. What lies below a node comes from
+running counts in document order: the count at the node's last descendant less that at the node itself. The innermost table
+above a node comes from how many tables are open there.
+
+A page with null html has one node of null kind: it keeps its row where results are by document, and has none elsewhere.
 """
 
 from __future__ import annotations
@@ -22,7 +25,19 @@ def document_order():
 
 
 def explode_nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    return pages.select(F.col(key).alias(DOC), F.explode(page_nodes(F.col(html))).alias("n")).select(DOC, "n.*")
+    return pages.select(F.col(key).alias(DOC), F.explode_outer(page_nodes(F.col(html))).alias("n")).select(DOC, "n.*")
+
+
+def running(df: DataFrame, **marks: Column) -> DataFrame:
+    """Adds under each name how many nodes the condition holds for, up to and with this one."""
+    upto = document_order().rowsBetween(W.unboundedPreceding, 0)
+    return df.withColumns({name: F.sum(F.when(mark, 1).otherwise(0)).over(upto) for name, mark in marks.items()})
+
+
+def with_ends(counted: DataFrame, wanted: Column, *names: str) -> DataFrame:
+    """The chosen nodes with the columns `names` as they are at their last descendant, as end_<name>."""
+    ends = counted.select(DOC, F.col("node_id").alias("last_desc"), *(F.col(n).alias(f"end_{n}") for n in names))
+    return counted.where(wanted).join(ends, [DOC, "last_desc"])
 
 
 def attribute(name: str) -> Column:
@@ -31,8 +46,9 @@ def attribute(name: str) -> Column:
 
 def drop_subtrees(nodes: DataFrame, victims: Column) -> DataFrame:
     """Without the nodes for which the condition holds and all below them."""
+    row = F.struct("*")
     reach = F.max(F.when(victims, F.col("last_desc"))).over(document_order().rowsBetween(W.unboundedPreceding, 0))
-    return nodes.withColumn("reach", reach).where(F.coalesce(F.col("reach") < F.col("node_id"), F.lit(True))).drop("reach")
+    return nodes.select(row.alias("row"), reach.alias("reach")).where(F.coalesce(F.col("reach") < F.col("row.node_id"), F.lit(True))).select("row.*")
 
 
 def visible(nodes: DataFrame) -> DataFrame:
@@ -45,13 +61,16 @@ def normalise_text(nodes: DataFrame) -> DataFrame:
 
 
 def subtree_text(nodes: DataFrame, wanted: Column) -> DataFrame:
-    """(doc_id, node_id, subtree_text) of the chosen elements."""
-    tops = nodes.where(wanted).select(DOC, F.col("node_id").alias("top"), F.col("last_desc").alias("end"))
-    texts = nodes.where("kind = 'text'").select(DOC, "node_id", "text")
-    inside = (F.col("node_id") > F.col("top")) & (F.col("node_id") <= F.col("end"))
-    pairs = tops.join(texts.withColumnRenamed(DOC, "d"), (F.col(DOC) == F.col("d")) & inside, "left")
-    run = F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("node_id", "text"))))
-    return pairs.groupBy(DOC, F.col("top")).agg(F.array_join(F.transform(run, lambda x: x["text"]), "").alias("subtree_text")).withColumnRenamed("top", "node_id")
+    """(doc_id, node_id, subtree_text) of the chosen elements.
+
+    A document's texts are gathered once, and each subtree takes its slice of them.
+    """
+    slim = nodes.select(DOC, "node_id", "last_desc", (F.col("kind") == "text").alias("is_text"), F.when(F.col("kind") == "text", F.col("text")).alias("text"), wanted.alias("wanted"))
+    counted = running(slim, texts=F.col("is_text"))
+    tops = with_ends(counted.drop("text"), F.col("wanted"), "texts")
+    runs = slim.where("is_text").groupBy(DOC).agg(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "text"))), lambda x: x["text"]).alias("run"))
+    own = F.slice(F.coalesce("run", F.array().cast("array<string>")), F.col("texts").cast("int") + 1, (F.col("end_texts") - F.col("texts")).cast("int"))
+    return tops.join(runs, DOC, "left").select(DOC, "node_id", F.array_join(own, "").alias("subtree_text"))
 
 
 def anchors(nodes: DataFrame) -> DataFrame:
@@ -77,10 +96,16 @@ def empty_emphasis(nodes: DataFrame) -> DataFrame:
 
 
 def min_heading_level(nodes: DataFrame) -> DataFrame:
-    """(doc_id, min_level) over headings with text; 7 without one."""
-    text = subtree_text(nodes, F.col("name").isin(*HEADINGS)).where(X.trim_blanks(F.col("subtree_text")) != "").select(DOC, "node_id", F.lit(True).alias("full"))
-    level = F.min(F.when(F.col("full"), X.heading_level(F.col("name"))))
-    return nodes.join(text, [DOC, "node_id"], "left").groupBy(DOC).agg(F.coalesce(level, F.lit(7)).cast("long").alias("min_level"))
+    """(doc_id, min_level) over headings with text; 7 without one.
+
+    A heading has text if the count of texts that are not blank grows below it, so no text is gathered.
+    """
+    slim = nodes.select(DOC, "node_id", "last_desc", X.heading_level(F.col("name")).alias("level"), ((F.col("kind") == "text") & (X.trim_blanks(F.col("text")) != "")).alias("full"))
+    # A node's own count, and the count at its last descendant: the next node's less what that one holds.
+    counted = running(slim, texts=F.col("full"))
+    heads = with_ends(counted.select(DOC, "node_id", "last_desc", "level", "texts"), F.col("level").isNotNull(), "texts").where("end_texts > texts")
+    lows = heads.groupBy(DOC).agg(F.min("level").alias("low"))
+    return nodes.select(DOC).distinct().join(lows, DOC, "left").select(DOC, F.coalesce("low", F.lit(7)).cast("long").alias("min_level"))
 
 
 def flex_rows(nodes: DataFrame) -> DataFrame:
@@ -94,26 +119,42 @@ def flex_rows(nodes: DataFrame) -> DataFrame:
 
 def block_flags(nodes: DataFrame) -> DataFrame:
     """(doc_id, node_id, block_child, block_below, break_below) of elements that have one of them."""
-    marks = nodes.where(X.is_block(F.col("name")) | (F.col("name") == "br")).select(F.col(DOC).alias("d"), F.col("node_id").alias("m"), F.col("parent_id").alias("p"), X.is_block(F.col("name")).alias("is_block"))
-    tops = nodes.where("kind = 'element'").select(DOC, "node_id", "last_desc")
-    below = (F.col(DOC) == F.col("d")) & (F.col("m") > F.col("node_id")) & (F.col("m") <= F.col("last_desc"))
-    return tops.join(marks, below).groupBy(DOC, "node_id").agg(
-        F.bool_or(F.col("is_block") & (F.col("p") == F.col("node_id"))).alias("block_child"),
-        F.bool_or("is_block").alias("block_below"),
-        F.bool_or(~F.col("is_block")).alias("break_below"),
-    )
+    slim = nodes.select(DOC, "node_id", "last_desc", "parent_id", "kind", F.coalesce(X.is_block(F.col("name")), F.lit(False)).alias("is_block"), F.coalesce(F.col("name") == "br", F.lit(False)).alias("is_break"))
+    counted = running(slim, blocks=F.col("is_block"), breaks=F.col("is_break"))
+    kids = slim.where("is_block and parent_id is not null").select(DOC, F.col("parent_id").alias("node_id")).distinct().withColumn("block_child", F.lit(True))
+    tops = with_ends(counted, F.col("kind") == "element", "blocks", "breaks").join(kids, [DOC, "node_id"], "left")
+    found = tops.select(DOC, "node_id", F.coalesce("block_child", F.lit(False)).alias("block_child"), (F.col("end_blocks") > F.col("blocks")).alias("block_below"), (F.col("end_breaks") > F.col("breaks")).alias("break_below"))
+    return found.where("block_child or block_below or break_below")
+
+
+def subtree_has_break(nodes: DataFrame) -> DataFrame:
+    """(doc_id, node_id, has_break) of every element: whether it is a br or holds one."""
+    slim = nodes.select(DOC, "node_id", "last_desc", "kind", F.coalesce(F.col("name") == "br", F.lit(False)).alias("is_break"))
+    tops = with_ends(running(slim, breaks=F.col("is_break")), F.col("kind") == "element", "breaks")
+    return tops.select(DOC, "node_id", (F.col("is_break") | (F.col("end_breaks") > F.col("breaks"))).alias("has_break"))
 
 
 def nearest_table(nodes: DataFrame, names: tuple[str, ...]) -> DataFrame:
-    """(doc_id, node_id, name, table_id): the innermost table above each element of these names."""
-    tables = nodes.where("name = 'table'").select(F.col(DOC).alias("d"), F.col("node_id").alias("t"), F.col("last_desc").alias("end"), F.col("depth").alias("table_depth"))
-    inside = (F.col(DOC) == F.col("d")) & (F.col("node_id") > F.col("t")) & (F.col("node_id") <= F.col("end"))
-    pairs = nodes.where(F.col("name").isin(*names)).join(tables, inside)
-    return pairs.groupBy(DOC, "node_id", "name").agg(F.max_by("t", "table_depth").alias("table_id"))
+    """(doc_id, node_id, name, table_id): the innermost table above each element of these names.
+
+    How many tables are open at a place is a running sum of their beginnings and ends. The innermost one is the last that began
+    with that many open.
+    """
+    slim = nodes.where(F.col("name").isin("table", *names)).select(DOC, "node_id", "last_desc", "name")
+    is_table = F.col("name") == "table"
+    # Of what happens at one place, ends come first; a table asks for the one above it before it opens.
+    asked = slim.where(F.col("name").isin(*names)).select(DOC, F.col("node_id").alias("at"), F.lit(1).alias("turn"), F.lit(0).alias("step"), "node_id", "name")
+    opened = slim.where(is_table).select(DOC, F.col("node_id").alias("at"), F.lit(2).alias("turn"), F.lit(1).alias("step"), "node_id", "name")
+    closed = slim.where(is_table).select(DOC, (F.col("last_desc") + 1).alias("at"), F.lit(0).alias("turn"), F.lit(-1).alias("step"), "node_id", "name")
+    order = ("at", "turn", "node_id")
+    events = asked.unionByName(opened).unionByName(closed)
+    events = events.withColumn("open", F.sum("step").over(W.partitionBy(DOC).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))).where("turn > 0")
+    last = F.last(F.when(F.col("turn") == 2, F.col("node_id")), ignorenulls=True).over(W.partitionBy(DOC, "open").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    return events.withColumn("table_id", last).where("turn = 1 and open > 0").select(DOC, "node_id", "name", "table_id")
 
 
 def data_tables(nodes: DataFrame) -> DataFrame:
-    """(doc_id, table_id, n_rows, min_cells, max_cells, is_data) of every table."""
+    """(doc_id, table_id, n_rows, min_cells, max_cells, is_data) of every table: its own rows, not those of tables in it."""
     cells = nodes.where("name in ('td', 'th')").groupBy(DOC, F.col("parent_id").alias("node_id")).agg(F.count(F.lit(1)).alias("n_cells"))
     rows = nearest_table(nodes, ("tr",)).join(cells, [DOC, "node_id"], "left").groupBy(DOC, "table_id").agg(F.count(F.lit(1)).alias("n_rows"), F.min(F.coalesce("n_cells", F.lit(0))).alias("min_cells"), F.max(F.coalesce("n_cells", F.lit(0))).alias("max_cells"))
     parts = nearest_table(nodes, ("thead", "caption", "table")).groupBy(DOC, "table_id").agg(F.bool_or(F.col("name") != "table").alias("headed"), F.bool_or(F.col("name") == "table").alias("nests"))
