@@ -9,10 +9,13 @@ Targets: sources by code point, null last, weigh `weights`, repeating; they shar
 max_repeats times its source's size and the excess is shared again by weight until none is above.
 
 Running sums are taken in two steps, over (source, bucket of the order key) and then within a bucket, so that a source
-that holds a third of all rows is spread over `buckets` groups. The order key is the md5 of the id, so reruns agree.
+that holds a third of all rows is spread over `buckets` groups. The order key is the md5 of the id and the text's md5, so reruns agree and
+rows of one id, or of none, are spread too. Only the columns to keep go through the shuffles. The windows over all sources
+see one row a source.
 
 Defined cases: a null text has size 0, and a document of size 0 is never taken. A null source is a source of its own.
-Repeated rows are separate documents that follow one another. Extra columns, also of our names, are kept as they are.
+Repeated rows are separate documents that follow one another. A null doc_id is like an empty one. An empty table gives no rows. Very long
+texts count whole. Extra columns, also of our names, are kept as they are.
 """
 
 from __future__ import annotations
@@ -50,20 +53,23 @@ def position_of(demand: Column, slope: Column) -> Column:
     return (demand * 2) / (b + F.sqrt(F.greatest(F.lit(0.0), b * b - slope * 4 * demand)))
 
 
-def plan_mix(docs: DataFrame, text="text", source="source", doc_id="doc_id", weights=WEIGHTS, slopes=SLOPES, max_repeats=3, buckets=4096) -> DataFrame:
-    """Every row as the struct `row` with size, source_size, target, slope, begin (its place in its source) and times (how often it is taken)."""
+def plan_mix(docs: DataFrame, text="text", source="source", doc_id="doc_id", weights=WEIGHTS, slopes=SLOPES, max_repeats=3, buckets=4096, keep: list[str] | None = None) -> DataFrame:
+    """Every row as the struct `row` with size, source_size, target, slope, begin (its place in its source) and times (how often it is taken).
+
+    keep: the columns of `row`, all if not given.
+    """
     r = F.col("row")
     df = docs.select(F.struct("*").alias("row")).select(
-        "row",
+        (r if keep is None else F.struct(*(r[k].alias(k) for k in keep))).alias("row"),
         F.coalesce(F.regexp_count(r[text], F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.when(r[source].isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), r[source].cast("string"))).alias("skey"),
-        F.md5(F.coalesce(r[doc_id].cast("string"), F.lit("")).cast("binary")).alias("order_key"),
+        F.md5(F.concat(F.coalesce(r[doc_id].cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(r[text], F.lit("")).cast("binary"))).cast("binary")).alias("order_key"),
     )
     df = df.withColumn("bucket", F.pmod(F.conv(F.substring("order_key", 1, 8), 16, 10).cast("long") / F.lit(2**32 // buckets), F.lit(float(buckets))).cast("int"))
     sums = written(df.groupBy("skey", "bucket").agg(F.sum("size").alias("n")), "mix-sums")
     targets = source_targets(sums.groupBy("skey").agg(F.sum("n").alias("source_size")), weights, slopes, max_repeats)
     offsets = sums.select("skey", "bucket", F.coalesce(F.sum("n").over(W.partitionBy("skey").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
-    group = W.partitionBy("skey", "bucket").orderBy("order_key", r[doc_id], "size").rowsBetween(W.unboundedPreceding, -1)
+    group = W.partitionBy("skey", "bucket").orderBy("order_key", "size").rowsBetween(W.unboundedPreceding, -1)
     df = df.withColumn("within", F.coalesce(F.sum("size").over(group), F.lit(0)))
     df = df.join(offsets.join(targets, "skey"), ["skey", "bucket"])
     begin = F.col("offset") + F.col("within")
@@ -93,17 +99,20 @@ def training_order(docs: DataFrame, partitions: int | None = None, **options) ->
 
 def op7_source_mixing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    plan = plan_mix(docs).withColumn("turn", F.lit(0))
-    return plan.select(
+    plan = plan_mix(docs, keep=["doc_id"]).withColumn("turn", F.lit(0))
+    out = plan.select(
         F.col("row")["doc_id"].alias("doc_id"), "size", "source_size", "target",
         (F.col("size") * F.col("times")).cast("long").alias("taken"),
         F.when(F.col("times") > 0, position_of(demand_of(), F.col("slope"))).alias("first_position"),
+        "order_key",
     )
+    out = written(out, "mix-plan")  # a range sort reads its input twice
+    return out.repartitionByRange("first_position", "order_key").sortWithinPartitions("first_position", "order_key").drop("order_key")
 
 
 ORACLE_SQL = r"""
 WITH d AS (
-  SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS skey, md5(doc_id::VARCHAR) AS k,
+  SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS skey, md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS k,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
   FROM documents),
 s AS (SELECT skey, sum(size)::BIGINT AS source_size FROM d GROUP BY skey),
@@ -115,7 +124,7 @@ l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0))::DOUBL
       FROM c WINDOW b AS (ORDER BY cap / w, skey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 m AS (SELECT max(level) FILTER (WHERE level <= cap / w) AS level FROM l),
 t AS (SELECT skey, source_size, slope, least(cap::DOUBLE, coalesce(m.level * w, cap::DOUBLE)) AS target FROM c, m),
-p AS (SELECT d.*, coalesce(sum(size) OVER (PARTITION BY skey ORDER BY k, doc_id, size
+p AS (SELECT d.*, coalesce(sum(size) OVER (PARTITION BY skey ORDER BY k, size
              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS b FROM d),
 q AS (SELECT *, CASE WHEN size > 0 THEN (b < target)::INT + (b + source_size < target)::INT + (b + 2 * source_size < target)::INT
              ELSE 0 END AS times, (b + size / 2) / greatest(target, (b + size)::DOUBLE) AS u FROM p JOIN t USING (skey))
