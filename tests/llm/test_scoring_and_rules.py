@@ -187,12 +187,48 @@ def test_scores_against_brute_force(frame):
 def test_the_model_is_normalised():
     import numpy as np
 
-    model = lm_score.LogBilinear(np.array([0.5, 0.3, 0.2]), 2, 4)
+    of = np.array([0, 0, 0, 1, 1])
+    model = lm_score.LogBilinear(np.array([0.5, 0.3, 0.2]), 2, 4, of, np.array([5.0, 3, 1, 2, 2]))
+    rng = np.random.default_rng(1)
     model.context *= 9
-    total = sum(10 ** model.log10([np.array([0, 2, k])])[2] for k in range(3))
+    model.word += rng.normal(0, 2, model.word.shape).astype(np.float32)
+    before = [0, 2]
+    total = 0.0
+    for kind, word in [*zip(of.tolist(), range(5), strict=True), (2, -1)]:
+        text, words = np.array([*before, kind]), np.array([-1, -1, word])
+        total += 10 ** model.log10([text], words)[2]
+        # The same by the formula, in full.
+        p = sum(model.context[c] * w for c, w in zip(before, model.weight, strict=True)).astype(float)
+        soft = lambda x, i: x[i] - math.log(sum(math.exp(v) for v in x))
+        want = soft([float(p @ t + b) for t, b in zip(model.target, model.bias, strict=True)], kind)
+        if word >= 0:
+            first = of.tolist().index(kind)
+            want += soft([float(p @ t + b) for t, b, o in zip(model.word, model.word_bias, of, strict=True) if o == kind], word - first)
+        assert model.log10([text], words)[2] == pytest.approx(want / math.log(10), abs=1e-4)
     assert total == pytest.approx(1, abs=1e-5)
 
 
+def test_words_of_one_language_share_classes():
+    import numpy as np
+
+    texts = [lm_score.words_of(t) for t in sentences(EN, 200) + sentences(DE, 200)]
+    counts = Counter(w for t in texts for w in t)
+    frequent = [w for w, c in sorted(counts.items(), key=lambda x: (-x[1], x[0])) if w and c > 3]
+    found = lm_score.Vocabulary.fit(texts, frequent, groups=2, class_words=1000, tails_each=2)
+    assert sorted(found.singles) == sorted(frequent)
+    assert (np.diff(found.class_of_single) >= 0).all()
+    english, german = ({w.encode() for t in sentences(x, 50) for w in t.lower().split()} for x in (EN, DE))
+    of = {w: found.class_of(w) for w in frequent}
+    assert not {of[w] for w in frequent if w in english - german} & {of[w] for w in frequent if w in german - english}
+    assert found.classes > found.tail_class(b"unheardof") >= found.single_classes
+
+
+def test_the_sample_is_bounded_and_of_different_texts(frame):
+    rows = [(i, f"text number {i % 40} " * (1 + i % 40)) for i in range(2000)]
+    texts = [r.text for r in lm_score.sample_of(frame(rows).select("text"), 30, 3000).collect()]
+    assert len(texts) == len(set(texts)) and 0 < len(texts) <= 30 and sum(map(len, texts)) <= 3000
+
+
 def test_scores_without_training_rows(frame):
     got = lm_score.score_texts(frame([(1, "a b"), (2, None)]), F.lit(False)).select("row.doc_id", "n_tokens", "n_known", "train_tokens", "base_score").collect()
     assert {(r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in got} == {(1, 3, 0, 0, 0.0), (2, 1, 0, 0, 0.0)}
