@@ -6,6 +6,8 @@ tokens (wrapping). All between, the steps that look at several blocks, is native
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,10 +18,11 @@ from ..kernel.serialize import decode_escapes
 from ..kernel.wrap import wrap
 from . import text as X
 
+IE = re.compile(X.IE_CONDITIONAL)
 NODE = "struct<node_id:int,parent_id:int,last_desc:int,depth:int,ord:int,kind:string,name:string,attrs:map<string,string>,text:string>"
 
 
-def page_blocks(html: Column, permissive: bool = True) -> Column:
+def page_blocks(html: Column, permissive: bool = False) -> Column:
     """The blocks of a page as array<string>; null for null. permissive: a page that fails gives null instead of an error."""
 
     @F.arrow_udf(T.ArrayType(T.StringType()))
@@ -104,10 +107,25 @@ def join_link_rows(blocks: Column, width: int) -> Column:
     return F.aggregate(blocks, F.struct(empty.alias("out"), empty.alias("run")), step, flushed)
 
 
-def html_to_markdown(html: Column, width: int = 80, permissive: bool = True) -> Column:
+def html_to_markdown(html: Column, width: int = 80, permissive: bool = False) -> Column:
     """The Markdown of a page, wrapped at `width`; null for null."""
     if not 40 <= width <= 240:
         width = 80
     blocks = join_link_rows(compress_levels(drop_empty_sections(page_blocks(html, permissive))), width)
     text = X.collapse_blank_runs(F.array_join(blocks, "\n\n"))
     return F.regexp_replace(wrap_lines(text, width), r"\A\n+", "")
+
+
+def register(spark) -> None:
+    """Makes the table functions html_nodes(html) and html_blocks(html) known to SQL, for use after LATERAL."""
+
+    class Nodes:
+        def eval(self, html: str):
+            yield from [] if html is None else convert.nodes(IE.sub("", html))
+
+    class Blocks:
+        def eval(self, html: str):
+            yield from [] if html is None else enumerate(convert.blocks(IE.sub("", html)))
+
+    spark.udtf.register("html_nodes", F.udtf(Nodes, returnType=NODE.removeprefix("struct<").removesuffix(">").replace(":", " ")))
+    spark.udtf.register("html_blocks", F.udtf(Blocks, returnType="pos int, block string"))

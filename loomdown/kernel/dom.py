@@ -6,14 +6,15 @@ from collections.abc import Iterator
 
 
 class Node:
-    __slots__ = ("attrs", "foreign", "hint", "kids", "kind", "name", "parent", "text")
+    __slots__ = ("attrs", "foreign", "grown", "hint", "kids", "kind", "name", "parent", "text")
 
     def __init__(self, kind: str, name: str = "", attrs: dict[str, str] | None = None, text: str = ""):
         self.kind, self.name, self.attrs, self.text = kind, name, attrs or {}, text
         self.kids: list[Node] = []
         self.parent: Node | None = None
         self.foreign = False
-        self.hint = 0  # about where it stands among its siblings
+        self.grown = 0  # children put in less those taken out, other than at the end
+        self.hint = 0  # its place among its siblings when last seen, less its parent's `grown` then
 
     @classmethod
     def element(cls, name: str, *kids: Node) -> Node:
@@ -27,13 +28,13 @@ class Node:
         return cls("text", text=text)
 
     def place(self) -> int:
-        """Searched outwards from where it was last, as siblings move by few places between two looks."""
+        """Searched outwards from where it should be if all changes since it was last seen were before it."""
         kids = self.parent.kids
-        low = high = min(self.hint, len(kids) - 1)
+        low = high = max(0, min(self.hint + self.parent.grown, len(kids) - 1))
         while low >= 0 or high < len(kids):
             for i in (low, high):
                 if 0 <= i < len(kids) and kids[i] is self:
-                    self.hint = i
+                    self.hint = i - self.parent.grown
                     return i
             low, high = low - 1, high + 1
         raise ValueError("not among its parent's children")
@@ -41,20 +42,22 @@ class Node:
     def detach(self) -> None:
         if self.parent is not None:
             del self.parent.kids[self.place()]
+            self.parent.grown -= 1
             self.parent = None
 
     def append(self, node: Node) -> None:
         node.detach()
-        node.parent, node.hint = self, len(self.kids)
+        node.parent, node.hint = self, len(self.kids) - self.grown
         self.kids.append(node)
 
     def put_before(self, *nodes: Node) -> None:
         """Moves the nodes to just before this one."""
         for node in nodes:
             node.detach()
-            at = self.place()
-            node.parent, node.hint, self.hint = self.parent, at, at + 1
-            self.parent.kids.insert(at, node)
+            at, up = self.place(), self.parent
+            up.kids.insert(at, node)
+            up.grown += 1
+            node.parent, node.hint = up, at - up.grown
 
     def unwrap(self) -> None:
         """Leaves the children in the node's place."""

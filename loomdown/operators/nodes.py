@@ -1,7 +1,7 @@
 """Operators on the table of nodes, where d lies below a if a.node_id < d.node_id <= a.last_desc.
 
 Every window and join is within a document, and none makes pairs of ancestors and nodes. What lies below a node comes from
-running counts in document order: the count at the node's last descendant less that at the node itself. The innermost table
+running counts in document order: the count at the end of the node less that at its beginning. The innermost table
 above a node comes from how many tables are open there.
 
 A page with null html has one node of null kind: it keeps its row where results are by document, and has none elsewhere.
@@ -28,16 +28,20 @@ def explode_nodes(pages: DataFrame, key: str = "page_id", html: str = "html") ->
     return pages.select(F.col(key).alias(DOC), F.explode_outer(page_nodes(F.col(html))).alias("n")).select(DOC, "n.*")
 
 
-def running(df: DataFrame, **marks: Column) -> DataFrame:
-    """Adds under each name how many nodes the condition holds for, up to and with this one."""
-    upto = document_order().rowsBetween(W.unboundedPreceding, 0)
-    return df.withColumns({name: F.sum(F.when(mark, 1).otherwise(0)).over(upto) for name, mark in marks.items()})
+def counted_below(nodes: DataFrame, wanted: Column, **marks: Column) -> DataFrame:
+    """(doc_id, node_id, and for each mark its name and own_<name>): how many nodes below each chosen one hold it, and whether that one does.
 
-
-def with_ends(counted: DataFrame, wanted: Column, *names: str) -> DataFrame:
-    """The chosen nodes with the columns `names` as they are at their last descendant, as end_<name>."""
-    ends = counted.select(DOC, F.col("node_id").alias("last_desc"), *(F.col(n).alias(f"end_{n}") for n in names))
-    return counted.where(wanted).join(ends, [DOC, "last_desc"])
+    Counts run over the beginnings of nodes and the ends of the chosen ones, so that nodes below may be missing.
+    """
+    begun = nodes.select(DOC, F.col("node_id").alias("at"), F.lit(0).alias("turn"), F.when(wanted, F.col("node_id")).alias("top"), *(F.coalesce(m, F.lit(False)).cast("int").alias(k) for k, m in marks.items()))
+    ended = nodes.where(wanted).select(DOC, F.col("last_desc").alias("at"), F.lit(1).alias("turn"), F.col("node_id").alias("top"), *(F.lit(0).alias(k) for k in marks))
+    upto = W.partitionBy(DOC).orderBy("at", "turn").rowsBetween(W.unboundedPreceding, 0)
+    both = begun.unionByName(ended).withColumns({f"run_{k}": F.sum(k).over(upto) for k in marks}).where("top is not null")
+    return both.groupBy(DOC, F.col("top").alias("node_id")).agg(
+        *(F.min(f"run_{k}").alias(f"from_{k}") for k in marks),
+        *((F.max(f"run_{k}") - F.min(f"run_{k}")).alias(k) for k in marks),
+        *((F.max(k) > 0).alias(f"own_{k}") for k in marks),
+    )
 
 
 def attribute(name: str) -> Column:
@@ -65,11 +69,10 @@ def subtree_text(nodes: DataFrame, wanted: Column) -> DataFrame:
 
     A document's texts are gathered once, and each subtree takes its slice of them.
     """
-    slim = nodes.select(DOC, "node_id", "last_desc", (F.col("kind") == "text").alias("is_text"), F.when(F.col("kind") == "text", F.col("text")).alias("text"), wanted.alias("wanted"))
-    counted = running(slim, texts=F.col("is_text"))
-    tops = with_ends(counted.drop("text"), F.col("wanted"), "texts")
-    runs = slim.where("is_text").groupBy(DOC).agg(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "text"))), lambda x: x["text"]).alias("run"))
-    own = F.slice(F.coalesce("run", F.array().cast("array<string>")), F.col("texts").cast("int") + 1, (F.col("end_texts") - F.col("texts")).cast("int"))
+    is_text = F.col("kind") == "text"
+    tops = counted_below(nodes, F.coalesce(wanted, F.lit(False)), texts=is_text)
+    runs = nodes.where(is_text).groupBy(DOC).agg(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "text"))), lambda x: x["text"]).alias("run"))
+    own = F.slice(F.coalesce("run", F.array().cast("array<string>")), F.col("from_texts").cast("int") + 1, F.col("texts").cast("int"))
     return tops.join(runs, DOC, "left").select(DOC, "node_id", F.array_join(own, "").alias("subtree_text"))
 
 
@@ -98,13 +101,13 @@ def empty_emphasis(nodes: DataFrame) -> DataFrame:
 def min_heading_level(nodes: DataFrame) -> DataFrame:
     """(doc_id, min_level) over headings with text; 7 without one.
 
-    A heading has text if the count of texts that are not blank grows below it, so no text is gathered.
+    A heading has text if it has texts below it that are not blank, so no text is gathered.
     """
-    slim = nodes.select(DOC, "node_id", "last_desc", X.heading_level(F.col("name")).alias("level"), ((F.col("kind") == "text") & (X.trim_blanks(F.col("text")) != "")).alias("full"))
-    # A node's own count, and the count at its last descendant: the next node's less what that one holds.
-    counted = running(slim, texts=F.col("full"))
-    heads = with_ends(counted.select(DOC, "node_id", "last_desc", "level", "texts"), F.col("level").isNotNull(), "texts").where("end_texts > texts")
-    lows = heads.groupBy(DOC).agg(F.min("level").alias("low"))
+    level = X.heading_level(F.col("name"))
+    full = (F.col("kind") == "text") & (X.trim_blanks(F.col("text")) != "")
+    heads = counted_below(nodes, level.isNotNull(), texts=full, **{f"h{i}": level == i for i in range(1, 7)}).where("texts > 0")
+    own = F.coalesce(*(F.when(F.col(f"own_h{i}"), i) for i in range(1, 7)))
+    lows = heads.groupBy(DOC).agg(F.min(own).alias("low"))
     return nodes.select(DOC).distinct().join(lows, DOC, "left").select(DOC, F.coalesce("low", F.lit(7)).cast("long").alias("min_level"))
 
 
@@ -119,19 +122,17 @@ def flex_rows(nodes: DataFrame) -> DataFrame:
 
 def block_flags(nodes: DataFrame) -> DataFrame:
     """(doc_id, node_id, block_child, block_below, break_below) of elements that have one of them."""
-    slim = nodes.select(DOC, "node_id", "last_desc", "parent_id", "kind", F.coalesce(X.is_block(F.col("name")), F.lit(False)).alias("is_block"), F.coalesce(F.col("name") == "br", F.lit(False)).alias("is_break"))
-    counted = running(slim, blocks=F.col("is_block"), breaks=F.col("is_break"))
-    kids = slim.where("is_block and parent_id is not null").select(DOC, F.col("parent_id").alias("node_id")).distinct().withColumn("block_child", F.lit(True))
-    tops = with_ends(counted, F.col("kind") == "element", "blocks", "breaks").join(kids, [DOC, "node_id"], "left")
-    found = tops.select(DOC, "node_id", F.coalesce("block_child", F.lit(False)).alias("block_child"), (F.col("end_blocks") > F.col("blocks")).alias("block_below"), (F.col("end_breaks") > F.col("breaks")).alias("break_below"))
+    is_block = X.is_block(F.col("name"))
+    kids = nodes.where(is_block & F.col("parent_id").isNotNull()).select(DOC, F.col("parent_id").alias("node_id")).distinct().withColumn("block_child", F.lit(True))
+    tops = counted_below(nodes, F.col("kind") == "element", blocks=is_block, breaks=F.col("name") == "br").join(kids, [DOC, "node_id"], "left")
+    found = tops.select(DOC, "node_id", F.coalesce("block_child", F.lit(False)).alias("block_child"), (F.col("blocks") > 0).alias("block_below"), (F.col("breaks") > 0).alias("break_below"))
     return found.where("block_child or block_below or break_below")
 
 
 def subtree_has_break(nodes: DataFrame) -> DataFrame:
     """(doc_id, node_id, has_break) of every element: whether it is a br or holds one."""
-    slim = nodes.select(DOC, "node_id", "last_desc", "kind", F.coalesce(F.col("name") == "br", F.lit(False)).alias("is_break"))
-    tops = with_ends(running(slim, breaks=F.col("is_break")), F.col("kind") == "element", "breaks")
-    return tops.select(DOC, "node_id", (F.col("is_break") | (F.col("end_breaks") > F.col("breaks"))).alias("has_break"))
+    tops = counted_below(nodes, F.col("kind") == "element", breaks=F.col("name") == "br")
+    return tops.select(DOC, "node_id", (F.col("own_breaks") | (F.col("breaks") > 0)).alias("has_break"))
 
 
 def nearest_table(nodes: DataFrame, names: tuple[str, ...]) -> DataFrame:

@@ -6,6 +6,8 @@ are the given tables; where these lack a construct (invisible characters, tables
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from ..functions import text as X
 from ..kernel.chars import BLANK_CLASS, BLOCKS, CELL_BLOCKS, DELETED_CLASS, NON_TEXT, SPACED_CLASS
 from ..operators import blocks as B
 from ..operators import nodes as N
-from ..sources.files import spread, with_markdown
+from ..sources.files import read_html_files, settled, shared_folder, spread, with_markdown, write_markdown
 from ..streaming.pages import stream_markdown
 
 QUERIES: dict = {}
@@ -305,6 +307,20 @@ def bullet_list(spark, d):
     return B.number_list(items(spark, d), ordered=False)
 
 
+@query(
+    f"WITH i AS (SELECT doc_id, pos, CASE pos % 4 WHEN 0 THEN NULL WHEN 3 THEN pos - 1 ELSE pos - pos % 4 END AS parent, pos % 4 = 3 OR doc_id % 2 = 0 AS ordered, {ONE_LINE('line')} AS item FROM {LINES}), "
+    "n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, parent, ordered ORDER BY pos) AS n FROM i), "
+    "s AS (SELECT *, repeat('  ', [0, 1, 1, 2][(pos % 4 + 1)::INT]) || CASE WHEN ordered THEN n || '. ' ELSE '- ' END || item AS line FROM n "
+    "WHERE item <> '' OR (doc_id, pos) IN (SELECT (doc_id, parent) FROM i WHERE parent IS NOT NULL)) "
+    "SELECT doc_id, string_agg(rtrim(line), chr(10) ORDER BY pos) AS text FROM s GROUP BY doc_id"
+)
+def nested_list(spark, d):
+    """Lines in fours: an item, two items below it, and one below the last of these."""
+    k, pos = F.col("pos") % 4, F.col("pos")
+    parent = F.when(k == 3, pos - 1).when(k > 0, pos - k)
+    return B.nested_list(items(spark, d).withColumns({"parent": parent, "ordered": (k == 3) | (F.col("doc_id") % 2 == 0)}))
+
+
 @query("SELECT doc_id, list_reduce(list_transform(string_split(regexp_replace(text, '\\n\\z', ''), chr(10)), lambda x: CASE WHEN x = '' THEN '>' ELSE '> ' || x END), lambda a, b: a || chr(10) || b) AS text FROM documents")
 def blockquote(spark, d):
     return documents(spark, d).select("doc_id", X.quoted(F.col("text")).alias("text"))
@@ -318,28 +334,28 @@ def fence_pre(spark, d):
     return documents(spark, d).select("doc_id", X.fenced(F.col("text")).alias("text"))
 
 
-# Tables: one for each region of its nations, with a column that is blank throughout
+# Tables: one for each order, of its lines, with a column that is blank throughout
 
 
-def nation_cells(spark, d) -> DataFrame:
-    rows = load(spark, d, "nation").withColumn("row", F.expr("row_number() over (partition by n_regionkey order by n_nationkey)"))
-    row = F.array(F.col("n_nationkey").cast("string"), F.lit(""), F.concat(F.lit("["), "n_name", F.lit("](/nation)")), F.when(F.col("n_nationkey") % 2 == 0, F.lit("x")).otherwise(F.lit("")))
-    head = load(spark, d, "region").select(F.col("r_regionkey").alias("n_regionkey"), F.lit(0).alias("row"), F.array(F.lit("Key"), F.lit(""), F.col("r_name"), F.lit("Even")).alias("cells"))
-    both = rows.select("n_regionkey", "row", row.alias("cells")).unionByName(head)
-    cells = both.select(F.col("n_regionkey").cast("long").alias("doc_id"), F.lit(0).alias("table_id"), "row", F.posexplode("cells").alias("col", "cell"))
+def order_cells(spark, d) -> DataFrame:
+    lines = load(spark, d, "lineitem").withColumn("row", F.expr("row_number() over (partition by l_orderkey order by l_linenumber, l_returnflag)"))
+    row = F.array(F.col("l_linenumber").cast("string"), F.lit(""), F.concat(F.lit("["), "l_returnflag", F.lit("](/flag)")), F.when(F.col("l_linenumber") % 2 == 0, F.lit("x")).otherwise(F.lit("")))
+    head = load(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.lit(0).alias("row"), F.array(F.lit("No"), F.lit(""), F.col("o_orderstatus"), F.lit("Even")).alias("cells"))
+    both = lines.select("l_orderkey", "row", row.alias("cells")).unionByName(head)
+    cells = both.select(F.col("l_orderkey").cast("long").alias("doc_id"), F.lit(0).alias("table_id"), "row", F.posexplode("cells").alias("col", "cell"))
     return cells.where("not (row = 2 and col = 3)")
 
 
 CELLS = (
-    "(SELECT n_regionkey::BIGINT AS doc_id, row, unnest([0, 1, 2, 3]) AS col, unnest(cells) AS cell FROM (SELECT n_regionkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS row, "
-    "[n_nationkey::VARCHAR, '', '[' || n_name || '](/nation)', CASE WHEN n_nationkey % 2 = 0 THEN 'x' ELSE '' END] AS cells FROM nation UNION ALL SELECT r_regionkey, 0, ['Key', '', r_name, 'Even'] FROM region))"
+    "(SELECT l_orderkey::BIGINT AS doc_id, row, unnest([0, 1, 2, 3]) AS col, unnest(cells) AS cell FROM (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag) AS row, "
+    "[l_linenumber::VARCHAR, '', '[' || l_returnflag || '](/flag)', CASE WHEN l_linenumber % 2 = 0 THEN 'x' ELSE '' END] AS cells FROM lineitem UNION ALL SELECT o_orderkey, 0, ['No', '', o_orderstatus, 'Even'] FROM orders))"
 )
 FULL = f"(SELECT * FROM {CELLS} WHERE NOT (row = 2 AND col = 3) AND (doc_id, col) IN (SELECT (doc_id, col) FROM {CELLS} WHERE cell <> '' GROUP BY ALL))"
 
 
 @query(f"SELECT doc_id, row::BIGINT AS row, col::BIGINT AS col, cell FROM {FULL}")
 def drop_empty_columns(spark, d):
-    return B.drop_empty_columns(nation_cells(spark, d)).select("doc_id", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "cell")
+    return B.drop_empty_columns(order_cells(spark, d)).select("doc_id", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "cell")
 
 
 @query(
@@ -349,7 +365,7 @@ def drop_empty_columns(spark, d):
     "SELECT doc_id, string_agg(CASE WHEN row = 0 THEN line || chr(10) || rule ELSE line END, chr(10) ORDER BY row) AS text FROM l GROUP BY doc_id HAVING count(*) > 1"
 )
 def pipe_table(spark, d):
-    return B.pipe_tables(nation_cells(spark, d)).select("doc_id", "text")
+    return B.pipe_tables(order_cells(spark, d)).select("doc_id", "text")
 
 
 BORDERS = ("1", "0", "", "1px", "+2", "-1", " 1")
@@ -391,8 +407,8 @@ def vendor_pages(spark, d) -> DataFrame:
 
 
 def vendor_nodes(spark, d) -> DataFrame:
-    # Several branches of a query read the nodes: parsed once, kept in memory and on disk.
-    return N.explode_nodes(vendor_pages(spark, d)).persist()
+    """Written once, as several branches of a query read them."""
+    return settled(N.explode_nodes(vendor_pages(spark, d)), "nodes")
 
 
 def of_pages(df: DataFrame) -> DataFrame:
@@ -406,42 +422,166 @@ def html_nodes(spark, d):
 
 @query()
 def visible_nodes(spark, d):
-    return of_pages(N.normalise_text(N.visible(vendor_nodes(spark, d))).select("doc_id", "node_id", "name", "text"))
+    return of_pages(N.normalise_text(N.visible(N.explode_nodes(vendor_pages(spark, d)))).select("doc_id", "node_id", "name", "text"))
 
 
-@query()
+# Nodes of pages whose markup SQL can follow: without the bold elements that are never closed, and with what `put` gives before the article
+
+PLAIN = "replace(html, '<b>', '')"
+DECODED = lambda x: f"regexp_replace(replace(replace(replace({x}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g')"
+TIMES = lambda piece: f"(length(h) - length(replace(h, '{piece}', ''))) // {len(piece)}"
+
+
+def plain_nodes(spark, d, put: Column | str = "") -> DataFrame:
+    html = F.replace(F.replace("html", F.lit("<b>"), F.lit("")), F.lit("<article>"), F.concat(F.lit(put) if isinstance(put, str) else put, F.lit("<article>")))
+    return N.explode_nodes(dealt_pages(spark, d).select("page_id", html.alias("html")))
+
+
+COUNTED = {"meta": ("<meta", 2), "title": ("<title>", 2), "style": ("<style>", 2), "script": ("<script>", 2), "nav": ("<nav>", 2), "ul": ("<ul>", 3), "li": ("<li>", 4), "a": ("<a ", 5), "div": ("<div", 2), "article": ("<article>", 2), "h1": ("<h1>", 3), "p": ("<p>", 3), "footer": ("<footer>", 2), "html": ("<html", 0), "head": ("<head>", 1), "body": ("<body>", 1)}
+
+
+@query(
+    f"SELECT * FROM (SELECT page_id, unnest([" + ", ".join(f"'{k}'" for k in COUNTED) + "]) AS name, "
+    "unnest([" + ", ".join(TIMES(piece) for piece, _ in COUNTED.values()) + "])::BIGINT AS n, "
+    "unnest([" + ", ".join(str(depth) for _, depth in COUNTED.values()) + f"])::BIGINT AS depth FROM (SELECT page_id, {PLAIN} AS h FROM pages)) WHERE n > 0"
+)
+def element_counts(spark, d):
+    """How often each element occurs in a page, and how deep."""
+    nodes = plain_nodes(spark, d).where(F.col("name").isin(*COUNTED))
+    return of_pages(nodes.groupBy("doc_id", "name").agg(F.count(F.lit(1)).alias("n"), (F.max("depth") - 1).cast("long").alias("depth")))
+
+
+GONE = '<o:p>gone</o:p><span style="DISPLAY:none">gone</span><!-- gone --><p>shown</p>'
+
+
+@query(f"SELECT page_id, {DECODED('t')} AS text FROM (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(replace({PLAIN}, '<article>', 'shown'), '(?s)^.*?</head>', ''), '(?s)<!--.*?-->', '', 'g'), '<[^>]*>', '', 'g') AS t FROM pages)")
+def visible_text(spark, d):
+    """The text of each page that is seen, node by node."""
+    seen = N.normalise_text(N.visible(plain_nodes(spark, d, GONE))).where("kind = 'text'")
+    run = F.array_sort(F.collect_list(F.struct("node_id", "text")))
+    return of_pages(seen.groupBy("doc_id").agg(F.array_join(F.transform(run, lambda x: x["text"]), "").alias("text")))
+
+
+@query(
+    f"SELECT page_id, href, text FROM (SELECT page_id, href, translate({DECODED('label')}, chr(10) || chr(9), '  ') AS text FROM {ANCHORS.replace('html,', PLAIN + ',')} UNION ALL SELECT page_id, '/e', 'Err' FROM pages) "
+    f"WHERE {TRIM('text')} <> '' AND NOT {GLYPH(TRIM('text'))}"
+)
 def anchor_nodes(spark, d):
-    return of_pages(N.anchors(N.visible(vendor_nodes(spark, d))))
+    put = '<a href="/z">›</a><a href="/y"><img></a><a href="/e">Err</a><a name="x"> </a>'
+    nodes = settled(N.visible(plain_nodes(spark, d, put)), "nodes")
+    return of_pages(N.anchors(nodes).select("doc_id", "href", "text"))
 
 
-@query()
+@query(
+    "SELECT page_id, stat FROM (SELECT page_id, page_id || 'k' AS stat FROM pages UNION ALL "
+    f"SELECT page_id, {TRIM(DECODED('h1'))} FROM (SELECT page_id, unnest(regexp_extract_all({PLAIN}, '<h1>(.*?)</h1>', 1)) AS h1 FROM pages)) WHERE length(stat) BETWEEN 1 AND 12 AND regexp_matches(stat, '\\A[0-9., kKMBmsµh]+\\z') AND regexp_matches(stat, '[0-9]')"
+)
 def stat_headings(spark, d):
-    return of_pages(N.stat_headings(vendor_nodes(spark, d)))
+    put = F.concat(F.lit("<h2> "), F.col("page_id").cast("string"), F.lit("<i>k</i></h2><h3>no figure</h3>"))
+    return of_pages(N.stat_headings(settled(plain_nodes(spark, d, put), "nodes")).select("doc_id", "stat"))
 
 
-@query()
+@query(
+    "SELECT * FROM (SELECT page_id, unnest(['drop', 'unwrap']) AS action, unnest([page_id % 3, page_id % 4])::BIGINT AS n FROM pages) WHERE n > 0"
+)
 def empty_emphasis(spark, d):
-    return of_pages(N.empty_emphasis(vendor_nodes(spark, d)))
+    put = F.concat(F.repeat(F.lit("<em> <i></i></em>"), (F.col("page_id") % 3).cast("int")), F.repeat(F.lit("<u>:</u>"), (F.col("page_id") % 4).cast("int")), F.lit("<em>word</em>"))
+    found = N.empty_emphasis(settled(plain_nodes(spark, d, put), "nodes").where("name is null or name <> 'i'"))
+    return of_pages(found.groupBy("doc_id", "action").agg(F.count(F.lit(1)).alias("n")))
 
 
-@query()
+@query("SELECT page_id, page_id % 11 AS n_kids FROM pages WHERE page_id % 11 BETWEEN 2 AND 8")
 def flex_rows(spark, d):
-    return of_pages(N.flex_rows(vendor_nodes(spark, d)))
+    inner = '<div style="display:flex"><i>b</i><i>c</i></div>'
+    put = F.concat(F.lit('<div style="display: flex">'), F.repeat(F.lit(inner), (F.col("page_id") % 11).cast("int")), F.lit('</div><div style="DISPLAY:flex"><i>b</i><i>c</i></div>'))
+    return of_pages(N.flex_rows(settled(plain_nodes(spark, d, put), "nodes")).select("doc_id", "n_kids"))
 
 
-@query()
+FLAGS = ("html", "body", "nav", "article", "p")
+BREAKS = "contains(h, '<br>')"
+
+
+@query(
+    f"SELECT * FROM (SELECT page_id, unnest([{', '.join(repr(f) for f in FLAGS)}]) AS name, unnest([false, true, true, true, false]) AS block_child, unnest([true, true, true, true, false]) AS block_below, "
+    f"unnest([{BREAKS}, {BREAKS}, false, {BREAKS}, {BREAKS}]) AS break_below FROM (SELECT page_id, {PLAIN} AS h FROM pages)) WHERE block_child OR block_below OR break_below"
+)
 def block_flags(spark, d):
-    return of_pages(N.block_flags(N.visible(vendor_nodes(spark, d))))
+    """Which elements of a page hold blocks as children, blocks at all, or line breaks."""
+    found = settled(N.visible(plain_nodes(spark, d)), "nodes")
+    flags = N.block_flags(found).join(found.select("doc_id", "node_id", "name"), ["doc_id", "node_id"])
+    return of_pages(flags.groupBy("doc_id", "name").agg(*(F.bool_or(k).alias(k) for k in ("block_child", "block_below", "break_below"))))
 
 
-@query()
+@query(
+    f"SELECT * FROM (SELECT page_id, unnest(['html', 'body', 'article', 'p', 'br']) AS name, unnest([({BREAKS})::INT, ({BREAKS})::INT, ({BREAKS})::INT, len(regexp_extract_all(h, '<p>[^<]*<br>')), {TIMES('<br>')}])::BIGINT AS n FROM (SELECT page_id, {PLAIN} AS h FROM pages)) WHERE n > 0"
+)
+def break_holders(spark, d):
+    """How many elements of each name are a line break or hold one."""
+    found = settled(plain_nodes(spark, d), "nodes")
+    held = N.subtree_has_break(found).where("has_break").join(found.select("doc_id", "node_id", "name"), ["doc_id", "node_id"])
+    return of_pages(held.groupBy("doc_id", "name").agg(F.count(F.lit(1)).alias("n")))
+
+
+# Tables as markup: an order is a page with one table of its lines, and a table in its last cell in every seventh
+
+TABLE_ROWS = (
+    f"(SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'none' ELSE '' END AS role, o_orderkey % 11 = 0 AS headed, o_orderkey % 7 = 0 AS nests, [{', '.join(repr(b) for b in BORDERS)}][(o_custkey % {len(BORDERS)} + 1)::INT] AS border, "
+    "l_linenumber, l_returnflag, l_suppkey % 2 = 0 AS wide, row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_returnflag, l_suppkey % 2 = 0) - 1 AS row FROM orders JOIN lineitem ON l_orderkey = o_orderkey)"
+)
+
+
+def table_nodes(spark, d) -> DataFrame:
+    wide = F.when(F.col("l_suppkey") % 2 == 0, "<td></td>").otherwise("")
+    row = F.concat(F.lit("<tr><td>"), F.col("l_linenumber").cast("string"), F.lit("</td><td> <i>"), "l_returnflag", F.lit("</i>\n"), wide, F.lit("</tr>"))
+    rows = load(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", row.alias("row")))).alias("rows"))
+    key = F.col("o_orderkey")
+    border = F.element_at(F.array(*map(F.lit, BORDERS)), (F.col("o_custkey") % len(BORDERS) + 1).cast("int"))
+    html = F.concat(
+        F.when(F.col("o_orderstatus") == "P", '<p>x<table role=" None " border="').otherwise('<p>x<table border="'), border, F.lit('">'),
+        F.when(key % 11 == 0, "<caption>c</caption>").otherwise(""),
+        F.array_join(F.transform("rows", lambda x: x["row"]), ""),
+        F.when(key % 7 == 0, '<tr><td>n<td><table border="1"><tr><td>a<td>b</table>').otherwise(""), F.lit("</table>"),
+    )
+    orders = load(spark, d, "orders").join(rows, "o_orderkey").select("o_orderkey", html.alias("html"))
+    return settled(N.explode_nodes(spread(orders), "o_orderkey"), "nodes")
+
+
+def with_table_no(df: DataFrame) -> DataFrame:
+    """Tables by their order in the document instead of their node."""
+    number = F.expr("dense_rank() over (partition by doc_id order by table_id)").cast("long")
+    return df.withColumn("table_no", number).withColumnRenamed("doc_id", "o_orderkey").drop("table_id")
+
+
+@query(
+    f"WITH t AS (SELECT o_orderkey, any_value(nests) AS nests, any_value(headed) AS headed, count(*) AS n, sum(2 + wide::INT) AS cells FROM {TABLE_ROWS} GROUP BY o_orderkey) SELECT * FROM ("
+    "SELECT o_orderkey, 1::BIGINT AS table_no, unnest(['tr', 'td', 'caption', 'table']) AS name, unnest([n + nests::INT, cells + 2 * nests::INT, headed::INT, nests::INT])::BIGINT AS n FROM t "
+    "UNION ALL SELECT o_orderkey, 2, unnest(['tr', 'td']), unnest([1, 2]) FROM t WHERE nests) WHERE n > 0"
+)
 def nearest_table(spark, d):
-    return of_pages(N.nearest_table(vendor_nodes(spark, d), ("tr", "td", "th", "thead", "table")))
+    """What belongs to each table itself, and not to a table in it."""
+    found = with_table_no(N.nearest_table(table_nodes(spark, d), ("tr", "td", "caption", "table")))
+    return found.groupBy("o_orderkey", "table_no", "name").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(
+    f"WITH t AS (SELECT o_orderkey, any_value(role) AS role, any_value(headed) AS headed, any_value(nests) AS nests, any_value(border) AS border, count(*) + any_value(nests)::INT AS n_rows, "
+    f"min(CASE WHEN nests THEN 2 ELSE 2 + wide::INT END) AS min_cells, max(2 + wide::INT) AS max_cells FROM {TABLE_ROWS} GROUP BY o_orderkey) "
+    "SELECT o_orderkey, 1::BIGINT AS table_no, n_rows::BIGINT AS n_rows, min_cells::BIGINT AS min_cells, max_cells::BIGINT AS max_cells, CASE WHEN role = 'none' THEN false WHEN headed THEN true WHEN nests OR n_rows < 2 OR max_cells < 2 THEN false "
+    "ELSE min_cells = max_cells AND CASE WHEN regexp_matches(border, '\\A[+-]?[0-9]+\\z') THEN border::INT > 0 ELSE border <> '' END END AS is_data FROM t UNION ALL SELECT o_orderkey, 2, 1, 2, 2, false FROM t WHERE nests"
+)
 def data_tables(spark, d):
-    return of_pages(N.data_tables(vendor_nodes(spark, d)))
+    found = with_table_no(N.data_tables(table_nodes(spark, d)))
+    return found.select("o_orderkey", "table_no", *(F.col(k).cast("long").alias(k) for k in ("n_rows", "min_cells", "max_cells")), "is_data")
+
+
+@query(
+    f"WITH r AS (SELECT * FROM {TABLE_ROWS}), n AS (SELECT o_orderkey, count(*) AS row FROM r WHERE nests GROUP BY o_orderkey) "
+    "SELECT o_orderkey, 1::BIGINT AS table_no, row::BIGINT AS row, unnest(CASE WHEN wide THEN [0, 1, 2] ELSE [0, 1] END)::BIGINT AS col, unnest(CASE WHEN wide THEN [l_linenumber::VARCHAR, l_returnflag, ''] ELSE [l_linenumber::VARCHAR, l_returnflag] END) AS cell FROM r "
+    "UNION ALL SELECT o_orderkey, 1, row, unnest([0, 1]), unnest(['n', 'ab']) FROM n UNION ALL SELECT o_orderkey, 2, 0, unnest([0, 1]), unnest(['a', 'b']) FROM n"
+)
+def table_cells(spark, d):
+    found = with_table_no(N.table_cells(table_nodes(spark, d)))
+    return found.select("o_orderkey", "table_no", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "cell")
 
 
 @query()
@@ -452,6 +592,19 @@ def node_pipe_tables(spark, d):
     return of_pages(B.pipe_tables(N.table_cells(nodes).join(data, ["doc_id", "table_id"], "left_semi")))
 
 
+# Files
+
+
+@query("SELECT coalesce(text, '') AS text FROM documents")
+def files_in_and_out(spark, d):
+    """The documents through the sink's files, read back as whole files."""
+    path = f"{shared_folder(spark)}/loomdown-files-{uuid.uuid4().hex[:12]}"
+    write_markdown(documents(spark, d), path, "text")
+    # Every text ends with a form feed, so what follows the last one is no text.
+    texts = read_html_files(spark, path, glob="part-*").select(F.split("html", "\\f").alias("texts"))
+    return texts.select(F.explode(F.slice("texts", F.lit(1), F.size("texts") - 1)).alias("text"))
+
+
 # Whole pages
 
 
@@ -491,25 +644,25 @@ def corpus_stats(spark, d):
     )
 
 
+@query()
+def sql_blocks(spark, d):
+    """html_blocks() in SQL."""
+    M.register(spark)
+    dealt_pages(spark, d).createOrReplaceTempView("loomdown_pages")
+    return spark.sql("SELECT page_id, b.pos, b.block FROM loomdown_pages, LATERAL html_blocks(html) AS b")
+
+
 @query()
 def streamed_markdown(spark, d):
     """The pages through a file stream, read back from its sink."""
-    import uuid
-
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
-    out = f"{base.rstrip('/')}/streamed-{uuid.uuid4().hex[:12]}"
-    folder = is_folder(spark, f"{d}/pages.parquet")
+    out = f"{shared_folder(spark)}/streamed-{uuid.uuid4().hex[:12]}"
+    files = pages(spark, d).inputFiles()
+    folder = not files or all("/pages.parquet/" in f for f in files)
     source, glob = (f"{d}/pages.parquet", "*.parquet") if folder else (d, "pages.parquet")
     stream_markdown(spark, source, f"{out}/rows", f"{out}/state", glob).awaitTermination()
     return spark.read.parquet(f"{out}/rows").select("page_id", "markdown")
 
 
-def is_folder(spark, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory()
-
-
 def queries() -> dict:
     return dict(QUERIES)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,9 +12,9 @@ from ..functions.markdown import html_to_markdown
 PAGES = "page_id long, url string, html string"
 
 
-def read_html_files(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """(path, html): one row a file."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+def read_html_files(spark: SparkSession, path: str, encoding: str = "UTF-8", glob: str = "*") -> DataFrame:
+    """(path, html): one row a file whose name fits `glob`."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
     return files.select("path", F.decode("content", encoding).alias("html"))
 
 
@@ -22,6 +24,19 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """What driver and executors share: spark.checkpoint.dir, or the warehouse where that is not set."""
+    set_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    return (set_dir or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a Parquet table in the shared folder, for several readers of what costs much to make."""
+    path = f"{shared_folder(df.sparkSession)}/loomdown-{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

@@ -81,6 +81,72 @@ def test_node_operators(spark):
     assert any(r.block_child for r in flags)
 
 
+def test_nodes_against_plain_loops(spark):
+    html = [
+        "<table><tr><td>a<br><table><tr><td>b<table><tr><td>c</table></table></td></tr><tr><td><p>d</table><p>e<b>f<i>g</i></b><br>",
+        "<div><div><h2> <b></b></h2><h3>x</h3></div><ul><li>1<ul><li>2<br></ul></ul></div>",
+        "",
+    ]
+    nodes = pages_of(spark, *html).cache()
+    rows = nodes.collect()
+    by = {(r.doc_id, r.node_id): r for r in rows}
+    below = lambda r: [x for x in rows if x.doc_id == r.doc_id and r.node_id < x.node_id <= r.last_desc]
+    elements = [r for r in rows if r.kind == "element"]
+    want = {(r.doc_id, r.node_id): "".join(x.text for x in below(r) if x.kind == "text") for r in elements}
+    assert {(r.doc_id, r.node_id): r.subtree_text for r in N.subtree_text(nodes, F.col("kind") == "element").collect()} == want
+    want = {(r.doc_id, r.node_id): r.name == "br" or any(x.name == "br" for x in below(r)) for r in elements}
+    assert {(r.doc_id, r.node_id): r.has_break for r in N.subtree_has_break(nodes).collect()} == want
+
+    def above(r):
+        while r.parent_id is not None:
+            r = by[r.doc_id, r.parent_id]
+            yield r
+
+    names = ("tr", "td", "table", "p")
+    want = {(r.doc_id, r.node_id): next((x.node_id for x in above(r) if x.name == "table"), None) for r in elements if r.name in names}
+    assert {(r.doc_id, r.node_id): r.table_id for r in N.nearest_table(nodes, names).collect()} == {k: t for k, t in want.items() if t is not None}
+    assert {r.doc_id: r.min_level for r in N.min_heading_level(nodes).collect()} == {0: 7, 1: 3, 2: 7}
+
+
+def test_pages_without_html_keep_their_row(spark):
+    nodes = N.explode_nodes(spark.createDataFrame([(1, None), (2, "<h1>a")], "page_id long, html string"))
+    assert sorted((r.doc_id, r.min_level) for r in N.min_heading_level(nodes).collect()) == [(1, 7), (2, 1)]
+    assert [r.doc_id for r in N.subtree_text(nodes, F.col("name") == "h1").collect()] == [2]
+
+
+def test_block_steps_keep_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, 0, "# a", 7), (1, 1, "# b", 8), (1, 2, "### c", 9)], "doc_id long, pos long, block string, level long").withColumns({"next": F.lit("n"), "rank": F.lit("r"), "used": F.lit("u"), "reach": F.lit("x")})
+    assert B.drop_empty_sections(df).columns == df.columns
+    got = B.compress_heading_levels(df).orderBy("pos").collect()
+    assert [(r.block, r.level, r.next, r.used) for r in got] == [("# a", 7, "n", "u"), ("# b", 8, "n", "u"), ("## c", 9, "n", "u")]
+    nodes = pages_of(spark, "<p>a<!--c-->").withColumn("reach", F.lit(1))
+    assert N.visible(nodes).columns == nodes.columns
+
+
+def test_lists_in_lists(spark):
+    rows = [(1, 0, None, True, " one "), (1, 1, 0, False, "a  b"), (1, 2, 1, True, "deep"), (1, 3, 0, False, ""), (1, 4, None, True, ""), (1, 5, None, True, "three"), (2, 0, None, False, ""), (3, 0, None, False, " "), (3, 1, 0, False, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, pos long, parent long, ordered boolean, item string")
+    got = {r.doc_id: r.text for r in B.nested_list(df).collect()}
+    assert got == {1: "1. one\n  - a b\n    1. deep\n3. three", 3: "-\n  - x"}
+
+
+def test_sql_table_functions(spark):
+    M.register(spark)
+    rows = spark.sql("SELECT n.node_id, n.name FROM (SELECT '<h2>T</h2><p>x' AS html) AS t, LATERAL html_nodes(t.html) AS n WHERE n.kind = 'element' ORDER BY 1").collect()
+    assert [r.name for r in rows] == ["html", "head", "body", "h2", "p"]
+    assert [r.block for r in spark.sql("SELECT b.block FROM (SELECT '<h2>T</h2><p>x' AS html) AS t, LATERAL html_blocks(t.html) AS b ORDER BY b.pos").collect()] == ["# T", "x"]
+
+
+def test_many_moves_take_little_time():
+    import time
+
+    from loomdown.kernel import convert
+
+    began = time.process_time()
+    convert.blocks("<b> </b>x" * 16000)
+    assert time.process_time() - began < 10
+
+
 def test_flex_rows(spark):
     nodes = pages_of(spark, '<div style="display:flex"><div>a</div><div style="display:flex"><i>b</i><i>c</i></div></div><div style="DISPLAY:flex"><b>x</b><b>y</b></div>')
     assert [r.n_kids for r in N.flex_rows(nodes).collect()] == [2]
