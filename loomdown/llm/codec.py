@@ -1,208 +1,365 @@
 """A context-mixing range coder for blocks of token ids, in numpy across many blocks at once.
 
-Each block is coded on its own from a fresh model. For every id, an order-2 and an order-1 context nominate the id that
-last followed them; the order-0 model gives every id a probability by its count so far. The three are mixed: the share
-of the code range that each nominee and the order-0 model get follows how often each was right before, at the same confidences.
-An id takes the first part that names it, and under order-0 a part of that part by its count.
+Each block is coded on its own from a fresh model, over the ids that occur in it. Three models predict an id: order-2 and order-1
+from what has followed the last two ids, or the last one, and order-0 from in how many contexts an id has been. They
+are mixed: P1 = w1 * p1 + (1 - w1) * p0 and P2 = w2 * p2 + (1 - w2) * P1, with a weight for each of 24 degrees of confidence
+in a context, learned as the block goes on from each model's share in the ids that came. An id that the order-2 context
+has seen is coded with P2 at once; else an escape, and the same with P1 among those that the order-1 context has seen; else p0.
 
-The models adapt whenever a block has doubled, and at least every `LONGEST` ids, from what the decoder knows too. Between two such
-points all probabilities are fixed, so that numpy codes the same position of all blocks in one step.
+A block is cut into up to `LANES` runs of ids, each with a range coder of its own, that share the block's model. The model
+is built anew from all runs' ids whenever they have doubled. Between two such points it is fixed, so that numpy codes one
+position of all runs of many blocks in one step. Decoder and encoder build the same model by the same steps of exact
+or IEEE arithmetic.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-FIRST, LONGEST = 256, 2048
-SLOTS = 1 << 12
-SHARE_BITS = 12
-COUNT_WEIGHT = 24
+LANES, LEAST_RUN, FIRST = 128, 1024, 16
+BITS = 16
+WHOLE = 1 << BITS
+SHIFT = 17  # of a symbol in a key: vocabularies go up to 2 ** 17 - 1
+SYMBOL = (1 << SHIFT) - 1
 U = np.uint64
-TOP, BOTTOM, WORD = U(1 << 48), U(1 << 40), U(16)
+CARRY, LOW, TOP, WORD = U(48), U(2**32 - 1), U(2**32), U(16)
 
 
-def turns(length: int) -> list[tuple[int, int]]:
-    """The stretches between two adaptations."""
-    out, at = [], 0
-    while at < length:
-        end = min(length, at + min(LONGEST, max(FIRST, at)))
-        out.append((at, end))
-        at = end
+def shape_of(length: int) -> tuple[int, int]:
+    """(runs, longest run) of a block."""
+    runs = max(1, min(LANES, length // LEAST_RUN))
+    return runs, -(-length // runs)
+
+
+def turns(longest: int) -> list[tuple[int, int]]:
+    """The stretches between two builds of the model."""
+    ends = [0, FIRST]
+    while ends[-1] < longest:
+        ends.append(2 * ends[-1])
+    return [(a, min(b, longest)) for a, b in zip(ends, ends[1:], strict=False) if a < longest]
+
+
+def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[first], np.diff(np.append(first, len(keys)))
+
+
+def place_of(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where each wanted key stands, -1 if nowhere."""
+    if not len(keys):
+        return np.full(len(wanted), -1, np.int64)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, at, -1)
+
+
+def confidence(n: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """0 to 23, of a context seen n times with so many different successors."""
+    size = (n[:, None] >= 2 ** np.arange(1, 8)).sum(1)
+    return size * 3 + np.where(kinds == 1, 0, np.where(2 * kinds <= n, 1, 2))
+
+
+class Level:
+    """The coded intervals of one order: for each context a row of its successors, and an escape that fills it up to WHOLE."""
+
+    def __init__(self, context: np.ndarray, n: np.ndarray, weights: np.ndarray, lower: np.ndarray):
+        """context: of each successor, ascending; n: its count; lower: its probability from the orders below."""
+        first = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
+        self.context, kinds = context[first], np.diff(np.append(first, len(context)))
+        self.row = np.repeat(np.arange(len(first)), kinds)
+        total = np.add.reduceat(n, first)
+        self.degree = confidence(total, kinds)
+        w = (weights[:, 0] / weights[:, 1])[self.degree][self.row]
+        own = w * (n / total[self.row])
+        self.p = own + (1 - w) * lower
+        size = (self.p * (WHOLE - 1 - kinds)[self.row]).astype(np.int64) + 1
+        # Each row's escape stands behind its successors.
+        self.at = np.arange(len(n)) + self.row
+        self.escape = first + kinds + np.arange(len(first))
+        sizes = np.zeros(len(n) + len(first), np.int64)
+        sizes[self.at] = size
+        sizes[self.escape] = WHOLE - np.add.reduceat(size, first)
+        self.starts = np.cumsum(sizes) - sizes  # a row begins at its number times WHOLE
+        self.sizes = sizes
+        self.share = np.zeros(len(sizes))
+        self.share[self.at] = own / self.p
+        self.degrees = np.zeros(len(sizes), np.int64)
+        self.degrees[self.at], self.degrees[self.escape] = self.degree[self.row], self.degree
+
+
+class Block:
+    """The model of one block; symbols are 0 to n_symbols - 1, and n_symbols stands before each run."""
+
+    def __init__(self, n_symbols: int):
+        self.n_symbols = n_symbols
+        self.weights = np.ones((2, 24, 2))
+        self.weights[:, :, 0] = [[0.8], [0.6]]
+        self.start0 = np.arange(n_symbols + 1, dtype=np.int64) * WHOLE // n_symbols if n_symbols <= WHOLE else None
+        self.one = self.two = None
+
+    def build(self, now: np.ndarray, last: np.ndarray, before: np.ndarray) -> None:
+        """From the ids so far, each with the last id and the one before that."""
+        self.keys1, n1 = counted((last << SHIFT) | now)
+        self.keys2, n2 = counted((((before << SHIFT) | last) << SHIFT) | now)
+        pair, symbol = self.keys2 & ((1 << 2 * SHIFT) - 1), self.keys1 & SYMBOL
+        link = np.searchsorted(self.keys1, pair)
+        # Lower orders count in how many contexts an id was, as those are asked only when a context does not know it.
+        kinds1, kinds0 = np.bincount(link, minlength=len(self.keys1)), np.bincount(symbol, minlength=self.n_symbols)
+        p0 = (kinds0 + 0.3) / (kinds0.sum() + 0.3 * self.n_symbols)
+        size0 = (p0 * (WHOLE - 1 - self.n_symbols)).astype(np.int64) + 1
+        self.start0 = np.concatenate(([0], np.cumsum(size0)))
+        self.start0[-1] = WHOLE
+        self.one = Level(self.keys1 >> SHIFT, kinds1, self.weights[0], p0[symbol])
+        self.two = Level(self.keys2 >> SHIFT, n2, self.weights[1], self.one.p[link])
+        self.symbols = np.full(len(self.one.sizes), -1, np.int64)
+        self.symbols[self.one.at] = symbol
+        self.link = np.full(len(self.two.sizes), -1, np.int64)
+        self.link[self.two.at] = self.one.at[link]
+        self.row1 = np.full(self.n_symbols + 1, -1, np.int64)
+        self.row1[self.one.context] = np.arange(len(self.one.context))
+        # The order-2 context of two ids is the row of their pair.
+        found = place_of(self.keys1, self.two.context)
+        self.row2 = np.full(len(self.one.sizes), -1, np.int64)
+        self.row2[self.one.at[found[found >= 0]]] = np.flatnonzero(found >= 0)
+
+    def pairs(self, last: np.ndarray, now: np.ndarray) -> np.ndarray:
+        """The entries of the pairs in the order-1 level, -1 for those not seen."""
+        found = place_of(self.keys1, (last << SHIFT) | now)
+        return np.where(found >= 0, self.one.at[found], -1)
+
+    def learn(self, entry2: np.ndarray, entry1: np.ndarray) -> None:
+        """Moves the weights by the entries that ids took; -1 where an order had no row, or stood not for the id."""
+        seen = entry2 >= 0
+        share2 = np.where(seen, self.two.share[entry2], 0)
+        for order, entry, level, gain, size in ((1, entry2[seen], self.two, share2[seen], None), (0, entry1[entry1 >= 0], self.one, None, (1 - share2)[entry1 >= 0])):
+            degree = level.degrees[entry]
+            self.weights[order, :, 0] += np.bincount(degree, level.share[entry] * size if gain is None else gain, 24)
+            self.weights[order, :, 1] += np.bincount(degree, size, 24)
+
+
+def after(run: np.ndarray, start: int, at: int, end: int, back: int) -> np.ndarray:
+    """The symbols `back` places before the positions at to end; `start` before a run."""
+    out = np.full((len(run), end - at), start, np.int64)
+    skip = max(0, back - at)
+    out[:, skip:] = run[:, at + skip - back : end - back]
     return out
 
 
-class Model:
-    """The predictions of `lanes` blocks over ids below `vocab`."""
-
-    def __init__(self, lanes: int, vocab: int):
-        self.lanes, self.vocab = lanes, vocab
-        self.row = np.arange(lanes, dtype=np.int64)
-        self.counts = np.zeros((lanes, vocab), np.uint16)
-        # Counts of all ids below each id; what follows the last is out of reach for a search by halves.
-        self.halves = [1 << b for b in reversed(range(max(1, (vocab - 1).bit_length())))]
-        self.stride = 2 * self.halves[0] + 1
-        self.cum = np.full((lanes, self.stride), 2**32 - 1, np.uint32)
-        self.cum[:, : vocab + 1] = np.arange(vocab + 1, dtype=np.uint32)
-        self.guess = [np.zeros(lanes * SLOTS, np.uint32) for _ in range(2)]
-        self.sure = [np.zeros(lanes * SLOTS, np.uint8) for _ in range(2)]
-        self.hits = np.ones((lanes, 16, 3), np.float64)
-        self.hits[:, :, 2] = 2
-        self.set_shares()
-
-    def set_shares(self) -> None:
-        """Splits the code range among order-2, order-1 and order-0 for each pair of confidences."""
-        share = self.hits / self.hits.sum(2, keepdims=True)
-        cut = np.clip(np.floor(np.cumsum(share[:, :, :2], 2) * (1 << SHARE_BITS)), 1, None).astype(np.int64)
-        cut[:, :, 1] = np.clip(np.maximum(cut[:, :, 1], cut[:, :, 0] + 1), None, (1 << SHARE_BITS) - 2)
-        cut[:, :, 0] = np.minimum(cut[:, :, 0], cut[:, :, 1] - 1)
-        ends = np.concatenate([np.zeros_like(cut[:, :, :1]), cut, np.full_like(cut[:, :, :1], 1 << SHARE_BITS)], 2)
-        self.ends = ends.astype(np.uint64).reshape(-1)
-
-    def contexts(self, before: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The slots of the order-2 and order-1 contexts, for one or more positions of each lane."""
-        row = self.row.reshape(-1, *[1] * (last.ndim - 1)) * SLOTS
-        two = (before * U(0x9E3779B97F4A7C15) + last * U(0xC2B2AE3D27D4EB4F)) >> U(52)
-        return row + two.astype(np.int64), row + (last * U(0x9E3779B97F4A7C15) >> U(52)).astype(np.int64)
-
-    def nominees(self, before: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(order-2 nominee, order-1 nominee, first of the four `ends` of their confidences)."""
-        two, one = self.contexts(before, last)
-        row = self.row.reshape(-1, *[1] * (last.ndim - 1))
-        return self.guess[0][two], self.guess[1][one], ((row * 16 + self.sure[0][two] * 4 + self.sure[1][one]) * 4).astype(np.int64)
-
-    def adapt(self, ids: np.ndarray, live: np.ndarray, before: np.ndarray, last: np.ndarray, full: bool) -> None:
-        """Learns from (lanes, positions) ids; `live` marks those within their block."""
-        two, one, ends = self.nominees(before, last)
-        part = np.where(two == ids, 0, np.where(one == ids, 1, 2))
-        cells = (ends // 4 * 3 + part)[live]
-        self.hits += np.bincount(cells, minlength=self.hits.size).reshape(self.hits.shape)
-        self.set_shares()
-        flat = (self.row[:, None] * self.vocab + ids.astype(np.int64))[live]
-        np.add.at(self.counts.reshape(-1), flat, 1)
-        if full:
-            for counts, cum in zip(self.counts, self.cum, strict=True):
-                np.cumsum(counts * np.uint32(COUNT_WEIGHT) + np.uint32(1), dtype=np.uint32, out=cum[1 : self.vocab + 1])
-        for guess, sure, slot in zip(self.guess, self.sure, self.contexts(before, last), strict=True):
-            slot, seen = slot[live], ids[live].astype(np.uint32)
-            sure[slot] = np.where(guess[slot] == seen, np.minimum(sure[slot] + 1, 3), 0)
-            guess[slot] = seen
-
-
-def shifted(ids: np.ndarray, at: int, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """The two ids before each position, 0 before the block."""
-    padded = np.zeros((len(ids), end - at + 2), np.uint64)
-    first = max(0, at - 2)
-    padded[:, 2 - (at - first) :] = ids[:, first:end]
-    return padded[:, :-2], padded[:, 1:-1]
-
-
-def encode(blocks: list[np.ndarray], vocab: int) -> list[bytes]:
-    """The code of each block; blocks are best of similar lengths."""
-    lengths = np.array(list(map(len, blocks)))
-    lanes, longest = len(blocks), int(lengths.max(initial=0))
-    ids = np.zeros((lanes, longest), np.uint64)
-    for i, b in enumerate(blocks):
-        ids[i, : len(b)] = b
-    if ids.max(initial=0) >= vocab:
-        raise ValueError("an id is not below the vocabulary's size")
-    model = Model(lanes, vocab)
-    low, span = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
-    out, used = np.zeros((lanes, 3 * longest + 8), np.uint16), np.zeros(lanes, np.int64)
+def events_of(model: Block, run: np.ndarray, length: np.ndarray, at: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(run, start, size) of the intervals that code the positions at to end, and learns from them."""
+    live = (np.arange(at, end)[None, :] < length[:, None]).ravel()
+    now, last, before = run[:, at:end], after(run, model.n_symbols, at, end, 1), after(run, model.n_symbols, at, end, 2)
+    shape, lane = now.shape, np.repeat(np.arange(len(run)), end - at)
+    start, size = np.zeros((3, now.size), np.int64), np.zeros((3, now.size), np.int64)
+    x = now.ravel()
+    entry2, entry1 = np.full(now.size, -1), np.full(now.size, -1)
+    if model.one is not None:
+        pair = model.pairs(last.ravel(), x)
+        context = np.concatenate([model.pairs(before[:, 0], last[:, 0])[:, None], pair.reshape(shape)[:, :-1]], 1).ravel()
+        row2 = np.where(context >= 0, model.row2[context], -1)
+        asked = np.flatnonzero(row2 >= 0)
+        found = place_of(model.keys2, (((before.ravel()[asked] << SHIFT) | last.ravel()[asked]) << SHIFT) | x[asked])
+        entry2[asked] = np.where(found >= 0, model.two.at[found], model.two.escape[row2[asked]])
+        row1 = model.row1[last.ravel()]
+        entry1 = np.where(pair >= 0, pair, np.where(row1 >= 0, model.one.escape[row1], -1))
+        hit2 = np.zeros(now.size, bool)
+        hit2[asked] = found >= 0
+        todo = entry2 >= 0
+        start[0, todo], size[0, todo] = model.two.starts[entry2[todo]] & (WHOLE - 1), model.two.sizes[entry2[todo]]
+        todo = (entry1 >= 0) & ~hit2
+        start[1, todo], size[1, todo] = model.one.starts[entry1[todo]] & (WHOLE - 1), model.one.sizes[entry1[todo]]
+        model.learn(np.where(live, entry2, -1), np.where(live, entry1, -1))
+        plain = np.flatnonzero((pair < 0) & ~hit2)
+    else:
+        plain = np.arange(now.size)
+    start[2, plain], size[2, plain] = model.start0[x[plain]], model.start0[x[plain] + 1] - model.start0[x[plain]]
+    used = ((size > 0) & live).T.ravel()
+    return tuple(v[used].astype(np.int32) for v in (np.repeat(lane, 3), start.T.ravel(), size.T.ravel()))
+
+
+def runs_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(runs as rows, their lengths)."""
+    runs, longest = shape_of(len(x))
+    padded = np.zeros(runs * longest, np.int64)
+    padded[: len(x)] = x
+    return padded.reshape(runs, longest), np.clip(len(x) - np.arange(runs) * longest, 0, longest)
+
+
+def history(run: np.ndarray, length: np.ndarray, n_symbols: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    live = np.arange(end)[None, :] < length[:, None]
+    return run[:, :end][live], after(run, n_symbols, 0, end, 1)[live], after(run, n_symbols, 0, end, 2)[live]
+
+
+def encode(blocks: list[np.ndarray], vocab: int) -> list[tuple[np.ndarray, list[bytes]]]:
+    """(the ids that occur, the code of each run) for each block."""
+    alphabets, lanes, starts, sizes, runs = [], [], [], [], [0]
+    for block in blocks:
+        if len(block) and int(block.max()) >= min(vocab, WHOLE):
+            raise ValueError("an id is not below the vocabulary's size")
+        alphabet, x = np.unique(block, return_inverse=True)
+        alphabets.append(alphabet)
+        run, length = runs_of(x)
+        model = Block(max(1, len(alphabet)))
+        for at, end in turns(run.shape[1]):
+            if at:
+                model.build(*history(run, length, model.n_symbols, at))
+            lane, start, size = events_of(model, run, length, at, end)
+            lanes.append(lane + runs[-1])
+            starts.append(start)
+            sizes.append(size)
+        runs.append(runs[-1] + len(run))
+    code = encode_ranges(np.concatenate(lanes or [np.empty(0, np.int64)]), np.concatenate(starts or [np.empty(0, np.int64)]), np.concatenate(sizes or [np.empty(0, np.int64)]), runs[-1])
+    return [(a, code[i:j]) for a, i, j in zip(alphabets, runs[:-1], runs[1:], strict=True)]
+
+
+def encode_ranges(lane: np.ndarray, start: np.ndarray, size: np.ndarray, lanes: int) -> list[bytes]:
+    """Range codes of the lanes' intervals, whose order within a lane is kept."""
+    order = np.argsort(lane.astype(np.uint16 if lanes < WHOLE else np.int64), kind="stable")
+    count = np.bincount(lane, minlength=lanes)
+    place = np.arange(len(lane)) - np.repeat(np.cumsum(count) - count, count)
+    steps = int(count.max(initial=0))
+    starts, spans = np.zeros((steps, lanes), np.uint32), np.full((steps, lanes), WHOLE, np.uint32)
+    starts[place, lane[order]], spans[place, lane[order]] = start[order], size[order]
+    low, span = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 48) - 1, np.uint64)
+    out, used = np.zeros((lanes, steps + 2), np.uint16), np.zeros(lanes, np.int64)
+
+    def carry() -> None:
+        """Takes what has grown past 48 bits to the words already out."""
+        over = np.flatnonzero(low >> CARRY)
+        low[over] &= U((1 << 48) - 1)
+        back = 1
+        while len(over):
+            out[over, used[over] - back] += np.uint16(1)
+            over = over[out[over, used[over] - back] == 0]
+            back += 1
 
     def emit(where: np.ndarray) -> None:
-        out[where, used[where]] = low[where] >> U(48)
+        out[where, used[where]] = low[where] >> U(32)
         used[where] += 1
-        low[where] <<= WORD
-        span[where] <<= WORD
+        low[where] = (low[where] & LOW) << WORD
 
-    stretches = turns(longest)
-    for k, (at, end) in enumerate(stretches):
-        before, last = shifted(ids, at, end)
-        now = ids[:, at:end]
-        two, one, ends = model.nominees(before, last)
-        part = np.where(two == now, 0, np.where(one == now, 1, 2)).astype(np.int64)
-        start, stop = model.ends[ends + part], model.ends[ends + part + 1]
-        at_id = model.row[:, None] * model.stride + now.astype(np.int64)
-        cum = model.cum.reshape(-1)
-        named = part < 2
-        c0, c1 = np.where(named, 0, cum[at_id]).astype(np.uint64), np.where(named, 1, cum[at_id + 1]).astype(np.uint64)
-        total = np.where(named, U(1), model.cum[:, vocab : vocab + 1].astype(np.uint64))
-        live = np.arange(at, end)[None, :] < lengths[:, None]
-        for j in range(end - at):
-            on = live[:, j]
-            unit = span >> U(SHARE_BITS)
-            step = unit * (stop[:, j] - start[:, j]) // total[:, j]
-            low = np.where(on, low + unit * start[:, j] + step * c0[:, j], low)
-            span = np.where(on, step * (c1[:, j] - c0[:, j]), span)
-            while True:
-                settled = (low ^ (low + span)) < TOP
-                narrow = ~settled & (span < BOTTOM)
-                where = np.flatnonzero(on & (settled | narrow))
-                if not len(where):
-                    break
-                cut = np.flatnonzero(on & narrow)
-                span[cut] = (~low[cut] + U(1)) & (BOTTOM - U(1))
-                emit(where)
-        if k + 1 < len(stretches):
-            model.adapt(now, live, before, last, True)
-    for _ in range(4):
-        emit(np.arange(lanes))
+    for j in range(steps):
+        span >>= WORD
+        low += span * starts[j].astype(np.uint64)
+        span *= spans[j].astype(np.uint64)
+        carry()
+        where = np.flatnonzero(span < TOP)
+        emit(where)
+        span[where] <<= WORD
+    # One word is enough to name a number within the last range, as zeros follow it.
+    low += LOW
+    carry()
+    emit(np.arange(lanes))
     return [out[i, : used[i]].astype("<u2").tobytes() for i in range(lanes)]
 
 
-def decode(codes: list[bytes], lengths: np.ndarray, vocab: int) -> list[np.ndarray]:
-    """The blocks that encode() was given together with `lengths`."""
-    lengths = np.asarray(lengths, np.int64)
-    lanes, longest = len(codes), int(lengths.max(initial=0))
-    words = np.zeros((lanes, max(map(len, codes), default=0) // 2 + 8), np.uint64)
-    for i, c in enumerate(codes):
+def decode(codes: list[list[bytes]], lengths: list[int], alphabets: list[np.ndarray]) -> list[np.ndarray]:
+    """The blocks of which encode() gave these codes and ids."""
+    models = [Block(max(1, len(a))) for a in alphabets]
+    shapes = [runs_of(np.zeros(n, np.int64)) for n in lengths]
+    first = np.cumsum([0, *(len(r) for r, _ in shapes)])
+    lanes, longest = int(first[-1]), max((r.shape[1] for r, _ in shapes), default=0)
+    length = np.concatenate([x for _, x in shapes] or [np.empty(0, np.int64)])
+    of = np.repeat(np.arange(len(models)), np.diff(first))
+    flat_codes = [c for block in codes for c in block]
+    width = max(map(len, flat_codes), default=0) // 2 + 4
+    words = np.zeros((lanes, width), np.uint64)
+    for i, c in enumerate(flat_codes):
         words[i, : len(c) // 2] = np.frombuffer(c, "<u2")
-    model = Model(lanes, vocab)
-    row, width = model.row, words.shape[1]
-    flat_words, read = words.reshape(-1), row * width + 4
-    low, span = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
-    code = (words[:, 0] << U(48)) | (words[:, 1] << U(32)) | (words[:, 2] << U(16)) | words[:, 3]
-    ids = np.zeros((lanes, longest), np.uint64)
-    before, last = np.zeros(lanes, np.uint64), np.zeros(lanes, np.uint64)
-    stretches = turns(longest)
-    for k, (at, end) in enumerate(stretches):
-        cum, total0 = model.cum.reshape(-1), model.cum[:, vocab].astype(np.uint64)
-        base = row * model.stride
+    read = np.full(lanes, 3)
+    code = (words[:, 0] << U(32)) | (words[:, 1] << U(16)) | words[:, 2]
+    span = np.full(lanes, (1 << 48) - 1, np.uint64)
+    # Runs as rows, and of each position what was asked of the model.
+    ids = np.zeros((lanes, longest), np.int64)
+    none = np.array([m.n_symbols for m in models], np.int64)[of]
+
+    def ask(where: np.ndarray, row: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The entries that the codes of these lanes name in their rows."""
+        own = span[where]
+        unit = own >> WORD
+        value = np.minimum(code[where] // unit, U(WHOLE - 1)).astype(np.int64)
+        entry = np.searchsorted(starts, (row << BITS) | value, "right") - 1
+        begin = starts[entry]
+        own = unit * (starts[entry + 1] - begin).astype(np.uint64)
+        rest = code[where] - unit * (begin & (WHOLE - 1)).astype(np.uint64)
+        small = np.flatnonzero(own < TOP)
+        lane = where[small]
+        rest[small] = (rest[small] << WORD) | words[lane, np.minimum(read[lane], width - 1)]
+        read[lane] += 1
+        own[small] <<= WORD
+        span[where], code[where] = own, rest
+        return entry
+
+    for at, end in turns(longest):
+        live_models = [k for k, (r, _) in enumerate(shapes) if r.shape[1] > at]
+        if at:
+            for k in live_models:
+                models[k].build(*history(ids[first[k] : first[k + 1]], length[first[k] : first[k + 1]], models[k].n_symbols, at))
+        # The live models' tables in a row, with what to add to a model's own entry and row numbers.
+        joined = Joined([models[k] for k in live_models], bool(at))
+        slot = np.full(len(models), -1)
+        slot[live_models] = np.arange(len(live_models))
+        slot = slot[of]
+        asked2, asked1 = (np.full((lanes, end - at), -1, np.int64) for _ in range(2))
+        last = ids[:, at - 1] if at else none
+        row2 = np.full(lanes, -1, np.int64)
+        if at:
+            before = ids[:, at - 2] if at > 1 else none
+            for k in live_models:
+                mine = slice(first[k], first[k + 1])
+                pair = models[k].pairs(before[mine], last[mine])
+                row2[mine] = joined.row2[np.where(pair >= 0, pair + joined.entry1[slot[first[k]]], -1)]
         for j in range(at, end):
-            on = j < lengths
-            two, one, ends = model.nominees(before, last)
-            unit = span >> U(SHARE_BITS)
-            share = np.minimum((code - low) // unit, U((1 << SHARE_BITS) - 1))
-            part = (share >= model.ends[ends + 1]).astype(np.int64) + (share >= model.ends[ends + 2])
-            start, stop = model.ends[ends + part], model.ends[ends + part + 1]
-            plain = part == 2
-            step = unit * (stop - start) // np.where(plain, total0, U(1))
-            rest = low + unit * start
-            place = np.minimum((code - rest) // step, total0 - U(1)).astype(np.uint32)
-            at_id = base.copy()
-            for h in model.halves:  # the largest id whose cumulative count is not above the place
-                at_id += (cum.take(at_id + h) <= place) * h
-            found = at_id - base
-            c0 = np.where(plain, cum.take(at_id), 0).astype(np.uint64)
-            c1 = np.where(plain, cum.take(at_id + 1), 1).astype(np.uint64)
-            low = np.where(on, rest + step * c0, low)
-            span = np.where(on, step * (c1 - c0), span)
-            now = np.where(plain, found.astype(np.uint64), np.where(part == 0, two, one).astype(np.uint64))
-            ids[:, j] = np.where(on, now, U(0))
-            before, last = last, ids[:, j]
-            while True:
-                settled = (low ^ (low + span)) < TOP
-                narrow = ~settled & (span < BOTTOM)
-                where = np.flatnonzero(on & (settled | narrow))
-                if not len(where):
-                    break
-                cut = np.flatnonzero(on & narrow)
-                span[cut] = (~low[cut] + U(1)) & (BOTTOM - U(1))
-                code[where] = (code[where] << WORD) | flat_words[np.minimum(read[where], len(flat_words) - 1)]
-                read[where] += 1
-                low[where] <<= WORD
-                span[where] <<= WORD
-        if k + 1 < len(stretches):
-            a, b = shifted(ids, at, end)
-            model.adapt(ids[:, at:end], np.arange(at, end)[None, :] < lengths[:, None], a, b, True)
-    return [ids[i, :n].astype(np.uint32) for i, n in enumerate(lengths)]
+            now = np.zeros(lanes, np.int64)
+            pair = np.full(lanes, -1, np.int64)
+            todo = np.flatnonzero(length > j)
+            if at:
+                some = todo[row2[todo] >= 0]
+                entry = ask(some, row2[some], joined.two)
+                asked2[some, j - at] = entry
+                pair[some] = joined.link[entry]
+                left = todo[pair[todo] < 0]
+                row1 = joined.row1[joined.symbol[slot[left]] + last[left]]
+                some, row1 = left[row1 >= 0], row1[row1 >= 0]
+                entry = ask(some, row1, joined.one)
+                asked1[some, j - at] = entry
+                pair[some] = np.where(joined.symbols[entry] >= 0, entry, -1)
+                hit = todo[pair[todo] >= 0]
+                now[hit] = joined.symbols[pair[hit]]
+                asked1[hit, j - at] = pair[hit]
+                # An escape at order 2 leaves the order-1 entry that was asked next.
+                todo = todo[pair[todo] < 0]
+                row2 = joined.row2[pair]
+            entry = ask(todo, slot[todo], joined.zero)
+            now[todo] = entry - joined.zero_at[slot[todo]]
+            ids[:, j] = last = now
+        if at:
+            for k in live_models:
+                mine, s = slice(first[k], first[k + 1]), slot[first[k]]
+                own = [np.where(x[mine] >= 0, x[mine] - base, -1).ravel() for x, base in ((asked2, joined.entry2[s]), (asked1, joined.entry1[s]))]
+                models[k].learn(*own)
+    return [a[ids[i:j, : r.shape[1]].ravel()[:n]] if n else np.empty(0, np.uint32) for a, i, j, n, (r, _) in zip(alphabets, first[:-1], first[1:], lengths, shapes, strict=True)]
+
+
+class Joined:
+    """The tables of several models one after another."""
+
+    def __init__(self, models: list[Block], built: bool):
+        def chain(parts: list[np.ndarray], steps: list[int], end: list[int] = []) -> np.ndarray:  # noqa: B006
+            """The parts with their steps added, where they are not -1."""
+            return np.concatenate([*(np.where(p >= 0, p + s, -1) for p, s in zip(parts, steps, strict=True)), end]).astype(np.int64)
+
+        offsets = lambda sizes: np.cumsum([0, *sizes]).astype(np.int64)
+        k = np.arange(len(models))
+        self.zero = chain([m.start0[:-1] for m in models], list(k << BITS), [len(models) << BITS])
+        self.zero_at = offsets([m.n_symbols for m in models])
+        if built:
+            self.entry1, self.entry2 = offsets([len(m.one.sizes) for m in models]), offsets([len(m.two.sizes) for m in models])
+            rows1, rows2 = offsets([len(m.one.context) for m in models]), offsets([len(m.two.context) for m in models])
+            self.symbol = offsets([m.n_symbols + 1 for m in models])
+            self.one = chain([m.one.starts for m in models], list(rows1[:-1] << BITS), [rows1[-1] << BITS])
+            self.two = chain([m.two.starts for m in models], list(rows2[:-1] << BITS), [rows2[-1] << BITS])
+            self.symbols = np.concatenate([m.symbols for m in models])
+            self.link = chain([m.link for m in models], list(self.entry1[:-1]))
+            self.row1 = chain([m.row1 for m in models], list(rows1[:-1]))
+            self.row2 = chain([m.row2 for m in models], list(rows2[:-1]), [-1])  # the last is for no pair

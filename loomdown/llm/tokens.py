@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import threading
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -14,12 +15,13 @@ import pyarrow.compute as pc
 class WordEncoder:
     """Encodes texts with a tokenizer that drops white space, so that a text's ids are those of its words in turn.
 
-    Each word that is new to this object is encoded once by the tokenizers library; `memory` words are remembered from batch to batch.
+    Words that are new to this object are encoded by the tokenizers library, many in one text, whose offsets tell to which word
+    each id belongs. Up to `memory` words are remembered from batch to batch, and the older half of them goes when these are full.
     That a tokenizer qualifies is checked on construction: its pre-tokenizer removes what it splits at and its added
     tokens take no white space with them.
     """
 
-    def __init__(self, path: str, memory: int = 300_000):
+    def __init__(self, path: str, memory: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -30,11 +32,23 @@ class WordEncoder:
             raise ValueError("this tokenizer keeps white space; encode whole texts instead")
         self.memory = memory
         self.known: dict[str, int] = {}
+        self.older: dict[str, int] = {}
         self.flat, self.bounds = np.empty(0, np.uint32), np.zeros(1, np.int64)
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def word_ids(self, words: list[str], together: int = 200) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words in a row, number of ids of each)."""
+        groups = [words[i : i + together] for i in range(0, len(words), together)]
+        coded = self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)
+        ids = np.fromiter(chain.from_iterable(e.ids for e in coded), np.uint32)
+        begin = np.fromiter((o[0] for e in coded for o in e.offsets), np.int64, len(ids))
+        lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        base = np.concatenate(([0], np.cumsum(lengths)))
+        begin += np.repeat(base[:-1:together], [len(e.ids) for e in coded])
+        return ids, np.bincount(np.searchsorted(base, begin, "right") - 1, minlength=len(words))
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each text)."""
         # As str.split() does, but only at the separators that the tokenizer's own \s has too.
@@ -50,15 +64,30 @@ class WordEncoder:
 
     def numbers(self, words: list[str]) -> np.ndarray:
         """The number of each word among the remembered ones."""
-        if len(self.known) + len(words) > self.memory and len(self.known):
-            self.known, self.flat, self.bounds = {}, np.empty(0, np.uint32), np.zeros(1, np.int64)
-        new = [w for w in words if w not in self.known]
+        if len(self.known) + len(words) > self.memory // 2 and len(self.known):
+            self.older, self.known = self.known, {}
+            kept = np.fromiter(self.older.values(), np.int64, len(self.older))
+            sizes = np.diff(self.bounds)[kept]
+            ends = np.cumsum(sizes)
+            self.flat = self.flat[np.arange(ends[-1]) + np.repeat(self.bounds[kept] - (ends - sizes), sizes)]
+            self.bounds = np.concatenate(([0], ends))
+            self.older = dict(zip(self.older, range(len(kept)), strict=True))
+        known, older = self.known, self.older
+        new = []
+        for w in words:
+            if w not in known:
+                at = older.get(w)
+                if at is None:
+                    new.append(w)
+                else:
+                    known[w] = at
         if new:
-            ids = self.ids(new)
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-            self.flat = np.concatenate([self.flat, *ids])
-            self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(list(map(len, ids)))])
-        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+            ids, sizes = self.word_ids(new)
+            at = len(self.bounds) - 1
+            known.update(zip(new, range(at, at + len(new)), strict=True))
+            self.flat = np.concatenate([self.flat, ids])
+            self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(sizes)])
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
 
 def pieces(texts: list[str | None], chars: int = 1_000_000) -> Iterator[slice]:
