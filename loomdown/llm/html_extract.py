@@ -342,6 +342,11 @@ def is_main(node: Node) -> bool:
     return node.name in ("article", "main") or (bool(node.attrs) and re.search(r"(?<!\S)role\s*=\s*[\"']?main\b", node.attrs, re.I) is not None)
 
 
+def judged(bits):
+    """Of nodes in main content only names and main content itself count."""
+    return not bits & WITHIN_MAIN or bool(bits & (NAMED | MAIN))
+
+
 def read_page(page: str, template: Template) -> tuple:
     """What is known of a page: lists over its nodes in preorder, lists over its blocks, and its identity.
 
@@ -408,7 +413,10 @@ def read_page(page: str, template: Template) -> tuple:
             stack.append(None)
             stack += reversed(part.parts)
     slots = template.slots_of(root)
-    return [slots[id(n)] for n in nodes], [n.text_hash for n in nodes], chars, links, bits, last, block_nodes, blocks, xxhash.xxh3_64_intdigest(longest[1].encode("utf-8", "surrogatepass")) >> 1
+    # Only what label_slots() may judge is told of a node.
+    told = [judged(b) for b in bits]
+    hashes, chars, links = ([x if t else 0 for x, t in zip(xs, told, strict=True)] for xs in ([n.text_hash for n in nodes], chars, links))
+    return [slots[id(n)] for n in nodes], hashes, chars, links, bits, last, block_nodes, blocks, xxhash.xxh3_64_intdigest(longest[1].encode("utf-8", "surrogatepass")) >> 1
 
 
 def chosen_text(slots: list[int], last: list[int], block_nodes: list[int], blocks: list[str], noise: set[int], mains: set[int]) -> str:
@@ -497,13 +505,13 @@ def read_pages(pages: DataFrame, templates: DataFrame, shared: Template) -> Data
 def label_slots(pages: DataFrame, least_pages: int = 3, constant_share: float = 0.5, link_share: float = 0.6) -> DataFrame:
     """(wrapper, noise, mains): the labelled slots of each wrapper, from all different pages."""
     zipped = F.explode(F.arrays_zip("slots", "hashes", "chars", "links", "bits")).alias("z")
-    seen = pages.select("wrapper", "identity", zipped).select("wrapper", "identity", "z.*")
+    has = lambda bit: F.col("bits").bitwiseAND(F.lit(bit)) > 0
+    seen = pages.select("wrapper", "identity", zipped).select("wrapper", "identity", "z.*").where(~has(WITHIN_MAIN) | has(NAMED | MAIN))
     key = ["wrapper", "slots"]
     # An optional slot may occur several times in a page: it is one observation then.
     seen = seen.groupBy(*key, "identity").agg(F.max("hashes").alias("hash"), F.max("chars").alias("chars"), F.max("links").alias("links"), F.bit_or("bits").alias("bits"))
     texts = seen.groupBy(*key, "hash").agg(F.count(F.lit(1)).alias("n"), *(F.sum(k).alias(k) for k in ("chars", "links")), F.bit_or("bits").alias("bits"))
     slots = texts.groupBy(*key).agg(F.max("n").alias("top"), *(F.sum(k).alias(k) for k in ("n", "chars", "links")), F.bit_or("bits").alias("bits"))
-    has = lambda bit: F.col("bits").bitwiseAND(F.lit(bit)) > 0
     size = F.col("chars") + F.col("links")
     constant = (F.col("top") >= least_pages) & (F.col("top") >= constant_share * F.col("n")) & (size > 0) & (F.col("slots") != 0)
     menu = has(HOLDER) & (F.col("links") > link_share * size)
