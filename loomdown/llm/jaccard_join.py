@@ -277,7 +277,7 @@ def sifted(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) that link; pairs: written."""
-    side = lambda k: texts.join(pairs.select(F.col(k).alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias(k), F.col("text").alias(f"text_{k}"))
+    side = lambda k: texts.join(pairs.select(F.col(k).alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi").select(F.col("doc_id").alias(k), F.col("text").alias(f"text_{k}"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[str | None, np.ndarray] = (None, np.empty(0, np.uint64))
@@ -326,7 +326,8 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     sizes = classes.groupBy(rounded.alias("n")).agg(F.count(F.lit(1)).alias("c"), F.max("n_shingles").alias("top")).collect()
     scheme = Scheme(percent, {r["n"]: r["c"] for r in sizes}, max([1, *(r["top"] for r in sizes)]))
 
-    texts = written(docs.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "jaccard-texts")
+    # Neither side of this join is bounded, so small inputs take the same way as large ones.
+    texts = written(docs.join(classes.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"), "jaccard-texts")
     signed = written(signature_rows(texts, width, scheme), "jaccard-signatures")
     ends = classes.agg(F.min("rep"), F.max("rep")).first()
     id_type = "<u4" if ends[0] is not None and ends[0] >= 0 and ends[1] < 2**32 else "<i8"
