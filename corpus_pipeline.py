@@ -2,12 +2,16 @@
 
 Each stage takes all that the one before kept, as rows with the columns of `documents`; the last returns the documents'
 places in the token files. Between stages the rows are written as Parquet in the shared folder and read again.
-A row with a null doc_id is never dropped as a duplicate or as contaminated.
+
+Defined cases: rows are judged by their texts, so rows with a null or a repeated doc_id are dropped as duplicates or as contaminated like
+all others. Of each group of near copies the row with the smallest doc_id stays, of equal ids the first, a null one only if there is no other.
+Rows without words are near copies of nothing. Empty tables go through; very long texts are read whole; extra columns are kept as they are.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomdown.llm import decontaminate, jaccard_join, mixing, quality, token_files
 from loomdown.llm.common import written
@@ -21,16 +25,22 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents with 80 % of their five-word shingles in common, the one with the smallest doc_id stays."""
-    found = jaccard_join.jaccard_components(docs, width=5, percent=80)
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """Of each group of documents with 80 % of their five-word shingles in common, one stays."""
+    numbered = written(docs.select(F.monotonically_increasing_id().alias("number"), F.struct("*").alias("row")), "numbered")
+    found = jaccard_join.jaccard_components(numbered.select("number", F.col("row.text").alias("text")), doc_id="number", width=5, percent=80)
+    found = found.select(F.col("doc_id").alias("number"), "component_id")
+    ids = numbered.select("number", F.col("row.doc_id").alias("doc_id"))
+    first = F.min_by("number", F.struct(F.col("doc_id").isNull(), "doc_id", "number"))
+    stay = found.join(ids, "number").groupBy("component_id").agg(first.alias("number")).select("number")
+    return numbered.join(stay.hint("merge"), "number", "left_semi").select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """Texts are told by a 64-bit hash, as ids may be missing."""
+    key = F.xxhash64("text", F.lit(1)).alias("key")
+    found = decontaminate.contaminated(docs.select(key, "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), doc_id="key")
+    rows = docs.select(key, F.struct("*").alias("row"))
+    return rows.join(found.select(F.col("doc_id").alias("key")).distinct(), "key", "left_anti").select("row.*")
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
