@@ -168,16 +168,14 @@ _CLASS_COUNTS = ", ".join(
 ORACLE_SQL = rf"""
 WITH w AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 u AS (SELECT doc_id, lang, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
-wc AS (SELECT lang, word, count(*) AS n FROM u GROUP BY ALL),
-ls AS (SELECT lang, sum(n) AS size FROM wc GROUP BY lang),
-big AS (SELECT lang FROM ls WHERE lang IS NOT NULL AND size >= 0.01 * (SELECT sum(size) FROM ls)),
-rw AS (SELECT '=' || lang AS ref, word, n FROM wc WHERE lang IN (SELECT lang FROM big) UNION ALL SELECT '*', word, sum(n) FROM wc GROUP BY word),
-rs AS (SELECT ref, sum(n) AS size FROM rw GROUP BY ref),
-q AS (SELECT ref, word, (n / size)::DOUBLE AS q FROM rw JOIN rs USING (ref) WHERE n >= 0.0025 * size),
-d AS (SELECT doc_id, lang, CASE WHEN lang IN (SELECT lang FROM big) THEN '=' || lang ELSE '*' END AS ref, len(ws) AS n_words, length(t) AS n_chars, [{_CLASS_COUNTS}] AS six,
+wc AS (SELECT lang, word, count(*) AS n FROM u WHERE lang IS NOT NULL GROUP BY ALL),
+big AS (SELECT lang, sum(n) AS size FROM wc GROUP BY lang HAVING sum(n) >= 4000),
+q AS (SELECT '=' || lang AS ref, word, (n / size)::DOUBLE AS q FROM wc JOIN big USING (lang) WHERE n >= 0.0025 * size),
+d AS (SELECT doc_id, CASE WHEN lang IN (SELECT lang FROM big) THEN '=' || lang ELSE '*' END AS ref, len(ws) AS n_words, length(t) AS n_chars, [{_CLASS_COUNTS}] AS six,
       len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS n_dup_lines FROM w),
-k AS (SELECT doc_id, lang, ref, n_chars, unnest(list_append(six, n_chars - list_sum(six))) AS v, unnest(range(7)) AS k FROM d),
-kr AS (SELECT ref, k, sum(v) AS v FROM (SELECT ref, k, v FROM k WHERE ref <> '*' UNION ALL SELECT '*', k, v FROM k) GROUP BY ALL),
+c AS (SELECT doc_id, ref, n_chars, list_append(six, n_chars - list_sum(six)) AS own, [six[1], six[2], six[3], 0, six[5], six[6], n_chars - list_sum(six) + six[4]] AS any_script FROM d),
+k AS (SELECT doc_id, ref, n_chars, unnest(CASE WHEN ref = '*' THEN any_script ELSE own END) AS v, unnest(range(7)) AS k FROM c),
+kr AS (SELECT ref, k, sum(v) AS v FROM (SELECT ref, k, v FROM k WHERE ref <> '*' UNION ALL SELECT '*', unnest(range(7)), unnest(any_script) FROM c) GROUP BY ALL),
 kq AS (SELECT ref, k, (v / greatest(1, sum(v) OVER (PARTITION BY ref)))::DOUBLE AS q FROM kr),
 cj AS (SELECT doc_id, sum({_half("(v / n_chars)", "q")}) AS js FROM k JOIN kq USING (ref, k) WHERE n_chars >= 600 GROUP BY doc_id),
 wn AS (SELECT doc_id, word, count(*) AS c FROM u GROUP BY ALL),

@@ -157,6 +157,43 @@ def test_languages_without_labels(frame):
     assert [r.lang_pred for r in language_id.identify(frame([(1, "abc")]), None).collect()] == ["und"]
 
 
+def test_classifier_against_the_formula():
+    """Nyström features and ridge regression by kernels of plain sets, without folding them into one matrix."""
+    import numpy as np
+
+    texts = sentences(EN, 20) + sentences(DE, 20) + sentences("le la les des une est dans pour qui sur par avec", 9)
+    labels = ["en"] * 20 + ["de"] * 20 + ["fr"] * 9
+    dims, longest, landmarks, ridge = 512, 3, 12, 0.05
+    model = language_id.Classifier.fit(texts, labels, dims, longest, landmarks, ridge)
+
+    def places(text):
+        codes = [32 if c < 128 and not 97 <= c <= 122 else c for c in map(ord, text.lower())]
+        out = set()
+        for i in range(len(codes)):
+            gram = 0
+            for n in range(1, longest + 1):
+                if i + n <= len(codes):
+                    gram = codes[i] if n == 1 else (gram * 0x9E3779B97F4A7C15 + codes[i + n - 1]) % 2**64
+                    out.add((((gram ^ (gram >> 31)) * ((0xBF58476D1CE4E5B9 + 2 * n) % 2**64)) % 2**64 >> 40) % dims)
+        return out
+
+    kernel = lambda a, b: len(a & b) / math.sqrt(len(a) * len(b))
+    sets = [places(t) for t in texts]
+    marks = [sets[i] for lang in ("en", "de", "fr") for i in [k for k, x in enumerate(labels) if x == lang][: landmarks // 3]]
+    gram = np.array([[kernel(a, b) for b in marks] for a in marks])
+    values, vectors = np.linalg.eigh(gram)
+    good = values > 1e-8 * values[-1]
+    root = vectors[:, good] / np.sqrt(values[good])
+    phi = lambda s: np.append(np.array([kernel(s, m) for m in marks]) @ root, 1)
+    features = np.array([phi(s) for s in sets])
+    for k, lang in enumerate(model.languages):
+        y = np.array([x == lang for x in labels], float)
+        weights = np.linalg.solve(features.T @ features + ridge * np.eye(features.shape[1]), features.T @ y)
+        new = sentences(EN, 5, 1) + sentences(DE, 5, 1) + ["une est dans la"]
+        ours = language_id.presence(new, dims, longest) @ model.matrix[:-1, k] + model.matrix[-1, k]
+        assert ours == pytest.approx([float(phi(places(t)) @ weights) for t in new], abs=2e-4)
+
+
 def test_nul_in_a_text():
     both = language_id.presence(["ab\0cd", "xy"], 512, 3)
     assert (both[1] == language_id.presence(["xy"], 512, 3)[0]).all()
