@@ -557,7 +557,7 @@ def with_table_no(df: DataFrame) -> DataFrame:
     "SELECT o_orderkey, 1::BIGINT AS table_no, unnest(['tr', 'td', 'caption', 'table']) AS name, unnest([n + nests::INT, cells + 2 * nests::INT, headed::INT, nests::INT])::BIGINT AS n FROM t "
     "UNION ALL SELECT o_orderkey, 2, unnest(['tr', 'td']), unnest([1, 2]) FROM t WHERE nests) WHERE n > 0"
 )
-def nearest_table(spark, d):
+def own_table_parts(spark, d):
     """What belongs to each table itself, and not to a table in it."""
     found = with_table_no(N.nearest_table(table_nodes(spark, d), ("tr", "td", "caption", "table")))
     return found.groupBy("o_orderkey", "table_no", "name").agg(F.count(F.lit(1)).alias("n"))
@@ -569,7 +569,8 @@ def nearest_table(spark, d):
     "SELECT o_orderkey, 1::BIGINT AS table_no, n_rows::BIGINT AS n_rows, min_cells::BIGINT AS min_cells, max_cells::BIGINT AS max_cells, CASE WHEN role = 'none' THEN false WHEN headed THEN true WHEN nests OR n_rows < 2 OR max_cells < 2 THEN false "
     "ELSE min_cells = max_cells AND CASE WHEN regexp_matches(border, '\\A[+-]?[0-9]+\\z') THEN border::INT > 0 ELSE border <> '' END END AS is_data FROM t UNION ALL SELECT o_orderkey, 2, 1, 2, 2, false FROM t WHERE nests"
 )
-def data_tables(spark, d):
+def table_verdicts(spark, d):
+    """Which tables hold data, from their markup."""
     found = with_table_no(N.data_tables(table_nodes(spark, d)))
     return found.select("o_orderkey", "table_no", *(F.col(k).cast("long").alias(k) for k in ("n_rows", "min_cells", "max_cells")), "is_data")
 
@@ -584,6 +585,16 @@ def table_cells(spark, d):
     return found.select("o_orderkey", "table_no", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "cell")
 
 
+@query()
+def nearest_table(spark, d):
+    return of_pages(N.nearest_table(vendor_nodes(spark, d), ("tr", "td", "th", "thead", "table")))
+
+
+@query()
+def data_tables(spark, d):
+    return of_pages(N.data_tables(vendor_nodes(spark, d)))
+
+
 @query()
 def node_pipe_tables(spark, d):
     """The data tables of each page as Markdown, from nodes alone."""
