@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..kernel import convert
-from ..kernel.serialize import decode_escapes
 from ..kernel.wrap import wrap
 from . import text as X
 
@@ -53,14 +52,6 @@ def page_nodes(html: Column) -> Column:
     return nodes(X.strip_ie_conditionals(html))
 
 
-def decode_unicode_escapes(text: Column) -> Column:
-    @F.arrow_udf(T.StringType())
-    def decode(texts: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else decode_escapes(t) for t in texts.to_pylist()], pa.string())
-
-    return F.when(F.contains(text, F.lit("\\")), decode(text)).otherwise(text)
-
-
 def wrap_lines(text: Column, width: int = 80) -> Column:
     @F.arrow_udf(T.StringType())
     def wrapped(texts: pa.Array) -> pa.Array:

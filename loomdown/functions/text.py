@@ -14,6 +14,11 @@ COMMENT = r"(?s)<!--.*?-->"
 LINK = r"\[([^\]\n]+)\]\([^)\n]*\)"
 LINK_ONLY = r"\A\[[^\]\n]+\]\([^)\n]*\)\z"
 HEADING = rf"\A[{BLANK_CLASS}]*(#{{1,6}}) "
+FENCE = r"\A(?:```|~~~)"
+REFERENCE = rf"\A\[[^\]]+\]:[{BLANK_CLASS}]"
+BREAK = r"\A(?:[-*] [-*_ ]*|[-*_]{3,} *)\z"
+ITEM = rf"\A(?:[-*+]|\p{{Nd}}+\.)[{BLANK_CLASS}]+"
+ESCAPES = r"\\u\{[0-9a-fA-F]+\}|\\U[0-9a-fA-F]{8}|\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|[^\\]+|\\"
 PUNCTUATION = r"\A[!-/:-@\[-`{-~]\z"
 
 
@@ -33,6 +38,63 @@ def escape_markdown(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"[ \t\n\r\x{A0}]+", " "), r"([\\`*_\[\]])", r"\\$1")
 
 
+def decode_unicode_escapes(text: Column) -> Column:
+    r"""Literal \uXXXX, \u{X...} and \UXXXXXXXX, also as surrogate pairs, as their characters; what names none stays as it is."""
+
+    def units(code: Column) -> Column:
+        """The code units of a character, in hex."""
+        over = code - 0x10000
+        pair = F.concat(F.hex(F.shiftright(over, 10) + 0xD800), F.hex(over.bitwiseAND(F.lit(0x3FF)) + 0xDC00))
+        return F.when(code < 0x10000, F.lpad(F.hex(code), 4, "0")).otherwise(pair)
+
+    def one(piece: Column) -> Column:
+        pair = F.length(piece) == 12
+        digits = F.ltrim(F.regexp_replace(F.substring(piece, 3, 1000), r"[{}]", ""), F.lit("0"))
+        code = F.conv(F.when(F.length(digits) <= 6, F.concat(F.lit("0"), digits)).otherwise(F.lit("110000")), 16, 10).cast("long")
+        named = (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        return (
+            F.when(~F.startswith(piece, F.lit("\\")) | (F.length(piece) == 1), piece)
+            .when(pair & F.contains(F.substring(piece, 3, 10), F.lit("\\")), F.decode(F.unhex(F.concat(F.substring(piece, 3, 4), F.substring(piece, 9, 4))), "UTF-16BE"))
+            .when(named, F.decode(F.unhex(units(code)), "UTF-16BE"))
+            .otherwise(piece)
+        )
+
+    pieces = F.regexp_extract_all(text, F.lit(ESCAPES), F.lit(0))
+    return F.when(F.contains(text, F.lit("\\")), F.array_join(F.transform(pieces, one), "")).otherwise(text)
+
+
+def escape_text(text: Column) -> Column:
+    """Escapes for Markdown, of the text that its literal Unicode escapes stand for."""
+    return escape_markdown(decode_unicode_escapes(text))
+
+
+def is_blank(text: Column) -> Column:
+    return trim_blanks(text) == ""
+
+
+def ends_with_blank(text: Column) -> Column:
+    """Whether nothing or a blank is at the end."""
+    return (text == "") | text.rlike(rf"[{BLANK_CLASS}]\z")
+
+
+def is_fence(line: Column) -> Column:
+    return line.rlike(FENCE)
+
+
+def is_reference(line: Column) -> Column:
+    """A reference definition."""
+    return F.ltrim(line, F.lit(BLANK)).rlike(REFERENCE)
+
+
+def is_thematic_break(line: Column) -> Column:
+    return F.ltrim(line, F.lit(BLANK)).rlike(BREAK)
+
+
+def list_mark(line: Column) -> Column:
+    """The mark at the start of a list item with the blanks after it, empty for other lines."""
+    return F.regexp_extract(line, ITEM, 0)
+
+
 def collapse_blank_runs(text: Column) -> Column:
     return F.regexp_replace(text, r"\n{3,}", "\n\n")
 

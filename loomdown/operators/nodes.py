@@ -135,6 +135,44 @@ def subtree_has_break(nodes: DataFrame) -> DataFrame:
     return tops.select(DOC, "node_id", (F.col("own_breaks") | (F.col("breaks") > 0)).alias("has_break"))
 
 
+def short_paragraphs(nodes: DataFrame, most: int = 60) -> DataFrame:
+    """(doc_id, node_id, text) of paragraphs with one to `most` characters and neither blocks nor line breaks below them."""
+    is_paragraph = F.coalesce(F.col("name") == "p", F.lit(False))
+    plain = counted_below(nodes, is_paragraph, blocks=X.is_block(F.col("name")), breaks=F.col("name") == "br").where("blocks = 0 and breaks = 0").select(DOC, "node_id")
+    text = subtree_text(nodes, is_paragraph).select(DOC, "node_id", X.trim_blanks(F.col("subtree_text")).alias("text"))
+    return text.where(F.length("text").between(1, most)).join(plain, [DOC, "node_id"], "left_semi")
+
+
+def deepest_first(nodes: DataFrame, name: str) -> DataFrame:
+    """(doc_id, node_id, turn) of the elements of a name: those further down come first, others in document order."""
+    turn = F.row_number().over(W.partitionBy(DOC).orderBy(F.desc("depth"), "node_id"))
+    return nodes.where(F.col("name") == name).select(DOC, "node_id", turn.alias("turn"))
+
+
+def first_body(nodes: DataFrame) -> DataFrame:
+    """(doc_id, node_id): the first body of each document, or its root where it has none."""
+    body = F.min(F.when(F.col("name") == "body", F.col("node_id")))
+    return nodes.groupBy(DOC).agg(F.coalesce(body, F.min("node_id")).alias("node_id"))
+
+
+def inline_runs(nodes: DataFrame, parents: Column) -> DataFrame:
+    """(doc_id, parent_id, run, text): neighbouring children of the chosen parents that neither are blocks nor hold any, with their text.
+
+    Islands of siblings: each block ends one. Runs without text are left out.
+    """
+    tops = nodes.where(parents).select(DOC, F.col("node_id").alias("parent_id"))
+    is_block = F.coalesce(X.is_block(F.col("name")), F.lit(False))
+    kids = nodes.where("kind in ('element', 'text')").join(tops, [DOC, "parent_id"]).select(DOC, "parent_id", "node_id", "kind", "text", is_block.alias("is_block"))
+    below = counted_below(nodes, F.col("kind") == "element", blocks=is_block).where("blocks > 0").select(DOC, "node_id", F.lit(True).alias("holds"))
+    texts = subtree_text(nodes, (F.col("kind") == "element") & ~is_block)
+    kids = kids.join(below, [DOC, "node_id"], "left").join(texts, [DOC, "node_id"], "left").withColumn("block", F.col("is_block") | F.coalesce("holds", F.lit(False)))
+    run = F.sum(F.col("block").cast("int")).over(W.partitionBy(DOC, "parent_id").orderBy("node_id").rowsBetween(W.unboundedPreceding, 0))
+    kids = kids.withColumn("run", run).where("not block")
+    parts = F.array_sort(F.collect_list(F.struct("node_id", F.coalesce("subtree_text", "text", F.lit("")).alias("text"))))
+    joined = kids.groupBy(DOC, "parent_id", "run").agg(X.tidy_inline(F.array_join(F.transform(parts, lambda x: x["text"]), "")).alias("text"))
+    return joined.where("text <> ''")
+
+
 def nearest_table(nodes: DataFrame, names: tuple[str, ...]) -> DataFrame:
     """(doc_id, node_id, name, table_id): the innermost table above each element of these names.
 

@@ -153,10 +153,42 @@ def wrap_width_option(spark, d):
     return rows.withColumn("width", X.wrap_width(F.col("option")).cast("long"))
 
 
-@query()
+ESCAPED = (" the ", " \\u2013\\u{1F9E0}\\ud83e\\udde0\\U0001F9E0\\uD83E\\u+ \\u{110000}\\u{000041} ")
+_digits = "ltrim(regexp_replace(p[3:], '[{}]', '', 'g'), '0')"
+_code = f"(CASE WHEN length({_digits}) > 6 THEN 1114112 ELSE ('0x0' || {_digits})::BIGINT END)"
+_pair = "(65536 + ((('0x' || p[3:6])::BIGINT - 55296) * 1024) + ('0x' || p[9:12])::BIGINT - 56320)"
+DECODE_ESCAPES = lambda x: (
+    f"array_to_string(list_transform(regexp_extract_all({x}, '{X.ESCAPES}'), lambda p: CASE WHEN p[1:1] <> chr(92) OR length(p) = 1 THEN p WHEN length(p) = 12 AND contains(p[3:], chr(92)) THEN chr({_pair}::INT) "
+    f"WHEN {_code} <= 1114111 AND {_code} NOT BETWEEN 55296 AND 57343 THEN chr({_code}::INT) ELSE p END), '')"
+)
+
+
+@query(f"SELECT doc_id, {DECODE_ESCAPES(f'replace(text, {ESCAPED[0]!r}, {chr(39) + ESCAPED[1] + chr(39)})')} AS text FROM documents")
 def decode_unicode_escapes(spark, d):
-    text = F.replace("text", F.lit(" the "), F.lit(" \\u2013\\u{1F9E0}\\ud83e\\udde0\\u+ "))
-    return documents(spark, d).select("doc_id", M.decode_unicode_escapes(text).alias("text"))
+    return documents(spark, d).select("doc_id", X.decode_unicode_escapes(F.replace("text", *map(F.lit, ESCAPED))).alias("text"))
+
+
+@query(rf"SELECT doc_id, regexp_replace(regexp_replace({DECODE_ESCAPES(f'replace(text, {ESCAPED[0]!r}, {chr(39) + ESCAPED[1] + chr(39)})')}, '[ \t\n\r\x{{A0}}]+', ' ', 'g'), '([\\`*_\[\]])', '\\\1', 'g') AS text FROM documents")
+def escape_decoded_text(spark, d):
+    return documents(spark, d).select("doc_id", X.escape_text(F.replace("text", *map(F.lit, ESCAPED))).alias("text"))
+
+
+SHAPES = ("- ", "12. ", "> ", "[x]: ", "```", "~~~", "  * * * ", "", " ---  ", "  [y z]:", "+\t")
+SHAPE = f"(SELECT doc_id, pos, [{', '.join(repr(x) for x in SHAPES)}][(pos % {len(SHAPES)} + 1)::INT] || CASE WHEN pos % 3 = 0 THEN '' ELSE line END || CASE WHEN pos % 2 = 0 THEN ' ' ELSE '' END AS line FROM {LINES})".replace("'+\\t'", "'+' || chr(9)")
+
+
+@query(
+    f"SELECT doc_id, pos::BIGINT AS pos, {TRIM('line')} = '' AS is_blank, line = '' OR regexp_matches(line, '[{BLANK_CLASS}]\\z') AS ends_blank, regexp_matches(line, '{X.FENCE}') AS is_fence, "
+    f"regexp_matches(ltrim(line, ' ' || chr(9)), '{X.REFERENCE}') AS is_reference, regexp_matches(ltrim(line, ' ' || chr(9)), '{X.BREAK}') AS is_break, regexp_extract(line, '{X.ITEM}', 0) AS mark FROM {SHAPE}"
+)
+def line_shapes(spark, d):
+    """What a line is to the line wrapper."""
+    k = F.col("pos")
+    start = F.element_at(F.array(*map(F.lit, SHAPES)), (k % len(SHAPES) + 1).cast("int"))
+    line = F.concat(start, F.when(k % 3 == 0, "").otherwise(F.col("line")), F.when(k % 2 == 0, " ").otherwise(""))
+    rows = doc_lines(spark, d).select("doc_id", k.cast("long").alias("pos"), line.alias("line"))
+    x = F.col("line")
+    return rows.select("doc_id", "pos", X.is_blank(x).alias("is_blank"), X.ends_with_blank(x).alias("ends_blank"), X.is_fence(x).alias("is_fence"), X.is_reference(x).alias("is_reference"), X.is_thematic_break(x).alias("is_break"), X.list_mark(x).alias("mark"))
 
 
 @query(f"SELECT doc_id, pos::BIGINT AS pos, CASE WHEN regexp_matches(t, '{X.PUNCTUATION.replace(chr(39), chr(39) * 2)}') THEN '' ELSE t END AS line FROM (SELECT doc_id, pos, {TRIM('line')} AS t FROM {LINES})")
@@ -522,6 +554,22 @@ def break_holders(spark, d):
     return of_pages(held.groupBy("doc_id", "name").agg(F.count(F.lit(1)).alias("n")))
 
 
+@query(f"SELECT page_id, text FROM (SELECT page_id, {TRIM(DECODED('p'))} AS text FROM (SELECT page_id, unnest(regexp_extract_all(replace({PLAIN}, '<article>', '<p> short ' || page_id || '</p><p>not<br>short</p>'), '<p>([^<]*)(?:</?p>|</article>)', 1)) AS p FROM pages)) WHERE length(text) BETWEEN 1 AND 60")
+def short_paragraphs(spark, d):
+    put = F.concat(F.lit("<p> short "), F.col("page_id").cast("string"), F.lit("</p><p>not<br>short</p>"))
+    return of_pages(N.short_paragraphs(settled(plain_nodes(spark, d, put), "nodes")).select("doc_id", "text"))
+
+
+@query("SELECT page_id, unnest(['lead ' || page_id || ' in', 'tail x y', 'last']) AS text, unnest([1, 2, 3])::BIGINT AS run_no FROM pages")
+def inline_runs(spark, d):
+    """Text that stands between the blocks of a page's first body."""
+    put = F.concat(F.lit("lead "), F.col("page_id").cast("string"), F.lit(" <i>in</i><!-- c --> <div>block</div>tail <em>x</em> y<span><p>z</p></span> \n last <section>s</section>"))
+    nodes = settled(plain_nodes(spark, d, put), "nodes")
+    body = N.first_body(nodes).withColumn("chosen", F.lit(True))
+    found = N.inline_runs(nodes.join(body, ["doc_id", "node_id"], "left"), F.coalesce("chosen", F.lit(False)))
+    return of_pages(found.select("doc_id", "text", F.expr("row_number() over (partition by doc_id order by run)").cast("long").alias("run_no")))
+
+
 # Tables as markup: an order is a page with one table of its lines, and a table in its last cell in every seventh
 
 TABLE_ROWS = (
@@ -585,6 +633,13 @@ def table_cells(spark, d):
     return found.select("o_orderkey", "table_no", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "cell")
 
 
+@query(f"SELECT o_orderkey, unnest([1, 2])::BIGINT AS turn, unnest(CASE WHEN nests THEN [2, 1] ELSE [1] END)::BIGINT AS table_no FROM (SELECT DISTINCT o_orderkey, nests FROM {TABLE_ROWS}) WHERE nests UNION ALL SELECT DISTINCT o_orderkey, 1, 1 FROM {TABLE_ROWS} WHERE NOT nests")
+def deepest_tables(spark, d):
+    """In which order the tables of a page are taken apart."""
+    found = N.deepest_first(table_nodes(spark, d), "table").withColumnRenamed("node_id", "table_id")
+    return with_table_no(found).select("o_orderkey", F.col("turn").cast("long").alias("turn"), "table_no")
+
+
 @query()
 def nearest_table(spark, d):
     return of_pages(N.nearest_table(vendor_nodes(spark, d), ("tr", "td", "th", "thead", "table")))
@@ -634,11 +689,40 @@ def vendor_markdown(spark, d):
     return with_markdown(vendor_pages(spark, d)).select("page_id", "markdown", "failed")
 
 
-@query()
+TOKEN = rf"(?:!?\[(?:\\.|[^\]])*\]\((?:\\.|[^)])*\)|`[^`]*`|[^{BLANK_CLASS}])+"
+MARKS = rf"\A( *)((?:[> ]*>[> ]*)?)((?:(?:[-*+]|\p{{Nd}}+\.)[{BLANK_CLASS}]+)?)"
+CORE = f"regexp_replace(line, '\\A[{BLANK_CLASS}]+', '')"
+
+
+def wrapped(lines: str, width: int) -> str:
+    """SQL for lines (doc_id, pos, line), whose tokens are put together one after another."""
+    return (
+        f"WITH l AS (SELECT *, regexp_matches(line, '{X.FENCE}') AS fence, {CORE} AS core, regexp_extract(line, '{MARKS}', ['indent', 'quote', 'item']) AS m FROM {lines}), "
+        "f AS (SELECT *, coalesce(sum(fence::INT) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 AS inside FROM l), "
+        f"t AS (SELECT *, fence OR inside OR line[1:4] = '    ' OR line[1:1] = chr(9) OR core[1:1] IN ('', '#', '|') OR regexp_matches(core, '{X.REFERENCE}') OR regexp_matches(core, '{X.BREAK}') AS kept, m.indent || m.quote || m.item AS first, "
+        f"m.indent || m.quote || repeat(' ', length(m.item)) AS further, regexp_extract_all(line[length(m.indent || m.quote || m.item) + 1:], '{TOKEN}') AS tokens FROM f), "
+        f"s AS (SELECT *, list_transform(tokens, lambda x, i: {{'o': CASE WHEN i = 1 THEN first || x ELSE x END, 'c': CASE WHEN i = 1 THEN length(first) ELSE 0 END + {VISIBLE('x')}}}) AS sized FROM t) "
+        "SELECT doc_id, string_agg(CASE WHEN kept OR len(tokens) = 0 THEN line ELSE list_reduce(sized, lambda a, x: "
+        f"CASE WHEN a.c + 1 + x.c > {width} AND x.c <= {width} THEN {{'o': a.o || chr(10) || further || x.o, 'c': length(further) + x.c}} ELSE {{'o': a.o || ' ' || x.o, 'c': a.c + 1 + x.c}} END).o END, chr(10) ORDER BY pos) AS text FROM s GROUP BY doc_id"
+    )
+
+
+@query(f"SELECT doc_id, CASE WHEN d.text IS NOT NULL THEN w.text END AS text FROM documents AS d JOIN ({wrapped(LINES, 72)}) AS w USING (doc_id)")
 def wrap_lines(spark, d):
     return spread(documents(spark, d).select("doc_id", "text")).select("doc_id", M.wrap_lines(F.col("text"), 72).alias("text"))
 
 
+@query(wrapped(SHAPE, 60))
+def wrap_shaped_lines(spark, d):
+    """Lines that begin with marks of all kinds."""
+    k = F.col("pos")
+    start = F.element_at(F.array(*map(F.lit, SHAPES)), (k % len(SHAPES) + 1).cast("int"))
+    line = F.concat(start, F.when(k % 3 == 0, "").otherwise(F.col("line")), F.when(k % 2 == 0, " ").otherwise(""))
+    run = F.array_sort(F.collect_list(F.struct("pos", line.alias("line"))))
+    texts = doc_lines(spark, d).groupBy("doc_id").agg(F.array_join(F.transform(run, lambda x: x["line"]), "\n").alias("text"))
+    return texts.select("doc_id", M.wrap_lines(F.col("text"), 60).alias("text"))
+
+
 def host(url: Column) -> Column:
     return F.regexp_extract(url, r"^[a-z]+://([^/?#]*)", 1)
 

@@ -147,6 +147,27 @@ def test_many_moves_take_little_time():
     assert time.process_time() - began < 10
 
 
+def test_native_line_functions_agree_with_the_kernel(spark):
+    import random
+
+    from loomdown.functions import text as X
+    from loomdown.kernel import serialize, wrap
+
+    rng = random.Random(8)
+    parts = ["\\u2013", "\\u{1F9E0}", "\\ud83e\\udde0", "\\U0001F9E0", "\\ud83e", "\\u{}", "\\u{110000}", "\\u{000000041}", "\\uFEFF", "\\", "\\U00110000", "u", "{", "}", "a", "4", " ", "\n", "- ", "* ", "_", "---", "[x]: ", "[x]:", "```", "~~~", "1. ", "\xa0", "+", "\\u{0}"]
+    rows = [("".join(rng.choice(parts) for _ in range(rng.randrange(9))),) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "t string")
+    found = df.select("t", X.decode_unicode_escapes(F.col("t")).alias("d"), X.escape_text(F.col("t")).alias("e"), X.is_fence(F.col("t")).alias("f"), X.is_reference(F.col("t")).alias("r"), X.is_thematic_break(F.col("t")).alias("b"), X.list_mark(F.col("t")).alias("m"))
+    for r in found.collect():
+        core = r.t.lstrip(wrap.BLANK)
+        assert r.d == serialize.decode_escapes(r.t)
+        assert r.e == serialize.escape(r.t)
+        assert r.f == r.t.startswith(wrap.FENCES)
+        if "\n" not in r.t:
+            assert (r.r, r.b, r.m) == (wrap.REFERENCE.match(core) is not None, bool(core) and wrap.is_break(core), wrap.MARKS.match(r.t)["item"] if r.t[:1] not in " >" else r.m)
+    assert "–🧠🧠🧠" in catalogue.queries()["decode_unicode_escapes"](spark, SMALL).where("text like '%–🧠🧠🧠%'").first().text
+
+
 def test_flex_rows(spark):
     nodes = pages_of(spark, '<div style="display:flex"><div>a</div><div style="display:flex"><i>b</i><i>c</i></div></div><div style="DISPLAY:flex"><b>x</b><b>y</b></div>')
     assert [r.n_kids for r in N.flex_rows(nodes).collect()] == [2]
