@@ -684,11 +684,6 @@ def html_to_markdown(spark, d):
     return dealt_pages(spark, d).select("page_id", M.html_to_markdown(F.col("html")).alias("markdown"))
 
 
-@query()
-def vendor_markdown(spark, d):
-    return with_markdown(vendor_pages(spark, d)).select("page_id", "markdown", "failed")
-
-
 TOKEN = rf"(?:!?\[(?:\\.|[^\]])*\]\((?:\\.|[^)])*\)|`[^`]*`|[^{BLANK_CLASS}])+"
 MARKS = rf"\A( *)((?:[> ]*>[> ]*)?)((?:(?:[-*+]|\p{{Nd}}+\.)[{BLANK_CLASS}]+)?)"
 CORE = f"regexp_replace(line, '\\A[{BLANK_CLASS}]+', '')"
@@ -707,6 +702,47 @@ def wrapped(lines: str, width: int) -> str:
     )
 
 
+# Pages as in `plain_nodes` in SQL: a list of links, a notice, a heading, paragraphs and a footer
+
+ESCAPE = lambda x: rf"regexp_replace(regexp_replace({x}, '[ \t\n\r\x{{A0}}]+', ' ', 'g'), '([\\`*_\[\]])', '\\\1', 'g')"
+SHOWN = lambda x: f"{TRIM(ESCAPE(DECODED(f'regexp_replace({x}, chr(60) || {chr(39)}[^>]*>{chr(39)}, {chr(39)}{chr(39)}, {chr(39)}g{chr(39)})')))}"
+_item = f"{SHOWN('label')}"
+_link = f"CASE WHEN t = '' OR {GLYPH('t')} THEN '' WHEN href = '' OR regexp_matches(href, '[{BLANK_CLASS}<>]') OR rtrim(t, '/') = rtrim(href, '/') THEN t ELSE '[' || t || '](' || href || ')' END"
+PLAIN_BLOCKS = (
+    f"(WITH h AS (SELECT page_id, {PLAIN} AS h FROM pages), "
+    f"a AS (SELECT page_id, {DECODED('href')} AS href, {_item} AS t, i FROM (SELECT page_id, unnest(regexp_extract_all(h, '{ANCHOR}', 1)) AS href, unnest(regexp_extract_all(h, '{ANCHOR}', 2)) AS label, generate_subscripts(regexp_extract_all(h, '{ANCHOR}', 2), 1) AS i FROM h)), "
+    f"n AS (SELECT page_id, string_agg('- ' || l, chr(10) ORDER BY i) AS block FROM (SELECT page_id, i, {_link} AS l FROM a) WHERE l <> '' GROUP BY page_id), "
+    f"p AS (SELECT page_id, unnest(string_split(regexp_extract(h, '(?s)</h1>(.*?)</article>', 1), '<p>')) AS x, generate_subscripts(string_split(regexp_extract(h, '(?s)</h1>(.*?)</article>', 1), '<p>'), 1) AS i FROM h), "
+    f"b AS (SELECT page_id, 0 AS k, block FROM n UNION ALL SELECT page_id, 1, {SHOWN(chr(34) + 'd' + chr(34))} FROM (SELECT page_id, regexp_extract(h, '(?s)<div[^>]*>(.*?)</div>', 1) AS d FROM h) "
+    f"UNION ALL SELECT page_id, 2, CASE WHEN {SHOWN(chr(34) + 'd' + chr(34))} <> '' THEN '# ' || {SHOWN(chr(34) + 'd' + chr(34))} ELSE '' END FROM (SELECT page_id, regexp_extract(h, '(?s)<h1>(.*?)</h1>', 1) AS d FROM h) "
+    f"UNION ALL SELECT page_id, 2 + i, {SHOWN('x')} FROM p UNION ALL SELECT page_id, 1000000, {SHOWN(chr(34) + 'd' + chr(34))} FROM (SELECT page_id, regexp_extract(h, '(?s)<footer>(.*?)</footer>', 1) AS d FROM h)) "
+    f"SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS pos, block FROM b WHERE block <> '' AND NOT regexp_matches(block, '{X.PUNCTUATION.replace(chr(39), chr(39) * 2)}'))"
+)
+
+
+def plain_pages(spark, d) -> DataFrame:
+    return dealt_pages(spark, d).select("page_id", F.replace("html", F.lit("<b>"), F.lit("")).alias("html"))
+
+
+@query(f"SELECT page_id, pos::BIGINT AS pos, block FROM {PLAIN_BLOCKS}")
+def plain_blocks(spark, d):
+    blocks = plain_pages(spark, d).select("page_id", F.posexplode(M.page_blocks(F.col("html"))).alias("pos", "block"))
+    return numbered(blocks)
+
+
+@query(
+    wrapped("(SELECT page_id AS doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS pos FROM "
+            f"(SELECT page_id, string_agg(block, chr(10) || chr(10) ORDER BY pos) AS t FROM {PLAIN_BLOCKS} GROUP BY page_id))", 80).replace("SELECT doc_id, string_agg(CASE", "SELECT doc_id AS page_id, string_agg(CASE").replace(" AS text FROM s", " AS markdown FROM s")
+)
+def plain_markdown(spark, d):
+    return plain_pages(spark, d).select("page_id", M.html_to_markdown(F.col("html")).alias("markdown"))
+
+
+@query()
+def vendor_markdown(spark, d):
+    return with_markdown(vendor_pages(spark, d)).select("page_id", "markdown", "failed")
+
+
 @query(f"SELECT doc_id, CASE WHEN d.text IS NOT NULL THEN w.text END AS text FROM documents AS d JOIN ({wrapped(LINES, 72)}) AS w USING (doc_id)")
 def wrap_lines(spark, d):
     return spread(documents(spark, d).select("doc_id", "text")).select("doc_id", M.wrap_lines(F.col("text"), 72).alias("text"))
