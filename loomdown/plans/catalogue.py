@@ -738,6 +738,25 @@ def plain_markdown(spark, d):
     return plain_pages(spark, d).select("page_id", M.html_to_markdown(F.col("html")).alias("markdown"))
 
 
+MARKED = (
+    "(SELECT l_orderkey AS doc_id, row, unnest([0, 1, 2]) AS col, unnest(cells) AS cell FROM (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag) AS row, "
+    "[l_linenumber::VARCHAR, '**' || l_returnflag || '**', CASE WHEN l_linenumber % 2 = 0 THEN 'x \\* y' ELSE '' END] AS cells FROM lineitem UNION ALL SELECT DISTINCT l_orderkey, 0, ['No', '', 'Even ones'] FROM lineitem))"
+)
+
+
+@query(
+    f"WITH f AS {MARKED}, w AS (SELECT doc_id, col, greatest(3, max({VISIBLE('cell')})) AS w FROM f GROUP BY ALL), "
+    f"l AS (SELECT doc_id, row, '|' || string_agg(' ' || cell || repeat(' ', (w - {VISIBLE('cell')})::INT) || ' |', '' ORDER BY col) AS line, '|' || string_agg(' ' || repeat('-', w::INT) || ' |', '' ORDER BY col) AS rule FROM f JOIN w USING (doc_id, col) GROUP BY ALL) "
+    "SELECT doc_id AS o_orderkey, string_agg(CASE WHEN row = 0 THEN line || chr(10) || rule ELSE line END, chr(10) ORDER BY row) AS block FROM l GROUP BY doc_id"
+)
+def table_markdown(spark, d):
+    """Orders as pages with one data table each, converted whole."""
+    row = F.concat(F.lit("<tr><td>"), F.col("l_linenumber").cast("string"), F.lit("<td> <b>"), "l_returnflag", F.lit("</b><td>"), F.when(F.col("l_linenumber") % 2 == 0, "x * y").otherwise(" \n"), F.lit("</tr>"))
+    rows = load(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", row.alias("row")))).alias("rows"))
+    html = F.concat(F.lit("<table border=1><tr><th>No<th></th><th>Even\nones</tr>"), F.array_join(F.transform("rows", lambda x: x["row"]), ""), F.lit("</table>"))
+    return spread(rows.select("o_orderkey", html.alias("html"))).select("o_orderkey", F.explode(M.page_blocks(F.col("html"))).alias("block"))
+
+
 @query()
 def vendor_markdown(spark, d):
     return with_markdown(vendor_pages(spark, d)).select("page_id", "markdown", "failed")
