@@ -17,6 +17,7 @@ MODULES = {
     "op9_benchmark_decontamination": "decontaminate",
     "op10_html_extraction": "html_extract",
     "op12_lexical_search": "lexical_search",
+    "op13_token_alignment": "token_alignment",
 }
 
 
