@@ -16,6 +16,7 @@ MODULES = {
     "op8_quality_rules": "quality",
     "op9_benchmark_decontamination": "decontaminate",
     "op10_html_extraction": "html_extract",
+    "op11_personal_data": "personal_data",
     "op12_lexical_search": "lexical_search",
     "op13_token_alignment": "token_alignment",
 }
