@@ -1,7 +1,7 @@
 """From HTML to Markdown in one pass over the rows, without a shuffle.
 
-Python does what needs a mutable tree (blocks of a page) and what needs a regular expression that Java cannot run on long
-tokens (wrapping). All between, the steps that look at several blocks, is native.
+Python does what needs a mutable tree, the blocks of a page. All after it is native: the steps that look at several blocks, and
+the filling of lines.
 """
 
 from __future__ import annotations
@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..kernel import convert
-from ..kernel.wrap import wrap
 from . import text as X
 
 IE = re.compile(X.IE_CONDITIONAL)
@@ -52,14 +51,6 @@ def page_nodes(html: Column) -> Column:
     return nodes(X.strip_ie_conditionals(html))
 
 
-def wrap_lines(text: Column, width: int = 80) -> Column:
-    @F.arrow_udf(T.StringType())
-    def wrapped(texts: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else wrap(t, width) for t in texts.to_pylist()], pa.string())
-
-    return wrapped(text)
-
-
 # In the next functions a lambda refers to nothing but its own arguments: with an outer variable in it, Spark does not
 # evaluate a Python function of the result.
 
@@ -104,7 +95,7 @@ def html_to_markdown(html: Column, width: int = 80, permissive: bool = False) ->
         width = 80
     blocks = join_link_rows(compress_levels(drop_empty_sections(page_blocks(html, permissive))), width)
     text = X.collapse_blank_runs(F.array_join(blocks, "\n\n"))
-    return F.regexp_replace(wrap_lines(text, width), r"\A\n+", "")
+    return F.regexp_replace(X.wrap_lines(text, width), r"\A\n+", "")
 
 
 def register(spark) -> None:

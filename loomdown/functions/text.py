@@ -19,9 +19,21 @@ REFERENCE = rf"\A\[[^\]]+\]:[{BLANK_CLASS}]"
 BREAK = r"\A(?:[-*] [-*_ ]*|[-*_]{3,} *)\z"
 ITEM = rf"\A(?:[-*+]|\p{{Nd}}+\.)[{BLANK_CLASS}]+"
 ESCAPES = r"\\u\{[0-9a-fA-F]+\}|\\U[0-9a-fA-F]{8}|\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|[^\\]+|\\"
+# What a line break must not split: links and images, code, and all else that is not blank. Possessive, so that Java needs no stack for long tokens.
+# A label or target ends at its first bracket that is not escaped, or else, with backslashes taken as they are, at the last that fits.
+_to = lambda close: rf"(?:[^{close}\\]*+(?:\\[^\n][^{close}\\]*+)*+{close}|[^{close}]*+(?:(?<=\\){close}[^{close}]*+)*{close})"
+TOKEN = rf"(?:!?\[{_to(chr(92) + ']')}\({_to(chr(92) + ')')}|`[^`]*+`|[^{BLANK_CLASS}])++"
+MARKS = rf"\A( *)((?:[> ]*>[> ]*)?)((?:(?:[-*+]|\p{{Nd}}+\.)[{BLANK_CLASS}]+)?)"
+# With a line end before it: a fence with all up to its end, or any other line.
+FENCED_OR_LINE = r"\n(?:(?:```|~~~)[^\n]*+(?:\n(?!```|~~~)[^\n]*+)*+(?:\n[^\n]*+)?+|[^\n]*+)"
 PUNCTUATION = r"\A[!-/:-@\[-`{-~]\z"
 
 
+def let(value: Column, body) -> Column:
+    """`body` of `value`, which is computed once for each row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip_ie_conditionals(html: Column) -> Column:
     return F.regexp_replace(html, IE_CONDITIONAL, "")
 
@@ -49,7 +61,7 @@ def decode_unicode_escapes(text: Column) -> Column:
 
     def one(piece: Column) -> Column:
         pair = F.length(piece) == 12
-        digits = F.ltrim(F.regexp_replace(F.substring(piece, 3, 1000), r"[{}]", ""), F.lit("0"))
+        digits = F.regexp_replace(piece, r"\A\\[uU]\{?0*|\}\z", "")
         code = F.conv(F.when(F.length(digits) <= 6, F.concat(F.lit("0"), digits)).otherwise(F.lit("110000")), 16, 10).cast("long")
         named = (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
         return (
@@ -195,6 +207,48 @@ def quoted(text: Column) -> Column:
     return F.array_join(F.transform(lines, lambda x: F.when(x == "", F.lit(">")).otherwise(F.concat(F.lit("> "), x))), "\n")
 
 
+def stands_alone(line: Column) -> Column:
+    """Lines that are never filled: fences, indented and blank ones, headings, table rows, reference definitions and thematic breaks."""
+    core = F.ltrim(line, F.lit(BLANK))
+    return line.rlike(rf"{FENCE}|\A(?:    |\t)|\A[{BLANK_CLASS}]*(?:\z|[#|])") | core.rlike(REFERENCE) | core.rlike(BREAK)
+
+
+def fill_line(line: Column, width: Column) -> Column:
+    """A line broken between tokens so that its rows keep to the width where they can.
+
+    One pass over the tokens' widths notes with which tokens rows begin: a fold whose state is the number of tokens so far, the column, and
+    these places, which are copied only when a row ends. Further rows repeat the quote marks and stand under the item's text. A token
+    wider than a row stays where it is, as it would not fit on the next one either.
+    """
+    part = lambda i: F.regexp_extract(line, MARKS, i)
+    marks = F.struct(F.concat(part(1), part(2), part(3)).alias("first"), F.concat(part(1), part(2), F.repeat(F.lit(" "), F.length(part(3)))).alias("further"))
+
+    def step(acc: Column, size: Column, further: Column) -> Column:
+        over = (acc["n"] > 0) & (acc["col"] + 1 + size > width) & (size <= width)
+        col = F.when(acc["n"] == 0, acc["col"] + size).when(over, further + size).otherwise(acc["col"] + 1 + size)
+        return F.struct((acc["n"] + 1).alias("n"), col.alias("col"), F.when(over, F.concat(acc["begins"], F.array(acc["n"]))).otherwise(acc["begins"]).alias("begins"))
+
+    def rows(m: Column, tokens: Column) -> Column:
+        begin = F.struct(F.lit(0).alias("n"), F.length(m["first"]).alias("col"), F.array(F.lit(0)).alias("begins"))
+        begins = F.aggregate(F.transform(tokens, visible_width), begin, lambda acc, size: step(acc, size, F.length(m["further"])), lambda acc: F.concat(acc["begins"], F.array(F.size(tokens))))
+        row = lambda b: F.zip_with(F.slice(b, F.lit(1), F.size(b) - 1), F.slice(b, F.lit(2), F.size(b) - 1), lambda low, high: F.array_join(F.slice(tokens, low + 1, high - low), " "))
+        return F.concat(m["first"], F.call_function("array_join", let(begins, row), F.concat(F.lit("\n"), m["further"])))
+
+    def filled(m: Column) -> Column:
+        tokens = F.regexp_extract_all(F.substr(line, F.length(m["first"]) + 1), F.lit(TOKEN), F.lit(0))
+        return let(tokens, lambda t: F.when(F.size(t) == 0, line).otherwise(rows(m, t)))
+
+    return let(marks, filled)
+
+
+def wrap_lines(text: Column, width: int | Column = 80) -> Column:
+    """The text with its lines filled to a visible width. A fence and all up to its end is one piece, which is kept as it is."""
+    width = F.lit(width) if isinstance(width, int) else width
+    pieces = F.regexp_extract_all(F.concat(F.lit("\n"), text), F.lit(FENCED_OR_LINE), F.lit(0))
+    line = lambda piece: let(F.substr(piece, F.lit(2)), lambda x: F.when(stands_alone(x), x).otherwise(fill_line(x, width)))
+    return F.array_join(F.transform(pieces, line), "\n")
+
+
 def wrap_width(option: Column, default: int = 80) -> Column:
     """A line width from 40 to 240 given as a string, else the default."""
     n = F.when(option.rlike(r"\A\+?[0-9]+\z"), option.try_cast("int"))

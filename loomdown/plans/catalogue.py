@@ -764,7 +764,7 @@ def vendor_markdown(spark, d):
 
 @query(f"SELECT doc_id, CASE WHEN d.text IS NOT NULL THEN w.text END AS text FROM documents AS d JOIN ({wrapped(LINES, 72)}) AS w USING (doc_id)")
 def wrap_lines(spark, d):
-    return spread(documents(spark, d).select("doc_id", "text")).select("doc_id", M.wrap_lines(F.col("text"), 72).alias("text"))
+    return documents(spark, d).select("doc_id", X.wrap_lines(F.col("text"), 72).alias("text"))
 
 
 @query(wrapped(SHAPE, 60))
@@ -775,7 +775,7 @@ def wrap_shaped_lines(spark, d):
     line = F.concat(start, F.when(k % 3 == 0, "").otherwise(F.col("line")), F.when(k % 2 == 0, " ").otherwise(""))
     run = F.array_sort(F.collect_list(F.struct("pos", line.alias("line"))))
     texts = doc_lines(spark, d).groupBy("doc_id").agg(F.array_join(F.transform(run, lambda x: x["line"]), "\n").alias("text"))
-    return texts.select("doc_id", M.wrap_lines(F.col("text"), 60).alias("text"))
+    return texts.select("doc_id", X.wrap_lines(F.col("text"), 60).alias("text"))
 
 
 def host(url: Column) -> Column:

@@ -176,3 +176,33 @@ def test_flex_rows(spark):
 def test_permissive_and_null_pages(spark):
     df = files.with_markdown(spark.createDataFrame([(1, None), (2, "<p>x")], "page_id long, html string"))
     assert sorted((r.page_id, r.markdown, r.failed) for r in df.collect()) == [(1, None, False), (2, "x", False)]
+
+
+def test_filled_lines_agree_with_plain_python(spark):
+    import random
+
+    from loomdown.functions import text as X
+    from loomdown.kernel.wrap import wrap
+
+    rng = random.Random(1)
+    parts = ["word", "a", "[x y](u v)", "\\[x y\\](u v)", "[a\\]b](c)", "`c d`", "`", "[", "]", "(", ")", "\\", "\\\\", "![i j](k)", "\n", "\n", "```\n", "~~~", "> ", "- ", "12. ", "# ", "| ", "[r]: ", "    ", "\t", "\xa0", "* * *", "---", "é🧠", "[q](r\\)s t)", "x" * 50, "\\]("]
+    rows = [("".join(rng.choice(parts) + rng.choice(["", " ", "  "]) for _ in range(rng.randrange(30))),) for _ in range(2000)]
+    for width in (40, 72):
+        for r in spark.createDataFrame(rows, "t string").select("t", X.wrap_lines(F.col("t"), width).alias("w")).collect():
+            assert r.w == wrap(r.t, width)
+
+
+def test_long_tokens_and_lines_are_filled(spark):
+    from loomdown.functions import text as X
+
+    texts = ["a" * 300_000, "[ " + "a " * 100_000, "\\[" + "b c " * 50_000 + "\\](x)", "`" * 100_001, "```\n" + "x\n" * 100_000, "[" + "\\\\" * 5000, "w " * 100_000]
+    got = {r.t: r.w for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.wrap_lines(F.col("t"), 72).alias("w")).collect()}
+    for t in texts:
+        assert got[t].split() == t.split()
+    assert max(map(len, got[texts[-1]].split("\n"))) <= 72
+
+
+def test_escapes_of_any_length(spark):
+    from loomdown.functions import text as X
+
+    assert spark.range(1).select(X.decode_unicode_escapes(F.lit("\\u{" + "0" * 1200 + "41}x\\u{0}"))).first()[0] == "Ax\x00"
