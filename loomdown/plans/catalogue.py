@@ -16,6 +16,8 @@ from ..functions import text as X
 from ..kernel.chars import BLANK_CLASS, BLOCKS, CELL_BLOCKS, DELETED_CLASS, NON_TEXT, SPACED_CLASS
 from ..operators import blocks as B
 from ..operators import nodes as N
+from ..operators import page as P
+from ..operators.inline import inline_markdown as inline_of
 from ..sources.files import read_html_files, settled, shared_folder, spread, with_markdown, write_markdown
 from ..streaming.pages import stream_markdown
 
@@ -738,6 +740,70 @@ def plain_markdown(spark, d):
     return plain_pages(spark, d).select("page_id", M.html_to_markdown(F.col("html")).alias("markdown"))
 
 
+# Whole pages from their nodes, without a tree
+
+
+def page_parts(spark, d, put: Column | str = "") -> DataFrame:
+    return settled(P.cleaned(plain_nodes(spark, d, put)), "nodes")
+
+
+@query(f"SELECT page_id, pos::BIGINT AS pos, block FROM {PLAIN_BLOCKS}")
+def node_blocks(spark, d):
+    """The blocks of each page from the table of its nodes."""
+    return of_pages(numbered(P.page_blocks(page_parts(spark, d))))
+
+
+@query(SQL["plain_markdown"])
+def node_markdown(spark, d):
+    """Pages to Markdown on tables of nodes and blocks all the way; only parsing is done in Python."""
+    blocks = P.page_blocks(page_parts(spark, d))
+    blocks = B.join_link_rows(B.compress_heading_levels(B.drop_empty_sections(blocks)))
+    return of_pages(B.assemble(blocks).select("doc_id", F.regexp_replace(X.wrap_lines(F.col("text")), r"\A\n+", "").alias("markdown")))
+
+
+# A paragraph for each document: its first five words with nested emphasis, code, a line break and links
+
+WORD = lambda i: f"regexp_replace(split_part(translate(coalesce(text, ''), chr(10), ' '), ' ', {i}), '[^\\p{{L}}]', '', 'g')"
+_b = "CASE WHEN a = '' AND b = '' THEN '' ELSE '**' || trim(a || ' ' || CASE WHEN b = '' THEN '' ELSE '*' || b || '*' END) || '**' END"
+_c = "CASE WHEN c = '' THEN '' ELSE chr(96) || c || '_' || chr(96) END"
+_e = "CASE WHEN e = '' AND doc_id % 3 = 0 THEN '*·*' WHEN e = '' THEN '[*·*](/d?n=' || doc_id || ')' WHEN doc_id % 3 = 0 THEN e ELSE '[' || e || '](/d?n=' || doc_id || ')' END"
+_g = "CASE WHEN g = '' THEN '' ELSE '*' || g || '*' END"
+
+
+@query(
+    f"SELECT doc_id, {_b} || CASE WHEN b = '' AND a <> '' THEN ' ' ELSE '' END || ' x\\_y ' || {_c} || chr(10) || {_e} || {_g} AS markdown FROM (SELECT doc_id, " + ", ".join(f"{WORD(i)} AS {k}" for i, k in enumerate("abceg", 1)) + " FROM documents)"
+)
+def inline_markup(spark, d):
+    word = lambda i: F.regexp_replace(F.split_part(F.translate(F.coalesce("text", F.lit("")), "\n", " "), F.lit(" "), F.lit(i)), r"[^\p{L}]", "")
+    a, b, c, e, g = map(word, range(1, 6))
+    target = F.when(F.col("doc_id") % 3 == 0, "b c").otherwise(F.concat(F.lit("/d?n="), F.col("doc_id").cast("string")))
+    bold = F.concat(F.lit("<b>"), a, F.lit(" <i>"), b, F.lit("</i></b> x_y "))
+    code = F.when(c == "", "<code> </code>").otherwise(F.concat(F.lit("<code> "), c, F.lit("<u>_</u> </code>")))
+    link = F.concat(F.lit('<br><a href="'), target, F.lit('">'), F.when(e == "", "<em>·</em>").otherwise(e), F.lit("</a>"))
+    html = F.concat(F.lit("<p>"), bold, code, link, F.lit("<b></b><b></b><em>"), g, F.lit("</em></p>"))
+    nodes = N.explode_nodes(spread(documents(spark, d).select("doc_id", html.alias("html"))), "doc_id")
+    return inline_of(nodes, F.col("name") == "p").select("doc_id", "markdown")
+
+
+@query(
+    "SELECT page_id, '> q' || page_id || chr(10) || '>' || chr(10) || '> > in' || chr(10) || '> >' || chr(10) || '> > ```' || chr(10) || '> >  a ' || page_id || chr(10) || '> >' || chr(10) || '> > b' || chr(10) || '> > ```' || chr(10) || '>' || chr(10) || '> out' AS block FROM pages"
+)
+def nested_quotes(spark, d):
+    """Quotes in quotes, with code in the inner one."""
+    key = F.col("page_id").cast("string")
+    put = F.concat(F.lit("<blockquote><p>q"), key, F.lit("<hr hidden style='display:none'><blockquote><div><p>in</div><pre>\n a "), key, F.lit(" \n\nb\n\n</pre><p> </blockquote>out</blockquote>"))
+    return of_pages(P.page_blocks(page_parts(spark, d, put)).where("block like '> %'").select("doc_id", "block"))
+
+
+@query(
+    "SELECT page_id, '- one ' || page_id || chr(10) || '  1. **a** b' || chr(10) || '  3. c' || chr(10) || '    - deep' || chr(10) || '  - x' || chr(10) || '- [two](/t)p' AS block FROM pages"
+)
+def list_markup(spark, d):
+    """Lists in lists: numbers start anew in each, blank items count, and lists that stand in no item are left out."""
+    put = F.concat(F.lit("<ul><li>one "), F.col("page_id").cast("string"), F.lit("<ol><li><b>a</b> b<li> <li>c<ul><li>deep</ul></ol><ul><li>x</ul><ul><ul><li>lost</ul></ul><li><p><a href='/t'>two</a> </p><p>p</p></ul>"))
+    return of_pages(P.page_blocks(page_parts(spark, d, put)).where("block like '- one%'").select("doc_id", "block"))
+
+
 MARKED = (
     "(SELECT l_orderkey AS doc_id, row, unnest([0, 1, 2]) AS col, unnest(cells) AS cell FROM (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag) AS row, "
     "[l_linenumber::VARCHAR, '**' || l_returnflag || '**', CASE WHEN l_linenumber % 2 = 0 THEN 'x \\* y' ELSE '' END] AS cells FROM lineitem UNION ALL SELECT DISTINCT l_orderkey, 0, ['No', '', 'Even ones'] FROM lineitem))"

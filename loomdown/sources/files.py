@@ -34,7 +34,15 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder, for several readers of what costs much to make."""
     path = f"{shared_folder(df.sparkSession)}/loomdown-{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.settled_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Empties tables of `settled` that nothing reads any more, by any store's own overwrite."""
+    for df in tables:
+        df.sparkSession.range(0).write.mode("overwrite").parquet(df.settled_path)
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
