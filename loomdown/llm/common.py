@@ -55,10 +55,14 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/loomdown-{name}-{uuid.uuid4().hex[:12]}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+#: For tables of few, large rows: how much is in memory at once when they are written or read goes by row groups.
+LARGE_ROWS = {"parquet.block.size": str(16 << 20), "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "4", "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "4"}
+
+
+def written(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
     """Cuts lineage: the rows as a Parquet table in the shared folder, so that a lost executor costs no recomputing."""
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_path = path
     return out

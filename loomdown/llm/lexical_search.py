@@ -35,13 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import byte_view, release, table, written
+from .common import LARGE_ROWS, byte_view, release, table, written
 
 IN_TERM = np.zeros(256, bool)
 IN_TERM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[0x41:0x5B] += 0x20
-WINDOW = 1 << 22
+WINDOW = 1 << 20
 SEGMENT = "segment long, ids array<long>, sizes array<long>, terms array<int>, lengths array<long>, docs array<int>, counts array<long>, n_docs long, n_terms long"
 IMPACTS = "segment long, ids array<long>, terms array<int>, lengths array<long>, docs array<int>, impacts array<long>, pairs array<int>, pair_lengths array<long>, joint_maxima array<long>, pair_docs array<int>, first_impacts array<long>, second_impacts array<long>"
 FOUND = "query int, doc_id long, score long, segment long"
@@ -410,7 +410,7 @@ def top(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(*order))).where(F.col("rank") <= k)
 
 
-def search(docs: DataFrame, queries: DataFrame, text="text", doc_id="doc_id", item_text="text", item_id="item_id", k: int = 20, block_chars: int = 2_000_000, segment_postings: int = 400_000, seed_segments: int = 4) -> DataFrame:
+def search(docs: DataFrame, queries: DataFrame, text="text", doc_id="doc_id", item_text="text", item_id="item_id", k: int = 20, block_chars: int = 2_000_000, segment_postings: int = 100_000, seed_segments: int = 4) -> DataFrame:
     """(item_id, rank, doc_id, score): each query's k best documents with a score above 0."""
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     items = queries.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("text is not null")
@@ -419,14 +419,14 @@ def search(docs: DataFrame, queries: DataFrame, text="text", doc_id="doc_id", it
     for block in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
         words, asked = queries_of([r["text"] for r in own], [r["item_id"] for r in own])
-        segments = written(index(slim, words, segment_postings), "segments")
+        segments = written(index(slim, words, segment_postings), "segments", LARGE_ROWS)
         n, total, df = statistics(segments, len(words))
         weight = weights(n, df)
         for q in asked:
             order = sorted(range(len(q.terms)), key=lambda i: (weight[q.terms[i]], q.terms[i]))
             q.terms, q.times = [q.terms[i] for i in order], [q.times[i] for i in order]
         pairs = sorted({p for q in asked for p in zip(q.terms, q.terms[1:], strict=False)})
-        scored = written(with_impacts(segments, weight, pairs, n, total), "impacts")
+        scored = written(with_impacts(segments, weight, pairs, n, total), "impacts", LARGE_ROWS)
         release(segments)
         needed = [1] * len(asked)
         few = scored.select("segment").orderBy("segment").limit(seed_segments).collect()
