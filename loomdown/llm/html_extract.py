@@ -8,10 +8,12 @@
    how often it holds the same text, how much text and how much of it is in links. Pages with the same longest block
    count once, so that one article under changing menus does not look constant.
 3. The wrapper labels the slots. Constant slots are template: at least three different pages and half of those with the slot have one
-   text there. Slots made of links are menus, even if their texts vary. Slots of elements for menus, headers, footers, sidebars,
-   notices, adverts, forms and comments, by element, role or name, are labelled so too, and so are slots of main content (article, main).
+   text there. Slots with little but links, without headings or paragraphs, are menus, even if their texts vary. Slots of elements for menus, headers, footers, sidebars,
+   notices, adverts, forms and comments, by element, role or name, are labelled so too if half of the pages with the slot say so, and so are slots of main
+   content (article, main). A name counts as a whole word, and never for what holds main content or, but for comments, most of a page's text.
    All other varying slots are content. What lies in main content is not judged by constancy or links.
-4. A page's text is that of its blocks outside labelled slots; only that in main content if it has some. Nothing but the wrapper removes text.
+4. A page's text is that of its blocks outside labelled slots; only that in main content if it has some. A page with nothing but menus keeps
+   them. Nothing but the wrapper removes text.
 
 The choice of pages in step 1 bounds the template tree only; all pages are counted and extracted, whole.
 
@@ -25,7 +27,6 @@ from __future__ import annotations
 
 import html as entities
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,12 +46,16 @@ BLOCKS = frozenset("address article aside blockquote body button caption center
 CLOSES_P = BLOCKS - {"body", "html", "head", "button", "caption", "option", "tbody", "td", "tfoot", "th", "thead", "tr"}
 SIBLING_ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"form"})}
 NOISE_TAGS = frozenset("nav footer aside form head menu button dialog".split())
-NOISE_NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|breadcrumbs?|comments?|consent|cookies?|disqus|footer|header|menu|modal|nav|navbar|navigation|newsletter|notice|popup|promo|related|replies|respond|share|sharing|sidebar|social|sponsor(?:ed)?|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
-COMMENTS = re.compile(r"(?:^|[\s_-])comments?(?:$|[\s_-])", re.I)
+#: A class or id names noise if it is one of the first words, alone or with others of both lists: "site-header", but not "with-sidebar".
+NOISE_WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header menu modal nav navbar navigation newsletter notice popup promo related replies respond share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
+PLACE_WORDS = frozenset("a bar block bottom box buttons container global icons inner item items left links list main message outer overlay page panel primary right secondary section site sub text the top wrap wrapper".split())
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu".split())
 #: What a node says of its slot, as bits.
 NAMED, MAIN, WITHIN_MAIN, HOLDER = 1, 2, 4, 8
+BITS = {"named": NAMED, "mains": MAIN, "within_main": WITHIN_MAIN, "holders": HOLDER}
+#: How much text outside links a paragraph has that is no link of a menu.
+PROSE = 20
 #: Elements that may be menus when they hold links alone.
 HOLDERS = frozenset("div dl nav ol section table ul menu center".split())
 
@@ -193,27 +198,95 @@ def likeness(a, b, under: set[str]) -> int:
     """How well two nodes fit, 0 if not at all: equal kinds before equal names, then equal texts and kinds of children."""
     if a.name != b.name:
         return 0
-    return 2 + 4 * (a.kind == b.kind) + 3 * (a.text_hash == b.text_hash) + min(3, sum(k.kind in under for k in b.kids[:8]))
-
-
-#: Beyond so many pairs of children, those equal in kind and text are matched first and the others in order between them.
-MOST_CELLS = 2500
-
-
-def matched(a: list, b: list) -> list[tuple[int, int]]:
-    """The best order-keeping match of two lists of children."""
-    m, n = len(a), len(b)
+    return 2 + 4 * (a.kind == b.kind) + 3 * (a.text_hash == b.text_hash) + min(3, sum(k.kind in under for k in b.kids))
+
+
+class Likeness:
+    """likeness() of all nodes of one list with all of another, a row at a time."""
+
+    def __init__(self, a: list, b: list):
+        number: dict[str, int] = {}
+        code = lambda xs: np.array([number.setdefault(x, len(number)) for x in xs], np.int64)
+        self.names = code([x.name for x in a]), code([x.name for x in b])
+        self.kinds = code([x.kind for x in a]), code([x.kind for x in b])
+        self.texts = tuple(np.array([x.text_hash for x in xs], np.int64) for xs in (a, b))
+        # The children of b by their kinds, each kind with the places of its parents.
+        owners: dict[str, list[int]] = {}
+        for j, x in enumerate(b):
+            for k in x.kids:
+                owners.setdefault(k.kind, []).append(j)
+        self.owners = {k: np.array(v) for k, v in owners.items()}
+        self.under, self.n = [x.under for x in a], len(b)
+
+    def row(self, i: int) -> np.ndarray:
+        same = lambda pair: pair[0][i] == pair[1]
+        kids = np.zeros(self.n, np.int64)
+        for kind in self.under[i] & self.owners.keys():
+            kids += np.bincount(self.owners[kind], minlength=self.n)
+        return np.where(same(self.names), 2 + 4 * same(self.kinds) + 3 * same(self.texts) + np.minimum(3, kids), 0)
+
+
+def scores(like: Likeness, rows: range, columns: slice, turned: bool = False) -> Iterator[np.ndarray]:
+    """The rows of the table of best matches of beginnings; of ends if turned round."""
+    width = len(range(*columns.indices(like.n)))
+    now = np.zeros(width + 1, np.int64)
+    yield now
+    for i in reversed(rows) if turned else rows:
+        w = like.row(i)[columns]
+        w = w[::-1] if turned else w
+        now = np.concatenate(([0], np.maximum.accumulate(np.maximum(now[1:], now[:-1] + w))))
+        yield now
+
+
+def matched(a: list, b: list, cells: int = 4_000_000) -> list[tuple[int, int]]:
+    """The best order-keeping match of two lists of children.
+
+    Equal nodes at both beginnings and both ends are pairs of a best match. The rest takes time in proportion to the product of its lengths. Tables of
+    more than `cells` are halved where the best matches of both halves meet, so that memory is bounded; the match is as good.
+    """
+    low, m, n = 0, len(a), len(b)
     if m == 1 and n == 1:
         return [(0, 0)] if a[0].name == b[0].name else []
-    if m * n > MOST_CELLS:
-        return matched_in_order(a, b)
+    same = lambda x, y: x.text_hash == y.text_hash and x.kind == y.kind
+    while low < min(m, n) and same(a[low], b[low]):
+        low += 1
+    ends = 0
+    while ends < min(m, n) - low and same(a[m - 1 - ends], b[n - 1 - ends]):
+        ends += 1
+    if low or ends:
+        inner = [(i + low, j + low) for i, j in matched(a[low : m - ends], b[low : n - ends], cells)] if low + ends < min(m, n) else []
+        return [(i, i) for i in range(low)] + inner + [(m - k, n - k) for k in range(ends, 0, -1)]
+    if m * n > 64:
+        like, out = Likeness(a, b), []
+        todo = [(0, m, 0, n)]
+        while todo:
+            i, k, j, h = todo.pop()
+            if (k - i) * (h - j) <= cells or k - i < 2:
+                out += [(i + x, j + y) for x, y in traced(list(scores(like, range(i, k), slice(j, h))))] if k > i and h > j else []
+                continue
+            half = (i + k) // 2
+            upper, lower = (list_end(scores(like, r, slice(j, h), t)) for r, t in ((range(i, half), False), (range(half, k), True)))
+            cut = j + int(np.argmax(upper + lower[::-1]))
+            todo += [(half, k, cut, h), (i, half, j, cut)]
+        return out
     best = [[0] * (n + 1) for _ in range(m + 1)]
     for i, x in enumerate(a):
         row, above = best[i + 1], best[i]
         for j, y in enumerate(b):
             w = likeness(x, y, x.under) if x.name == y.name else 0
             row[j + 1] = max(row[j], above[j + 1], above[j] + w)
-    out, i, j = [], m, n
+    return traced(best)
+
+
+def list_end(rows: Iterator[np.ndarray]) -> np.ndarray:
+    for last in rows:
+        pass
+    return last
+
+
+def traced(best: list) -> list[tuple[int, int]]:
+    """The pairs behind the table of best matches."""
+    out, i, j = [], len(best) - 1, len(best[0]) - 1
     while i and j:
         if best[i][j] == best[i - 1][j]:
             i -= 1
@@ -225,45 +298,6 @@ def matched(a: list, b: list) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def matched_in_order(a: list, b: list) -> list[tuple[int, int]]:
-    key = lambda x: (x.kind, x.text_hash)
-    count: dict[tuple, int] = {}
-    for x in [*a, *b]:
-        count[key(x)] = count.get(key(x), 0) + 1
-    where = {key(x): i for i, x in enumerate(a)}
-    # The longest run of pairs that keep their order, by piles.
-    tops: list[int] = []
-    chain: list[tuple[int, int, int]] = []  # (i, j, number of the pair before)
-    ends: list[int] = []
-    for j, y in enumerate(b):
-        i = where.get(key(y))
-        if i is not None and count[key(y)] == 2:
-            pile = bisect_left(tops, i)
-            chain.append((i, j, ends[pile - 1] if pile else -1))
-            tops[pile : pile + 1] = [i]
-            ends[pile : pile + 1] = [len(chain) - 1]
-    anchors, at = [(len(a), len(b))], ends[-1] if ends else -1
-    while at >= 0:
-        i, j, at = chain[at]
-        anchors.append((i, j))
-    out, i, j = [], 0, 0
-    for to_i, to_j in reversed(anchors):
-        waiting: dict[str, list[int]] = {}
-        for k in range(i, to_i):
-            waiting.setdefault(a[k].kind, []).append(k)
-        least = i
-        for k in range(j, to_j):
-            same = waiting.get(b[k].kind, [])
-            found = bisect_left(same, least)
-            if found < len(same):
-                out.append((same[found], k))
-                least = same[found] + 1
-        if to_i < len(a):
-            out.append((to_i, to_j))
-        i, j = to_i + 1, to_j + 1
-    return out
-
-
 class Template:
     """The merged tree of a host's pages."""
 
@@ -322,20 +356,40 @@ class Template:
         return found
 
 
-def is_noise(node: Node) -> bool:
+def named(value: str) -> set[str]:
+    """The noise words of the classes or ids that name noise."""
+    out: set[str] = set()
+    for token in value.lower().split():
+        words = [w for w in re.split(r"[_-]+|\d+", token) if w]
+        if words and all(w in NOISE_WORDS or w in PLACE_WORDS for w in words):
+            out.update(w for w in words if w in NOISE_WORDS)
+    return out
+
+
+def noise_of(node: Node) -> str:
+    """Why a node is noise: "always", "comments", "header", "named", or "" if it is none.
+
+    A header is noise unless it is the title of main content, and what has a name for noise unless it holds most of a page's text.
+    """
     if node.name in NOISE_TAGS:
-        return True
+        return "always"
+    if node.name == "header":
+        return "header"
     if not node.attrs or node.name in ("html", "body"):
-        return False
+        return ""
+    words: set[str] = set()
     for name, *values in ATTRIBUTE.findall(node.attrs):
         name, value = name.lower(), next((v for v in values if v), "")
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value.lower() in NOISE_ROLES):
-            return True
-        if name in ("class", "id") and (COMMENTS if node.name in ("article", "main") else NOISE_NAMES).search(value):
-            return True
+            return "always"
         if name == "style" and HIDDEN.search(value):
-            return True
-    return False
+            return "always"
+        if name in ("class", "id"):
+            words |= named(value)
+    comments = words & {"comment", "comments", "disqus", "replies", "respond"}
+    if node.name in ("article", "main"):
+        return "comments" if comments else ""
+    return "comments" if comments else "header" if words == {"header"} else "named" if words else ""
 
 
 def is_main(node: Node) -> bool:
@@ -356,21 +410,14 @@ def read_page(page: str, template: Template) -> tuple:
     nodes = preorder(root)
     number = {id(n): i for i, n in enumerate(nodes)}
     size = len(nodes)
-    chars, links, last, heading = [0] * size, [0] * size, list(range(size)), [False] * size
-    bits = [0] * size
+    chars, links, last = [0] * size, [0] * size, list(range(size))
+    heading, prose, holds_main = [False] * size, [False] * size, [False] * size
+    bits, why = [0] * size, [noise_of(n) for n in nodes]
     for i, node in enumerate(nodes):
-        own = bits[i]
         if is_main(node):
-            own |= MAIN | WITHIN_MAIN
-        if node.name == "header":
-            own |= 0 if own & WITHIN_MAIN else NAMED
-        elif is_noise(node):
-            own |= NAMED
-        if node.name in HOLDERS:
-            own |= HOLDER
-        bits[i] = own
+            bits[i] |= MAIN | WITHIN_MAIN
         for k in node.kids:
-            bits[number[id(k)]] = own & WITHIN_MAIN
+            bits[number[id(k)]] = bits[i] & WITHIN_MAIN
     for i in range(size - 1, -1, -1):
         node = nodes[i]
         own = sum(len(p.replace(" ", "")) for p in node.parts if isinstance(p, str))
@@ -379,12 +426,19 @@ def read_page(page: str, template: Template) -> tuple:
         heading[i] |= node.name in ("h1", "h2")
         for k in node.kids:
             at = number[id(k)]
-            chars[i], links[i], heading[i] = chars[i] + chars[at], links[i] + links[at], heading[i] | heading[at]
+            chars[i], links[i] = chars[i] + chars[at], links[i] + links[at]
+            heading[i], prose[i], holds_main[i] = heading[i] | heading[at], prose[i] | prose[at], holds_main[i] | holds_main[at] | bool(bits[at] & MAIN)
+        prose[i] |= node.name == "p" and chars[i] >= max(PROSE, links[i])
         if node.kids:
             last[i] = last[number[id(node.kids[-1])]]
-        # A header in main content is its title if it holds a heading.
-        if node.name == "header" and not heading[i]:
+    most = (chars[0] + links[0]) / 2
+    for i, node in enumerate(nodes):
+        title = why[i] == "header" and bool(bits[i] & WITHIN_MAIN) and heading[i]
+        guarded = (why[i] in ("named", "header") or node.name == "form") and (holds_main[i] or chars[i] + links[i] > most)
+        if why[i] and not title and not guarded:
             bits[i] |= NAMED
+        if node.name in HOLDERS and not heading[i] and not prose[i]:
+            bits[i] |= HOLDER
     block_nodes, blocks, run = [], [], []
     longest: tuple[int, str] = (0, "")
     stack: list = [root]
@@ -419,8 +473,8 @@ def read_page(page: str, template: Template) -> tuple:
     return [slots[id(n)] for n in nodes], hashes, chars, links, bits, last, block_nodes, blocks, xxhash.xxh3_64_intdigest(longest[1].encode("utf-8", "surrogatepass")) >> 1
 
 
-def chosen_text(slots: list[int], last: list[int], block_nodes: list[int], blocks: list[str], noise: set[int], mains: set[int]) -> str:
-    """The blocks outside noise slots, and only those in main content if there are any."""
+def chosen_text(slots: list[int], last: list[int], block_nodes: list[int], blocks: list[str], noise: set[int], mains: set[int], menus: set[int] = frozenset()) -> str:
+    """The blocks outside noise slots and menus, and only those in main content if there are any. Menus stay in a page that has nothing else."""
 
     def below(chosen: set[int]) -> np.ndarray:
         depth = np.zeros(len(slots) + 1, np.int64)
@@ -433,6 +487,8 @@ def chosen_text(slots: list[int], last: list[int], block_nodes: list[int], block
     if not blocks:
         return ""
     kept = ~below(noise)
+    other = kept & ~below(menus)
+    kept = other if other.any() else kept
     main = kept & below(mains)
     return "\n\n".join(b for b, k in zip(blocks, main if main.any() else kept, strict=True) if k)
 
@@ -502,22 +558,29 @@ def read_pages(pages: DataFrame, templates: DataFrame, shared: Template) -> Data
     return pages.join(templates, "host", "left").select("page_id", "url", "host", "html", *("kinds", "hashes", "parents")).mapInArrow(rows, schema)
 
 
-def label_slots(pages: DataFrame, least_pages: int = 3, constant_share: float = 0.5, link_share: float = 0.6) -> DataFrame:
-    """(wrapper, noise, mains): the labelled slots of each wrapper, from all different pages."""
+def label_slots(pages: DataFrame, least_pages: int = 3, constant_share: float = 0.5, link_share: float = 0.6, name_share: float = 0.5) -> DataFrame:
+    """(wrapper, noise, menus, mains): the labelled slots of each wrapper, from all different pages.
+
+    What a node says of its slot by its name counts if at least `name_share` of the pages with the slot say so.
+    """
     zipped = F.explode(F.arrays_zip("slots", "hashes", "chars", "links", "bits")).alias("z")
     has = lambda bit: F.col("bits").bitwiseAND(F.lit(bit)) > 0
     seen = pages.select("wrapper", "identity", zipped).select("wrapper", "identity", "z.*").where(~has(WITHIN_MAIN) | has(NAMED | MAIN))
     key = ["wrapper", "slots"]
     # An optional slot may occur several times in a page: it is one observation then.
     seen = seen.groupBy(*key, "identity").agg(F.max("hashes").alias("hash"), F.max("chars").alias("chars"), F.max("links").alias("links"), F.bit_or("bits").alias("bits"))
-    texts = seen.groupBy(*key, "hash").agg(F.count(F.lit(1)).alias("n"), *(F.sum(k).alias(k) for k in ("chars", "links")), F.bit_or("bits").alias("bits"))
-    slots = texts.groupBy(*key).agg(F.max("n").alias("top"), *(F.sum(k).alias(k) for k in ("n", "chars", "links")), F.bit_or("bits").alias("bits"))
+    counts = [F.sum(has(bit).cast("long")).alias(name) for name, bit in BITS.items()]
+    texts = seen.groupBy(*key, "hash").agg(F.count(F.lit(1)).alias("n"), *(F.sum(k).alias(k) for k in ("chars", "links")), *counts)
+    slots = texts.groupBy(*key).agg(F.max("n").alias("top"), *(F.sum(k).alias(k) for k in ("n", "chars", "links", *BITS)))
+    often = lambda name: F.col(name) >= F.col("n") * name_share
     size = F.col("chars") + F.col("links")
     constant = (F.col("top") >= least_pages) & (F.col("top") >= constant_share * F.col("n")) & (size > 0) & (F.col("slots") != 0)
-    menu = has(HOLDER) & (F.col("links") > link_share * size)
-    noise = has(NAMED) | (~has(WITHIN_MAIN) & (constant | menu))
-    labelled = slots.select("wrapper", "slots", noise.alias("noise"), (has(MAIN) & ~noise).alias("main")).where("noise or main")
-    return labelled.groupBy("wrapper").agg(F.collect_list(F.when(F.col("noise"), F.col("slots"))).alias("noise"), F.collect_list(F.when(F.col("main"), F.col("slots"))).alias("mains"))
+    menu = often("holders") & (F.col("links") > link_share * size)
+    outside = ~often("within_main")
+    noise = often("named") | (outside & constant)
+    menu = outside & menu & ~noise
+    labelled = slots.select("wrapper", "slots", noise.alias("noise"), menu.alias("menu"), (often("mains") & ~noise & ~menu).alias("main")).where("noise or menu or main")
+    return labelled.groupBy("wrapper").agg(*(F.collect_list(F.when(F.col(k), F.col("slots"))).alias(to) for k, to in (("noise", "noise"), ("menu", "menus"), ("main", "mains"))))
 
 
 def extract_pages(pages: DataFrame, html: str = "html", url: str = "url", page_id: str = "page_id", pages_per_host: int = 6, least_pages: int = 3) -> DataFrame:
@@ -529,13 +592,13 @@ def extract_pages(pages: DataFrame, html: str = "html", url: str = "url", page_i
     wrappers = written(label_slots(read, least_pages), "wrappers")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[str | None, set[int], set[int]] = (None, set(), set())
+        last: tuple[str | None, set[int], set[int], set[int]] = (None, set(), set(), set())
         for batch in batches:
             texts = []
             lists = [batch[k].to_pylist() for k in ("wrapper", "slots", "last", "block_nodes", "blocks")]
             for i, (wrapper, *page) in enumerate(zip(*lists, strict=True)):
                 if wrapper != last[0]:
-                    last = (wrapper, *(set(batch[k][i].as_py() or ()) for k in ("noise", "mains")))
+                    last = (wrapper, *(set(batch[k][i].as_py() or ()) for k in ("noise", "mains", "menus")))
                 texts.append(chosen_text(*page, *last[1:]))
             yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(texts, pa.string())], ["page_id", "url", "text"])
 

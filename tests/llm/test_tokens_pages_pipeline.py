@@ -2,6 +2,8 @@ import lzma
 import re
 import time
 import zlib
+from functools import cache
+from itertools import pairwise
 
 import numpy as np
 import pytest
@@ -327,23 +329,25 @@ def brute_pages(rows, per_host=6, least=3):
                 continue
             one = seen.setdefault((w, slot), {}).setdefault(identity, [0, 0, 0, 0])
             one[:] = max(one[0], h), max(one[1], c), max(one[2], a), one[3] | b
-    noise, mains = {}, {}
+    noise, menus, mains = {}, {}, {}
     for (w, slot), by_page in seen.items():
         values = list(by_page.values())
         top = max(sum(v[0] == h for v in values) for h in {v[0] for v in values})
-        chars, links, bits = sum(v[1] for v in values), sum(v[2] for v in values), 0
-        for v in values:
-            bits |= v[3]
+        chars, links = sum(v[1] for v in values), sum(v[2] for v in values)
+        often = lambda bit: 2 * sum(v[3] & bit > 0 for v in values) >= len(values)  # noqa: E731, B023
         constant = top >= 3 and 2 * top >= len(values) and chars + links > 0 and slot != 0
-        menu = bits & html_extract.HOLDER and links > 0.6 * (chars + links)
-        if bits & html_extract.NAMED or not bits & html_extract.WITHIN_MAIN and (constant or menu):
+        outside = not often(html_extract.WITHIN_MAIN)
+        if often(html_extract.NAMED) or (outside and constant):
             noise.setdefault(w, set()).add(slot)
-        elif bits & html_extract.MAIN:
+        elif outside and often(html_extract.HOLDER) and links > 0.6 * (chars + links):
+            menus.setdefault(w, set()).add(slot)
+        elif often(html_extract.MAIN):
             mains.setdefault(w, set()).add(slot)
     out = []
     for i, w, (slots, _, _, _, _, last, at, blocks, _) in read:
         in_any = lambda b, chosen: any(s in chosen.get(w, ()) and k <= b <= last[k] for k, s in enumerate(slots))  # noqa: E731, B023
         kept = [(b, t) for b, t in zip(at, blocks, strict=True) if not in_any(b, noise)]
+        kept = [(b, t) for b, t in kept if not in_any(b, menus)] or kept
         main = [t for b, t in kept if in_any(b, mains)]
         out.append((i, "\n\n".join(main or [t for _, t in kept])))
     return sorted(out)
@@ -362,6 +366,63 @@ def test_wrappers_against_brute_force(spark):
     assert sorted((r.page_id, r.text) for r in html_extract.extract_pages(df).collect()) == brute_pages(rows)
 
 
+HOSTS = {
+    "promo": [f"<body><div class=story><h2>Head {i}</h2><p>Story number {i} goes on for some words.</p></div>" for i in range(5)] + ["<body><div class=promo><p>The only text of this page, which is long enough.</p></div>"],
+    "compound": [f"<body><div class='content with-sidebar'><p>Text of page {i}, in a box beside others.</p></div>" for i in range(5)],
+    "layout": [f"<body><div class='layout no-sidebar'><main><p>Main text of page {i} is here.</p></main></div>" for i in range(5)],
+    "topic": [f"<body><div id='menu-engineering'><p>How menus are made, part {i}, with prose.</p></div>" for i in range(5)],
+    "title": [f"<body><article><div class='entry-header'><h1>Title {i}</h1></div><p>Body {i}</p></article>" for i in range(5)],
+    "links": [f"<body><div class=post><h2>Picks {i}</h2>{''.join(f'<p><a href=/{k}>A linked story title {i} {k}</a></p>' for k in range(5))}<p>Some words of {i} about these.</p></div>" for i in range(5)],
+}
+
+
+def test_articles_stay_whatever_their_boxes_are_called(spark):
+    rows = [(f"{name} {i}", f"http://{name}.example/{i}", page) for name, pages in HOSTS.items() for i, page in enumerate(pages)]
+    df = spark.createDataFrame([(k, u, p) for k, (_, u, p) in enumerate(rows)], "page_id long, url string, html string")
+    got = {rows[r.page_id][0]: r.text.split("\n\n") for r in html_extract.extract_pages(df).collect()}
+    for i in range(5):
+        assert got[f"promo {i}"] == [f"Head {i}", f"Story number {i} goes on for some words."]
+        assert got[f"compound {i}"] == [f"Text of page {i}, in a box beside others."]
+        assert got[f"layout {i}"] == [f"Main text of page {i} is here."]
+        assert got[f"topic {i}"] == [f"How menus are made, part {i}, with prose."]
+        assert got[f"title {i}"] == [f"Title {i}", f"Body {i}"]
+        assert got[f"links {i}"] == [f"Picks {i}", *(f"A linked story title {i} {k}" for k in range(5)), f"Some words of {i} about these."]
+    assert got["promo 5"] == ["The only text of this page, which is long enough."]
+
+
+class Part:
+    def __init__(self, kind, text, kids=()):
+        self.kind, self.name, self.text_hash, self.kids = kind, kind.split(" ")[0], text, list(kids)
+        self.under = {k.kind for k in self.kids}
+
+
+def worth(a, b):
+    return 0 if a.name != b.name else 2 + 4 * (a.kind == b.kind) + 3 * (a.text_hash == b.text_hash) + min(3, sum(k.kind in a.under for k in b.kids))
+
+
+def test_alignment_is_the_best_at_every_size():
+    rng = np.random.default_rng(9)
+    kids = [[Part(str(c), 0) for c in rng.choice(["a", "b", "c"], rng.integers(5))] for _ in range(5)]  # equal texts have equal children
+    some = lambda n: [Part(f"{rng.choice(['li', 'p'])} {rng.choice(['x', 'y', 'z'])}", t, kids[t]) for t in rng.integers(0, 5, n).tolist()]
+    for m, n in [(rng.integers(1, 7), rng.integers(1, 7)) for _ in range(300)] + [(50, 50), (51, 50), (70, 3), (120, 90)]:
+        a, b = some(m), some(n)
+
+        @cache
+        def best(i, j):
+            return 0 if i == len(a) or j == len(b) else max(best(i + 1, j), best(i, j + 1), worth(a[i], b[j]) + best(i + 1, j + 1))  # noqa: B023
+
+        for cells in (4_000_000, 200):
+            pairs = html_extract.matched(a, b, cells)
+            assert all(x < y and u < v for (x, u), (y, v) in pairwise(pairs)) and all(a[i].name == b[j].name for i, j in pairs)
+            assert sum(worth(a[i], b[j]) for i, j in pairs) == best(0, 0)
+
+
+def test_fifty_and_more_items_are_aligned():
+    for n in (50, 51, 3000):
+        a, b = ([Part(f"li {c}", 0) for _ in range(n)] for c in "xy")
+        assert html_extract.matched(a, b) == [(i, i) for i in range(n)]
+
+
 def test_the_wrapper_decides(spark):
     pages = spark.read.parquet(f"{SMALL}/pages.parquet")
     texts = {r.page_id: r.text for r in html_extract.op10_html_extraction(spark, SMALL).collect()}
