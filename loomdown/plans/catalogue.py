@@ -17,6 +17,7 @@ from ..kernel.chars import BLANK_CLASS, BLOCKS, CELL_BLOCKS, DELETED_CLASS, NON_
 from ..operators import blocks as B
 from ..operators import nodes as N
 from ..operators import page as P
+from ..operators import rewrite as R
 from ..operators.inline import inline_markdown as inline_of
 from ..sources.files import read_html_files, settled, shared_folder, spread, with_markdown, write_markdown
 from ..streaming.pages import stream_markdown
@@ -761,6 +762,88 @@ def node_markdown(spark, d):
     return of_pages(B.assemble(blocks).select("doc_id", F.regexp_replace(X.wrap_lines(F.col("text")), r"\A\n+", "").alias("markdown")))
 
 
+# Rewrites of vendor markup, on nodes
+
+
+def spread_nodes(spark, d, put: Column | str = "") -> DataFrame:
+    return settled(R.restored(P.cleaned(R.spread_out(plain_nodes(spark, d, put)))), "nodes")
+
+
+@query("SELECT page_id, unnest(['a k' || page_id || ': c d', 'x' || page_id || '  y z', ' w', ' v =! ']) AS text FROM pages")
+def rewrite_emphasis(spark, d):
+    """Blank emphasis leaves one space where it stood, symbols lose their marks; what is left of four paragraphs."""
+    key = F.col("page_id").cast("string")
+    put = F.concat(
+        F.lit("<p id=q>a<em> </em><b> <i></i></b>k"), key, F.lit("<b>:</b><i> </i>c<u></u> d</p><p id=q>x"), key, F.lit("<small>\n</small><b></b> y<b><i>\n<br></i></b>z</p>"),
+        F.lit("<p id=q><mark> </mark>w</p><p id=q><i> </i><a href='/v'>v</a><b> </b><b>=<em>!</em></b><strong> </strong></p>"),
+    )
+    nodes = settled(R.settle_emphasis(spread_nodes(spark, d, put)), "nodes")
+    return of_pages(N.subtree_text(nodes, (F.col("name") == "p") & (N.attribute("id") == "q")).select("doc_id", F.col("subtree_text").alias("text")))
+
+
+@query("SELECT page_id, 'p' AS name, ' ' || page_id || 'k' AS text, true AS bold FROM pages UNION ALL SELECT page_id, 'h3', 'no figure', false FROM pages")
+def rewrite_headings(spark, d):
+    """Headings that only show a figure become bold paragraphs."""
+    put = F.concat(F.lit("<section id=q><h2 class=x> "), F.col("page_id").cast("string"), F.lit("<i>k</i></h2><h3>no figure</h3></section>"))
+    nodes = settled(R.restored(R.demote_stats(spread_nodes(spark, d, put))), "nodes")
+    within = nodes.where(N.attribute("id") == "q").select("doc_id", F.col("node_id").alias("parent_id"))
+    tops = nodes.join(within, ["doc_id", "parent_id"]).select("doc_id", "node_id", "name")
+    bold = nodes.where("name = 'strong'").select("doc_id", F.col("parent_id").alias("node_id"), F.lit(True).alias("bold")).distinct()
+    texts = N.subtree_text(nodes, F.col("name").isin("p", "h3")).select("doc_id", "node_id", F.col("subtree_text").alias("text"))
+    return of_pages(tops.join(texts, ["doc_id", "node_id"]).join(bold, ["doc_id", "node_id"], "left").select("doc_id", "name", "text", F.coalesce("bold", F.lit(False)).alias("bold")))
+
+
+@query("SELECT page_id, 'a' || page_id || ' xb  ' AS text, 2::BIGINT AS n_divs FROM pages")
+def rewrite_flex_rows(spark, d):
+    """The divs of a flex row give way to what they hold and a space, unless they hold other blocks."""
+    put = F.concat(F.lit("<div id=q style='display:flex'><div>a"), F.col("page_id").cast("string"), F.lit("</div><div><p>x</p></div><div><div style='display: flex'>b</div></div></div>"))
+    nodes = settled(R.join_flex_rows(spread_nodes(spark, d, put)), "nodes")
+    is_row = N.attribute("id") == "q"
+    texts = N.subtree_text(nodes, is_row).select("doc_id", F.col("subtree_text").alias("text"))
+    divs = N.counted_below(nodes, F.coalesce(is_row, F.lit(False)), divs=F.col("name") == "div")
+    return of_pages(texts.join(divs, "doc_id").select("doc_id", "text", (F.col("divs") + 1).cast("long").alias("n_divs")))
+
+
+@query(
+    f"WITH r AS (SELECT * FROM {TABLE_ROWS}), t AS (SELECT o_orderkey, string_agg(l_linenumber || '  *' || l_returnflag || '*', chr(10) ORDER BY row) AS block, count(*) AS n FROM r GROUP BY o_orderkey) "
+    "SELECT o_orderkey, 0::BIGINT AS pos, block FROM t WHERE o_orderkey % 3 > 0 UNION ALL "
+    "SELECT o_orderkey, 3 * row::BIGINT + unnest([0, 1, 2]), unnest([l_linenumber || '', '## ' || l_returnflag, 'end' || chr(10) || 'row']) FROM r WHERE o_orderkey % 3 = 0"
+)
+def rewrite_tables(spark, d):
+    """Orders as layout tables: rows of short cells become the lines of one paragraph, rows with blocks and line breaks are taken apart."""
+    number, flag = F.col("l_linenumber").cast("string"), F.col("l_returnflag")
+    wide = F.when(F.col("l_suppkey") % 2 == 0, "<td> <td><div></div>").otherwise("")
+    short = F.concat(F.lit("<tr><td>"), number, wide, F.lit("<td> <div> <i>"), flag, F.lit("</i>\n</div>"))
+    tall = F.concat(F.lit("<tr><td>"), number, F.lit("<td><div><h2>"), flag, F.lit("</h2></div><td>end<br>row"))
+    row = F.when(F.col("l_orderkey") % 3 > 0, short).otherwise(tall)
+    order = F.struct("l_linenumber", "l_returnflag", (F.col("l_suppkey") % 2 == 0).alias("wide"), row.alias("row"))
+    rows = load(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(order)).alias("rows"))
+    html = F.concat(F.lit("<h1>Order</h1><table><caption>"), F.array_join(F.transform("rows", lambda x: x["row"]), ""), F.lit("</table><table><tr><td> </table>"))
+    html = F.replace(html, F.lit("<caption>"), F.when(F.col("o_orderkey") % 2 == 0, F.lit("<tbody>")).otherwise(F.lit("<tr><td> \n<td></tr>")))
+    nodes = N.explode_nodes(spread(rows.select("o_orderkey", html.alias("html"))), "o_orderkey")
+    flat = R.flatten_tables(P.cleaned(R.spread_out(nodes)))
+    return P.page_blocks(flat).where("pos > 0").select(F.col("doc_id").alias("o_orderkey"), (F.col("pos") - 1).alias("pos"), "block")
+
+
+VENDOR_BLOCKS = ("**471k**", "a b:c", "Sum 10", "Total", "| a   | b   |\n| --- | --- |\n| c   | d   |", "| Name | N   |\n| ---- | --- |\n| x    | 1   |", "3 [Err](/e) new")
+_vendor = ", ".join("'" + b.replace("\n", "' || chr(10) || '") + "'" for b in VENDOR_BLOCKS)
+WITH_VENDOR = (
+    f"(SELECT page_id, 2 * pos AS pos, block FROM {PLAIN_BLOCKS} UNION ALL SELECT page_id, 2 * h - 1 + k / 100, block FROM (SELECT page_id, min(CASE WHEN block LIKE '# %' THEN pos END) AS h FROM {PLAIN_BLOCKS} GROUP BY page_id), "
+    f"(SELECT unnest([{_vendor}]) AS block, unnest(range({len(VENDOR_BLOCKS)})) AS k))"
+)
+
+
+@query(
+    wrapped("(SELECT page_id AS doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS pos FROM "
+            f"(SELECT page_id, string_agg(block, chr(10) || chr(10) ORDER BY pos) AS t FROM {WITH_VENDOR} GROUP BY page_id))", 80).replace("SELECT doc_id, string_agg(CASE", "SELECT doc_id AS page_id, string_agg(CASE").replace(" AS text FROM s", " AS markdown FROM s")
+)
+def rewritten_markdown(spark, d):
+    """Vendor pages to Markdown on tables of nodes and blocks all the way."""
+    blocks = P.page_blocks(R.rewritten(plain_nodes(spark, d, VENDOR.removesuffix("<article>"))))
+    blocks = B.join_link_rows(B.compress_heading_levels(B.drop_empty_sections(blocks)))
+    return of_pages(B.assemble(blocks).select("doc_id", F.regexp_replace(X.wrap_lines(F.col("text")), r"\A\n+", "").alias("markdown")))
+
+
 # A paragraph for each document: its first five words with nested emphasis, code, a line break and links
 
 WORD = lambda i: f"regexp_replace(split_part(translate(coalesce(text, ''), chr(10), ' '), ' ', {i}), '[^\\p{{L}}]', '', 'g')"
