@@ -6,9 +6,9 @@ begin and end together. They are found by galloping: each end of the shorter lis
 neighbour would be, in steps that double until the end is passed, and then by halving. The places found in both lists slice the
 groups, and the differences of neighbouring places are how many A tokens lie over which run of B tokens.
 
-Texts are taken in units, which begin at a space with a plain character on both sides. Neither tokenizer joins anything across
+Texts are taken in units, which begin at a space or line end with a plain character on both sides. Neither tokenizer joins anything across
 such a place (`Pair` checks that of B's pieces; A splits words there), so a unit's tokens and groups are the same in every text. A worker remembers
-units it has met, up to `memory` of them, and the rest of the work goes by counts of units.
+units it has met, up to `memory` of them of which the most used ones stay, and the rest of the work goes by counts of units.
 
 Counts of pairs are over the whole corpus: the number of documents that hold the pair linked. They are sent to all tasks if there are at
 most `sent_pairs` of them, and otherwise joined by pair; the result is the same.
@@ -104,8 +104,8 @@ class Pair:
         byte_of = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(printable)))}
         self.a_bytes = {i: bytes(byte_of.get(c, 0) for c in t) if all(c in byte_of for c in t) else t.encode() for t, i in self.a.get_vocab().items()}
         self.b_bytes = [self.piece_bytes(i) for i in range(self.b.vocab_size())]
-        if any("▁" in self.b.id_to_piece(i).lstrip("▁") for i in range(self.b.vocab_size())):
-            raise ValueError("a piece of B spans a space inside; texts can't be cut there")
+        if any("▁" in p.lstrip("▁") or "\n" in p for p in map(self.b.id_to_piece, range(self.b.vocab_size()))):
+            raise ValueError("a piece of B spans a space or a line end inside; texts can't be cut there")
 
     def piece_bytes(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
@@ -120,12 +120,12 @@ class Pair:
 
 
 def unit_starts(data: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
-    """Where units begin: at each text, and at each space with plain characters on both sides."""
-    space = np.flatnonzero(data == 0x20)
-    space = space[(space > 1) & (space < len(data) - 1)]
-    before, after = data[space - 1], data[space + 1]
-    left = PLAIN[before] | ((before >= 0x80) & LEAD[data[space - 2]])
-    return np.union1d(text_starts, space[left & (PLAIN[after] | LEAD[after])])
+    """Where units begin: at each text, and at each space or line end with plain characters on both sides."""
+    gap = np.flatnonzero((data == 0x20) | (data == 0x0A))
+    gap = gap[(gap > 1) & (gap < len(data) - 1)]
+    before, after = data[gap - 1], data[gap + 1]
+    left = PLAIN[before] | ((before >= 0x80) & LEAD[data[gap - 2]])
+    return np.union1d(text_starts, gap[left & (PLAIN[after] | LEAD[after])])
 
 
 class Memory:
@@ -133,102 +133,107 @@ class Memory:
 
     def __init__(self, pair: Pair, memory: int):
         self.pair, self.memory = pair, memory
-        self.clear()
-
-    def clear(self) -> None:
+        self.a_text = {i: str(i) for i in pair.a_bytes}
+        self.b_text = [str(i) for i in range(len(pair.b_bytes))]
+        self.a_size = np.zeros(max(pair.a_bytes) + 1, np.int64)
+        self.a_size[list(pair.a_bytes)] = [len(x) for x in pair.a_bytes.values()]
+        self.b_size = np.array([len(x) for x in pair.b_bytes], np.int64)
         self.number: dict[bytes, int] = {}
         self.groups: list[bytes] = []
+        self.uses = np.empty(0, np.int64)
         self.sizes = np.empty((0, 4), np.int64)  # A tokens, B tokens, groups, links
         self.pairs = np.empty(0, np.int64)  # of all units in turn, those of a unit once each
         self.times = np.empty(0, np.int64)
         self.bounds = np.zeros(1, np.int64)
 
-    def numbers(self, units: list[bytes]) -> np.ndarray:
-        if len(self.number) + len(units) > self.memory:
-            self.clear()
+    def forget(self) -> None:
+        """Keeps the units that were used most, half of what the memory holds."""
+        kept = np.sort(np.argsort(-self.uses, kind="stable")[: self.memory // 2])
+        units = list(self.number)  # in the order of their numbers
+        self.number = {units[i]: k for k, i in enumerate(kept.tolist())}
+        self.groups = [self.groups[i] for i in kept.tolist()]
+        many = np.diff(self.bounds)[kept]
+        at = ranges(self.bounds[kept], many)
+        self.pairs, self.times = self.pairs[at], self.times[at]
+        self.bounds = np.concatenate(([0], np.cumsum(many)))
+        self.uses, self.sizes = self.uses[kept] // 2, self.sizes[kept]
+
+    def numbers(self, units: list[bytes], uses: np.ndarray) -> np.ndarray:
+        if len(self.number) + len(units) > self.memory and self.number:
+            self.forget()
         new = [u for u in units if u not in self.number]
         if new:
             self.learn(new)
-        return np.fromiter(map(self.number.__getitem__, units), np.int64, len(units))
+        out = np.fromiter(map(self.number.__getitem__, units), np.int64, len(units))
+        self.uses[out] += uses
+        return out
 
     def learn(self, units: list[bytes], together: int = 500) -> None:
-        """Encodes units that both begin with a space and end with something else in rows, each other one alone."""
+        """Encodes units that both begin with a gap and end with something else in rows, each other one alone."""
         texts = [u.decode() for u in units]
-        rows = [i for i, t in enumerate(texts) if t[:1] == " " and t.isprintable() and "  " not in t and t[-1:] != " " and len(t) > 1 and "▁" not in t]
-        alone = set(range(len(units))) - set(rows)
+        rows = [i for i, t in enumerate(texts) if t[0] in " \n" and t[1:].isprintable() and "  " not in t and t[-1] not in " \n" and "▁" not in t]
         coded: list = [None] * len(units)
+        alone = set(range(len(units))) - set(rows)
         for k in range(0, len(rows), together):
             part = rows[k : k + together]
-            found = self.pair.whole("".join(texts[i] for i in part)[1:])
-            if found is None:
-                alone.update(part)
-                continue
-            upto = np.cumsum([len(units[i]) for i in part])
+            # Behind a unit of two bytes, as the first one must begin with a space.
+            found = self.pair.whole("x" + "".join([texts[i] for i in part]))
             cuts = []
-            for ids, sizes in zip(found, (self.pair.a_bytes, self.pair.b_bytes), strict=True):
-                ends = np.cumsum([len(sizes[i]) for i in ids])
-                at = np.searchsorted(ends, upto)
-                if not (ends[at] == upto).all():  # as should not be
-                    cuts = None
-                    break
-                cuts.append([0, *(at + 1).tolist()])
-            if cuts is None:
+            if found:
+                upto = 2 + np.cumsum([0, *(len(units[i]) for i in part)])
+                for ids, size in zip(found, (self.a_size, self.b_size), strict=True):
+                    ends = np.cumsum(size[np.array(ids)])
+                    at = np.searchsorted(ends, upto)
+                    if (ends[np.minimum(at, len(ends) - 1)] == upto).all():
+                        cuts.append((at + 1).tolist())
+            if len(cuts) < 2:  # something in the row is not given back
                 alone.update(part)
                 continue
             a, b = found
             for j, i in enumerate(part):
                 coded[i] = a[cuts[0][j] : cuts[0][j + 1]], b[cuts[1][j] : cuts[1][j + 1]]
         for i in alone:
-            coded[i] = self.pair.whole(texts[i][1:])
+            coded[i] = self.alone(texts[i])
         self.add(units, coded)
 
+    def alone(self, text: str) -> tuple[list[int], list[int]] | None:
+        """A unit at the beginning of a text stands behind the space that is put there; another one, behind a unit of two bytes."""
+        if text[0] == " ":
+            return self.pair.whole(text[1:])
+        found = self.pair.whole("x" + text)
+        return found and (found[0][1:], found[1][1:])
+
     def add(self, units: list[bytes], coded: list) -> None:
         """Aligns the units' tokens, all in one row, and remembers what comes of it."""
-        good = [c for c in coded if c]
-        lengths = [[len(self.pair.a_bytes[i]) for c in good for i in c[0]], [len(self.pair.b_bytes[i]) for c in good for i in c[1]]]
-        ends = [np.cumsum(np.array(x, np.int64)) for x in lengths]
-        a_cut, b_cut = (x + 1 for x in common_places(*ends))
-        a_ids, b_ids = ([i for c in good for i in c[k]] for k in (0, 1))
-        a_text, b_text = [str(i) for i in a_ids], [str(i) for i in b_ids]
-        a_at, b_at = [0, *a_cut.tolist()], [0, *b_cut.tolist()]
-        groups = [",".join(a_text[a_at[g] : a_at[g + 1]]) + "|" + ",".join(b_text[b_at[g] : b_at[g + 1]]) for g in range(len(a_cut))]
-        # Where each unit's groups end: at its tokens' ends.
-        a_many = np.array([len(c[0]) for c in good], np.int64)
-        upto = np.searchsorted(a_cut, np.cumsum(a_many), "right").tolist() if good else []
+        good = np.array([c is not None for c in coded])
+        a_many, b_many = (np.array([len(c[k]) if c else 0 for c in coded], np.int64) for k in (0, 1))
+        a_ids, b_ids = ([i for c in coded if c for i in c[k]] for k in (0, 1))
+        a, b = np.array(a_ids, np.int64), np.array(b_ids, np.int64)
+        a_cut, b_cut = (x + 1 for x in common_places(np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])))
+        a_at, b_at = np.concatenate(([0], a_cut)), np.concatenate(([0], b_cut))
+        a_in, b_in = np.diff(a_at), np.diff(b_at)
+        # Each unit ends where its tokens and a group end.
+        upto = np.concatenate(([0], np.searchsorted(a_cut, np.cumsum(a_many), "right")))
+        a_text, b_text = [self.a_text[i] for i in a_ids], [self.b_text[i] for i in b_ids]
+        x, y = a_at.tolist(), b_at.tolist()
+        groups = [(a_text[p] if q - p == 1 else ",".join(a_text[p:q])) + "|" + (b_text[r] if t - r == 1 else ",".join(b_text[r:t])) for p, q, r, t in zip(x[:-1], x[1:], y[:-1], y[1:], strict=True)]
+        low = upto.tolist()
+        self.groups += [";".join(groups[p:q]).encode() for p, q in zip(low[:-1], low[1:], strict=True)]
         # All pairs of each group: each A token with the group's run of B tokens.
-        a_in, b_in = np.diff(np.array(a_at)), np.diff(np.array(b_at))
-        group_of_a = np.repeat(np.arange(len(a_in)), a_in)
-        first = np.repeat(np.array(a_ids, np.int64), b_in[group_of_a]) if len(a_ids) else np.empty(0, np.int64)
-        second = np.array(b_ids, np.int64)[ranges(np.array(b_at)[:-1][group_of_a], b_in[group_of_a])] if len(b_ids) else np.empty(0, np.int64)
-        linked = (first << 32) | second
-        many = a_in * b_in
-        link_upto = np.concatenate(([0], np.cumsum(many)))
-        at, k, low = len(self.groups), 0, 0
-        sizes, pairs, times, bounds = [], [], [], []
-        for unit, c in zip(units, coded, strict=True):
-            self.number[unit] = at
-            at += 1
-            if c is None:
-                self.groups.append(b"")
-                sizes.append((-1, 0, 0, 0))
-                bounds.append(0)
-                continue
-            high = upto[k]
-            k += 1
-            own = linked[link_upto[low] : link_upto[high]].tolist()
-            seen: dict[int, int] = {}
-            for p in own:
-                seen[p] = seen.get(p, 0) + 1
-            pairs += seen.keys()
-            times += seen.values()
-            bounds.append(len(seen))
-            sizes.append((len(c[0]), len(c[1]), high - low, len(own)))
-            self.groups.append(";".join(groups[low:high]).encode())
-            low = high
-        self.sizes = np.concatenate([self.sizes, np.array(sizes, np.int64).reshape(-1, 4)])
-        self.pairs = np.concatenate([self.pairs, np.array(pairs, np.int64)])
-        self.times = np.concatenate([self.times, np.array(times, np.int64)])
-        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(np.array(bounds, np.int64))])
+        group = np.repeat(np.arange(len(a_in)), a_in)
+        linked = (np.repeat(a, b_in[group]) << 32) | b[ranges(b_at[:-1][group], b_in[group])]
+        links = np.diff(np.concatenate(([0], np.cumsum(a_in * b_in)))[upto])
+        unit = np.repeat(np.arange(len(units)), links)
+        order = np.lexsort((linked, unit))
+        linked, unit = linked[order], unit[order]
+        new = np.flatnonzero(np.concatenate(([True], (linked[1:] != linked[:-1]) | (unit[1:] != unit[:-1])))) if len(linked) else np.empty(0, np.int64)
+        at = len(self.number)
+        self.number.update(zip(units, range(at, at + len(units)), strict=True))
+        self.sizes = np.concatenate([self.sizes, np.stack([np.where(good, a_many, -1), b_many, np.diff(upto), links], axis=1)])
+        self.uses = np.concatenate([self.uses, np.zeros(len(units), np.int64)])
+        self.pairs = np.concatenate([self.pairs, linked[new]])
+        self.times = np.concatenate([self.times, np.diff(np.append(new, len(linked)))])
+        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(np.bincount(unit[new], minlength=len(units)))])
 
 
 def with_space(texts: pa.Array) -> pa.Array:
@@ -252,7 +257,8 @@ def aligned(memory: Memory, texts: pa.Array, window: int = 1 << 23) -> list[tupl
     for low, high in zip(cuts[:-1], cuts[1:], strict=True):
         flat = pa.BinaryArray.from_buffers(pa.binary(), int(high - low), [None, pa.py_buffer((bounds[low : high + 1] - bounds[low]).astype(np.int32)), pa.py_buffer(data[bounds[low] : bounds[high]])])
         coded = pc.dictionary_encode(flat)
-        number = memory.numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        index = coded.indices.to_numpy()
+        number = memory.numbers(coded.dictionary.to_pylist(), np.bincount(index, minlength=len(coded.dictionary)))[index]
         doc = doc_of_unit[low:high]
         bad[doc[memory.sizes[number, 0] < 0]] = True
         edges = np.concatenate(([0], np.flatnonzero(np.diff(doc)) + 1, [len(doc)])).tolist()
