@@ -99,15 +99,36 @@ def html_to_markdown(html: Column, width: int = 80, permissive: bool = False) ->
 
 
 def register(spark) -> None:
-    """Makes the table functions html_nodes(html) and html_blocks(html) known to SQL, for use after LATERAL."""
-
+    """Makes the engine known to SQL: the scalar html_to_markdown(html, width), and the table functions html_nodes(TABLE(...)) and html_blocks(TABLE(...)).
+
+    The scalar takes a page at a time in Arrow batches; a null page or width gives null, a width out of range the default. The table functions read
+    the columns `id` and `html` of the table that they are given, a batch at a time, and give its id with each node or block.
+    """
+    node_names = ("node_id", "parent_id", "last_desc", "depth", "ord", "kind", "name", "attrs", "text")
+    node_kinds = (*[pa.int32()] * 5, pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string())
+
+    def columns_of(table: pa.RecordBatch, parts, names: tuple, kinds: tuple) -> pa.Table:
+        """The id of each page beside what it gives."""
+        found = [[] if page is None else list(parts(IE.sub("", page))) for page in table["html"].to_pylist()]
+        ids = table["id"].take(pa.array([i for i, rows in enumerate(found) for _ in rows], pa.int64()))
+        columns = list(zip(*(row for rows in found for row in rows), strict=True)) or [[]] * len(names)
+        return pa.table([ids, *(pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True))], names=["id", *names])
+
+    @F.arrow_udtf(returnType="id long, " + NODE.removeprefix("struct<").removesuffix(">").replace(":", " "))
     class Nodes:
-        def eval(self, html: str):
-            yield from [] if html is None else convert.nodes(IE.sub("", html))
+        def eval(self, table: pa.RecordBatch):
+            yield columns_of(table, lambda page: ((*n[:7], list(n[7].items()), n[8]) for n in convert.nodes(page)), node_names, node_kinds)
 
+    @F.arrow_udtf(returnType="id long, pos int, block string")
     class Blocks:
-        def eval(self, html: str):
-            yield from [] if html is None else enumerate(convert.blocks(IE.sub("", html)))
+        def eval(self, table: pa.RecordBatch):
+            yield columns_of(table, lambda page: enumerate(convert.blocks(page)), ("pos", "block"), (pa.int32(), pa.string()))
+
+    @F.arrow_udf(T.StringType())
+    def scalar(pages: pa.Array, widths: pa.Array) -> pa.Array:
+        both = zip(pages.to_pylist(), widths.to_pylist(), strict=True)
+        return pa.array([None if page is None or width is None else convert.markdown(IE.sub("", page), width) for page, width in both], pa.string())
 
-    spark.udtf.register("html_nodes", F.udtf(Nodes, returnType=NODE.removeprefix("struct<").removesuffix(">").replace(":", " ")))
-    spark.udtf.register("html_blocks", F.udtf(Blocks, returnType="pos int, block string"))
+    spark.udf.register("html_to_markdown", scalar)
+    spark.udtf.register("html_nodes", Nodes)
+    spark.udtf.register("html_blocks", Blocks)

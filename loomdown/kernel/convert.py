@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from itertools import groupby
+
+from .chars import BLANK
 from .html_tree import parse
-from .serialize import Serializer
+from .serialize import LINK, Serializer, visible_width
 from .surgery import PASSES
+from .wrap import wrap
+
+HEADING = re.compile(rf"[{BLANK}]*(#{{1,6}}) ")
 
 
 def blocks(html: str) -> list[str]:
@@ -15,6 +22,27 @@ def blocks(html: str) -> list[str]:
     return Serializer(root).blocks()
 
 
+def level(block: str) -> int | None:
+    found = HEADING.match(block)
+    return found and len(found[1])
+
+
+def markdown(html: str, width: int = 80) -> str:
+    """A page's Markdown in one value, for the scalar SQL function: the steps over blocks as in functions/markdown.py."""
+    width = width if 40 <= width <= 240 else 80
+    out = blocks(html)
+    out = [b for b, after in zip(out, [*out[1:], ""], strict=True) if not (level(b) and level(after) and level(after) <= level(b))]
+    ranks = {n: "#" * i for i, n in enumerate(sorted({level(b) for b in out} - {None}), 1)}
+    if len(ranks) > 1:
+        out = [ranks[level(b)] + b.lstrip("#") if level(b) else b for b in out]
+    rows: list[str] = []
+    for short, run in groupby(out, lambda b: bool(LINK.fullmatch(b.strip(BLANK))) and visible_width(b) <= 30):
+        run = list(run)
+        line = " · ".join(run)
+        rows += [line] if short and len(run) > 1 and visible_width(line) <= width else run
+    return wrap(re.sub(r"\n{3,}", "\n\n", "\n\n".join(rows)), width).lstrip("\n")
+
+
 def nodes(html: str) -> list[tuple]:
     """(node_id, parent_id, last_desc, depth, ord, kind, name, attrs, text) of each node of the page as parsed, in document order."""
     root = parse(html)

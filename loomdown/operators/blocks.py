@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.files import release, settled
 
 DOC = "doc_id"
 
@@ -65,23 +66,29 @@ def number_list(items: DataFrame, ordered: bool = True, depth: int = 0) -> DataF
 
 
 def nested_list(items: DataFrame) -> DataFrame:
-    """(doc_id, text) of lists in lists: items (doc_id, pos, parent, ordered, item) in document order.
+    """(doc_id, text) of lists in lists: items (doc_id, pos, parent, ordered, item) and perhaps `list`, in document order.
 
     pos numbers the items of a document; parent is the pos of the item that a list stands in, null at the top, and `ordered` is
-    that list's kind. Numbers count from 1 in each list. An item is left out if it has neither text nor items below it, but it is counted;
-    one without text that has some keeps its mark. Each level indents by two spaces.
+    that list's kind. Numbers count from 1 in each list: `list` tells apart lists of one kind in one item, where it is given. An item is left out if
+    it has neither text nor items below it, but it is counted; one without text that has some keeps its mark. Each level indents by two spaces.
+
+    Depths come from joins of items with what they stand in: each round doubles how far up is known, so that there are as many as the depth has
+    binary digits, and no more rows than items.
     """
-    own = items.select(DOC, "pos", "parent", "ordered", X.one_line(F.col("item")).alias("item"))
-    own = own.withColumn("n", F.row_number().over(W.partitionBy(DOC, "parent", "ordered").orderBy("pos")))
-    runs = own.groupBy(DOC).agg(F.array_sort(F.collect_list(F.struct("pos", "parent", "ordered", "item", "n"))).alias("all"))
-    # Parents stand before their items, so one pass knows each item's depth from its parent's.
-    step = lambda acc, x: F.map_concat(acc, F.create_map(x["pos"], F.coalesce(F.try_element_at(acc, x["parent"]) + 1, F.lit(0))))
-    position = dict(items.dtypes)["pos"]
-    runs = runs.withColumn("depth", F.aggregate("all", F.create_map().cast(f"map<{position},int>"), step))
-    mark = lambda x: F.when(x["ordered"], F.concat(x["n"].cast("string"), F.lit(". "))).otherwise(F.lit("- "))
-    shown = F.filter("all", lambda x: (x["item"] != "") | F.exists("all", lambda y: y["parent"] == x["pos"]))
-    lines = F.transform(shown, lambda x: F.rtrim(F.concat(F.repeat(F.lit("  "), F.try_element_at("depth", x["pos"])), mark(x), x["item"])))
-    return runs.where(F.size(shown) > 0).select(DOC, F.array_join(lines, "\n").alias("text"))
+    own = items.select(DOC, "pos", "parent", "ordered", F.col("list") if "list" in items.columns else F.lit(None).alias("list"), X.one_line(F.col("item")).alias("item"))
+    own = own.withColumn("n", F.row_number().over(W.partitionBy(DOC, "parent", "ordered", "list").orderBy("pos")))
+    # `up` is an item above, `depth` how many levels; null once that is known to be all.
+    known = settled(own.select(DOC, "pos", F.when(F.col("parent") < F.col("pos"), F.col("parent")).alias("up"), F.coalesce(F.col("parent") < F.col("pos"), F.lit(False)).cast("int").alias("depth")), "depths")
+    while known.where("up is not null").limit(1).count():
+        above = known.select(DOC, F.col("pos").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
+        known, old = settled(known.join(above, [DOC, "up"], "left").select(DOC, "pos", F.col("next").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")), "depths"), known
+        release(old)
+    holds = own.where("parent is not null").select(DOC, F.col("parent").alias("pos")).distinct().withColumn("holds", F.lit(True))
+    shown = own.join(known.drop("up"), [DOC, "pos"]).join(holds, [DOC, "pos"], "left").where("item <> '' or holds")
+    mark = F.when(F.col("ordered"), F.concat(F.col("n").cast("string"), F.lit(". "))).otherwise(F.lit("- "))
+    line = F.rtrim(F.concat(F.repeat(F.lit("  "), F.col("depth")), mark, F.col("item")))
+    run = F.array_sort(F.collect_list(F.struct("pos", line.alias("line"))))
+    return shown.groupBy(DOC).agg(F.array_join(F.transform(run, lambda x: x["line"]), "\n").alias("text"))
 
 
 def drop_empty_columns(cells: DataFrame) -> DataFrame:
@@ -95,28 +102,29 @@ def drop_empty_columns(cells: DataFrame) -> DataFrame:
 def pipe_tables(cells: DataFrame) -> DataFrame:
     """(doc_id, table_id, text): cells as pipe tables, the first row as head; tables with one row vanish.
 
-    One shuffle gathers a table's cells; the rest happens within its row. Repeated (row, col) places keep the last cell.
+    Columns are measured over the table, cells are put into rows, and rows into tables, so that nothing looks at more than its own row. Repeated (row, col)
+    places keep the cell that sorts last.
     """
     table = (DOC, "table_id")
     text = X.one_line(F.col("cell"))
-    df = cells.select(*table, "row", "col", text.alias("cell"), X.visible_width(text).alias("width"))
-    df = df.groupBy(*table).agg(F.array_sort(F.collect_list(F.struct("row", "col", "cell", "width"))).alias("cells"))
-    of = lambda field: F.array_sort(F.array_distinct(F.transform("cells", lambda x: x[field])))
-    column = lambda c: F.filter("cells", lambda x: x["col"] == c)
-    filled = F.filter(of("col"), lambda c: F.exists(column(c), lambda x: x["cell"] != ""))
-    df = df.withColumn("rows", of("row")).withColumn("cols", F.when(F.size(filled) > 0, filled).otherwise(of("col")))
-    widest = lambda c: F.greatest(F.lit(3), F.array_max(F.transform(column(c), lambda x: x["width"])))
-    df = df.where(F.size("rows") >= 2).withColumn("sizes", F.transform("cols", lambda c: F.struct(c.alias("col"), widest(c).alias("n"))))
+    df = cells.select(*table, "row", "col", F.struct(text.alias("cell"), X.visible_width(text).alias("width")).alias("c")).groupBy(*table, "row", "col").agg(F.max("c").alias("c"))
+    columns = df.groupBy(*table, "col").agg(F.greatest(F.lit(3), F.max("c.width")).alias("n"), F.bool_or(F.col("c.cell") != "").alias("full"))
+    columns = columns.withColumn("any", F.bool_or("full").over(W.partitionBy(*table))).where("full or not any")
+    columns = columns.withColumn("at", F.row_number().over(W.partitionBy(*table).orderBy("col")))
+    sizes = columns.groupBy(*table).agg(F.array_sort(F.collect_list(F.struct("at", "n"))).alias("sizes"))
+    rows = df.join(columns.select(*table, "col", "at"), [*table, "col"], "left")
+    # What a row has of the columns that stay, by their places; the rest of the row is filled with blanks.
+    rows = rows.groupBy(*table, "row").agg(F.map_from_entries(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "c")))).alias("own"))
+    rows = rows.join(sizes, [*table])
     line = lambda part: F.concat(F.lit("|"), F.array_join(F.transform("sizes", part), ""))
 
-    def filled_line(r: Column) -> Column:
-        own = lambda s: F.element_at(F.filter("cells", lambda x: (x["row"] == r) & (x["col"] == s["col"])), -1)
-        here = lambda s: F.exists("cells", lambda x: (x["row"] == r) & (x["col"] == s["col"]))
-        blank = lambda s: F.repeat(F.lit(" "), s["n"])
-        padded = lambda s: F.concat(own(s)["cell"], F.repeat(F.lit(" "), s["n"] - own(s)["width"]))
-        return line(lambda s: F.concat(F.lit(" "), F.when(here(s), padded(s)).otherwise(blank(s)), F.lit(" |")))
+    def cell(s: Column) -> Column:
+        own = F.try_element_at("own", s["at"])
+        return F.concat(F.lit(" "), F.coalesce(own["cell"], F.lit("")), F.repeat(F.lit(" "), s["n"] - F.coalesce(own["width"], F.lit(0))), F.lit(" |"))
 
     rule = line(lambda s: F.concat(F.lit(" "), F.repeat(F.lit("-"), s["n"]), F.lit(" |")))
-    lines = F.transform("rows", filled_line)
-    whole = F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, F.lit(2), F.size("rows")))
-    return df.select(*table, F.array_join(whole, "\n").alias("text"))
+    run = F.array_sort(F.collect_list(F.struct("row", line(cell).alias("line"))))
+    out = rows.groupBy(*table).agg(run.alias("run"), F.any_value(rule).alias("rule")).where(F.size("run") >= 2)
+    lines = F.transform("run", lambda x: x["line"])
+    whole = F.concat(F.slice(lines, 1, 1), F.array("rule"), F.slice(lines, F.lit(2), F.size("run")))
+    return out.select(*table, F.array_join(whole, "\n").alias("text"))

@@ -943,12 +943,20 @@ def corpus_stats(spark, d):
     )
 
 
-@query()
+@query(f"SELECT page_id, pos::BIGINT AS pos, block FROM {PLAIN_BLOCKS}")
 def sql_blocks(spark, d):
     """html_blocks() in SQL."""
     M.register(spark)
-    dealt_pages(spark, d).createOrReplaceTempView("loomdown_pages")
-    return spark.sql("SELECT page_id, b.pos, b.block FROM loomdown_pages, LATERAL html_blocks(html) AS b")
+    plain_pages(spark, d).createOrReplaceTempView("loomdown_pages")
+    return spark.sql("SELECT id AS page_id, CAST(pos AS BIGINT) AS pos, block FROM html_blocks(TABLE(SELECT page_id AS id, html FROM loomdown_pages))")
+
+
+@query(SQL["plain_markdown"])
+def sql_markdown(spark, d):
+    """html_to_markdown() in SQL."""
+    M.register(spark)
+    plain_pages(spark, d).createOrReplaceTempView("loomdown_pages")
+    return spark.sql("SELECT page_id, html_to_markdown(html, 80) AS markdown FROM loomdown_pages")
 
 
 @query()

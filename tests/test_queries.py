@@ -130,11 +130,43 @@ def test_lists_in_lists(spark):
     assert got == {1: "1. one\n  - a b\n    1. deep\n3. three", 3: "-\n  - x"}
 
 
-def test_sql_table_functions(spark):
+def test_sql_functions(spark):
     M.register(spark)
-    rows = spark.sql("SELECT n.node_id, n.name FROM (SELECT '<h2>T</h2><p>x' AS html) AS t, LATERAL html_nodes(t.html) AS n WHERE n.kind = 'element' ORDER BY 1").collect()
+    pages = spark.createDataFrame([(1, "<h2>T</h2><p>x"), (2, None), (3, "<h3>a</h3><h2>b</h2><a href=/1>one</a><p><a href=/2>two</a></p><![if x]>y<![endif]><p>z")], "id long, html string")
+    pages.createOrReplaceTempView("some_pages")
+    rows = spark.sql("SELECT id, node_id, name FROM html_nodes(TABLE(SELECT id, html FROM some_pages)) WHERE kind = 'element' AND id = 1 ORDER BY node_id").collect()
     assert [r.name for r in rows] == ["html", "head", "body", "h2", "p"]
-    assert [r.block for r in spark.sql("SELECT b.block FROM (SELECT '<h2>T</h2><p>x' AS html) AS t, LATERAL html_blocks(t.html) AS b ORDER BY b.pos").collect()] == ["# T", "x"]
+    assert [tuple(r) for r in spark.sql("SELECT * FROM html_blocks(TABLE(SELECT id, html FROM some_pages)) ORDER BY id, pos LIMIT 2").collect()] == [(1, 0, "# T"), (1, 1, "x")]
+    native = pages.select("id", M.html_to_markdown(F.col("html"), 60).alias("m"))
+    scalar = spark.sql("SELECT id, html_to_markdown(html, 60) AS m FROM some_pages")
+    assert sorted(map(tuple, scalar.collect())) == sorted(map(tuple, native.collect()))
+
+
+def test_the_scalar_agrees_with_the_columns(spark):
+    M.register(spark)
+    pages = catalogue.vendor_pages(spark, SMALL)
+    got = pages.select("page_id", F.expr("html_to_markdown(html, 80)").alias("a"), M.html_to_markdown(F.col("html")).alias("b")).collect()
+    assert len(got) == 50 and all(r.a == r.b for r in got)
+
+
+def test_lists_and_tables_of_one_document_take_time_in_proportion(spark):
+    import time
+
+    i = F.col("id")
+    items = spark.range(100_000).select(F.lit(1).alias("doc_id"), i.alias("pos"), F.when(i % 4 > 0, i - 1).alias("parent"), (i % 2 == 0).alias("ordered"), i.cast("string").alias("item"))
+    cells = spark.range(100_000).select(F.lit(1).alias("doc_id"), F.lit(0).alias("table_id"), (i / 4).cast("int").alias("row"), (i % 4).alias("col"), i.cast("string").alias("cell"))
+    began = time.perf_counter()
+    lines = B.nested_list(items).first()["text"].split("\n")
+    assert (len(lines), lines[3], lines[4]) == (100_000, "      - 3", "2. 4")
+    rows = B.pipe_tables(cells).first()["text"].split("\n")
+    assert (len(rows), rows[0], rows[-1]) == (25_001, "| 0     | 1     | 2     | 3     |", "| 99996 | 99997 | 99998 | 99999 |")
+    assert time.perf_counter() - began < 90
+
+
+def test_lists_of_one_kind_in_one_item_count_apart(spark):
+    rows = [(1, 0, None, True, "a", 0), (1, 1, 0, True, "b", 1), (1, 2, 0, True, "c", 2), (1, 3, 0, True, "d", 2)]
+    df = spark.createDataFrame(rows, "doc_id long, pos long, parent long, ordered boolean, item string, list long")
+    assert B.nested_list(df).first()["text"] == "1. a\n  1. b\n  1. c\n  2. d"
 
 
 def test_many_moves_take_little_time():
