@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 
 class Node:
@@ -19,6 +19,7 @@ class Node:
     @classmethod
     def element(cls, name: str, *kids: Node) -> Node:
         node = cls("element", name)
+        detach_all(kids)
         for k in kids:
             node.append(k)
         return node
@@ -52,12 +53,12 @@ class Node:
 
     def put_before(self, *nodes: Node) -> None:
         """Moves the nodes to just before this one."""
-        for node in nodes:
-            node.detach()
-            at, up = self.place(), self.parent
-            up.kids.insert(at, node)
-            up.grown += 1
-            node.parent, node.hint = up, at - up.grown
+        detach_all(nodes)
+        at, up = self.place(), self.parent
+        up.kids[at:at] = nodes
+        up.grown += len(nodes)
+        for i, node in enumerate(nodes, at):
+            node.parent, node.hint = up, i - up.grown
 
     def unwrap(self) -> None:
         """Leaves the children in the node's place."""
@@ -92,3 +93,23 @@ class Node:
 
     def depth(self) -> int:
         return sum(1 for _ in self.above())
+
+
+def detach_all(nodes: Iterable[Node]) -> None:
+    """Takes many nodes out of their parents, in time that grows with their number and those parents' children."""
+    by_parent: dict[int, list[Node]] = {}
+    for node in nodes:
+        if node.parent is not None:
+            by_parent.setdefault(id(node.parent), []).append(node)
+    for own in by_parent.values():
+        if len(own) < 4:
+            for node in own:
+                node.detach()
+            continue
+        up, gone = own[0].parent, set(map(id, own))
+        up.kids = [k for k in up.kids if id(k) not in gone]
+        up.grown -= len(own)
+        for i, kid in enumerate(up.kids):
+            kid.hint = i - up.grown
+        for node in own:
+            node.parent = None

@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 from .chars import BLANK, BLOCKS, CELL_BLOCKS, EMPHASIS, FLEX, HEADINGS, HIDING, NON_TEXT, alphanumeric, clean, is_glyph
-from .dom import Node
+from .dom import Node, detach_all
 
 STAT = re.compile(r"[0-9., kKMBms\u00b5h]*[0-9][0-9., kKMBms\u00b5h]*")
 SIGNED = re.compile(r"[+-]?[0-9]+")
@@ -43,15 +43,36 @@ def clean_texts(root: Node) -> None:
 
 
 def settle_emphasis(root: Node) -> None:
-    """Blank emphasis leaves at most a space, emphasis of up to three symbols only its content."""
+    """Blank emphasis leaves at most a space, emphasis of up to three symbols only its content.
+
+    What an element holds is read once, from the texts of the page in order: spaces that are left beside it change no verdict.
+    """
+    texts, ends = [], {}
+    full, size = [0], [0]
+    stack: list[tuple[Node, int]] = [(root, -1)]
+    while stack:
+        node, began = stack.pop()
+        if began >= 0:
+            ends[id(node)] = began, len(texts)
+        elif node.kind == "text":
+            texts.append(node.text)
+            full.append(full[-1] + len(node.text) - sum(map(node.text.count, BLANK)))
+            size.append(size[-1] + len(node.text))
+        else:
+            if node.name in EMPHASIS:
+                stack.append((node, len(texts)))
+            stack += [(k, -1) for k in reversed(node.kids)]
     for node in root.named(*EMPHASIS):
-        text = node.full_text()
-        core = text.strip(BLANK)
-        if core:
+        low, high = ends[id(node)]
+        many = full[high] - full[low]
+        if many > 3:
+            continue
+        if many:
+            core = "".join(t for t in texts[low:high] if t).strip(BLANK)
             if len(core) <= 3 and not any(c in BLANK or alphanumeric(c) for c in core):
                 node.unwrap()
             continue
-        if text:
+        if size[high] > size[low]:
             leave_space(node)
         node.detach()
 
@@ -195,12 +216,12 @@ def row_blocks(row: Node) -> list[Node]:
             line = line or Node.element("p")
             if line.kids and not (line.kids[-1].kind == "text" and line.kids[-1].text[-1:] in BLANK):
                 line.append(Node.of_text(" "))
+            detach_all(nodes)
             for n in nodes:
                 line.append(n)
             continue
         end_line()
-        for n in nodes:
-            n.detach()
+        detach_all(nodes)
         out += nodes if kind == "blocks" else [Node.element("p", *nodes)]
     end_line()
     return out
