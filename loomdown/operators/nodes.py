@@ -64,16 +64,24 @@ def normalise_text(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("text", F.when(F.col("kind") == "text", X.clean_invisibles(F.col("text"))).otherwise(F.col("text")))
 
 
-def subtree_text(nodes: DataFrame, wanted: Column) -> DataFrame:
+def subtree_text(nodes: DataFrame, wanted: Column, chunk: int = 64) -> DataFrame:
     """(doc_id, node_id, subtree_text) of the chosen elements.
 
-    A document's texts are gathered once, and each subtree takes its slice of them.
+    A document's texts are numbered and put into chunks, and each subtree meets those chunks alone that it reaches into, so that what is moved
+    grows with the texts that are asked for.
     """
     is_text = F.col("kind") == "text"
     tops = counted_below(nodes, F.coalesce(wanted, F.lit(False)), texts=is_text)
-    runs = nodes.where(is_text).groupBy(DOC).agg(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "text"))), lambda x: x["text"]).alias("run"))
-    own = F.slice(F.coalesce("run", F.array().cast("array<string>")), F.col("from_texts").cast("int") + 1, F.col("texts").cast("int"))
-    return tops.join(runs, DOC, "left").select(DOC, "node_id", F.array_join(own, "").alias("subtree_text"))
+    begin, end = F.col("from_texts"), F.col("from_texts") + F.col("texts")
+    reach = F.when(F.col("texts") > 0, F.sequence(F.floor(begin / chunk), F.floor((end - 1) / chunk)))
+    asked = tops.select(DOC, "node_id", begin.alias("begin"), end.alias("end"), F.explode_outer(reach).alias("chunk"))
+    texts = nodes.where(is_text).select(DOC, "text", (F.row_number().over(document_order()) - 1).cast("long").alias("n"))
+    chunks = texts.groupBy(DOC, F.floor(F.col("n") / chunk).alias("chunk")).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]).alias("run"))
+    low = F.greatest(F.col("begin") - F.col("chunk") * chunk, F.lit(0)).cast("int")
+    high = F.least(F.col("end") - F.col("chunk") * chunk, F.lit(chunk)).cast("int")
+    part = F.array_join(F.slice(F.coalesce("run", F.array().cast("array<string>")), F.coalesce(low, F.lit(0)) + 1, F.coalesce(high - low, F.lit(0))), "")
+    met = asked.join(chunks, [DOC, "chunk"], "left").select(DOC, "node_id", F.struct("chunk", part.alias("part")).alias("p"))
+    return met.groupBy(DOC, "node_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda x: x["part"]), "").alias("subtree_text"))
 
 
 def anchors(nodes: DataFrame) -> DataFrame:
@@ -195,10 +203,13 @@ def nearest_table(nodes: DataFrame, names: tuple[str, ...]) -> DataFrame:
 def data_tables(nodes: DataFrame) -> DataFrame:
     """(doc_id, table_id, n_rows, min_cells, max_cells, is_data) of every table: its own rows, not those of tables in it."""
     cells = nodes.where("name in ('td', 'th')").groupBy(DOC, F.col("parent_id").alias("node_id")).agg(F.count(F.lit(1)).alias("n_cells"))
-    rows = nearest_table(nodes, ("tr",)).join(cells, [DOC, "node_id"], "left").groupBy(DOC, "table_id").agg(F.count(F.lit(1)).alias("n_rows"), F.min(F.coalesce("n_cells", F.lit(0))).alias("min_cells"), F.max(F.coalesce("n_cells", F.lit(0))).alias("max_cells"))
-    parts = nearest_table(nodes, ("thead", "caption", "table")).groupBy(DOC, "table_id").agg(F.bool_or(F.col("name") != "table").alias("headed"), F.bool_or(F.col("name") == "table").alias("nests"))
+    is_row, size = F.col("name") == "tr", F.coalesce("n_cells", F.lit(0))
+    own = nearest_table(nodes, ("tr", "thead", "caption", "table")).join(cells, [DOC, "node_id"], "left").groupBy(DOC, "table_id").agg(
+        F.count_if(is_row).alias("n_rows"), F.min(F.when(is_row, size)).alias("min_cells"), F.max(F.when(is_row, size)).alias("max_cells"),
+        F.bool_or(F.col("name").isin("thead", "caption")).alias("headed"), F.bool_or(F.col("name") == "table").alias("nests"),
+    )
     tables = nodes.where("name = 'table'").select(DOC, F.col("node_id").alias("table_id"), attribute("role").alias("role"), attribute("border").alias("border"))
-    df = tables.join(rows, [DOC, "table_id"], "left").join(parts, [DOC, "table_id"], "left").na.fill({"n_rows": 0, "min_cells": 0, "max_cells": 0, "headed": False, "nests": False})
+    df = tables.join(own, [DOC, "table_id"], "left").na.fill({"n_rows": 0, "min_cells": 0, "max_cells": 0, "headed": False, "nests": False})
     return df.select(DOC, "table_id", "n_rows", "min_cells", "max_cells", is_data_table().alias("is_data"))
 
 
