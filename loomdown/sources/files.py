@@ -62,5 +62,5 @@ def with_markdown(pages: DataFrame, html: str = "html", width: int = 80, permiss
 
 
 def write_markdown(df: DataFrame, path: str, markdown: Column | str = "markdown", mode: str = "errorifexists") -> None:
-    """A text file of documents, each as it is and followed by a form feed."""
+    """A text file of documents, each as it is and followed by a form feed; on reading back, a form feed in a text splits it too."""
     df.select(F.coalesce(F.col(markdown) if isinstance(markdown, str) else markdown, F.lit("")).alias("value")).write.mode(mode).option("lineSep", "\f").text(path)
