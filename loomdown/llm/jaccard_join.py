@@ -9,8 +9,8 @@ signatures written against the pairs that would meet by chance among the band's
 1. Equal sets fall into classes by a 128-bit hash; one document stands for each class.
 2. One part of the universe, `slice_share` of it, tells which elements stand in one class only. A class with more of these than linking sets may
    differ in links with nothing, and goes no further. The part is counted whole, for all classes.
-3. Each class left writes its signatures. The members of a bucket of equal signatures look to its smallest one, and each
-   class is compared with that one to which most of its buckets make it look: one pair for a class at most. Verified
+3. Each class left writes its signatures. The members of a bucket of equal signatures look to its hub, the one that shares most signatures with
+   others, and each class is compared with that hub to which most of its buckets make it look: one pair for a class at most. Verified
    links give first components.
 4. Buckets whose members all lie in one component can add nothing. In the others, each member outside the bucket's
    most frequent component is compared with all members of other components. Those pairs that pass two exact lower bounds
@@ -21,7 +21,7 @@ are those of all links.
 
 Defined cases: a null or blank text has no shingles and links with nothing; with fewer words than the width the whole
 sequence is the only shingle. Rows that repeat a doc_id are looked at row by row. A row with a null doc_id gets a null
-component. Other columns do not matter.
+component. Very long texts are read whole; an empty table gives no rows. Other columns do not matter.
 """
 
 from __future__ import annotations
@@ -332,10 +332,14 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     ends = classes.agg(F.min("rep"), F.max("rep")).first()
     id_type = "<u4" if ends[0] is not None and ends[0] >= 0 and ends[1] < 2**32 else "<i8"
     members = written(repeated_members(signed, id_type), "jaccard-repeated")
-    lows = members.groupBy("sig").agg(F.min("rep").alias("low"))
+    # Stars are built around the members that share the most with others: the original of many near copies links with each of them
+    # where two copies may not link, so that only what links with no such member is left for the pairs below.
+    many = members.groupBy("sig").agg(F.count(F.lit(1)).alias("c"))
+    degrees = members.join(many, "sig").groupBy("rep").agg(F.sum("c").alias("degree"))
+    lows = members.join(degrees, "rep").groupBy("sig").agg(F.max_by("rep", F.struct("degree", F.negative("rep"))).alias("low"))
 
     shared = members.join(lows, "sig").where("low <> rep").groupBy("rep", "low").agg(F.count(F.lit(1)).alias("c"))
-    star = shared.groupBy("rep").agg(F.max_by("low", F.struct("c", F.negative("low"))).alias("a")).select("a", F.col("rep").alias("b"))
+    star = shared.groupBy("rep").agg(F.max_by("low", F.struct("c", F.negative("low"))).alias("low")).select(F.least("low", "rep").alias("a"), F.greatest("low", "rep").alias("b"))
     links = linking(star, signed, texts, width, percent)
     labels = written(components(links), "jaccard-labels")
 
