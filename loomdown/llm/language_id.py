@@ -9,7 +9,7 @@ The fit reads at most `sample` different labelled texts, or four of each languag
 language, those with the smallest hashes, whatever the number of their copies. At most `landmarks` are landmarks. Predictions read whole texts and nothing else.
 
 Defined cases: a null text, or one without a letter, is "und" with score 0. Languages seen only in null labels do not exist; with no labelled
-row at all every text is "und". Repeated rows are predicted each. Ties go to the language first in code point order. Other columns do not matter.
+row at all every text is "und". Repeated rows are predicted each; very long texts are read whole; an empty table gives no rows. Ties go to the language first in code point order. Other columns do not matter.
 """
 
 from __future__ import annotations

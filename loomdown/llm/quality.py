@@ -8,7 +8,7 @@ are not judged by words, as nothing says which words they should hold; their cha
 rows, with letters of every script in one class.
 
 Defined cases: a null or empty text has no words and fails the base rules. Texts under `min_chars` characters are not
-judged by characters, texts under `min_words` words not by words. Repeated rows are judged alike, each on its own;
+judged by characters, texts under `min_words` words not by words; very long texts are read whole. Repeated rows are judged alike, each on its own;
 an empty table gives an empty result; extra columns, also of our names, do not matter.
 """
 
