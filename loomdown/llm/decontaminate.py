@@ -29,6 +29,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 BASE = np.uint64(0x9E3779B97F4A7C15)
 WORDS = re.compile(r"\w+")
 
@@ -206,8 +208,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text="text", doc_id="doc
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c) if k else pa.array(c, pa.int64()) for k, c in enumerate(zip(*out, strict=True))], ["doc_id", "item_id", "coverage", "n_tiles", "longest"])
 
-        return slim.mapInArrow(rows, schema)
+        return written(slim.mapInArrow(rows, schema), "tiles")
 
+    # A block's results are written before the next one is read, so that one block at a time is in memory.
     found = search(0)
     for block in range(1, blocks):
         found = found.unionByName(search(block))
