@@ -7,7 +7,7 @@ the filling of lines.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 from itertools import accumulate
 
 import pyarrow as pa
@@ -51,8 +51,10 @@ def node_arrays(rows: list[tuple], fields: Iterable[int]) -> list[pa.Array]:
     def one(i: int) -> pa.Array:
         if FIELDS[i] != "attrs":
             return pa.array([r[i] for r in rows], KINDS[i])
-        ends = list(accumulate((len(r[i]) for r in rows), initial=0))
-        return pa.MapArray.from_arrays(pa.array(ends, pa.int32()), pa.array([k for r in rows for k in r[i]], pa.string()), pa.array([v for r in rows for v in r[i].values()], pa.string()))
+        ends = list(accumulate((len(r[i] or ()) for r in rows), initial=0))
+        starts = [None if r[i] is None else at for r, at in zip(rows, ends)]
+        held = [r[i] for r in rows if r[i]]
+        return pa.MapArray.from_arrays(pa.array([*starts, ends[-1]], pa.int32()), pa.array([k for a in held for k in a], pa.string()), pa.array([v for a in held for v in a.values()], pa.string()))
 
     return [one(i) for i in fields]
 
@@ -78,12 +80,43 @@ def nodes_of(pages: pa.Array, names: frozenset[str] | None, fields: Iterable[int
     return pa.ListArray.from_arrays(pa.array([*ends, done], pa.int32()), pa.concat_arrays(parts), mask=pages.is_null())
 
 
+def node_rows(fields: Iterable[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow over (key, html): a row for each node, one of nulls for a null page. Nodes leave as they are read, so a task holds few, whatever the size of its batches."""
+    kept = [i for i, f in enumerate(FIELDS) if f in set(fields)]
+    null_node = (None,) * len(FIELDS)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, of, found = batch.column(0), [], []
+            for i, page in enumerate(batch.column(1)):
+                text = page.as_py()
+                own = [null_node] if text is None else convert.nodes(text)
+                for at in range(0, len(own), NODES_AT_ONCE):
+                    found += own[at : at + NODES_AT_ONCE]
+                    of += [i] * (len(found) - len(of))
+                    if len(found) >= NODES_AT_ONCE:
+                        yield node_batch(keys, of, found)
+                        of, found = [], []
+            if found:
+                yield node_batch(keys, of, found)
+
+    def node_batch(keys: pa.Array, of: list[int], found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(of, pa.int64())), *node_arrays(found, kept)], ["doc_id", *(FIELDS[k] for k in kept)])
+
+    return rows
+
+
+def kind_of(fields: Iterable[str]) -> list[str]:
+    """The fields of a node with their types, as name:type."""
+    kinds = NODE.removeprefix("struct<").removesuffix(">").replace("map<string,string>", "map<string;string>").split(",")
+    return [k.replace(";", ",") for f, k in zip(FIELDS, kinds, strict=True) if f in set(fields)]
+
+
 def page_nodes(html: Column, names: Iterable[str] | None = None, fields: Iterable[str] = FIELDS) -> Column:
     """The nodes of a page as an array of structs, for exploding into the table of nodes; names: only elements of these."""
     kept = [i for i, f in enumerate(FIELDS) if f in set(fields)]
     wanted = None if names is None else frozenset(names)
-    kinds = NODE.removeprefix("struct<").removesuffix(">").replace("map<string,string>", "map<string;string>").split(",")
-    kind = ",".join(kinds[i] for i in kept).replace(";", ",")
+    kind = ",".join(kind_of(fields))
 
     @F.arrow_udf(T._parse_datatype_string(f"array<struct<{kind}>>"))
     def nodes(pages: pa.Array) -> pa.Array:

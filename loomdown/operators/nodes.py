@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.markdown import FIELDS, page_nodes
+from ..functions.markdown import FIELDS, kind_of, node_rows, page_nodes
 from ..kernel.chars import EMPHASIS, HEADINGS
 
 DOC = "doc_id"
@@ -26,8 +26,10 @@ def document_order():
 
 def explode_nodes(pages: DataFrame, key: str = "page_id", html: str = "html", names: tuple[str, ...] | None = None, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """names: only the elements of these, with the numbers that they have among all nodes, and no rows for pages without one."""
-    nodes = page_nodes(F.col(html), names, fields)
-    return pages.select(F.col(key).alias(DOC), (F.explode_outer(nodes) if names is None else F.explode(nodes)).alias("n")).select(DOC, "n.*")
+    if names is not None:
+        return pages.select(F.col(key).alias(DOC), F.explode(page_nodes(F.col(html), names, fields)).alias("n")).select(DOC, "n.*")
+    rows = pages.select(F.col(key).alias(DOC), X.strip_ie_conditionals(F.col(html)).alias("html"))
+    return rows.mapInArrow(node_rows(fields), ",".join((f"{DOC}:{rows.schema[DOC].dataType.simpleString()}", *kind_of(fields))))
 
 
 def counted_below(nodes: DataFrame, wanted: Column, **marks: Column) -> DataFrame:

@@ -39,3 +39,22 @@ def test_batches_of_pages_are_not_held_as_objects(spark, monkeypatch):
     assert len(found) == 4000 and found.null_count == 2000
     assert sum(held) == 2000 * size and max(held) < M.NODES_AT_ONCE + size
     assert found[3998].as_py()[-1]["node_id"] == size - 1
+
+
+def test_tables_of_nodes_leave_python_in_small_batches(spark):
+    pages = [PAGE, None, "", "<p>" + "<i>x</i>" * 5000] * 500
+    wanted = ("node_id", "name", "attrs", "text")
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(pages))), pa.array(pages)], ["doc_id", "html"])
+    out = list(M.node_rows(wanted)(iter([batch.slice(0, 1000), batch.slice(1000)])))
+    assert max(b.num_rows for b in out) < 2 * M.NODES_AT_ONCE
+    assert sum(b.num_rows for b in out) == 500 * sum(len(nodes(p)) if p is not None else 1 for p in pages[:4])
+    plan = plan_of(N.explode_nodes(spark.createDataFrame([(1, PAGE)], "page_id long, html string")))
+    assert "MapInArrow" in plan and "Generate" not in plan
+
+
+def test_nodes_of_pages_without_html_are_one_row_of_nulls(spark):
+    pages = spark.createDataFrame([("a", PAGE), ("b", None), ("c", "")], "page_id string, html string").repartition(1)
+    found = N.explode_nodes(pages)
+    assert found.dtypes == [("doc_id", "string"), *((f, t) for f, t in (k.split(":") for k in M.kind_of(M.FIELDS)))]
+    rows = [tuple(r) for r in found.collect()]
+    assert sorted(rows, key=repr) == sorted([(key, *n) for key, page in (("a", PAGE), ("c", "")) for n in nodes(page)] + [("b", *[None] * 9)], key=repr)
