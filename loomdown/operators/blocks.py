@@ -102,29 +102,29 @@ def drop_empty_columns(cells: DataFrame) -> DataFrame:
 def pipe_tables(cells: DataFrame) -> DataFrame:
     """(doc_id, table_id, text): cells as pipe tables, the first row as head; tables with one row vanish.
 
-    Columns are measured over the table, cells are put into rows, and rows into tables, so that nothing looks at more than its own row. Repeated (row, col)
-    places keep the cell that sorts last.
+    Cells are dealt out by table once, and all that follows stays where they are: columns are measured over the table, cells are put into rows, and rows
+    into tables, so that nothing looks at more than its own row. Repeated (row, col) places keep the cell that sorts last.
     """
-    table = (DOC, "table_id")
-    text = X.one_line(F.col("cell"))
-    df = cells.select(*table, "row", "col", F.struct(text.alias("cell"), X.visible_width(text).alias("width")).alias("c")).groupBy(*table, "row", "col").agg(F.max("c").alias("c"))
-    columns = df.groupBy(*table, "col").agg(F.greatest(F.lit(3), F.max("c.width")).alias("n"), F.bool_or(F.col("c.cell") != "").alias("full"))
-    columns = columns.withColumn("any", F.bool_or("full").over(W.partitionBy(*table))).where("full or not any")
-    columns = columns.withColumn("at", F.row_number().over(W.partitionBy(*table).orderBy("col")))
-    sizes = columns.groupBy(*table).agg(F.array_sort(F.collect_list(F.struct("at", "n"))).alias("sizes"))
-    rows = df.join(columns.select(*table, "col", "at"), [*table, "col"], "left")
-    # What a row has of the columns that stay, by their places; the rest of the row is filled with blanks.
-    rows = rows.groupBy(*table, "row").agg(F.map_from_entries(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "c")))).alias("own"))
-    rows = rows.join(sizes, [*table])
+    # One value as key, which stays the same where the number of the table is a constant, so that what was dealt out by it is not dealt out again.
+    key = F.struct(DOC, "table_id").alias("t")
+    df = cells.select(key, "row", "col", X.one_line(F.col("cell")).alias("cell")).repartition("t").groupBy("t", "row", "col").agg(F.max("cell").alias("cell"))
+    df = df.withColumn("width", X.visible_width(F.col("cell")))
+    columns = df.groupBy("t", "col").agg(F.greatest(F.lit(3), F.max("width")).alias("n"), F.bool_or(F.col("cell") != "").alias("full"))
+    sizes = columns.groupBy("t").agg(F.array_sort(F.collect_list(F.struct("col", "n", "full"))).alias("sizes"))
+    some = F.exists("sizes", lambda s: s["full"])
+    sizes = sizes.withColumn("sizes", F.when(some, F.filter("sizes", lambda s: s["full"])).otherwise(F.col("sizes")))
+    # What a row has, by columns; the rest of the row is filled with blanks.
+    rows = df.groupBy("t", "row").agg(F.map_from_entries(F.collect_list(F.when(F.col("col").isNotNull(), F.struct("col", F.struct("cell", "width"))))).alias("own"))
     line = lambda part: F.concat(F.lit("|"), F.array_join(F.transform("sizes", part), ""))
 
     def cell(s: Column) -> Column:
-        own = F.try_element_at("own", s["at"])
+        own = F.try_element_at("own", s["col"])
         return F.concat(F.lit(" "), F.coalesce(own["cell"], F.lit("")), F.repeat(F.lit(" "), s["n"] - F.coalesce(own["width"], F.lit(0))), F.lit(" |"))
 
     rule = line(lambda s: F.concat(F.lit(" "), F.repeat(F.lit("-"), s["n"]), F.lit(" |")))
-    run = F.array_sort(F.collect_list(F.struct("row", line(cell).alias("line"))))
-    out = rows.groupBy(*table).agg(run.alias("run"), F.any_value(rule).alias("rule")).where(F.size("run") >= 2)
+    rows = rows.join(sizes, "t").select("t", "row", line(cell).alias("line"), "sizes")
+    run = F.array_sort(F.collect_list(F.struct("row", "line")))
+    out = rows.groupBy("t").agg(run.alias("run"), F.any_value("sizes").alias("sizes")).where(F.size("run") >= 2).withColumn("rule", rule)
     lines = F.transform("run", lambda x: x["line"])
     whole = F.concat(F.slice(lines, 1, 1), F.array("rule"), F.slice(lines, F.lit(2), F.size("run")))
-    return out.select(*table, F.array_join(whole, "\n").alias("text"))
+    return out.select(f"t.{DOC}", "t.table_id", F.array_join(whole, "\n").alias("text"))

@@ -5,6 +5,7 @@ from conftest import SMALL
 
 from loomdown.functions import markdown as M
 from loomdown.kernel.convert import nodes
+from loomdown.operators import blocks as B
 from loomdown.operators import nodes as N
 from loomdown.plans import catalogue
 
@@ -58,3 +59,16 @@ def test_nodes_of_pages_without_html_are_one_row_of_nulls(spark):
     assert found.dtypes == [("doc_id", "string"), *((f, t) for f, t in (k.split(":") for k in M.kind_of(M.FIELDS)))]
     rows = [tuple(r) for r in found.collect()]
     assert sorted(rows, key=repr) == sorted([(key, *n) for key, page in (("a", PAGE), ("c", "")) for n in nodes(page)] + [("b", *[None] * 9)], key=repr)
+
+
+def test_pipe_tables_deal_cells_out_once(spark):
+    places = [(1, 0, 0, 0, "a"), (1, 0, 0, 2, "[b](/c)"), (1, 0, 1, 0, "x"), (1, 0, 1, 0, "y\nz"), (1, 0, 1, 1, " "), (1, 0, 3, 2, "wide one"), (1, 5, 0, 0, ""), (1, 5, 1, 1, ""), (2, 0, 0, 0, "alone")]
+    cells = spark.createDataFrame(places, "doc_id long, table_id long, row int, col int, cell string")
+    for some in (cells, cells.where("table_id = 0").withColumn("table_id", N.F.lit(0))):
+        plan = plan_of(B.pipe_tables(some))
+        assert plan.count("Exchange hashpartitioning") == plan.count("REPARTITION_BY_COL") == 2  # one, read by both sides of a join
+    got = {(r.doc_id, r.table_id): r.text for r in B.pipe_tables(cells).collect()}
+    assert got == {
+        (1, 0): "| a   | [b](/c)        |\n| --- | -------- |\n| y z |          |\n|     | wide one |",
+        (1, 5): "|     |     |\n| --- | --- |\n|     |     |",
+    }
