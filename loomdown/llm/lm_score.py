@@ -7,10 +7,10 @@ the class's words give the word, by a softmax again, for a whole batch with one
 their last letters, and a word has the probability of its smoothed count within its tail class. So a text's probability
 is normalised over all words, and the model's vocabulary grows with the corpus.
 
-Which words share a class is learned from a sample, by their company: words and endings are grouped by which frequent words
-stand near them. The sample is bounded: at most `warm_docs` different texts with `warm_chars` characters, those with the smallest hashes.
-Training is by noise-contrastive estimation in numpy at both steps: a warm start on the sample, then one pass over
-all training rows, each partition from the warm start, averaged by tokens. Counts cover all training rows. Words under `known_share` of the
+Which words share a class is learned from all training rows, by their company: words and endings are grouped by which frequent words
+stand near them. Training is by noise-contrastive estimation in numpy at both steps: one pass over all training rows, each partition
+from the same starting values, averaged by tokens. The starting values are trained on at most `warm_docs` different
+texts with `warm_chars` characters, those with the smallest hashes. Counts cover all training rows. Words under `known_share` of the
 corpus are counted by a join, not from a table in memory: what goes to every task is at most 1 / known_share words.
 
 Defined cases: a null or empty text has one token, its end. Repeated rows are scored each, very long texts whole. A null doc_id has no
@@ -63,6 +63,28 @@ def count_words(docs: DataFrame, flush: int = 300_000) -> DataFrame:
 
 #: Hashes of a word's last letters.
 BUCKETS = 2048
+#: How many of the most frequent words are company, and how far from a word.
+COMPANY, REACH = 64, 8
+
+
+def bucket(word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(word[-4:]) % BUCKETS
+
+
+def company_of(of: np.ndarray, ends: np.ndarray, n_frequent: int) -> np.ndarray:
+    """(n_frequent + BUCKETS, at most COMPANY): how often each of the most frequent words stands within REACH of each word or ending.
+
+    of: the numbers of the words of some texts in a row, those of frequent words first; ends: of the texts.
+    """
+    wide = min(COMPANY, n_frequent)
+    # Texts stand apart by more than the reach.
+    place = np.arange(len(of)) + (REACH + 1) * np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+    marks = np.flatnonzero(of < wide)
+    first, last = np.searchsorted(place[marks], place - REACH), np.searchsorted(place[marks], place + REACH, "right")
+    many = last - first
+    which = marks[np.arange(many.sum()) + np.repeat(first - (np.cumsum(many) - many), many)]
+    pairs = np.repeat(of, many) * wide + of[which]
+    return np.bincount(pairs, minlength=(n_frequent + BUCKETS) * wide).astype(np.float64).reshape(n_frequent + BUCKETS, wide)
 
 
 class Vocabulary:
@@ -94,21 +116,17 @@ class Vocabulary:
         return int(self.classes_of([word])[0])
 
     @classmethod
-    def fit(cls, texts: list[list[bytes]], frequent: list[bytes], groups: int, class_words: int, tails_each: int, company: int = 64, reach: int = 8) -> Vocabulary:
+    def fit(cls, texts: list[list[bytes]], frequent: list[bytes], groups: int, class_words: int, tails_each: int) -> Vocabulary:
         """frequent: the words that are to stand alone, most frequent first."""
         number = {w: i for i, w in enumerate(frequent)}
-        item = lambda w: number[w] if w in number else len(frequent) + xxhash.xxh3_64_intdigest(w[-4:]) % BUCKETS
+        flat = list(chain.from_iterable(texts))
+        of = np.fromiter((number[w] if w in number else len(frequent) + bucket(w) for w in flat), np.int64, len(flat))
+        return cls.by_company(company_of(of, np.cumsum(list(map(len, texts))), len(frequent)), frequent, groups, class_words, tails_each)
+
+    @classmethod
+    def by_company(cls, near: np.ndarray, frequent: list[bytes], groups: int, class_words: int, tails_each: int) -> Vocabulary:
+        """near: company_of all texts."""
         size = len(frequent) + BUCKETS
-        near = np.zeros((size, min(company, len(frequent))))
-        for text in texts:
-            of = np.fromiter(map(item, text), np.int64, len(text))
-            ends = np.arange(len(of))
-            marks = np.flatnonzero(of < near.shape[1])
-            # Which frequent words stand within reach of each word: those between two places in the list of all of them.
-            first, last = np.searchsorted(marks, ends - reach), np.searchsorted(marks, ends + reach, "right")
-            many = last - first
-            which = marks[np.arange(many.sum()) + np.repeat(first - (np.cumsum(many) - many), many)]
-            np.add.at(near, (np.repeat(of, many), of[which]), 1)
         seen = near.sum(1)
         points = np.sqrt((near + near.sum(0) / max(1.0, seen.sum())) / (seen + 1)[:, None]) if near.size else np.zeros((size, 1))
         group = grouped(points, np.maximum(seen, 1e-3), groups)
@@ -292,6 +310,29 @@ def sample_of(rows: DataFrame, warm_docs: int, warm_chars: int) -> DataFrame:
     return written(rows.where(F.col("h").isin(chosen)).dropDuplicates(["h"]).repartition(1).sortWithinPartitions(*place).select("text"), "lm-sample")
 
 
+SUMS = "tokens double, params array<double>"
+
+
+def summed(parts: DataFrame) -> tuple[float, np.ndarray | None]:
+    """The sums of the tasks' tokens and arrays, summed in Spark."""
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row for all rows of a task, so that what is added by number does not grow with the tasks before."""
+        tokens, params = 0.0, None
+        for batch in batches:
+            for n, own in zip(batch["tokens"].to_pylist(), batch["params"], strict=True):
+                values = own.values.to_numpy(zero_copy_only=False)
+                tokens, params = tokens + n, values if params is None else params + values
+        if params is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([tokens]), pa.array([params], pa.list_(pa.float64()))], ["tokens", "params"])
+
+    parts = written(written(parts, "lm-parameters").mapInArrow(added, SUMS), "lm-sums")
+    tokens = parts.agg(F.sum("tokens")).first()[0]
+    if not tokens:
+        return 0.0, None
+    sums = parts.select(F.posexplode("params").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").collect()
+    return tokens, np.array([r["x"] for r in sums])
+
+
 def score_texts(
     docs: DataFrame,
     train: Column,
@@ -317,7 +358,33 @@ def score_texts(
     known = {bytes(r["word"]): r["c"] for r in counts.where(F.col("c") >= max(2, math.ceil(known_share * n_all))).collect()}  # at most 1 / known_share
     sample = sample_of(base.where("train").select(F.coalesce("text", F.lit("")).alias("text")), warm_docs, warm_chars)
     frequent = sorted(known, key=lambda w: (-known[w], w))[: int(single_words * math.sqrt(v_all))]
-    vocabulary = Vocabulary.fit([words_of(r["text"]) for r in sample.collect()], frequent, groups, class_words, tails_each)
+    known_at = {w: i for i, w in enumerate(known)}
+    frequent_at = {w: i for i, w in enumerate(frequent)}
+    known_item = np.array([frequent_at[w] if w in frequent_at else len(frequent) + bucket(w) for w in known] or [0], np.int64)
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
+        """Rows with about `batch_chars` characters, and their words."""
+        for batch in batches:
+            texts = batch["text"].to_pylist()
+            for part in pieces(texts, batch_chars):
+                yield batch.slice(part.start, part.stop - part.start), [words_of(t) for t in texts[part]]
+
+    def company_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, near = 0, None
+        for _, chunk in chunks(batches):
+            flat = list(chain.from_iterable(chunk))
+            at = np.fromiter(map(known_at.get, flat, repeat(-1)), np.int64, len(flat))
+            of, unknown = known_item[at], np.flatnonzero(at < 0)
+            of[unknown] = len(frequent) + np.fromiter((bucket(flat[i]) for i in unknown.tolist()), np.int64, len(unknown))
+            own = company_of(of, np.cumsum(list(map(len, chunk))), len(frequent))
+            tokens, near = tokens + len(flat), own if near is None else near + own
+        if tokens:
+            yield pa.RecordBatch.from_arrays([pa.array([float(tokens)]), pa.array([near.reshape(-1)], pa.list_(pa.float64()))], ["tokens", "params"])
+
+    _, near = summed(base.where("train").select("text").mapInArrow(company_rows, SUMS))
+    shape = len(frequent) + BUCKETS, min(COMPANY, len(frequent))
+    near = np.zeros(shape) if near is None or not near.size else near.reshape(shape)
+    vocabulary = Vocabulary.by_company(near, frequent, groups, class_words, tails_each)
     n_classes = vocabulary.classes
 
     def class_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,14 +400,6 @@ def score_texts(
     facts = unigram, order, width, vocabulary.class_of_single, np.array([known[w] for w in vocabulary.singles], np.float64)
     model = LogBilinear(*facts)
 
-    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
-        """Rows with about `batch_chars` characters, and their words."""
-        for batch in batches:
-            texts = batch["text"].to_pylist()
-            for part in pieces(texts, batch_chars):
-                yield batch.slice(part.start, part.stop - part.start), [words_of(t) for t in texts[part]]
-
-    known_at = {w: i for i, w in enumerate(known)}
     known_class = vocabulary.classes_of(list(known)) if known else np.zeros(1, np.int64)
     known_single = np.array([vocabulary.number.get(w, -1) for w in known] or [-1], np.int64)
     known_log = np.array([math.log10(c + 0.5) for c in known.values()] or [0.0])
@@ -374,30 +433,10 @@ def score_texts(
 
         return rows
 
-    def averaged(parts: DataFrame) -> np.ndarray | None:
-        """The mean of the partitions' parameters, weighted by tokens, summed in Spark."""
-        def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """One row for all rows of a task, so that what is added by number does not grow with the training tasks."""
-            tokens, params = 0.0, None
-            for batch in batches:
-                for n, own in zip(batch["tokens"].to_pylist(), batch["params"], strict=True):
-                    values = own.values.to_numpy(zero_copy_only=False)
-                    tokens, params = tokens + n, values if params is None else params + values
-            if params is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([tokens]), pa.array([params], pa.list_(pa.float64()))], ["tokens", "params"])
-
-        parts = written(written(parts, "lm-parameters").mapInArrow(added, schema), "lm-sums")
-        tokens = parts.agg(F.sum("tokens")).first()[0]
-        if not tokens:
-            return None
-        sums = parts.select(F.posexplode("params").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").collect()
-        return np.array([r["x"] for r in sums]) / tokens
-
-    schema = "tokens double, params array<double>"
     for source, passes in ((sample, 3), (base.where("train").select("text"), 1)):
-        start = averaged(source.mapInArrow(train_rows(model.flat() if passes == 1 else None, passes), schema))
-        if start is not None:
-            model.load(start)
+        tokens, params = summed(source.mapInArrow(train_rows(model.flat() if passes == 1 else None, passes), SUMS))
+        if tokens:
+            model.load(params / tokens)
 
     log_class = np.log10(n_class + 0.5 * (v_class + 1))
     log_all = math.log10(n_all + 0.5 * (v_all + 1))

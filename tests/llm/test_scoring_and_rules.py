@@ -270,3 +270,23 @@ def test_scores_without_training_rows(frame):
     got = lm_score.score_texts(frame([(1, "a b"), (2, None)]), F.lit(False)).select("row.doc_id", "n_tokens", "n_known", "train_tokens", "base_score").collect()
     assert {(r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in got} == {(1, 3, 0, 0, 0.0), (2, 1, 0, 0, 0.0)}
     assert lm_score.score_texts(frame([]), F.lit(True)).count() == 0
+
+
+def test_classes_are_learned_from_all_training_rows(frame, monkeypatch):
+    import numpy as np
+
+    rows = [(i, f"{w} the rare{i} of {w} a {w}") for i, w in enumerate(["red", "blue", "green", "grey"] * 30)] + [(999, None)]
+    found = []
+    whole = lm_score.Vocabulary.by_company.__func__
+    monkeypatch.setattr(lm_score.Vocabulary, "by_company", classmethod(lambda cls, near, frequent, *more: (found.append((near, frequent)), whole(cls, near, frequent, *more))[1]))
+    df = frame(rows).repartition(3)
+    lm_score.score_texts(df, F.col("doc_id") % 5 != 1, warm_docs=2, single_words=0.5)
+    (near, frequent), texts = found[0], [lm_score.words_of(t) for i, t in rows if i % 5 != 1]
+    want = np.zeros(near.shape)
+    at = lambda w: frequent.index(w) if w in frequent else len(frequent) + lm_score.bucket(w)
+    for text in texts:
+        for i, w in enumerate(text):
+            for other in text[max(0, i - lm_score.REACH) : i + lm_score.REACH + 1]:
+                if other in frequent[: lm_score.COMPANY]:
+                    want[at(w), frequent.index(other)] += 1
+    assert 0 < len(frequent) and (near == want).all()
