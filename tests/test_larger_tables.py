@@ -7,7 +7,9 @@ from loomdown.functions import markdown as M
 from loomdown.kernel.convert import nodes
 from loomdown.operators import blocks as B
 from loomdown.operators import nodes as N
+from loomdown.operators import rewrite as R
 from loomdown.plans import catalogue
+from loomdown.sources.files import settled
 
 PAGE = "<p>x<table border=1><caption>c<tr><td>1<td><i>R</i><tr><td>n<td><table role=none><tr><td>a<th>b</table></table><td>"
 
@@ -72,3 +74,24 @@ def test_pipe_tables_deal_cells_out_once(spark):
         (1, 0): "| a   | [b](/c)        |\n| --- | -------- |\n| y z |          |\n|     | wide one |",
         (1, 5): "|     |     |\n| --- | --- |\n|     |     |",
     }
+
+
+def test_rewrites_read_each_node_once(spark):
+    html = "<p>a<b> </b><i>:</i> b<table><tr><td>1<td><h2>2</table><div style='display:flex'><div>x</div><div>y</div></div>"
+    nodes = settled(R.spread_out(N.explode_nodes(spark.createDataFrame([(1, html), (2, None)], "page_id long, html string"))), "nodes")
+    is_cell, is_text = N.F.col("name") == "td", N.F.col("kind") == "text"
+    steps = N.counted_below(nodes, is_cell, texts=is_text), R.restored(nodes), N.subtree_text(nodes, is_cell), R.settle_emphasis(nodes)
+    assert [plan_of(step).count("Scan parquet") for step in steps] == [1, 1, 2, 3]
+    assert "Filter" in plan_of(steps[0])  # what is neither chosen nor counted is not moved
+    got = R.settle_emphasis(nodes).where("kind = 'text' or kind is null").collect()
+    assert [r.text for r in sorted(got, key=lambda r: (r.doc_id, r.node_id or 0))] == ["a ", ":", " b", "1", "2", "x", "y", None]
+
+
+def test_only_nodes_in_tables_go_through_the_rounds(spark, monkeypatch):
+    html = "<p>a<i>b</i></p>" * 50 + "<table><tr><td>1<td><table><tr><td>2</table></table>"
+    nodes = settled(R.spread_out(N.explode_nodes(spark.createDataFrame([(1, html)], "page_id long, html string"))), "nodes")
+    seen = []
+    monkeypatch.setattr(R, "flatten_layout", lambda n, layout, whole=R.flatten_layout: (seen.append(n.count()), whole(n, layout))[1])
+    flat = R.flatten_tables(nodes)
+    assert len(seen) == 2 and max(seen) < 15
+    assert flat.where("name = 'p'").count() == 51 and flat.where("name = 'i' and depth = 4").count() == 50
