@@ -10,8 +10,8 @@ is normalised over all words, and the model's vocabulary grows with the corpus.
 Which words share a class is learned from all training rows, by their company: words and endings are grouped by which frequent words
 stand near them. Training is by noise-contrastive estimation in numpy at both steps: one pass over all training rows, each partition
 from the same starting values, averaged by tokens. The starting values are trained on at most `warm_docs` different
-texts with `warm_chars` characters, those with the smallest hashes. Counts cover all training rows. Words under `known_share` of the
-corpus are counted by a join, not from a table in memory: what goes to every task is at most 1 / known_share words.
+texts with `warm_chars` characters, those with the smallest hashes. Counts cover all training rows. What goes
+to every task is the counts of the most frequent words, at most 1 / known_share; all others are counted by a join, not from a table in memory.
 
 Defined cases: a null or empty text has one token, its end. Repeated rows are scored each, very long texts whole. A null doc_id has no
 remainder and is not trained on. Words of equal counts are ordered by their bytes. Without training rows every token has the base
@@ -61,14 +61,52 @@ def count_words(docs: DataFrame, flush: int = 300_000) -> DataFrame:
     return docs.select("text").mapInArrow(rows, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def kept_in_memory(counts: DataFrame, n_all: int, known_share: float) -> dict[bytes, int]:
+    """The counts of the most frequent words, as many as 1 / known_share allows, and of none that was seen once; n_all: the sum of all counts.
+
+    Words of like counts, within some 3 %, stand or fall together, so that a few hundred numbers tell which fit.
+    """
+    like = counts.where("c > 1").groupBy(F.floor(F.log("c") * 32).alias("like")).agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c")).collect()
+    least, total = max(2, math.ceil(known_share * n_all)), 0
+    for r in sorted(like, key=lambda r: -r["like"]):
+        total += r["n"]
+        if total > 1 / known_share:
+            break
+        least = min(least, r["c"])
+    return {bytes(r["word"]): r["c"] for r in counts.where(F.col("c") >= least).collect()}
+
+
 #: Hashes of a word's last letters.
 BUCKETS = 2048
 #: How many of the most frequent words are company, and how far from a word.
 COMPANY, REACH = 64, 8
 
 
+class Endings(dict):
+    """The hashes of the endings met by this process, which are far fewer than words; all are forgotten when they are `most`."""
+
+    most = 1 << 18
+
+    def __missing__(self, ending: bytes) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        self[ending] = found = xxhash.xxh3_64_intdigest(ending)
+        return found
+
+
+_endings = Endings()
+
+
+def ending_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(_endings.__getitem__, [w[-4:] for w in words]), np.uint64, len(words))
+
+
+def buckets(words: list[bytes]) -> np.ndarray:
+    return (ending_hashes(words) % np.uint64(BUCKETS)).astype(np.int64)
+
+
 def bucket(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word[-4:]) % BUCKETS
+    return int(buckets([word])[0])
 
 
 def company_of(of: np.ndarray, ends: np.ndarray, n_frequent: int) -> np.ndarray:
@@ -98,7 +136,7 @@ class Vocabulary:
         self.classes = self.single_classes + (int(group_of_bucket.max()) + 1) * tails_each
 
     def tail_classes(self, words: list[bytes]) -> np.ndarray:
-        h = np.fromiter(map(xxhash.xxh3_64_intdigest, [w[-4:] for w in words]), np.uint64, len(words))
+        h = ending_hashes(words)
         within = (h >> np.uint64(32)).astype(np.int64) % self.tails_each
         return self.single_classes + self.group_of_bucket[(h % np.uint64(BUCKETS)).astype(np.int64)] * self.tails_each + within
 
@@ -206,7 +244,7 @@ class LogBilinear:
         return np.stack([run[keep + i] for i in range(self.order)])
 
     def predicted(self, before: np.ndarray) -> np.ndarray:
-        return sum((self.context * w)[c] for c, w in zip(before, self.weight, strict=True))
+        return sum(np.take(self.context * w, c, 0) for c, w in zip(before, self.weight, strict=True))
 
     def log10(self, texts: list[np.ndarray], words: np.ndarray, batch: int = 512) -> np.ndarray:
         """The log10 probability of each token's class, and of its word in it if it stands alone (words: its number or -1), over all texts in a row."""
@@ -222,7 +260,7 @@ class LogBilinear:
         for at in range(0, len(now), batch):
             ctx, tgt = before[:, at : at + batch], now[at : at + batch]
             p = all_p[at : at + batch]
-            p[:, :-1] = sum(w[c] for w, c in zip(weighted, ctx, strict=True))
+            p[:, :-1] = sum(np.take(w, c, 0) for w, c in zip(weighted, ctx, strict=True))
             out[at : at + batch] = log_share(p @ target, tgt, ones, length(p) * longest > 60)
         alone = np.flatnonzero(words >= 0)
         alone = alone[np.argsort(now[alone], kind="stable")]
@@ -231,7 +269,7 @@ class LogBilinear:
             if b > a:
                 i, j = self.first[k], self.first[k + 1]
                 own = np.concatenate([self.word[i:j], self.word_bias[i:j, None]], 1)
-                p = all_p[alone[a:b]]
+                p = np.take(all_p, alone[a:b], 0)
                 out[alone[a:b]] += log_share(p @ own.T, words[alone[a:b]] - i, np.ones(j - i, np.float32), length(p) * length(own) > 60)
         return out.astype(np.float64) / math.log(10)
 
@@ -244,6 +282,7 @@ class LogBilinear:
         columns = lambda g: np.ascontiguousarray(g.T, np.float64)
         # The sums by index of rows that are given by their columns.
         rows = lambda index, g, size: np.stack([np.bincount(index, column, size) for column in g], 1)
+        flat_products = lambda g, p: ((g * column[:, None]).reshape(-1) for column in np.ascontiguousarray(p.T))
 
         def step(name: str, grad: np.ndarray) -> None:
             square = state.setdefault(name, np.full(grad.shape, 1.0))
@@ -257,7 +296,7 @@ class LogBilinear:
             p_one = np.ones((len(tgt), self.width + 1), np.float32)  # with a 1 that meets the biases
             p = p_one[:, :-1]
             p[:] = self.predicted(ctx)
-            of_target = self.target[tgt]
+            of_target = np.take(self.target, tgt, 0)
             s_data = np.einsum("tw,tw->t", p, of_target) + self.bias[tgt] - self.log_noise[tgt]
             g_data = 1 / (1 + np.exp(s_data))
             g_p = g_data[:, None] * of_target
@@ -272,7 +311,7 @@ class LogBilinear:
                 np.divide(-1, g, out=g)
                 g_p[k : k + part] += g @ noise_target
                 g_noise_one += g.T @ p_one[k : k + part]
-            g_target = rows(tgt, columns(g_data[:, None] * p), n)
+            g_target = rows(tgt, flat_products(g_data[:, None], p), n)
             np.add.at(g_target, noise, g_noise_one[:, :-1])
             g_bias = np.bincount(tgt, g_data, n)
             np.add.at(g_bias, noise, g_noise_one[:, -1])
@@ -284,12 +323,13 @@ class LogBilinear:
                 low, high = self.cdf[self.first[of]], self.cdf[self.first[of + 1]]
                 drawn = np.searchsorted(self.cdf, low[:, None] + rng.random((len(own), self.word_noise)) * (high - low)[:, None], "right") - 1
                 both = np.concatenate([own[:, None], np.clip(drawn, self.first[of][:, None], self.first[of + 1][:, None] - 1)], 1)
-                s_word = np.einsum("tw,tkw->tk", p[alone], self.word[both]) + self.word_bias[both] - self.log_word_noise[both]
+                p_own, of_word = np.take(p_one, alone, 0)[:, :-1], np.take(self.word, both, 0)
+                s_word = np.einsum("tw,tkw->tk", p_own, of_word) + (self.word_bias - self.log_word_noise)[both]
                 g = -1 / (1 + np.exp(-s_word))
                 g[:, 0] += 1
-                g_p[alone] += np.einsum("tk,tkw->tw", g, self.word[both])
+                g_p[alone] += np.einsum("tk,tkw->tw", g, of_word)
                 flat = both.reshape(-1)
-                g_word = rows(flat, columns((g[:, :, None] * p[alone][:, None, :]).reshape(len(flat), -1)), len(self.word))
+                g_word = rows(flat, flat_products(g, p_own), len(self.word))
                 g_word_bias = np.bincount(flat, g.reshape(-1), len(self.word))
             g_columns = columns(g_p)
             by_place = [rows(c, g_columns, n + 1) for c in ctx]
@@ -355,7 +395,7 @@ def score_texts(
     counts = written(count_words(base.where("train")), "lm-counts")
     total = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n_all, v_all = total["n"] or 0, total["v"]
-    known = {bytes(r["word"]): r["c"] for r in counts.where(F.col("c") >= max(2, math.ceil(known_share * n_all))).collect()}  # at most 1 / known_share
+    known = kept_in_memory(counts, n_all, known_share)
     sample = sample_of(base.where("train").select(F.coalesce("text", F.lit("")).alias("text")), warm_docs, warm_chars)
     frequent = sorted(known, key=lambda w: (-known[w], w))[: int(single_words * math.sqrt(v_all))]
     known_at = {w: i for i, w in enumerate(known)}
@@ -375,7 +415,7 @@ def score_texts(
             flat = list(chain.from_iterable(chunk))
             at = np.fromiter(map(known_at.get, flat, repeat(-1)), np.int64, len(flat))
             of, unknown = known_item[at], np.flatnonzero(at < 0)
-            of[unknown] = len(frequent) + np.fromiter((bucket(flat[i]) for i in unknown.tolist()), np.int64, len(unknown))
+            of[unknown] = len(frequent) + buckets([flat[i] for i in unknown.tolist()])
             own = company_of(of, np.cumsum(list(map(len, chunk))), len(frequent))
             tokens, near = tokens + len(flat), own if near is None else near + own
         if tokens:

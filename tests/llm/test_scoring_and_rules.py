@@ -290,3 +290,24 @@ def test_classes_are_learned_from_all_training_rows(frame, monkeypatch):
                 if other in frequent[: lm_score.COMPANY]:
                     want[at(w), frequent.index(other)] += 1
     assert 0 < len(frequent) and (near == want).all()
+
+
+def test_words_in_memory_fill_their_bound(spark):
+    """Not only those above the share, of which there may be few; and each ending is hashed once."""
+    counts = spark.createDataFrame([(f"w{i}".encode(), c) for i, c in enumerate([300, 90, 50, 50, 40, 20, 7, 7, 7, 7, 7, 1, 1])], "word binary, c long")
+    kept = lambda share: sorted(lm_score.kept_in_memory(counts, 1000, share).values(), reverse=True)
+    assert kept(0.1) == [300, 90, 50, 50, 40, 20]  # the five words of 7 would make it eleven
+    assert kept(0.09) == [300, 90, 50, 50, 40, 20, 7, 7, 7, 7, 7] and kept(0.5) == [300, 90] and kept(1e-5)[-1] == 7
+    assert lm_score.kept_in_memory(counts.limit(0), 0, 0.1) == {}
+
+
+def test_endings_are_hashed_once_and_bounded(monkeypatch):
+    asked = []
+    monkeypatch.setattr(lm_score.xxhash, "xxh3_64_intdigest", lambda e, whole=lm_score.xxhash.xxh3_64_intdigest: (asked.append(e), whole(e))[1])
+    found = lm_score.Endings()
+    monkeypatch.setattr(lm_score, "_endings", found)
+    monkeypatch.setattr(lm_score.Endings, "most", 100)
+    words = [b"%d-ending" % i for i in range(1000)] + [b""]
+    assert len(set(lm_score.buckets(words[:-1]).tolist())) == 1 and asked == [b"ding"]
+    lm_score.buckets([b"%04d" % i for i in range(1000)])
+    assert len(found) <= 100
