@@ -1,13 +1,15 @@
 """A context-mixing range coder for blocks of token ids, in numpy across many blocks at once.
 
-Each block is coded on its own from a fresh model, over the ids that occur in it. Three models predict an id: order-2 and order-1
-from what has followed the last two ids, or the last one, and order-0 from in how many contexts an id has been. They
-are mixed: P1 = w1 * p1 + (1 - w1) * p0 and P2 = w2 * p2 + (1 - w2) * P1, with a weight for each of 24 degrees of confidence
-in a context, learned as the block goes on from each model's share in the ids that came. An id that the order-2 context
-has seen is coded with P2 at once; else an escape, and the same with P1 among those that the order-1 context has seen; else p0.
-
-A block is cut into up to `LANES` runs of ids, each with a range coder of its own, that share the block's model. The model
-is built anew from all runs' ids whenever they have doubled. Between two such points it is fixed, so that numpy codes one
+Each block is coded on its own from a fresh model. First, pairs of neighbours that occur often are joined to one symbol each,
+`ROUNDS` times, so that there are fewer symbols than ids; the block's table names the ids that occur and the pairs. Three models predict a
+symbol: order-2 and order-1 from what has followed the last two symbols, or the last one, and order-0 from in how many contexts a
+symbol has been. They are mixed: P1 = w1 * p1 + (1 - w1) * p0 and P2 = w2 * p2 + (1 - w2) * P1, with a weight for each of 24 degrees of
+confidence in a context, learned as the block goes on from each model's share in the symbols that came. A symbol that the order-2
+context has seen is coded with P2 at once; else an escape, and the same with P1 among those that the order-1 context has seen;
+else p0. An order-2 context counts from the second time on.
+
+A block is cut into up to `LANES` runs of symbols, each with a range coder of its own, that share the block's model. The model
+is built anew from all runs' symbols whenever they are `GROWTH` times as many. Between two such points it is fixed, so that numpy codes one
 position of all runs of many blocks in one step. Decoder and encoder build the same model by the same steps of exact
 or IEEE arithmetic.
 """
@@ -16,13 +18,16 @@ from __future__ import annotations
 
 import numpy as np
 
-LANES, LEAST_RUN, FIRST = 128, 1024, 16
+LANES, LEAST_RUN, FIRST, GROWTH = 256, 512, 16, 4
 BITS = 16
 WHOLE = 1 << BITS
-SHIFT = 17  # of a symbol in a key: vocabularies go up to 2 ** 17 - 1
+SHIFT = 17  # of a symbol in a key: vocabularies go up to 2 ** 16
 SYMBOL = (1 << SHIFT) - 1
+DEGREES = 24
+LEAST_SEEN = 2  # of an order-2 context
+ROUNDS, LEAST_PAIRS, MOST_SYMBOLS = 2, 16, 1 << 14
 U = np.uint64
-CARRY, LOW, TOP, WORD = U(48), U(2**32 - 1), U(2**32), U(16)
+LOW, TOP, WORD = U(2**32 - 1), U(2**32), U(16)
 
 
 def shape_of(length: int) -> tuple[int, int]:
@@ -35,106 +40,150 @@ def turns(longest: int) -> list[tuple[int, int]]:
     """The stretches between two builds of the model."""
     ends = [0, FIRST]
     while ends[-1] < longest:
-        ends.append(2 * ends[-1])
+        ends.append(GROWTH * ends[-1])
     return [(a, min(b, longest)) for a, b in zip(ends, ends[1:], strict=False) if a < longest]
 
 
+def starts_of(keys: np.ndarray) -> np.ndarray:
+    """Where each stretch of equal keys begins."""
+    new = np.ones(len(keys), bool)
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    return np.flatnonzero(new)
+
+
 def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     keys = np.sort(keys)
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    return keys[first], np.diff(np.append(first, len(keys)))
+    first = starts_of(keys)
+    return keys[first], np.diff(first, append=len(keys))
+
+
+class Places:
+    """Where keys stand in a sorted array: by a hash, and by bisection for those whose slot another key has taken."""
 
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.bits = max(4, (8 * len(keys)).bit_length())
+        self.slots = np.full(1 << self.bits, -1, np.int32)
+        self.slots[self.slot(keys)] = np.arange(len(keys), dtype=np.int32)
 
-def place_of(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Where each wanted key stands, -1 if nowhere."""
-    if not len(keys):
-        return np.full(len(wanted), -1, np.int64)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, at, -1)
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * U(0x9E3779B97F4A7C15)) >> U(64 - self.bits)).view(np.int64)
+
+    def of(self, wanted: np.ndarray) -> np.ndarray:
+        """-1 for keys that are not there."""
+        at = self.slots[self.slot(wanted)]
+        if not len(self.keys):
+            return at
+        other = np.flatnonzero((self.keys[at] != wanted) & (at >= 0))
+        key = wanted[other]
+        found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        at[other] = np.where(self.keys[found] == key, found, -1)
+        return at
 
 
 def confidence(n: np.ndarray, kinds: np.ndarray) -> np.ndarray:
     """0 to 23, of a context seen n times with so many different successors."""
-    size = (n[:, None] >= 2 ** np.arange(1, 8)).sum(1)
+    size = np.minimum(np.frexp(n.astype(np.float64))[1] - 1, 7)
     return size * 3 + np.where(kinds == 1, 0, np.where(2 * kinds <= n, 1, 2))
 
 
 class Level:
     """The coded intervals of one order: for each context a row of its successors, and an escape that fills it up to WHOLE."""
 
-    def __init__(self, context: np.ndarray, n: np.ndarray, weights: np.ndarray, lower: np.ndarray):
-        """context: of each successor, ascending; n: its count; lower: its probability from the orders below."""
-        first = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
-        self.context, kinds = context[first], np.diff(np.append(first, len(context)))
-        self.row = np.repeat(np.arange(len(first)), kinds)
-        total = np.add.reduceat(n, first)
-        self.degree = confidence(total, kinds)
-        w = (weights[:, 0] / weights[:, 1])[self.degree][self.row]
-        own = w * (n / total[self.row])
-        self.p = own + (1 - w) * lower
-        size = (self.p * (WHOLE - 1 - kinds)[self.row]).astype(np.int64) + 1
+    def __init__(self, first: np.ndarray, n: np.ndarray, weights: np.ndarray, lower: np.ndarray):
+        """first: where each context's successors begin; n: their counts; lower: their probabilities from the orders below."""
+        rows = np.arange(len(first))
+        kinds = np.diff(first, append=len(n))
+        row = np.repeat(rows, kinds)
+        total = np.add.reduceat(n, first) if len(first) else n
+        degree = confidence(total, kinds)
+        w = (weights[:, 0] / weights[:, 1])[degree]
+        own = (w / total)[row] * n
+        self.p = own + (1 - w)[row] * lower
+        size = (self.p * (WHOLE - 1 - kinds)[row]).astype(np.int32) + 1
         # Each row's escape stands behind its successors.
-        self.at = np.arange(len(n)) + self.row
-        self.escape = first + kinds + np.arange(len(first))
-        sizes = np.zeros(len(n) + len(first), np.int64)
-        sizes[self.at] = size
-        sizes[self.escape] = WHOLE - np.add.reduceat(size, first)
-        self.starts = np.cumsum(sizes) - sizes  # a row begins at its number times WHOLE
-        self.sizes = sizes
-        self.share = np.zeros(len(sizes))
+        self.at = np.arange(len(n)) + row
+        self.first, self.escape = first + rows, first + kinds + rows
+        self.size = np.empty(len(n) + len(first), np.int32)
+        self.size[self.at] = size
+        self.size[self.escape] = WHOLE - np.add.reduceat(size, first) if len(first) else size
+        self.share = np.zeros(len(self.size))
         self.share[self.at] = own / self.p
-        self.degrees = np.zeros(len(sizes), np.int64)
-        self.degrees[self.at], self.degrees[self.escape] = self.degree[self.row], self.degree
+        self.degree = np.repeat(degree, kinds + 1)
+        self.kinds = kinds + 1
+
 
+class Model:
+    """The model of one block; symbols are 0 to n_symbols - 1, and n_symbols stands before each run.
 
-class Block:
-    """The model of one block; symbols are 0 to n_symbols - 1, and n_symbols stands before each run."""
+    Its rows: first order 0, then order 1 and order 2 by their contexts. Of each entry of a row: the start and size of its interval, its
+    symbol, -1 for an escape, and the row to ask next.
+    """
 
     def __init__(self, n_symbols: int):
         self.n_symbols = n_symbols
-        self.weights = np.ones((2, 24, 2))
-        self.weights[:, :, 0] = [[0.8], [0.6]]
-        self.start0 = np.arange(n_symbols + 1, dtype=np.int64) * WHOLE // n_symbols if n_symbols <= WHOLE else None
-        self.one = self.two = None
+        self.weights = np.ones((2 * DEGREES, 2))
+        self.weights[:, 0] = np.repeat([0.6, 0.8], DEGREES)
+        self.keys1 = None
+        starts = np.arange(n_symbols + 1, dtype=np.int64) * WHOLE // n_symbols
+        self.start, self.size = starts[:-1].astype(np.int32), np.diff(starts).astype(np.int32)
+        self.symbol, self.next = np.arange(n_symbols, dtype=np.int32), np.zeros(n_symbols, np.int32)
+        self.first, self.kinds = np.zeros(1, np.int64), np.array([n_symbols])
 
     def build(self, now: np.ndarray, last: np.ndarray, before: np.ndarray) -> None:
-        """From the ids so far, each with the last id and the one before that."""
-        self.keys1, n1 = counted((last << SHIFT) | now)
-        self.keys2, n2 = counted((((before << SHIFT) | last) << SHIFT) | now)
-        pair, symbol = self.keys2 & ((1 << 2 * SHIFT) - 1), self.keys1 & SYMBOL
-        link = np.searchsorted(self.keys1, pair)
-        # Lower orders count in how many contexts an id was, as those are asked only when a context does not know it.
-        kinds1, kinds0 = np.bincount(link, minlength=len(self.keys1)), np.bincount(symbol, minlength=self.n_symbols)
+        """From the symbols so far, each with the last one and the one before that."""
+        pair = (last << SHIFT) | now
+        keys1, n1 = counted(pair)
+        keys2, n2 = counted((before << 2 * SHIFT) | pair)
+        places, self.keys1 = Places(keys1), keys1
+        self.places1 = places
+        link = places.of(keys2 & ((1 << 2 * SHIFT) - 1))
+        symbol = keys1 & SYMBOL
+        # Lower orders count in how many contexts a symbol was, as those are asked only when a context does not know it.
+        kinds1, kinds0 = np.bincount(link, minlength=len(keys1)), np.bincount(symbol, minlength=self.n_symbols)
+        first = starts_of(keys2 >> SHIFT)
+        often = np.add.reduceat(n2, first) >= LEAST_SEEN
+        kept = np.repeat(often, np.diff(first, append=len(keys2)))
+        keys2, n2, link = keys2[kept], n2[kept], link[kept]
+        self.places2 = Places(keys2)
         p0 = (kinds0 + 0.3) / (kinds0.sum() + 0.3 * self.n_symbols)
-        size0 = (p0 * (WHOLE - 1 - self.n_symbols)).astype(np.int64) + 1
-        self.start0 = np.concatenate(([0], np.cumsum(size0)))
-        self.start0[-1] = WHOLE
-        self.one = Level(self.keys1 >> SHIFT, kinds1, self.weights[0], p0[symbol])
-        self.two = Level(self.keys2 >> SHIFT, n2, self.weights[1], self.one.p[link])
-        self.symbols = np.full(len(self.one.sizes), -1, np.int64)
-        self.symbols[self.one.at] = symbol
-        self.link = np.full(len(self.two.sizes), -1, np.int64)
-        self.link[self.two.at] = self.one.at[link]
-        self.row1 = np.full(self.n_symbols + 1, -1, np.int64)
-        self.row1[self.one.context] = np.arange(len(self.one.context))
-        # The order-2 context of two ids is the row of their pair.
-        found = place_of(self.keys1, self.two.context)
-        self.row2 = np.full(len(self.one.sizes), -1, np.int64)
-        self.row2[self.one.at[found[found >= 0]]] = np.flatnonzero(found >= 0)
-
-    def pairs(self, last: np.ndarray, now: np.ndarray) -> np.ndarray:
-        """The entries of the pairs in the order-1 level, -1 for those not seen."""
-        found = place_of(self.keys1, (last << SHIFT) | now)
-        return np.where(found >= 0, self.one.at[found], -1)
-
-    def learn(self, entry2: np.ndarray, entry1: np.ndarray) -> None:
-        """Moves the weights by the entries that ids took; -1 where an order had no row, or stood not for the id."""
-        seen = entry2 >= 0
-        share2 = np.where(seen, self.two.share[entry2], 0)
-        for order, entry, level, gain, size in ((1, entry2[seen], self.two, share2[seen], None), (0, entry1[entry1 >= 0], self.one, None, (1 - share2)[entry1 >= 0])):
-            degree = level.degrees[entry]
-            self.weights[order, :, 0] += np.bincount(degree, level.share[entry] * size if gain is None else gain, 24)
-            self.weights[order, :, 1] += np.bincount(degree, size, 24)
+        size0 = (p0 * max(0, WHOLE - 1 - self.n_symbols)).astype(np.int32) + 1
+        size0[-1] += WHOLE - size0.sum()
+        first1, first2 = starts_of(keys1 >> SHIFT), starts_of(keys2 >> SHIFT)
+        one = Level(first1, kinds1, self.weights[:DEGREES], p0[symbol])
+        two = Level(first2, n2, self.weights[DEGREES:], one.p[link])
+        base1, base2 = self.n_symbols, self.n_symbols + len(one.size)
+        self.at1, self.at2 = one.at + base1, two.at + base2
+        self.escape1 = np.full(self.n_symbols + 1, -1)
+        context1 = keys1[first1] >> SHIFT
+        self.escape1[context1] = one.escape + base1
+        row1 = np.zeros(self.n_symbols + 1, np.int32)
+        row1[context1] = np.arange(1, len(first1) + 1)
+        # The row after a pair: that of its order-2 context, else that of its second symbol.
+        pairs2 = keys2[first2] >> SHIFT
+        own = places.of(pairs2)
+        after1 = row1[symbol]
+        after1[own[own >= 0]] = np.flatnonzero(own >= 0) + len(first1) + 1
+        self.escape2 = np.full(len(keys1) + 1, -1)  # of a pair; the last is for no pair
+        self.escape2[own[own >= 0]] = two.escape[own >= 0] + base2
+        size = self.size = np.concatenate([size0, one.size, two.size])
+        self.first = np.concatenate([[0], one.first + base1, two.first + base2])
+        self.kinds = np.concatenate([[self.n_symbols], one.kinds, two.kinds])
+        ends = np.cumsum(size, dtype=np.int64)
+        self.start = ((ends - size) & (WHOLE - 1)).astype(np.int32)  # a row begins at its number times WHOLE
+        self.symbol, self.next = np.full(len(size), -1, np.int32), np.zeros(len(size), np.int32)
+        self.symbol[:base1], self.next[:base1] = np.arange(base1), row1[:-1]
+        self.symbol[self.at1], self.next[self.at1] = symbol, after1
+        self.symbol[self.at2], self.next[self.at2] = keys2 & SYMBOL, after1[link]
+        self.next[two.escape + base2] = row1[pairs2 & SYMBOL]
+        self.share = np.concatenate([one.share, two.share])
+        self.degree = np.concatenate([one.degree, two.degree + DEGREES])
+
+    def learn(self, taken: np.ndarray) -> None:
+        """Moves the weights by how often each entry was taken."""
+        taken = taken[self.n_symbols :]
+        self.weights[:, 0] += np.bincount(self.degree, self.share * taken, 2 * DEGREES)
+        self.weights[:, 1] += np.bincount(self.degree, taken, 2 * DEGREES)
 
 
 def after(run: np.ndarray, start: int, at: int, end: int, back: int) -> np.ndarray:
@@ -145,36 +194,37 @@ def after(run: np.ndarray, start: int, at: int, end: int, back: int) -> np.ndarr
     return out
 
 
-def events_of(model: Block, run: np.ndarray, length: np.ndarray, at: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(run, start, size) of the intervals that code the positions at to end, and learns from them."""
-    live = (np.arange(at, end)[None, :] < length[:, None]).ravel()
-    now, last, before = run[:, at:end], after(run, model.n_symbols, at, end, 1), after(run, model.n_symbols, at, end, 2)
-    shape, lane = now.shape, np.repeat(np.arange(len(run)), end - at)
-    start, size = np.zeros((3, now.size), np.int64), np.zeros((3, now.size), np.int64)
-    x = now.ravel()
-    entry2, entry1 = np.full(now.size, -1), np.full(now.size, -1)
-    if model.one is not None:
-        pair = model.pairs(last.ravel(), x)
-        context = np.concatenate([model.pairs(before[:, 0], last[:, 0])[:, None], pair.reshape(shape)[:, :-1]], 1).ravel()
-        row2 = np.where(context >= 0, model.row2[context], -1)
-        asked = np.flatnonzero(row2 >= 0)
-        found = place_of(model.keys2, (((before.ravel()[asked] << SHIFT) | last.ravel()[asked]) << SHIFT) | x[asked])
-        entry2[asked] = np.where(found >= 0, model.two.at[found], model.two.escape[row2[asked]])
-        row1 = model.row1[last.ravel()]
-        entry1 = np.where(pair >= 0, pair, np.where(row1 >= 0, model.one.escape[row1], -1))
-        hit2 = np.zeros(now.size, bool)
-        hit2[asked] = found >= 0
-        todo = entry2 >= 0
-        start[0, todo], size[0, todo] = model.two.starts[entry2[todo]] & (WHOLE - 1), model.two.sizes[entry2[todo]]
-        todo = (entry1 >= 0) & ~hit2
-        start[1, todo], size[1, todo] = model.one.starts[entry1[todo]] & (WHOLE - 1), model.one.sizes[entry1[todo]]
-        model.learn(np.where(live, entry2, -1), np.where(live, entry1, -1))
-        plain = np.flatnonzero((pair < 0) & ~hit2)
+def entries_of(model: Model, run: np.ndarray, length: np.ndarray, at: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the entries that code the positions at to end of one run after another, their number in each run), and learns from them."""
+    now = run[:, at:end]
+    if model.keys1 is None:
+        entries = now[:, :, None]
     else:
-        plain = np.arange(now.size)
-    start[2, plain], size[2, plain] = model.start0[x[plain]], model.start0[x[plain] + 1] - model.start0[x[plain]]
-    used = ((size > 0) & live).T.ravel()
-    return tuple(v[used].astype(np.int32) for v in (np.repeat(lane, 3), start.T.ravel(), size.T.ravel()))
+        last, before = after(run, model.n_symbols, at, end, 1), after(run, model.n_symbols, at, end, 2)
+        key = (last << SHIFT) | now
+        pair = model.places1.of(key.ravel()).reshape(now.shape)
+        context = np.empty_like(pair)
+        context[:, 1:] = pair[:, :-1]
+        context[:, 0] = model.places1.of((before[:, 0] << SHIFT) | last[:, 0])
+        two = model.escape2[context].ravel()
+        asked = np.flatnonzero(two >= 0)
+        found = model.places2.of(((before << 2 * SHIFT) | key).ravel()[asked])
+        pair, known = pair.ravel(), found >= 0
+        two[asked[known]] = model.at2[found[known]]
+        one = model.escape1[last.ravel()]
+        seen = np.flatnonzero(pair >= 0)
+        one[seen] = model.at1[pair[seen]]
+        none = np.where(pair >= 0, -1, now.ravel())
+        one[asked[known]] = -1
+        none[asked[known]] = -1
+        entries = np.stack([two, one, none], 1).reshape(*now.shape, 3)
+    used = entries >= 0
+    for k in np.flatnonzero(length < end):
+        used[k, max(0, length[k] - at) :] = False
+    taken = entries[used]
+    if model.keys1 is not None:
+        model.learn(np.bincount(taken, minlength=len(model.size)))
+    return taken, used.sum((1, 2))
 
 
 def runs_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -186,180 +236,260 @@ def runs_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def history(run: np.ndarray, length: np.ndarray, n_symbols: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    parts = run[:, :end], after(run, n_symbols, 0, end, 1), after(run, n_symbols, 0, end, 2)
+    if length.min() >= end:
+        return tuple(p.ravel() for p in parts)
     live = np.arange(end)[None, :] < length[:, None]
-    return run[:, :end][live], after(run, n_symbols, 0, end, 1)[live], after(run, n_symbols, 0, end, 2)[live]
+    return tuple(p[live] for p in parts)
+
+
+def joined(x: np.ndarray, n_symbols: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the symbols once frequent pairs are symbols, these pairs): the first pair is symbol n_symbols, and so on."""
+    table = [np.empty((0, 2), np.int64)]
+    place = np.arange(len(x), dtype=np.int32)
+    for _ in range(ROUNDS):
+        if len(x) < LEAST_PAIRS:
+            break
+        # A pair in 32 bits, if it fits.
+        shift, kind = (15, np.int32) if n_symbols < 1 << 15 else (SHIFT, np.int64)
+        key = (x[:-1].astype(kind) << shift) | x[1:]
+        keys, n = counted(key)
+        often = np.flatnonzero(n >= LEAST_PAIRS)
+        room = MOST_SYMBOLS - n_symbols
+        if len(often) > room:
+            often = np.sort(often[np.argsort(-n[often], kind="stable")[: max(0, room)]])
+        if not len(often):
+            break
+        keys = keys[often].astype(np.int64)
+        pair = Places(keys).of(key.astype(np.int64))
+        # Of pairs that overlap, every other one from the left.
+        gap = np.where(pair < 0, place[: len(pair)], np.int32(-1))
+        np.maximum.accumulate(gap, out=gap)
+        first = np.flatnonzero((place[: len(pair)] - gap) & 1)
+        kept = np.ones(len(x), bool)
+        kept[first + 1] = False
+        x = x.copy()
+        x[first] = pair[first] + n_symbols
+        x = x[kept]
+        table.append(np.stack([keys >> shift, keys & ((1 << shift) - 1)], 1))
+        n_symbols += len(keys)
+    return x, np.concatenate(table)
+
+
+def table_of(alphabet: np.ndarray, pairs: np.ndarray, n: int) -> np.ndarray:
+    """A block's table: the numbers of its symbols and of ids that occur, these ids, the first and the second symbols of its pairs."""
+    return np.concatenate([[n, len(alphabet)], alphabet, pairs.T.ravel()]).astype(np.uint32)
+
+
+def opened(table: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """(number of symbols, the ids of all symbols in a row, where each begins and the last ends) of a block's table."""
+    n, ids = int(table[0]), int(table[1])
+    left, right = table[2 + ids :].astype(np.int64).reshape(2, -1)
+    words = [[int(i)] for i in table[2 : 2 + ids]]
+    for a, b in zip(left.tolist(), right.tolist(), strict=True):
+        words.append(words[a] + words[b])
+    ends = np.cumsum([0, *map(len, words)])
+    return n, np.array([i for w in words for i in w], np.uint32), ends
 
 
 def encode(blocks: list[np.ndarray], vocab: int) -> list[tuple[np.ndarray, list[bytes]]]:
-    """(the ids that occur, the code of each run) for each block."""
-    alphabets, lanes, starts, sizes, runs = [], [], [], [], [0]
+    """(the table, the code of each run) for each block."""
+    tables, parts, runs = [], [], [0]
     for block in blocks:
         if len(block) and int(block.max()) >= min(vocab, WHOLE):
             raise ValueError("an id is not below the vocabulary's size")
-        alphabet, x = np.unique(block, return_inverse=True)
-        alphabets.append(alphabet)
+        there = np.zeros(WHOLE, bool)
+        there[block] = True
+        alphabet = np.flatnonzero(there)
+        x, pairs = joined((np.cumsum(there, dtype=np.int32) - np.int32(1))[block], len(alphabet))
+        tables.append(table_of(alphabet, pairs, len(x)))
         run, length = runs_of(x)
-        model = Block(max(1, len(alphabet)))
+        model = Model(max(1, len(alphabet) + len(pairs)))
         for at, end in turns(run.shape[1]):
             if at:
                 model.build(*history(run, length, model.n_symbols, at))
-            lane, start, size = events_of(model, run, length, at, end)
-            lanes.append(lane + runs[-1])
-            starts.append(start)
-            sizes.append(size)
+            taken, number = entries_of(model, run, length, at, end)
+            # Start and size in one number.
+            parts.append((runs[-1], number, (model.start[taken].astype(np.uint32) << 16) | (model.size[taken] - 1).astype(np.uint32)))
         runs.append(runs[-1] + len(run))
-    code = encode_ranges(np.concatenate(lanes or [np.empty(0, np.int64)]), np.concatenate(starts or [np.empty(0, np.int64)]), np.concatenate(sizes or [np.empty(0, np.int64)]), runs[-1])
-    return [(a, code[i:j]) for a, i, j in zip(alphabets, runs[:-1], runs[1:], strict=True)]
+    count = np.zeros(runs[-1], np.int64)
+    for lane, number, _ in parts:
+        count[lane : lane + len(number)] += number
+    intervals = np.full((int(count.max(initial=0)), runs[-1]), WHOLE - 1, np.uint32)
+    flat, done = intervals.reshape(-1), np.zeros(runs[-1], np.int64)
+    for lane, number, packed in parts:
+        mine = slice(lane, lane + len(number))
+        place = np.arange(len(packed)) + np.repeat(done[mine] - (np.cumsum(number) - number), number)
+        flat[place * runs[-1] + np.repeat(np.arange(lane, lane + len(number)), number)] = packed
+        done[mine] += number
+    code = coded(intervals)
+    return [(t, code[i:j]) for t, i, j in zip(tables, runs[:-1], runs[1:], strict=True)]
 
 
 def encode_ranges(lane: np.ndarray, start: np.ndarray, size: np.ndarray, lanes: int) -> list[bytes]:
     """Range codes of the lanes' intervals, whose order within a lane is kept."""
-    order = np.argsort(lane.astype(np.uint16 if lanes < WHOLE else np.int64), kind="stable")
+    order = np.argsort(lane, kind="stable")
     count = np.bincount(lane, minlength=lanes)
     place = np.arange(len(lane)) - np.repeat(np.cumsum(count) - count, count)
-    steps = int(count.max(initial=0))
-    starts, spans = np.zeros((steps, lanes), np.uint32), np.full((steps, lanes), WHOLE, np.uint32)
-    starts[place, lane[order]], spans[place, lane[order]] = start[order], size[order]
+    intervals = np.full((int(count.max(initial=0)), lanes), WHOLE - 1, np.uint32)
+    intervals[place, lane[order]] = (start[order] << 16) | (size[order] - 1)
+    return coded(intervals)
+
+
+def coded(intervals: np.ndarray) -> list[bytes]:
+    """Range codes of columns of intervals, each its start in the upper 16 bits and its size less one in the lower."""
+    steps, lanes = intervals.shape
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 48) - 1, np.uint64)
     out, used = np.zeros((lanes, steps + 2), np.uint16), np.zeros(lanes, np.int64)
 
-    def carry() -> None:
-        """Takes what has grown past 48 bits to the words already out."""
-        over = np.flatnonzero(low >> CARRY)
-        low[over] &= U((1 << 48) - 1)
-        back = 1
-        while len(over):
-            out[over, used[over] - back] += np.uint16(1)
-            over = over[out[over, used[over] - back] == 0]
-            back += 1
-
     def emit(where: np.ndarray) -> None:
-        out[where, used[where]] = low[where] >> U(32)
-        used[where] += 1
-        low[where] = (low[where] & LOW) << WORD
-
-    for j in range(steps):
+        # A number that has grown past 48 bits since its last word carries into the words already out.
+        now, at = low[where], used[where]
+        word = now >> U(32)
+        out[where, at] = word
+        over = np.flatnonzero(word >> WORD)
+        if len(over):
+            lane, back = where[over], at[over] - 1
+            while len(lane):
+                out[lane, back] += np.uint16(1)
+                more = out[lane, back] == 0
+                lane, back = lane[more], back[more] - 1
+        low[where] = (now & LOW) << WORD
+        used[where] = at + 1
+
+    for row in intervals:
         span >>= WORD
-        low += span * starts[j].astype(np.uint64)
-        span *= spans[j].astype(np.uint64)
-        carry()
+        low += span * (row >> np.uint32(16))
+        span *= (row & np.uint32(WHOLE - 1)) + np.uint32(1)
         where = np.flatnonzero(span < TOP)
         emit(where)
         span[where] <<= WORD
     # One word is enough to name a number within the last range, as zeros follow it.
     low += LOW
-    carry()
     emit(np.arange(lanes))
     return [out[i, : used[i]].astype("<u2").tobytes() for i in range(lanes)]
 
 
-def decode(codes: list[list[bytes]], lengths: list[int], alphabets: list[np.ndarray]) -> list[np.ndarray]:
-    """The blocks of which encode() gave these codes and ids."""
-    models = [Block(max(1, len(a))) for a in alphabets]
-    shapes = [runs_of(np.zeros(n, np.int64)) for n in lengths]
+class Tables:
+    """The rows of several models one after another, with cells that lead from a place in a row to the entry there.
+
+    facts: of each entry its start and end in its row, its symbol, and the row to ask next, as `row` gives it: its first cell and the width
+    of its cells.
+    """
+
+    def __init__(self, models: list[Model]):
+        self.bases = np.cumsum([0, *(len(m.size) for m in models)])
+        self.first_rows = np.cumsum([0, *(len(m.first) for m in models)])
+        kinds = np.concatenate([m.kinds for m in models])
+        bits = np.minimum(np.frexp(kinds * 2.0)[1], BITS)
+        ends = np.cumsum(1 << bits)
+        base, shift = ends - (1 << bits), BITS - bits
+        kind = np.int32 if ends[-1] < 1 << 26 else np.int64
+        self.row = ((base << 5) | shift).astype(kind)
+        self.facts = np.empty((self.bases[-1], 4), kind)
+        for m, i, j, r in zip(models, self.bases, self.bases[1:], self.first_rows, strict=False):
+            part = self.facts[i:j]
+            part[:, 0] = m.start
+            part[:, 1] = m.start + m.size
+            part[:, 2] = m.symbol
+            part[:, 3] = self.row[m.next + r]
+        # An entry's first cell is the first that begins at or after its start; where several have the same one, the last stands there.
+        shift, start = np.repeat(shift, kinds), self.facts[:, 0]
+        self.cell = np.zeros(ends[-1] + 1, np.int32)
+        self.cell[np.repeat(base, kinds) + ((start + (1 << shift) - 1) >> shift)] = np.arange(len(start), dtype=np.int32)
+        np.maximum.accumulate(self.cell, out=self.cell)
+
+    def at(self, row: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The entries at these places of these rows, and their facts."""
+        entry = self.cell[(row >> 5) + (value >> (row & 31))]
+        facts = self.facts[entry]
+        on = np.flatnonzero(facts[:, 1] <= value)
+        while len(on):
+            entry[on] += 1
+            now = self.facts[entry[on]]
+            facts[on] = now
+            on = on[now[:, 1] <= value[on]]
+        return entry, facts
+
+
+def decode(codes: list[list[bytes]], lengths: list[int], tables: list[np.ndarray]) -> list[np.ndarray]:
+    """The blocks of which encode() gave these codes and tables."""
+    known = [opened(t) for t in tables]
+    models = [Model(max(1, len(ends) - 1)) for _, _, ends in known]
+    shapes = [runs_of(np.zeros(n, np.int64)) for n, _, _ in known]
     first = np.cumsum([0, *(len(r) for r, _ in shapes)])
     lanes, longest = int(first[-1]), max((r.shape[1] for r, _ in shapes), default=0)
     length = np.concatenate([x for _, x in shapes] or [np.empty(0, np.int64)])
-    of = np.repeat(np.arange(len(models)), np.diff(first))
     flat_codes = [c for block in codes for c in block]
     width = max(map(len, flat_codes), default=0) // 2 + 4
-    words = np.zeros((lanes, width), np.uint64)
+    words = np.zeros((lanes, width), np.uint16)
     for i, c in enumerate(flat_codes):
         words[i, : len(c) // 2] = np.frombuffer(c, "<u2")
-    read = np.full(lanes, 3)
-    code = (words[:, 0] << U(32)) | (words[:, 1] << U(16)) | words[:, 2]
-    span = np.full(lanes, (1 << 48) - 1, np.uint64)
-    # Runs as rows, and of each position what was asked of the model.
-    ids = np.zeros((lanes, longest), np.int64)
-    none = np.array([m.n_symbols for m in models], np.int64)[of]
-
-    def ask(where: np.ndarray, row: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """The entries that the codes of these lanes name in their rows."""
-        own = span[where]
-        unit = own >> WORD
-        value = np.minimum(code[where] // unit, U(WHOLE - 1)).astype(np.int64)
-        entry = np.searchsorted(starts, (row << BITS) | value, "right") - 1
-        begin = starts[entry]
-        own = unit * (starts[entry + 1] - begin).astype(np.uint64)
-        rest = code[where] - unit * (begin & (WHOLE - 1)).astype(np.uint64)
-        small = np.flatnonzero(own < TOP)
-        lane = where[small]
-        rest[small] = (rest[small] << WORD) | words[lane, np.minimum(read[lane], width - 1)]
-        read[lane] += 1
-        own[small] <<= WORD
-        span[where], code[where] = own, rest
-        return entry
+    # Numbers below 2 ** 48 and their quotients' whole parts are exact in doubles.
+    all_code = words[:, :3].astype(np.float64) @ np.array([2.0**32, 2.0**16, 1.0])
+    all_span, all_read = np.full(lanes, 2.0**48 - 1), np.arange(lanes) * width + 3
+    words, last_word = words.reshape(-1), np.arange(1, lanes + 1) * width - 1
+    symbols = np.zeros((longest, lanes), np.int32)
 
     for at, end in turns(longest):
-        live_models = [k for k, (r, _) in enumerate(shapes) if r.shape[1] > at]
+        live = [k for k, (r, _) in enumerate(shapes) if r.shape[1] > at]
+        lane = np.concatenate([np.arange(first[k], first[k + 1]) for k in live])
         if at:
-            for k in live_models:
-                models[k].build(*history(ids[first[k] : first[k + 1]], length[first[k] : first[k + 1]], models[k].n_symbols, at))
-        # The live models' tables in a row, with what to add to a model's own entry and row numbers.
-        joined = Joined([models[k] for k in live_models], bool(at))
-        slot = np.full(len(models), -1)
-        slot[live_models] = np.arange(len(live_models))
-        slot = slot[of]
-        asked2, asked1 = (np.full((lanes, end - at), -1, np.int64) for _ in range(2))
-        last = ids[:, at - 1] if at else none
-        row2 = np.full(lanes, -1, np.int64)
-        if at:
-            before = ids[:, at - 2] if at > 1 else none
-            for k in live_models:
+            for k in live:
                 mine = slice(first[k], first[k + 1])
-                pair = models[k].pairs(before[mine], last[mine])
-                row2[mine] = joined.row2[np.where(pair >= 0, pair + joined.entry1[slot[first[k]]], -1)]
-        for j in range(at, end):
-            now = np.zeros(lanes, np.int64)
-            pair = np.full(lanes, -1, np.int64)
-            todo = np.flatnonzero(length > j)
+                models[k].build(*history(symbols[:at, mine].T.astype(np.int64), length[mine], models[k].n_symbols, at))
+        now = Tables([models[k] for k in live])
+        row = np.empty(len(lane), now.row.dtype)
+        done = 0
+        for slot, k in enumerate(live):
+            own = np.zeros(first[k + 1] - first[k], np.int32)
             if at:
-                some = todo[row2[todo] >= 0]
-                entry = ask(some, row2[some], joined.two)
-                asked2[some, j - at] = entry
-                pair[some] = joined.link[entry]
-                left = todo[pair[todo] < 0]
-                row1 = joined.row1[joined.symbol[slot[left]] + last[left]]
-                some, row1 = left[row1 >= 0], row1[row1 >= 0]
-                entry = ask(some, row1, joined.one)
-                asked1[some, j - at] = entry
-                pair[some] = np.where(joined.symbols[entry] >= 0, entry, -1)
-                hit = todo[pair[todo] >= 0]
-                now[hit] = joined.symbols[pair[hit]]
-                asked1[hit, j - at] = pair[hit]
-                # An escape at order 2 leaves the order-1 entry that was asked next.
-                todo = todo[pair[todo] < 0]
-                row2 = joined.row2[pair]
-            entry = ask(todo, slot[todo], joined.zero)
-            now[todo] = entry - joined.zero_at[slot[todo]]
-            ids[:, j] = last = now
+                m, mine = models[k], slice(first[k], first[k + 1])
+                pair = m.places1.of((symbols[at - 2, mine].astype(np.int64) << SHIFT) | symbols[at - 1, mine])
+                own[pair >= 0] = m.next[m.at1[pair[pair >= 0]]]
+            row[done : done + len(own)] = now.row[own + now.first_rows[slot]]
+            done += len(own)
+        code, span, read, last, own_length = all_code[lane], all_span[lane], all_read[lane], last_word[lane], length[lane]
+        least = int(own_length.min())
+        events = []
+
+        def ask(code: np.ndarray, span: np.ndarray, read: np.ndarray, last: np.ndarray, row: np.ndarray, now: Tables = now) -> tuple[np.ndarray, np.ndarray]:
+            unit = np.floor(span * 2.0**-BITS)
+            entry, facts = now.at(row, np.minimum(code / unit, WHOLE - 1).astype(np.int32))
+            code -= unit * facts[:, 0]
+            np.multiply(unit, facts[:, 1] - facts[:, 0], out=span)
+            small = np.flatnonzero(span < 2.0**32)
+            place = read[small]
+            code[small] = code[small] * WHOLE + words[np.minimum(place, last[small])]
+            read[small] = place + 1
+            span[small] *= WHOLE
+            return entry, facts
+
+        for j in range(at, end):
+            alive = own_length > j if j >= least else None
+            entry, facts = ask(code, span, read, last, row)
+            events.append(entry if alive is None else entry[alive])
+            symbol, row = facts[:, 2], facts[:, 3]
+            left = np.flatnonzero(symbol < 0)
+            while len(left):
+                state = code[left], span[left], read[left]
+                entry, facts = ask(*state, last[left], row[left])
+                code[left], span[left], read[left] = state
+                symbol[left], row[left] = facts[:, 2], facts[:, 3]
+                events.append(entry if alive is None else entry[alive[left]])
+                left = left[facts[:, 2] < 0]
+            symbols[j, lane] = symbol
+        all_code[lane], all_span[lane], all_read[lane] = code, span, read
         if at:
-            for k in live_models:
-                mine, s = slice(first[k], first[k + 1]), slot[first[k]]
-                own = [np.where(x[mine] >= 0, x[mine] - base, -1).ravel() for x, base in ((asked2, joined.entry2[s]), (asked1, joined.entry1[s]))]
-                models[k].learn(*own)
-    return [a[ids[i:j, : r.shape[1]].ravel()[:n]] if n else np.empty(0, np.uint32) for a, i, j, n, (r, _) in zip(alphabets, first[:-1], first[1:], lengths, shapes, strict=True)]
-
-
-class Joined:
-    """The tables of several models one after another."""
-
-    def __init__(self, models: list[Block], built: bool):
-        def chain(parts: list[np.ndarray], steps: list[int], end: list[int] = []) -> np.ndarray:  # noqa: B006
-            """The parts with their steps added, where they are not -1."""
-            return np.concatenate([*(np.where(p >= 0, p + s, -1) for p, s in zip(parts, steps, strict=True)), end]).astype(np.int64)
-
-        offsets = lambda sizes: np.cumsum([0, *sizes]).astype(np.int64)
-        k = np.arange(len(models))
-        self.zero = chain([m.start0[:-1] for m in models], list(k << BITS), [len(models) << BITS])
-        self.zero_at = offsets([m.n_symbols for m in models])
-        if built:
-            self.entry1, self.entry2 = offsets([len(m.one.sizes) for m in models]), offsets([len(m.two.sizes) for m in models])
-            rows1, rows2 = offsets([len(m.one.context) for m in models]), offsets([len(m.two.context) for m in models])
-            self.symbol = offsets([m.n_symbols + 1 for m in models])
-            self.one = chain([m.one.starts for m in models], list(rows1[:-1] << BITS), [rows1[-1] << BITS])
-            self.two = chain([m.two.starts for m in models], list(rows2[:-1] << BITS), [rows2[-1] << BITS])
-            self.symbols = np.concatenate([m.symbols for m in models])
-            self.link = chain([m.link for m in models], list(self.entry1[:-1]))
-            self.row1 = chain([m.row1 for m in models], list(rows1[:-1]))
-            self.row2 = chain([m.row2 for m in models], list(rows2[:-1]), [-1])  # the last is for no pair
+            taken = np.bincount(np.concatenate(events), minlength=now.bases[-1])
+            for slot, k in enumerate(live):
+                models[k].learn(taken[now.bases[slot] : now.bases[slot + 1]])
+    out = []
+    for (n, ids, ends), i, j, (run, _), size in zip(known, first[:-1], first[1:], shapes, lengths, strict=True):
+        x = symbols[: run.shape[1], i:j].T.ravel()[:n]
+        sizes = np.diff(ends)[x]
+        to = np.cumsum(sizes)
+        if n and to[-1] != size:
+            raise ValueError("the decoded ids differ in number from those written")
+        out.append(ids[np.arange(size) + np.repeat(ends[x] - (to - sizes), sizes)] if n else np.empty(0, np.uint32))
+    return out

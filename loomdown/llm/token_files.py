@@ -5,9 +5,9 @@ share no task; each partition writes one file, so that files in the order of the
 documents in ascending order. A file is a run of records; a record is one independently coded block of ids. A document
 that runs over the end of a block goes on in the next:
 
-    magic "LDT2", then little-endian: u32 pieces, u32 ids, u32 bytes of the tables, u32 bytes of code, u32 crc32 of what
+    magic "LDT3", then little-endian: u32 pieces, u32 ids, u32 bytes of the tables, u32 bytes of code, u32 crc32 of what
     follows, u32 crc32 of the ids as u32; then, packed by zlib, for each piece of a document i64 doc_id, u8 null flag, u8 end
-    flag, u32 ids, then u32 number of ids that occur, these as u32 steps from one to the next, and u32 bytes of code of each run;
+    flag, u32 ids, then u32 size of the coder's table, its u32 numbers as steps from one to the next, and u32 bytes of code of each run;
     then the code; then "\n"
 
 The records go through Spark's own file writer, so that task retries and lost executors leave no partial files, and any
@@ -34,7 +34,7 @@ from . import codec
 from .common import fresh_path, written
 from .tokens import encoder, pieces
 
-MAGIC = b"LDT2"
+MAGIC = b"LDT3"
 HEAD = struct.Struct("<4s6I")
 DOC = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("end", "u1"), ("n", "<u4")])
 SIDE_BY_SIDE = 8

@@ -37,6 +37,27 @@ def test_words_encode_as_texts_do(texts):
     assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [ids_of(t) for t in texts] if texts else not len(ids)
 
 
+MARKED = ["T̈,", "ẗ", "ẘ. ẘ", "J̌!", "İ", "İ,", "A̸=", "≠", "don't,", "it'S.", "'s,t", "a'", "x.'s", "a1,b2.", "<|endoftext|>,", "<|ENDOFTEXT|>", "A<|endoftext|>b!", "<|", "|>", "ÀÉ...", "ß;", "×÷,", "Straße,\n", "K,", "ﬁ.", "a\x85,b", "a\u00a0B,", "µ,", "ª."]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([*MARKED, "And,", "and", "and.", "AND...", "$$$"]), max_size=5), max_size=5), st.sampled_from([" ", "", "\n", "́"]))
+def test_letters_and_signs_are_taken_apart_as_the_tokenizer_does(words, between):
+    texts = [between.join(w) for w in words]
+    ids, sizes = tokens.WordEncoder(WORDS).encode(texts) if len(texts) == 5 else tokens.encoder(WORDS).encode(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [ids_of(t) for t in texts] if texts else not len(ids)
+
+
+def test_letters_are_encoded_once_whatever_signs_and_case():
+    encoder = tokens.WordEncoder(WORDS)
+    encoder.encode(["table, Table. tABLE... table;"])
+    asked = []
+    encoder.word_ids = lambda words, together=200: asked.extend(words) or tokens.WordEncoder.word_ids(encoder, words, together)
+    encoder.plain_ids = lambda words, together=200: asked.extend(words) or tokens.WordEncoder.plain_ids(encoder, words, together)
+    encoder.encode(["Table; TABLE, table"])
+    assert asked == []
+
+
 def test_tokenizers_that_keep_blanks_are_refused():
     with pytest.raises(ValueError, match="white space"):
         tokens.WordEncoder(P.path("byte_bpe_50k.json"))
@@ -69,6 +90,20 @@ def test_codec_learns_and_checks():
         codec.encode([np.array([9])], 9)
 
 
+def test_frequent_pairs_are_coded_as_one_symbol():
+    block = np.tile(np.arange(8), 3000)
+    ((table, code),) = codec.encode([block], 99)
+    assert codec.opened(table)[0] <= len(block) / 3  # symbols that the range coder takes
+    assert np.array_equal(codec.decode([code], [len(block)], [table])[0], block)
+
+
+def test_codec_of_few_and_of_many_different_ids():
+    blocks = [np.array([], int), np.array([7]), np.arange(49408), np.repeat(5, 30_000), np.arange(60_000) % 17_000]
+    codes = codec.encode(blocks, 49408)
+    decoded = codec.decode([c for _, c in codes], list(map(len, blocks)), [a for a, _ in codes])
+    assert all(np.array_equal(a, b) for a, b in zip(blocks, decoded, strict=True))
+
+
 def test_carries_run_through_words():
     rng = np.random.default_rng(2)
     # Intervals at the very top of the range make long runs of full words that a late carry must pass.
