@@ -1,8 +1,7 @@
 """A context-mixing range coder for blocks of token ids, in numpy across many blocks at once.
 
-Each block is coded on its own from a fresh model. First, pairs of neighbours that occur often are joined to one symbol each,
-`ROUNDS` times, so that there are fewer symbols than ids; the block's table names the ids that occur and the pairs. Three models predict a
-symbol: order-2 and order-1 from what has followed the last two symbols, or the last one, and order-0 from in how many contexts a
+Each block is coded on its own from a fresh model. First, pairs of neighbours that occur `LEAST_PAIRS` times are joined to one
+symbol each, so that there are fewer symbols than ids; the block's table names the ids that occur and the pairs. Three models predict a symbol: order-2 and order-1 from what has followed the last two symbols, or the last one, and order-0 from in how many contexts a
 symbol has been. They are mixed: P1 = w1 * p1 + (1 - w1) * p0 and P2 = w2 * p2 + (1 - w2) * P1, with a weight for each of 24 degrees of
 confidence in a context, learned as the block goes on from each model's share in the symbols that came. A symbol that the order-2
 context has seen is coded with P2 at once; else an escape, and the same with P1 among those that the order-1 context has seen;
@@ -18,14 +17,14 @@ from __future__ import annotations
 
 import numpy as np
 
-LANES, LEAST_RUN, FIRST, GROWTH = 256, 512, 16, 4
+LANES, LEAST_RUN, FIRST, GROWTH = 256, 512, 3, 4
 BITS = 16
 WHOLE = 1 << BITS
 SHIFT = 17  # of a symbol in a key: vocabularies go up to 2 ** 16
 SYMBOL = (1 << SHIFT) - 1
 DEGREES = 24
 LEAST_SEEN = 2  # of an order-2 context
-ROUNDS, LEAST_PAIRS, MOST_SYMBOLS = 2, 16, 1 << 14
+LEAST_PAIRS, MOST_SYMBOLS = 12, 1 << 14
 U = np.uint64
 LOW, TOP, WORD = U(2**32 - 1), U(2**32), U(16)
 
@@ -71,10 +70,10 @@ class Places:
 
     def of(self, wanted: np.ndarray) -> np.ndarray:
         """-1 for keys that are not there."""
-        at = self.slots[self.slot(wanted)]
+        at = self.slots.take(self.slot(wanted), mode="clip")
         if not len(self.keys):
             return at
-        other = np.flatnonzero((self.keys[at] != wanted) & (at >= 0))
+        other = np.flatnonzero((self.keys.take(at, mode="clip") != wanted) & (at >= 0))
         key = wanted[other]
         found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         at[other] = np.where(self.keys[found] == key, found, -1)
@@ -243,53 +242,43 @@ def history(run: np.ndarray, length: np.ndarray, n_symbols: int, end: int) -> tu
     return tuple(p[live] for p in parts)
 
 
-def joined(x: np.ndarray, n_symbols: int) -> tuple[np.ndarray, np.ndarray]:
-    """(the symbols once frequent pairs are symbols, these pairs): the first pair is symbol n_symbols, and so on."""
-    table = [np.empty((0, 2), np.int64)]
-    place = np.arange(len(x), dtype=np.int32)
-    for _ in range(ROUNDS):
-        if len(x) < LEAST_PAIRS:
-            break
-        # A pair in 32 bits, if it fits.
-        shift, kind = (15, np.int32) if n_symbols < 1 << 15 else (SHIFT, np.int64)
-        key = (x[:-1].astype(kind) << shift) | x[1:]
-        keys, n = counted(key)
-        often = np.flatnonzero(n >= LEAST_PAIRS)
-        room = MOST_SYMBOLS - n_symbols
-        if len(often) > room:
-            often = np.sort(often[np.argsort(-n[often], kind="stable")[: max(0, room)]])
-        if not len(often):
-            break
-        keys = keys[often].astype(np.int64)
-        pair = Places(keys).of(key.astype(np.int64))
-        # Of pairs that overlap, every other one from the left.
-        gap = np.where(pair < 0, place[: len(pair)], np.int32(-1))
-        np.maximum.accumulate(gap, out=gap)
-        first = np.flatnonzero((place[: len(pair)] - gap) & 1)
-        kept = np.ones(len(x), bool)
-        kept[first + 1] = False
-        x = x.copy()
-        x[first] = pair[first] + n_symbols
-        x = x[kept]
-        table.append(np.stack([keys >> shift, keys & ((1 << shift) - 1)], 1))
-        n_symbols += len(keys)
-    return x, np.concatenate(table)
+def joined(x: np.ndarray, n_ids: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the symbols once frequent pairs are symbols, these pairs): the first pair is symbol n_ids, and so on."""
+    # A pair in 32 bits, if it fits.
+    shift, kind = (15, np.int32) if n_ids < 1 << 15 else (SHIFT, np.int64)
+    key = (x[:-1].astype(kind) << shift) | x[1:]
+    if len(key) < LEAST_PAIRS:
+        return x, np.empty((0, 2), np.int64)
+    keys, n = counted(key)
+    often = np.flatnonzero(n >= LEAST_PAIRS)
+    room = max(0, MOST_SYMBOLS - n_ids)
+    if len(often) > room:
+        often = np.sort(often[np.argsort(-n[often], kind="stable")[:room]])
+    keys = keys[often].astype(np.int64)
+    pair = Places(keys).of(key.astype(np.int64))
+    # Of pairs that overlap, every other one from the left.
+    place = np.arange(len(pair), dtype=np.int32)
+    gap = np.where(pair < 0, place, np.int32(-1))
+    np.maximum.accumulate(gap, out=gap)
+    first = np.flatnonzero((place - gap) & 1)
+    kept = np.ones(len(x), bool)
+    kept[first + 1] = False
+    x = x.copy()
+    x[first] = pair[first] + n_ids
+    return x[kept], np.stack([keys >> shift, keys & ((1 << shift) - 1)], 1)
 
 
 def table_of(alphabet: np.ndarray, pairs: np.ndarray, n: int) -> np.ndarray:
-    """A block's table: the numbers of its symbols and of ids that occur, these ids, the first and the second symbols of its pairs."""
+    """A block's table: the numbers of its symbols and of ids that occur, these ids, the first and the second ids of its pairs by their places among these."""
     return np.concatenate([[n, len(alphabet)], alphabet, pairs.T.ravel()]).astype(np.uint32)
 
 
 def opened(table: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
     """(number of symbols, the ids of all symbols in a row, where each begins and the last ends) of a block's table."""
-    n, ids = int(table[0]), int(table[1])
-    left, right = table[2 + ids :].astype(np.int64).reshape(2, -1)
-    words = [[int(i)] for i in table[2 : 2 + ids]]
-    for a, b in zip(left.tolist(), right.tolist(), strict=True):
-        words.append(words[a] + words[b])
-    ends = np.cumsum([0, *map(len, words)])
-    return n, np.array([i for w in words for i in w], np.uint32), ends
+    n, ids = int(table[0]), table[2 : 2 + table[1]]
+    pairs = table[2 + len(ids) :].reshape(2, -1)
+    ends = np.concatenate([np.arange(len(ids) + 1), len(ids) + 2 * np.arange(1, pairs.shape[1] + 1)])
+    return n, np.concatenate([ids, ids[pairs.T.ravel()]]), ends
 
 
 def encode(blocks: list[np.ndarray], vocab: int) -> list[tuple[np.ndarray, list[bytes]]]:
@@ -310,7 +299,8 @@ def encode(blocks: list[np.ndarray], vocab: int) -> list[tuple[np.ndarray, list[
                 model.build(*history(run, length, model.n_symbols, at))
             taken, number = entries_of(model, run, length, at, end)
             # Start and size in one number.
-            parts.append((runs[-1], number, (model.start[taken].astype(np.uint32) << 16) | (model.size[taken] - 1).astype(np.uint32)))
+            interval = (model.start.astype(np.uint32) << 16) | (model.size - 1).astype(np.uint32)
+            parts.append((runs[-1], number, interval.take(taken)))
         runs.append(runs[-1] + len(run))
     count = np.zeros(runs[-1], np.int64)
     for lane, number, _ in parts:
@@ -341,12 +331,13 @@ def coded(intervals: np.ndarray) -> list[bytes]:
     steps, lanes = intervals.shape
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 48) - 1, np.uint64)
     out, used = np.zeros((lanes, steps + 2), np.uint16), np.zeros(lanes, np.int64)
+    flat = out.reshape(-1)
 
     def emit(where: np.ndarray) -> None:
         # A number that has grown past 48 bits since its last word carries into the words already out.
-        now, at = low[where], used[where]
+        now, at = low.take(where), used.take(where)
         word = now >> U(32)
-        out[where, at] = word
+        flat[where * (steps + 2) + at] = word
         over = np.flatnonzero(word >> WORD)
         if len(over):
             lane, back = where[over], at[over] - 1
@@ -361,9 +352,9 @@ def coded(intervals: np.ndarray) -> list[bytes]:
         span >>= WORD
         low += span * (row >> np.uint32(16))
         span *= (row & np.uint32(WHOLE - 1)) + np.uint32(1)
-        where = np.flatnonzero(span < TOP)
+        where = (span < TOP).nonzero()[0]
         emit(where)
-        span[where] <<= WORD
+        span[where] = span.take(where) << WORD
     # One word is enough to name a number within the last range, as zeros follow it.
     low += LOW
     emit(np.arange(lanes))
@@ -401,14 +392,15 @@ class Tables:
 
     def at(self, row: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The entries at these places of these rows, and their facts."""
-        entry = self.cell[(row >> 5) + (value >> (row & 31))]
-        facts = self.facts[entry]
-        on = np.flatnonzero(facts[:, 1] <= value)
+        entry = self.cell.take((row >> 5) + (value >> (row & 31)), mode="clip")
+        facts = self.facts.take(entry, 0, mode="clip")
+        on = (facts[:, 1] <= value).nonzero()[0]
         while len(on):
-            entry[on] += 1
-            now = self.facts[entry[on]]
+            further = entry.take(on) + 1
+            entry[on] = further
+            now = self.facts.take(further, 0, mode="clip")
             facts[on] = now
-            on = on[now[:, 1] <= value[on]]
+            on = on[now[:, 1] <= value.take(on)]
         return entry, facts
 
 
@@ -458,11 +450,11 @@ def decode(codes: list[list[bytes]], lengths: list[int], tables: list[np.ndarray
             entry, facts = now.at(row, np.minimum(code / unit, WHOLE - 1).astype(np.int32))
             code -= unit * facts[:, 0]
             np.multiply(unit, facts[:, 1] - facts[:, 0], out=span)
-            small = np.flatnonzero(span < 2.0**32)
-            place = read[small]
-            code[small] = code[small] * WHOLE + words[np.minimum(place, last[small])]
+            small = (span < 2.0**32).nonzero()[0]
+            place = read.take(small)
+            code[small] = code.take(small) * WHOLE + words.take(np.minimum(place, last.take(small)))
             read[small] = place + 1
-            span[small] *= WHOLE
+            span[small] = span.take(small) * WHOLE
             return entry, facts
 
         for j in range(at, end):
@@ -470,10 +462,10 @@ def decode(codes: list[list[bytes]], lengths: list[int], tables: list[np.ndarray
             entry, facts = ask(code, span, read, last, row)
             events.append(entry if alive is None else entry[alive])
             symbol, row = facts[:, 2], facts[:, 3]
-            left = np.flatnonzero(symbol < 0)
+            left = (symbol < 0).nonzero()[0]
             while len(left):
-                state = code[left], span[left], read[left]
-                entry, facts = ask(*state, last[left], row[left])
+                state = code.take(left), span.take(left), read.take(left)
+                entry, facts = ask(*state, last.take(left), row.take(left))
                 code[left], span[left], read[left] = state
                 symbol[left], row[left] = facts[:, 2], facts[:, 3]
                 events.append(entry if alive is None else entry[alive[left]])

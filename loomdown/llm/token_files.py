@@ -37,7 +37,7 @@ from .tokens import encoder, pieces
 MAGIC = b"LDT3"
 HEAD = struct.Struct("<4s6I")
 DOC = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("end", "u1"), ("n", "<u4")])
-SIDE_BY_SIDE = 8
+SIDE_BY_SIDE = 12
 
 
 def records(blocks: list[np.ndarray], tables: list[np.ndarray], vocab: int) -> list[bytes]:
@@ -117,7 +117,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, text: str = "t
 
         for batch in batches:
             texts, doc_ids = batch["text"].to_pylist(), batch["doc_id"].to_pylist()
-            for part in pieces(texts):
+            for part in pieces(texts, 3_000_000):
                 ids, sizes = encoder(tokenizer).encode(texts[part])
                 for i, n, to in zip(doc_ids[part], sizes, np.cumsum(sizes), strict=True):
                     doc = np.append(ids[to - n : to], np.uint32(end_id))

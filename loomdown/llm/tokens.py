@@ -15,10 +15,13 @@ import pyarrow.compute as pc
 
 from .common import byte_view
 
-#: Letters that stay alone under NFC, then ASCII signs that neither begin a contraction nor belong to an added token.
-PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+([!-&(-/:;=?@\[-`{}~]*)")
-#: Of a byte: 1 a letter, 2 a sign of these, 3 a blank.
-KINDS = np.array([1 if chr(b).isalpha() and b < 128 else 2 if PLAIN.fullmatch("a" + chr(b)) and b < 128 else 3 if b in b" \t\n\x0b\x0c\r" else 0 for b in range(256)], np.uint8)
+#: Lower-case letters that are alone under NFC.
+LETTERS = "^[a-zß-öø-ÿ]+$"
+#: Of a byte: 1 an ASCII letter, 2 a sign that neither begins a contraction nor belongs to an added token, 3 the end of a letter from À to ÿ, if 0xC3 is before it.
+KINDS = np.zeros(256, np.uint8)
+KINDS[[b for b in range(128) if chr(b).isalpha()]] = 1
+KINDS[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in "'<|>"]] = 2
+KINDS[[b for b in range(128, 192) if b not in (0x97, 0xB7)]] = 3
 SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 
@@ -27,13 +30,12 @@ class WordEncoder:
     """Encodes texts with a tokenizer that drops white space, so that a text's ids are those of its words in turn.
 
     Words that are new to this object are encoded by the tokenizers library, many in one text, whose offsets tell to which word
-    each id belongs. Up to `memory` words are remembered from batch to batch, and the older half of them goes when these are full.
+    each id belongs. Up to `memory` words are remembered from batch to batch, and those met first go when these are full.
     That a tokenizer qualifies is checked on construction: its pre-tokenizer removes what it splits at and its added
     tokens take no white space with them.
 
-    If it lower-cases, splits letters from signs and marks the ends of words as the vocabulary of 49,408 does (checked), then words of
-    plain letters are encoded by the same model without its patterns, which find nothing in them, and the signs behind
-    them once for all words.
+    If it lower-cases, splits letters from signs and marks the ends of words as the vocabulary of 49,408 does (checked), then texts are
+    cut before signs too, and words of plain letters are encoded by the same model without the patterns, which find nothing in them.
     """
 
     def __init__(self, path: str, memory: int = 500_000):
@@ -49,11 +51,11 @@ class WordEncoder:
         if self.ends is not None:
             from tokenizers import pre_tokenizers as pre
 
-            self.plain = Tokenizer(self.tokenizer.model)
+            self.plain, self.ascii = Tokenizer(self.tokenizer.model), Tokenizer(self.tokenizer.model)
             self.plain.pre_tokenizer = pre.Sequence([pre.WhitespaceSplit(), pre.ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.ascii.pre_tokenizer = pre.WhitespaceSplit()  # these letters are themselves at the level of bytes
         self.memory = memory
-        self.known: dict[str, int] = {}
-        self.older: dict[str, int] = {}
+        self.known = pa.array([], pa.large_string())
         self.flat, self.bounds = np.empty(0, np.uint32), np.zeros(1, np.int64)
 
     @staticmethod
@@ -64,8 +66,8 @@ class WordEncoder:
         model, normal, first = facts["model"], facts["normalizer"] or {}, ((facts["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
         suffix = model.get("end_of_word_suffix")
         split = {"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True}
-        # Of added tokens, none has a sign that PLAIN takes within or a part of one.
-        if not suffix or model["type"] != "BPE" or normal.get("normalizers") != NORMAL or first != split or any(not t["content"].startswith("<|") for t in facts["added_tokens"]):
+        # No sign of KINDS is in an added token.
+        if not suffix or model["type"] != "BPE" or normal.get("normalizers") != NORMAL or first != split or any(not re.fullmatch(r"<\|[a-z]+\|>", t["content"]) for t in facts["added_tokens"]):
             return None
         ends = np.zeros(1 + max(model["vocab"].values()), bool)
         ends[[i for token, i in model["vocab"].items() if token.endswith(suffix)]] = True
@@ -91,7 +93,7 @@ class WordEncoder:
         words = pc.ascii_split_whitespace(self.opened(pa.array([t or "" for t in texts], pa.large_string())))
         per_text = np.diff(words.offsets.to_numpy())
         coded = pc.dictionary_encode(words.flatten())
-        index = self.numbers(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy()]
+        index = self.numbers(coded.dictionary)[coded.indices.to_numpy()]
         sizes = np.diff(self.bounds)[index]
         ends = np.cumsum(sizes)
         at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.bounds[index] - (ends - sizes), sizes)
@@ -99,7 +101,7 @@ class WordEncoder:
         return self.flat[at], np.diff(text_ends)
 
     def opened(self, texts: pa.Array) -> pa.Array:
-        """Texts with the same ids and fewer different words: A-Z in lower case, and a blank before a sign that ends a word of letters."""
+        """Texts with the same ids and fewer different words: A-Z in lower case, and a blank before a sign behind a letter, where the tokenizer's pattern always splits."""
         data, ends = byte_view(texts)
         if self.ends is None or len(data) < 3:
             return texts
@@ -108,81 +110,46 @@ class WordEncoder:
             data = data.copy()
             data[:-1] |= ((data[:-1] - np.uint8(65) < 26) & (data[1:] < 128)).view(np.uint8) << np.uint8(5)
         kind = KINDS[data]
-        cuts = np.flatnonzero((kind[:-2] == 1) & (kind[1:-1] == 2) & (kind[2:] == 3)) + 1
+        cuts = np.flatnonzero(kind == 2)
+        cuts = cuts[cuts > 1]
+        before = kind[cuts - 1]
+        cuts = cuts[(before == 1) | (before == 3) & (data[cuts - 2] == 0xC3)]
         data, ends = np.insert(data, cuts, 32), ends + np.searchsorted(cuts, ends)
         return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data))
 
-    def numbers(self, words: list[str]) -> np.ndarray:
-        """The number of each word among the remembered ones."""
-        if len(self.known) + len(words) > self.memory // 2 and len(self.known):
-            self.older, self.known = self.known, {}
-            kept = np.fromiter(self.older.values(), np.int64, len(self.older))
-            sizes = np.diff(self.bounds)[kept]
-            ends = np.cumsum(sizes)
-            self.flat = self.flat[np.arange(ends[-1]) + np.repeat(self.bounds[kept] - (ends - sizes), sizes)]
-            self.bounds = np.concatenate(([0], ends))
-            self.older = dict(zip(self.older, range(len(kept)), strict=True))
-        known, older = self.known, self.older
-        new = []
-        for w in (w for w, at in zip(words, map(known.get, words), strict=True) if at is None):
-            at = older.get(w)
-            if at is None:
-                new.append(w)
-            else:
-                known[w] = at
-        if new:
-            self.add(new)
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-
-    def add(self, words: list[str]) -> None:
-        """Remembers words that are not yet known."""
-        if self.ends is None:
-            return self.store(words, *self.word_ids(words))
-        known, older = self.known, self.older
-        stems: dict[str, None] = {}
-        others: dict[str, None] = {}
-        made = []  # (word, its letters in lower case, the signs behind them)
-        for w in words:
-            match = PLAIN.fullmatch(w)
-            if match:
-                signs = match[1]
-                stem = (w[: -len(signs)] if signs else w).lower()
-                if signs or stem != w:
-                    made.append((w, stem, signs))
-                if stem not in known:
-                    stems[stem] = None
-                if signs and signs not in known:
-                    others[signs] = None
-            else:
-                others[w] = None
-        for part in (stems, others):
-            for w in [w for w in part if w in older]:
-                known[w] = older[w]
-                del part[w]
-        if stems:
-            self.store(list(stems), *self.plain_ids(list(stems)))
-        if others:
-            self.store(list(others), *self.word_ids(list(others)))
-        if made:
-            names, letters, signs = zip(*made, strict=True)
-            first = np.fromiter(map(known.__getitem__, letters), np.int64, len(made))
-            then = np.fromiter((known[s] if s else -1 for s in signs), np.int64, len(made))
-            both = np.stack([first, then], 1).ravel()
-            sizes = np.where(both >= 0, np.diff(self.bounds)[both], 0)
-            ends = np.cumsum(sizes)
-            at = np.arange(ends[-1]) + np.repeat(self.bounds[both] - (ends - sizes), sizes)
-            self.store(names, self.flat[at], sizes.reshape(-1, 2).sum(1))
-
-    def store(self, words: Sequence[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        at = len(self.bounds) - 1
-        self.known.update(zip(words, range(at, at + len(words)), strict=True))
+    def numbers(self, words: pa.Array) -> np.ndarray:
+        """The number of each of these different words among the remembered ones."""
+        if len(self.known) + len(words) > self.memory and len(self.known) > self.memory // 2:
+            first = len(self.known) - self.memory // 2
+            self.known = pa.concat_arrays([self.known[first:]])
+            self.flat, self.bounds = self.flat[self.bounds[first] :], self.bounds[first:] - self.bounds[first]
+        at = pc.index_in(words, value_set=self.known).fill_null(-1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            words = words.take(new)
+            plain = ascii = np.zeros(len(words), bool)
+            if self.ends is not None:
+                plain = pc.match_substring_regex(words, LETTERS).to_numpy(zero_copy_only=False)
+                ascii = plain & pc.string_is_ascii(words).to_numpy(zero_copy_only=False)
+            for which, coder in ((ascii, self.ascii_ids), (plain & ~ascii, self.plain_ids), (~plain, self.word_ids)):
+                some = words.filter(which)
+                at[new[which]] = len(self.known) + np.arange(len(some))
+                if len(some):
+                    self.store(some, *coder(some.to_numpy(zero_copy_only=False).tolist()))
+        return at
+
+    def store(self, words: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.known = pa.concat_arrays([self.known, words])
         self.flat = np.concatenate([self.flat, ids])
         self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(sizes)])
 
-    def plain_ids(self, words: list[str], together: int = 200) -> tuple[np.ndarray, np.ndarray]:
+    def ascii_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return self.plain_ids(words, coder=self.ascii)
+
+    def plain_ids(self, words: list[str], together: int = 200, coder=None) -> tuple[np.ndarray, np.ndarray]:
         """As word_ids, of words of lower-case letters alone: each ends with the only one of its ids that ends a word."""
         groups = [" ".join(words[i : i + together]) for i in range(0, len(words), together)]
-        coded = self.plain.encode_batch_fast(groups, add_special_tokens=False)
+        coded = (coder or self.plain).encode_batch_fast(groups, add_special_tokens=False)
         ids = np.concatenate([np.array(e.ids, np.uint32) for e in coded])
         ends = np.flatnonzero(self.ends[ids]) + 1
         if len(ends) != len(words):
