@@ -5,7 +5,7 @@ symbol each, so that there are fewer symbols than ids; the block's table names t
 symbol has been. They are mixed: P1 = w1 * p1 + (1 - w1) * p0 and P2 = w2 * p2 + (1 - w2) * P1, with a weight for each of 24 degrees of
 confidence in a context, learned as the block goes on from each model's share in the symbols that came. A symbol that the order-2
 context has seen is coded with P2 at once; else an escape, and the same with P1 among those that the order-1 context has seen;
-else p0. An order-2 context counts from the second time on.
+else p0. An order-2 context counts once it was seen `LEAST_SEEN` times.
 
 A block is cut into up to `LANES` runs of symbols, each with a range coder of its own, that share the block's model. The model
 is built anew from all runs' symbols whenever they are `GROWTH` times as many. Between two such points it is fixed, so that numpy codes one
@@ -17,13 +17,13 @@ from __future__ import annotations
 
 import numpy as np
 
-LANES, LEAST_RUN, FIRST, GROWTH = 256, 512, 3, 4
+LANES, LEAST_RUN, FIRST, GROWTH = 256, 512, 4, 6
 BITS = 16
 WHOLE = 1 << BITS
 SHIFT = 17  # of a symbol in a key: vocabularies go up to 2 ** 16
 SYMBOL = (1 << SHIFT) - 1
 DEGREES = 24
-LEAST_SEEN = 2  # of an order-2 context
+LEAST_SEEN = 4  # of an order-2 context
 LEAST_PAIRS, MOST_SYMBOLS = 12, 1 << 14
 U = np.uint64
 LOW, TOP, WORD = U(2**32 - 1), U(2**32), U(16)
@@ -442,7 +442,7 @@ def decode(codes: list[list[bytes]], lengths: list[int], tables: list[np.ndarray
             row[done : done + len(own)] = now.row[own + now.first_rows[slot]]
             done += len(own)
         code, span, read, last, own_length = all_code[lane], all_span[lane], all_read[lane], last_word[lane], length[lane]
-        least = int(own_length.min())
+        least, to = int(own_length.min()), slice(None) if len(lane) == lanes else lane
         events = []
 
         def ask(code: np.ndarray, span: np.ndarray, read: np.ndarray, last: np.ndarray, row: np.ndarray, now: Tables = now) -> tuple[np.ndarray, np.ndarray]:
@@ -470,7 +470,7 @@ def decode(codes: list[list[bytes]], lengths: list[int], tables: list[np.ndarray
                 symbol[left], row[left] = facts[:, 2], facts[:, 3]
                 events.append(entry if alive is None else entry[alive[left]])
                 left = left[facts[:, 2] < 0]
-            symbols[j, lane] = symbol
+            symbols[j, to] = symbol
         all_code[lane], all_span[lane], all_read[lane] = code, span, read
         if at:
             taken = np.bincount(np.concatenate(events), minlength=now.bases[-1])

@@ -117,7 +117,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, text: str = "t
 
         for batch in batches:
             texts, doc_ids = batch["text"].to_pylist(), batch["doc_id"].to_pylist()
-            for part in pieces(texts, 3_000_000):
+            for part in pieces(texts, 4_000_000):
                 ids, sizes = encoder(tokenizer).encode(texts[part])
                 for i, n, to in zip(doc_ids[part], sizes, np.cumsum(sizes), strict=True):
                     doc = np.append(ids[to - n : to], np.uint32(end_id))
