@@ -2,6 +2,7 @@
 
 import pyarrow as pa
 from conftest import SMALL
+from oracle import connect, same
 
 from loomdown.functions import markdown as M
 from loomdown.kernel.convert import nodes
@@ -95,3 +96,25 @@ def test_only_nodes_in_tables_go_through_the_rounds(spark, monkeypatch):
     flat = R.flatten_tables(nodes)
     assert len(seen) == 2 and max(seen) < 15
     assert flat.where("name = 'p'").count() == 51 and flat.where("name = 'i' and depth = 4").count() == 50
+
+
+def test_what_is_shuffled_for_a_written_table_goes(spark):
+    def shuffled():
+        blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+        return {b for b in blocks.mkString(" ").split() if b.startswith("shuffle_")}
+
+    before = shuffled()
+    rows = spark.range(1000).groupBy((N.F.col("id") % 7).alias("k")).count()
+    assert settled(rows, "counts").count() == 7
+    left = shuffled() - before
+    assert len({b.split("_")[1] for b in left}) <= 1  # that of the count just made
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_orders_are_rewritten_slice_by_slice(spark, monkeypatch):
+    made, lines = [], spark.read.parquet(f"{SMALL}/lineitem.parquet").count()
+    monkeypatch.setattr(R, "flatten_tables", lambda n, whole=R.flatten_tables: (made.append(whole(n)), made[-1])[1])
+    monkeypatch.setattr(catalogue, "LINES_AT_ONCE", lines // 3 + 1)
+    df = catalogue.QUERIES["rewrite_tables"](spark, SMALL)
+    assert len(made) == 3 and all(spark.read.parquet(m.settled_path).isEmpty() for m in made)
+    same(df, connect(SMALL), catalogue.SQL["rewrite_tables"])
