@@ -111,15 +111,6 @@ def test_what_is_shuffled_for_a_written_table_goes(spark):
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
 
 
-def test_orders_are_rewritten_slice_by_slice(spark, monkeypatch):
-    made, lines = [], spark.read.parquet(f"{SMALL}/lineitem.parquet").count()
-    monkeypatch.setattr(R, "flatten_tables", lambda n, whole=R.flatten_tables: (made.append(whole(n)), made[-1])[1])
-    monkeypatch.setattr(catalogue, "LINES_AT_ONCE", lines // 3 + 1)
-    df = catalogue.QUERIES["rewrite_tables"](spark, SMALL)
-    assert len(made) == 3 and all(spark.read.parquet(m.settled_path).isEmpty() for m in made)
-    same(df, connect(SMALL), catalogue.SQL["rewrite_tables"])
-
-
 def test_equal_pages_are_made_once(spark):
     rows = [(5, "<p>a"), (2, "<p>a"), (9, None), (3, "<p>b"), (7, None), (8, "<p>a ")]
     orders, pages = catalogue.told_apart(spark.createDataFrame(rows, "o_orderkey long, html string"))
@@ -139,3 +130,21 @@ def pages_told_apart(spark, monkeypatch, query):
 def test_equal_orders_are_converted_once_table_markdown(spark, monkeypatch):
     orders, pages = pages_told_apart(spark, monkeypatch, "table_markdown")
     assert pages < orders == spark.read.parquet(f"{SMALL}/lineitem.parquet").select("l_orderkey").distinct().count()
+
+
+def test_orders_go_slice_by_slice_table_cells(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(catalogue, "PAGES_AT_ONCE", 150)
+    monkeypatch.setattr(N, "table_cells", lambda n, whole=N.table_cells: (made.append(n), whole(n))[1])
+    orders, pages = pages_told_apart(spark, monkeypatch, "table_cells")
+    assert pages < orders and len(made) == -(-pages // 600) > 1
+    assert all(spark.read.parquet(n.settled_path).isEmpty() for n in made)
+
+
+def test_orders_are_rewritten_slice_by_slice(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(catalogue, "PAGES_AT_ONCE", 1000)
+    monkeypatch.setattr(R, "flatten_tables", lambda n, whole=R.flatten_tables: (made.append(whole(n)), made[-1])[1])
+    orders, pages = pages_told_apart(spark, monkeypatch, "rewrite_tables")
+    assert pages < orders and len(made) == -(-pages // 1000) > 1
+    assert all(spark.read.parquet(m.settled_path).isEmpty() for m in made)
